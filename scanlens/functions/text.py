@@ -72,16 +72,15 @@ def char_array(c: Column | str) -> Column:
 def gram_array(folded: Column | str) -> Column:
     """Every 3-code-point window of an already folded text; [] for texts under 3 characters.
 
-    Linear per row: one split into code points, then O(1) element access per window.
+    Two regex scans pick, at every code point, the point itself and the two after it (the
+    lookahead keeps windows overlapping); ``zip_with`` joins them. Linear per row, steps by code
+    point (astral characters included), and the lambda reads only its own arguments, so the
+    optimizer cannot inline an array expression into it.
     """
-    chars = char_array(folded)
-    return F.when(
-        F.length(col_(folded)) >= 3,
-        F.transform(
-            F.slice(chars, 1, F.length(col_(folded)) - 2),
-            lambda ch, i: F.concat(ch, F.get(chars, i + 1), F.get(chars, i + 2)),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    f = col_(folded)
+    first = F.regexp_extract_all(f, F.lit("(?s)(.)(?=(..))"), 1)
+    rest = F.regexp_extract_all(f, F.lit("(?s)(.)(?=(..))"), 2)
+    return F.zip_with(first, rest, lambda a, b: F.concat(a, b))
 
 
 def token_count(c: Column | str) -> Column:

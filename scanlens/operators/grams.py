@@ -14,28 +14,25 @@ from ..functions.predicates import MIN_PHRASE
 from ..functions.text import fold, gram_array, token_count
 
 
-def gram_counts(folded: Column) -> Column:
-    """``array<struct<gram, tf>>`` of the distinct grams of one text with their counts.
+def _grams(index: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    folded = index.select(F.col(id_col).alias("id"), fold(content_col).alias("f"))
+    return folded.select("id", gram_array("f").alias("g"))
+
+
+def postings(index: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
+    """``(gram, id, tf)`` for every row of the index.
 
-    Sort the grams, find where each run starts, and take run lengths — O(n log n) per row,
-    all inside the JVM.
+    Every gram of a row is in the same task, so the partial aggregation already holds the final
+    count per (gram, id) and the shuffle carries only the postings, not the grams.
     """
-    s = F.array_sort(gram_array(folded))
-    n = F.size(s)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-                      lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    runs = F.transform(
-        starts,
-        lambda st, j: F.struct(F.get(s, st).alias("gram"),
-                               (F.coalesce(F.get(starts, j + 1), n) - st).cast("int").alias("tf")),
-    )
-    return F.when(n > 0, runs).otherwise(F.array().cast("array<struct<gram:string,tf:int>>"))
+    g = _grams(index, id_col, content_col).select("id", F.explode("g").alias("gram"))
+    return g.groupBy("gram", "id").agg(F.count("*").cast("int").alias("tf"))
 
 
-def postings(index: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
-    """``(gram, id, tf)`` for every row of the index; narrow (no shuffle)."""
-    folded = index.select(F.col(id_col).alias("id"), fold(content_col).alias("f"))
-    return folded.select("id", F.inline(gram_counts(F.col("f")))).select("gram", "id", "tf")
+def gram_presence(index: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
+    """``(gram, id)`` without counts: a narrow map (no shuffle) for candidate lookups."""
+    g = _grams(index, id_col, content_col)
+    return g.select(F.explode(F.array_distinct("g")).alias("gram"), "id")
 
 
 def doc_stats(index: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:

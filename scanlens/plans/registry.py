@@ -389,3 +389,69 @@ def change_counts(spark, sf):
     im = fx.images(spark, sf)
     sc, ix = fx.scan_from_images(im), fx.indexed_from_images(im)
     return store.change_counts(sc, ix, _kept_paths(sc), "/lib")
+
+
+# ---------------------------------------------------------------- grams and the postings plan
+
+from ..operators import grams as G  # noqa: E402
+
+_SQL_GRAMS = """g AS (SELECT id, unnest(list_transform(range(1, length(f) - 1), lambda i: substring(f, i, 3))) AS gram
+  FROM (SELECT id, lower(content) AS f FROM images) WHERE length(f) >= 3)"""
+
+
+@register("gram_postings", with_views(",\n" + _SQL_GRAMS + "\nSELECT gram, id, CAST(count(*) AS INT) AS tf FROM g GROUP BY gram, id", "images").replace("\n,\ng AS", ",\ng AS"))
+def gram_postings(spark, sf):
+    return G.postings(fx.images(spark, sf))
+
+
+@register("gram_df", with_views(",\n" + _SQL_GRAMS + "\nSELECT gram, count(DISTINCT id) AS df FROM g GROUP BY gram", "images").replace("\n,\ng AS", ",\ng AS"))
+def gram_df(spark, sf):
+    return G.gram_document_frequency(G.postings(fx.images(spark, sf)))
+
+
+@register("doc_lengths", with_views("SELECT id, CAST(greatest(length(content) - 2, 0) AS INT) AS dl FROM images", "images"))
+def doc_lengths(spark, sf):
+    return G.doc_stats(fx.images(spark, sf))
+
+
+@register("postings_search", ORACLE["search_simple"])
+def postings_search(spark, sf):
+    im = fx.images(spark, sf)
+    post = G.postings(im)
+    return _ranked(S.search(im, "tion", limit=None, with_snippet=False, plan="postings", postings=post))
+
+
+@register("postings_match", ORACLE["match_and"])
+def postings_match(spark, sf):
+    im = fx.images(spark, sf)
+    post = G.postings(im)
+    return _ranked(S.search(im, P.all_of("tion", "ment"), kind="match", limit=None, with_snippet=False,
+                            plan="postings", postings=post))
+
+
+def _hit_ids(spark, sf, a: str, b: str, op: str) -> DataFrame:
+    """E1 on id sets: candidates from postings, verified on the text, then a set operation."""
+    im = fx.images(spark, sf)
+    post = G.postings(im)
+    f = text.fold("content")
+
+    def hits(p):
+        return im.join(G.candidates(post, p), "id", "left_semi").where(P.phrase(p).predicate(f)).select("id")
+
+    ha, hb = hits(a), hits(b)
+    return {"and": ha.intersect(hb), "or": ha.union(hb).distinct(), "not": ha.subtract(hb)}[op]
+
+
+@register("hits_intersect", with_views("SELECT id FROM images WHERE contains(lower(content), 'tion') INTERSECT SELECT id FROM images WHERE contains(lower(content), 'ung')", "images"))
+def hits_intersect(spark, sf):
+    return _hit_ids(spark, sf, "tion", "ung", "and")
+
+
+@register("hits_union", with_views("SELECT id FROM images WHERE contains(lower(content), 'ción') UNION SELECT id FROM images WHERE contains(lower(content), 'ung')", "images"))
+def hits_union(spark, sf):
+    return _hit_ids(spark, sf, "ción", "ung", "or")
+
+
+@register("hits_except", with_views("SELECT id FROM images WHERE contains(lower(content), 'tion') EXCEPT SELECT id FROM images WHERE contains(lower(content), 'ment')", "images"))
+def hits_except(spark, sf):
+    return _hit_ids(spark, sf, "tion", "ment", "not")
