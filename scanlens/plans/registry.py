@@ -455,3 +455,142 @@ def hits_union(spark, sf):
 @register("hits_except", with_views("SELECT id FROM images WHERE contains(lower(content), 'tion') EXCEPT SELECT id FROM images WHERE contains(lower(content), 'ment')", "images"))
 def hits_except(spark, sf):
     return _hit_ids(spark, sf, "tion", "ment", "not")
+
+
+# ---------------------------------------------------------------- layout
+
+from ..operators import layout as L  # noqa: E402
+
+
+def _pages(spark, sf) -> DataFrame:
+    im = fx.images(spark, sf)
+    return im.select(F.col("id").alias("image_id"), F.lit(1).alias("page"),
+                     F.col("width").alias("page_width"), F.col("height").alias("page_height"))
+
+
+_PAGES_SQL = "pages AS (SELECT id AS image_id, 1 AS page, width AS page_width, height AS page_height FROM images)"
+_LINES_SQL = """lines AS (SELECT image_id, page, block, par, line, string_agg(text, ' ' ORDER BY word) AS text,
+  sum(conf) AS cs, count(*) AS n FROM words GROUP BY image_id, page, block, par, line)"""
+
+
+def _layout_sql(sql: str, *ctes: str) -> str:
+    base = with_views("", "images", "words").rstrip("\n")
+    return base + "".join(",\n" + c for c in ctes) + "\n" + sql
+
+
+@register("mean_conf", with_views("SELECT image_id, page, CAST(floor(avg(conf)) AS INT) AS mean_conf FROM words GROUP BY image_id, page", "words"))
+def mean_conf(spark, sf):
+    return L.mean_conf(fx.words(spark, sf))
+
+
+@register("word_confs", with_views(
+    "SELECT image_id, page, string_agg(CAST(conf AS VARCHAR), ',' ORDER BY block, par, line, word) AS confs FROM words GROUP BY image_id, page", "words"))
+def word_confs(spark, sf):
+    return L.word_confs(fx.words(spark, sf)).select("image_id", "page", F.array_join("confs", ",").alias("confs"))
+
+
+def _boxes_sql(keys: str) -> str:
+    return with_views(f"""SELECT image_id, page, {keys}, min("left") AS "left", min(top) AS top,
+  max("left" + width) - min("left") AS width, max(top + height) - min(top) AS height, count(*) AS n_words
+  FROM words GROUP BY image_id, page, {keys}""", "words")
+
+
+@register("line_boxes", _boxes_sql("block, par, line"))
+def line_boxes(spark, sf):
+    return L.component_boxes(fx.words(spark, sf), "textline")
+
+
+@register("block_boxes", _boxes_sql("block"))
+def block_boxes(spark, sf):
+    return L.regions(fx.words(spark, sf))
+
+
+@register("page_text", _layout_sql(
+    "SELECT image_id, page, string_agg(text || chr(10), '' ORDER BY block, par, line) AS text FROM lines GROUP BY image_id, page", _LINES_SQL))
+def page_text(spark, sf):
+    return L.page_text(fx.words(spark, sf))
+
+
+@register("region_text", _layout_sql("""SELECT image_id, page, region, string_agg(lt, '' ORDER BY block, par, line) AS text,
+  CAST(floor(sum(cs) / sum(n)) AS INT) AS mean_conf, sum(n) AS n_words FROM (
+  SELECT w.image_id, w.page, r.region, w.block, w.par, w.line, string_agg(w.text, ' ' ORDER BY w.word) || chr(10) AS lt,
+    sum(w.conf) AS cs, count(*) AS n
+  FROM words w JOIN regions r ON w.image_id = r.image_id AND w.page = r.page
+  WHERE w."left" >= r.x AND w.top >= r.y AND w."left" + w.width <= r.x + r.w AND w.top + w.height <= r.y + r.h
+  GROUP BY w.image_id, w.page, r.region, w.block, w.par, w.line) GROUP BY image_id, page, region""",
+    "regions AS (SELECT id AS image_id, 1 AS page, 1 AS region, 0 AS x, 0 AS y, width AS w, 100 AS h FROM images)"))
+def region_text(spark, sf):
+    im = fx.images(spark, sf)
+    reg = im.select(F.col("id").alias("image_id"), F.lit(1).alias("page"), F.lit(1).alias("region"),
+                    F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("width").alias("w"), F.lit(100).alias("h"))
+    return L.text_in_boxes(fx.words(spark, sf), reg, ["region"])
+
+
+@register("word_regions", _layout_sql(
+    "SELECT image_id, page, block AS r_block, par AS r_par, line AS r_line, text || chr(10) AS text, "
+    "CAST(floor(cs / n) AS INT) AS mean_conf, n AS n_words FROM lines", _LINES_SQL))
+def word_regions(spark, sf):
+    return L.level_text(fx.words(spark, sf), "textline")
+
+
+_TSV_SQL = """SELECT image_id, 1 AS level, page, 0 AS block, 0 AS par, 0 AS line, 0 AS word,
+  concat_ws(chr(9), '1', CAST(page AS VARCHAR), '0', '0', '0', '0', '0', '0', CAST(page_width AS VARCHAR), CAST(page_height AS VARCHAR), '-1', '') AS tsv FROM pages
+UNION ALL SELECT image_id, 2, page, block, 0, 0, 0, concat_ws(chr(9), '2', page, block, 0, 0, 0, l, t, w, h, '-1', '') FROM
+  (SELECT image_id, page, block, min("left") AS l, min(top) AS t, max("left" + width) - min("left") AS w, max(top + height) - min(top) AS h FROM words GROUP BY ALL)
+UNION ALL SELECT image_id, 3, page, block, par, 0, 0, concat_ws(chr(9), '3', page, block, par, 0, 0, l, t, w, h, '-1', '') FROM
+  (SELECT image_id, page, block, par, min("left") AS l, min(top) AS t, max("left" + width) - min("left") AS w, max(top + height) - min(top) AS h FROM words GROUP BY ALL)
+UNION ALL SELECT image_id, 4, page, block, par, line, 0, concat_ws(chr(9), '4', page, block, par, line, 0, l, t, w, h, '-1', '') FROM
+  (SELECT image_id, page, block, par, line, min("left") AS l, min(top) AS t, max("left" + width) - min("left") AS w, max(top + height) - min(top) AS h FROM words GROUP BY ALL)
+UNION ALL SELECT image_id, 5, page, block, par, line, word, concat_ws(chr(9), '5', page, block, par, line, word, "left", top, width, height, conf, text) FROM words"""
+
+
+@register("tsv_out", _layout_sql(_TSV_SQL, _PAGES_SQL))
+def tsv_out(spark, sf):
+    return L.tsv_rows(fx.words(spark, sf), _pages(spark, sf))
+
+
+_WORDS_BACK_SQL = with_views("SELECT * FROM words", "words")
+
+
+@register("tsv_in", _WORDS_BACK_SQL)
+def tsv_in(spark, sf):
+    return L.tsv_parse(L.tsv_rows(fx.words(spark, sf), _pages(spark, sf)))
+
+
+@register("hocr_out")
+def hocr_out(spark, sf):
+    return L.hocr_pages(fx.words(spark, sf), _pages(spark, sf))
+
+
+@register("hocr_in", _WORDS_BACK_SQL)
+def hocr_in(spark, sf):
+    return L.hocr_parse(L.hocr_pages(fx.words(spark, sf), _pages(spark, sf)))
+
+
+@register("alto_out")
+def alto_out(spark, sf):
+    return L.alto_pages(fx.words(spark, sf), _pages(spark, sf))
+
+
+@register("alto_in", _WORDS_BACK_SQL)
+def alto_in(spark, sf):
+    return L.alto_parse(L.alto_pages(fx.words(spark, sf), _pages(spark, sf)))
+
+
+@register("symbol_box", _layout_sql("""SELECT image_id, page, block, par, line, word, CAST(i AS INT) AS symbol,
+  concat_ws(' ', sym, CAST(CAST("left" + floor(i * width / n) AS BIGINT) AS VARCHAR), CAST(page_height - (top + height) AS VARCHAR),
+    CAST(CAST("left" + floor((i + 1) * width / n) AS BIGINT) AS VARCHAR), CAST(page_height - top AS VARCHAR), CAST(page - 1 AS VARCHAR)) AS box
+FROM (SELECT w.*, p.page_height, length(w.text) AS n, unnest(string_split(w.text, '')) AS sym, unnest(range(length(w.text))) AS i
+      FROM words w JOIN pages p ON w.image_id = p.image_id AND w.page = p.page)""", _PAGES_SQL))
+def symbol_box(spark, sf):
+    return L.symbol_boxes(fx.words(spark, sf), _pages(spark, sf))
+
+
+@register("wordstr", _layout_sql("""SELECT l.image_id, l.page, l.block, l.par, l.line,
+  concat('WordStr ', b.l, ' ', p.page_height - (b.t + b.h), ' ', b.l + b.w, ' ', p.page_height - b.t, ' ', l.page - 1, ' #', l.text,
+    chr(10), chr(9), ' ', b.l + b.w + 1, ' ', p.page_height - (b.t + b.h), ' ', b.l + b.w + 5, ' ', p.page_height - b.t, ' ', l.page - 1) AS wordstr
+FROM lines l JOIN (SELECT image_id, page, block, par, line, min("left") AS l, min(top) AS t, max("left" + width) - min("left") AS w,
+  max(top + height) - min(top) AS h FROM words GROUP BY ALL) b USING (image_id, page, block, par, line)
+JOIN pages p ON l.image_id = p.image_id AND l.page = p.page""", _PAGES_SQL, _LINES_SQL))
+def wordstr(spark, sf):
+    return L.wordstr_lines(fx.words(spark, sf), _pages(spark, sf))
