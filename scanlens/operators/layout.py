@@ -285,12 +285,22 @@ def alto_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
         F.col("a"), F.lit("\n</PrintSpace>\n</Page>\n</Layout>\n</alto>\n")).alias("alto"))
 
 
-def alto_parse(df: DataFrame, col: str = "alto", keys: list[str] = ("image_id",)) -> DataFrame:
-    """Words back from ALTO with ``xpath`` (works with the default namespace)."""
+def alto_parse(df: DataFrame, col: str = "alto", keys: list[str] = ("image_id",), method: str = "scan") -> DataFrame:
+    """Words back from ALTO.
+
+    ``method="scan"`` cuts the ``<String .../>`` elements out in one regex pass and reads each
+    attribute from the short element (any attribute order). ``method="xpath"`` uses ``xpath``
+    (works with the default namespace) but parses the document once per attribute.
+    """
     attrs = {"id": "ID", "left": "HPOS", "top": "VPOS", "width": "WIDTH", "height": "HEIGHT", "wc": "WC", "text": "CONTENT"}
-    arrs = [F.xpath(col, F.lit(f"//String/@{a}")).alias(n) for n, a in attrs.items()]
-    pg = F.xpath_int(col, F.lit("//Page/@PHYSICAL_IMG_NR"))
-    z = df.select(*keys, pg.alias("page"), F.inline(F.arrays_zip(*arrs)))
+    page = F.regexp_extract(col, '<Page [^>]*PHYSICAL_IMG_NR="([0-9]+)"', 1).cast("int")
+    if method == "xpath":
+        arrs = [F.xpath(col, F.lit(f"//String/@{a}")).alias(n) for n, a in attrs.items()]
+        z = df.select(*keys, page.alias("page"), F.inline(F.arrays_zip(*arrs)))
+    else:
+        el = df.select(*keys, page.alias("page"), F.explode(F.regexp_extract_all(col, F.lit("<String [^>]*/>"), 0)).alias("e"))
+        z = el.select(*keys, "page", *[F.regexp_extract("e", f' {a}="([^"]*)"', 1).alias(n) for n, a in attrs.items()])
+        z = z.withColumn("text", _xml_unescape(F.col("text")))
     ids = F.split(F.col("id"), "_")
     return z.select(*keys, "page", ids[1].cast("int").alias("block"), ids[2].cast("int").alias("par"),
                     ids[3].cast("int").alias("line"), ids[4].cast("int").alias("word"),

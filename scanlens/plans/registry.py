@@ -594,3 +594,52 @@ FROM lines l JOIN (SELECT image_id, page, block, par, line, min("left") AS l, mi
 JOIN pages p ON l.image_id = p.image_id AND l.page = p.page""", _PAGES_SQL, _LINES_SQL))
 def wordstr(spark, sf):
     return L.wordstr_lines(fx.words(spark, sf), _pages(spark, sf))
+
+
+# ---------------------------------------------------------------- files, headers, recognition
+
+from ..operators import recognise as R  # noqa: E402
+from ..sources import headers as H  # noqa: E402
+from ..sources import listing as LS  # noqa: E402
+
+
+@register("listing")
+def listing(spark, sf):
+    """The given folder listed as files (extension allow-list set to the table files)."""
+    return LS.list_files(spark, sf, recursive=True, extensions=("parquet",), builtin_excludes=True)
+
+
+@register("png_dims", with_views(
+    "SELECT id, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height FROM images "
+    "WHERE regexp_extract(path, '\\.([^./]+)$', 1) IN ('png', 'jpeg', 'jpg', 'gif', 'webp')", "images"))
+def png_dims(spark, sf):
+    hdr = fx.header_bytes(fx.images(spark, sf))
+    return H.dimensions(hdr).select("id", "width", "height")
+
+
+@register("tiff_pages", with_views(
+    "SELECT id, CAST(k AS INT) AS page, CAST(width + k AS BIGINT) AS width, CAST(height + 2 * k AS BIGINT) AS height "
+    "FROM (SELECT id, width, height, unnest(range(id % 3 + 1)) AS k FROM images)", "images"))
+def tiff_pages_q(spark, sf):
+    return H.tiff_pages(fx.tiff_bytes(fx.images(spark, sf)), ["id"])
+
+
+def _stub_inputs(spark, sf) -> DataFrame:
+    im = fx.images(spark, sf).where(paths.has_allowed_extension("path"))
+    raw = F.encode("content", "UTF-8")
+    # every 50th image is damaged (no bytes); the job must keep going
+    return im.select("path", "modtime", F.when(F.col("id") % 50 == 0, F.lit(b"")).otherwise(raw).alias("content"))
+
+
+@register("recognise_stub", with_views(
+    "SELECT path, CASE WHEN id % 50 = 0 THEN NULL ELSE replace(content, chr(10) || chr(10), chr(10)) END AS content, "
+    "id % 50 = 0 AS failed FROM images WHERE regexp_extract(path, '\\.([^./]+)$', 1) IN ('png', 'jpeg', 'jpg', 'gif', 'webp')", "images"))
+def recognise_stub(spark, sf):
+    res = R.recognise(_stub_inputs(spark, sf), R.text_engine, {"tessedit_char_blacklist": "|®»«®©"})
+    return res.select("path", "content", F.col("error").isNotNull().alias("failed"))
+
+
+@register("stream_ingest")
+def stream_ingest(spark, sf):
+    from ..streaming.ingest import ingest_documents_stream
+    return ingest_documents_stream(spark, sf)
