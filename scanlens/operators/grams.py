@@ -65,3 +65,12 @@ def candidates(post: DataFrame, text: str) -> DataFrame:
 
 def write_postings(post: DataFrame, path: str, mode: str = "overwrite") -> None:
     post.sortWithinPartitions("gram", "id").write.mode(mode).parquet(path)
+
+
+def build_index_tables(index: DataFrame, base: str) -> tuple[str, str]:
+    """Write ``postings`` (sorted by gram inside each file, so a gram lookup reads only the row
+    groups whose min/max range holds it) and ``doc_stats`` under ``base``; returns both paths."""
+    post_path, stats_path = f"{base.rstrip('/')}/postings", f"{base.rstrip('/')}/doc_stats"
+    write_postings(postings(index), post_path)
+    doc_stats(index).write.mode("overwrite").parquet(stats_path)
+    return post_path, stats_path
