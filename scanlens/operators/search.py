@@ -80,7 +80,9 @@ def snippet(content: Column, folded: Column, phrases: list[str], tokens: int = S
     n_tok = token_count(content)
     live = [p for p in phrases if len(p) >= MIN_PHRASE]
     if live:
-        firsts = [F.nullif(F.instr(folded, fold_literal(p)), F.lit(0)) for p in live]
+        # when(x > 0, x) rather than nullif: nullif becomes a common-expression node that splits the
+        # projection above the sort and stops the planner from using a top-k (TakeOrderedAndProject)
+        firsts = [F.when(F.instr(folded, fold_literal(p)) > 0, F.instr(folded, fold_literal(p))) for p in live]
         first = F.least(*firsts) if len(firsts) > 1 else firsts[0]
         half = None
         for p, h in zip(live, firsts):

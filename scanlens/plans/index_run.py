@@ -17,6 +17,7 @@ from ..functions.checks import within_size
 from ..operators import recognise as R
 from ..operators import search as S
 from ..operators import store as ST
+from ..session import checkpoint_dir
 from ..sources import headers as H
 from ..sources import listing as LS
 
@@ -54,7 +55,10 @@ def index_folder(spark: SparkSession, root: str, store: ST.IndexStore, make_engi
     if o.max_size:
         imgs = H.dimensions(imgs).where(within_size("width", "height", o.max_size)).drop("width", "height")
     res = R.recognise(imgs, make_engine, {"lang": o.lang, **o.engine_options}, partitions=o.partitions)
-    res = res.cache()  # recognition is the expensive step: run it once for both the index and the report
+    # recognition is the expensive step: materialise it once in the shared checkpoint folder, so the
+    # index, the counts and the failure report read the same rows and a lost executor re-runs nothing
+    checkpoint_dir(spark)
+    res = res.checkpoint(eager=True)
     new_index = ST.upsert(current, R.succeeded(res))
     deleted = 0
     if o.cleanup:
