@@ -557,7 +557,10 @@ def tsv_in(spark, sf):
     return L.tsv_parse(L.tsv_rows(fx.words(spark, sf), _pages(spark, sf)))
 
 
-@register("hocr_out")
+from .layout_sql import alto_sql, hocr_sql  # noqa: E402
+
+
+@register("hocr_out", hocr_sql())
 def hocr_out(spark, sf):
     return L.hocr_pages(fx.words(spark, sf), _pages(spark, sf))
 
@@ -567,7 +570,7 @@ def hocr_in(spark, sf):
     return L.hocr_parse(L.hocr_pages(fx.words(spark, sf), _pages(spark, sf)))
 
 
-@register("alto_out")
+@register("alto_out", alto_sql())
 def alto_out(spark, sf):
     return L.alto_pages(fx.words(spark, sf), _pages(spark, sf))
 
