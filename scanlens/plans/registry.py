@@ -646,3 +646,9 @@ def recognise_stub(spark, sf):
 def stream_ingest(spark, sf):
     from ..streaming.ingest import ingest_documents_stream
     return ingest_documents_stream(spark, sf)
+
+
+@register("path_list", "SELECT path FROM (" + ORACLE["bm25_topk"] + ")")
+def path_list(spark, sf):
+    """The viewer-script form — only the path column of the ranked hits."""
+    return S.path_list(S.search(fx.images(spark, sf), "ción", limit=100, with_snippet=False))
