@@ -1,0 +1,20 @@
+"""Join helpers: broadcast only behind a bounded size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows a key-only side may have to be broadcast (paths/ids: well under a few hundred MB).
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
+def fits(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows; counts at most ``max_rows + 1`` of them."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def small_side(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when its size is proven under the bound, else ``df`` for a shuffle join
+    (where AQE still splits skewed partitions)."""
+    return F.broadcast(df) if fits(df, max_rows) else df
