@@ -30,7 +30,9 @@ def _process(store: ST.IndexStore, make_engine, options, partitions):
     def run(batch: DataFrame, epoch_id: int) -> None:
         current = store.current()
         todo = ST.changed_files(batch, current)
-        res = R.recognise(todo, make_engine, options, partitions=partitions)
+        # the upsert reads the results several times (paths, known rows, new rows): materialise the
+        # recognition once in the shared checkpoint folder so no engine runs twice for a file
+        res = R.recognise(todo, make_engine, options, partitions=partitions).checkpoint(eager=True)
         ok = R.succeeded(res)
         store.commit(ST.upsert(current, ok))
 
