@@ -642,7 +642,9 @@ def recognise_stub(spark, sf):
     return res.select("path", "content", F.col("error").isNotNull().alias("failed"))
 
 
-@register("stream_ingest")
+@register("stream_ingest", with_views(
+    "SELECT row_number() OVER (ORDER BY path) AS id, path, modtime, md5(replace(content, chr(10) || chr(10), chr(10))) AS content_md5 "
+    "FROM images WHERE regexp_extract(path, '\\.([^./]+)$', 1) IN ('png', 'jpeg', 'jpg', 'gif', 'webp')", "images"))
 def stream_ingest(spark, sf):
     from ..streaming.ingest import ingest_documents_stream
     return ingest_documents_stream(spark, sf)
