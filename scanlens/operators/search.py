@@ -72,14 +72,18 @@ def bm25(tfs: list[Column], dl: Column, stats: Column) -> Column:
 
 
 def snippet(content: Column, folded: Column, phrases: list[str], tokens: int = SNIPPET_TOKENS,
-            open_mark: str = "[", close_mark: str = "]", ellipsis: str = "..") -> Column:
+            open_mark: str = "[", close_mark: str = "]", ellipsis: str = "..", mode: str = "first") -> Column:
     """Leading window of ``tokens`` trigram tokens centred on the first hit (step (a) of the
     snippet rules), clamped to the text; hits wrapped in marks, adjacent hits merged; ``..`` where
     the text is cut. Without phrases (glob/regex): the first window.
     """
     n_tok = token_count(content)
     live = [p for p in phrases if len(p) >= MIN_PHRASE]
-    if live:
+    if mode == "scored":
+        from .snippets import window_start
+
+        adj = window_start(content, live, tokens)
+    elif live:
         # when(x > 0, x) rather than nullif: nullif becomes a common-expression node that splits the
         # projection above the sort and stops the planner from using a top-k (TakeOrderedAndProject)
         firsts = [F.when(F.instr(folded, fold_literal(p)) > 0, F.instr(folded, fold_literal(p))) for p in live]
@@ -91,8 +95,9 @@ def snippet(content: Column, folded: Column, phrases: list[str], tokens: int = S
         adj = F.coalesce(first - 1 - half.otherwise(F.lit(0)), F.lit(0))
     else:
         adj = F.lit(0)
-    adj = F.when(adj + tokens > n_tok, n_tok - tokens).otherwise(adj)
-    adj = F.greatest(adj, F.lit(0))
+    if mode != "scored":
+        adj = F.when(adj + tokens > n_tok, n_tok - tokens).otherwise(adj)
+        adj = F.greatest(adj, F.lit(0))
     window = F.substring(content, adj + 1, tokens + 2)
     if live:
         alt = "|".join("\\Q" + p + "\\E" for p in live)
@@ -110,12 +115,13 @@ def _java_repl(s: str) -> str:
 def search(index: DataFrame, query, kind: str = "simple", root: str | None = None,
            prefix_like: bool = False, exclude: str | list[str] | None = None, limit: int | None = 100,
            with_snippet: bool = True, plan: str = "scan", postings: DataFrame | None = None,
-           stats_table: DataFrame | None = None) -> DataFrame:
+           stats_table: DataFrame | None = None, snippet_mode: str = "first") -> DataFrame:
     """Ranked search over an index ``(id, path, modtime, content)``.
 
     Returns ``(snippet, path, modtime, rank)``; ordered by rank, then newest first, then path.
     ``limit=None`` keeps every hit (no top-k). ``exclude`` takes one pattern or a list; each is
-    tested as ``pattern + '/**'``.
+    tested as ``pattern + '/**'``. ``snippet_mode="first"`` centres the window on the first hit
+    (native); ``"scored"`` scores every hit and sentence-start window (``snippets.py``).
     """
     term = make_term(query, kind)
     content, folded = F.col("content"), F.col("_f")
@@ -149,7 +155,7 @@ def search(index: DataFrame, query, kind: str = "simple", root: str | None = Non
     live = term.positive_phrases() if ranked else []
     order = [F.col("rank").asc_nulls_last(), F.col("modtime").desc(), F.col("path").asc()]
     cols = ["path", "modtime", "rank"]
-    snip = snippet(content, fold("content"), live).alias("snippet")
+    snip = snippet(content, fold("content"), live, mode=snippet_mode).alias("snippet")
     if limit is None:
         # every hit: cut the snippet first so only short strings travel through the sort
         out = scoped.select(*( [snip] if with_snippet else []), "path", "modtime", rank.alias("rank"))

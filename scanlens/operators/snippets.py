@@ -1,0 +1,99 @@
+"""Scored snippet windows (step (b) of the snippet rules), for the top-k rows only.
+
+Token i is code points i..i+2 of the text; the window is ``tokens`` tokens. Every hit (every
+start of every phrase, overlaps included) proposes two windows:
+
+* the window starting at the hit, scored 1000 for the first hit of each phrase inside it and 1
+  for every further hit, then centred on its hits and clamped to the text;
+* when the text is longer than the window, the window starting at the sentence holding the hit,
+  scored the same plus 120 at the start of the text or 100 elsewhere (a sentence starts at a
+  token preceded by whitespace and, before that, ``.`` or ``:``).
+
+The highest score wins, the first one on ties; no hit gives the first window. The start is found
+in a pandas UDF (a loop over hit positions, run only after the top-k limit); cutting and
+bracketing stay native (``search.snippet``).
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+WS = " \t\n\r"
+
+
+def _hits(folded: str, phrases: list[str]) -> list[tuple[int, int, int]]:
+    """(start token, phrase index, phrase size in tokens), in position order."""
+    out = []
+    for k, p in enumerate(phrases):
+        i = folded.find(p)
+        while i >= 0:
+            out.append((i, k, len(p) - 2))
+            i = folded.find(p, i + 1)
+    out.sort()
+    return out
+
+
+def _sentence_starts(text: str) -> list[int]:
+    starts = [0]
+    for t in range(1, len(text)):
+        i = t - 1
+        while i >= 0 and text[i] in WS:
+            i -= 1
+        if i != t - 1 and i >= 0 and text[i] in ".:":
+            starts.append(t)
+    return starts
+
+
+def _score(hits, pos: int, tokens: int, n_doc: int, centre: bool):
+    seen, score, first, last = set(), 0, -1, 0
+    for start, k, size in hits:
+        if pos <= start < pos + tokens:
+            score += 1 if k in seen else 1000
+            seen.add(k)
+            if first < 0:
+                first = start
+            last = start + size
+    if not centre:
+        return score, pos
+    span = tokens - (last - first)
+    adj = first - int(span / 2)  # C division truncates toward zero
+    if adj + tokens > n_doc:
+        adj = n_doc - tokens
+    return score, max(adj, 0)
+
+
+def best_start(text: str | None, phrases: list[str], tokens: int = 64) -> int:
+    if not text:
+        return 0
+    folded = text.lower()
+    live = [p.lower() for p in phrases if len(p) >= 3]
+    hits = _hits(folded, live)
+    n_doc = max(len(text) - 2, 0)
+    starts = _sentence_starts(text) if n_doc > tokens else []
+    best, best_pos = 0, 0
+    for start, _, _ in hits:
+        if starts:
+            sent = max(s for s in starts if s <= start)
+            if sent < start:
+                sc, _ = _score(hits, sent, tokens, n_doc, centre=False)
+                sc += 120 if sent == 0 else 100
+                if sc > best:
+                    best, best_pos = sc, sent
+        sc, adj = _score(hits, start, tokens, n_doc, centre=True)
+        if sc > best:
+            best, best_pos = sc, adj
+    return best_pos
+
+
+def window_start(content: Column, phrases: list[str], tokens: int = 64) -> Column:
+    """Column: the scored window start (0-based token) for each row."""
+    ph = list(phrases)
+
+    @F.pandas_udf(T.IntegerType())
+    def start(texts: pd.Series) -> pd.Series:
+        return pd.Series([best_start(t, ph, tokens) for t in texts], dtype="int32")
+
+    return start(content)

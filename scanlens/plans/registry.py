@@ -654,3 +654,10 @@ def stream_ingest(spark, sf):
 def path_list(spark, sf):
     """The viewer-script form — only the path column of the ranked hits."""
     return S.path_list(S.search(fx.images(spark, sf), "ción", limit=100, with_snippet=False))
+
+
+@register("snippet_scored")
+def snippet_scored(spark, sf):
+    """P17 step (b): best-scoring window per hit (sentence starts included), for the top 100."""
+    r = S.search(fx.images(spark, sf), "ción", limit=100, snippet_mode="scored")
+    return r.select("snippet", "path", "modtime", F.round("rank", 9).alias("rank"))

@@ -186,3 +186,21 @@ def test_listing_and_index_run(spark, tmp_path):
     assert sorted(store.current().select("path").toPandas().path) == [f"{root}/sub dir/b 50%.jpg"]
     with pytest.raises(ValueError):
         index_folder(spark, str(root), store, R.text_engine, IndexOptions(cleanup=True, subdirs=False))
+
+
+def test_scored_snippet_windows(spark):
+    from scanlens.operators.snippets import best_start
+
+    # one hit, no sentence marks: same window as the leading rule
+    t = "a" * 100 + " needle"
+    assert best_start(t, ["needle"]) == 41
+    # two hits in one window beat a lone first hit
+    t2 = "x" * 100 + "needle" + "y" * 94 + "needle" + "zzzz" + "needle" + "w" * 100
+    rows = [(1, "/r/a.png", 1, t2), (2, "/r/b.png", 2, "Start. " + "b" * 30 + ". Next needle here" + "c" * 100)]
+    index = spark.createDataFrame(rows, IDX)
+    got = {r.path: r.snippet for r in S.search(index, "needle", snippet_mode="scored").collect()}
+    assert got["/r/a.png"].count("[needle]") == 2
+    first = {r.path: r.snippet for r in S.search(index, "needle").collect()}
+    assert first["/r/a.png"].count("[needle]") == 1
+    # the window at the start of the sentence holding the hit wins (+100)
+    assert got["/r/b.png"].startswith("..Next [needle] here")
