@@ -72,14 +72,17 @@ def bm25(tfs: list[Column], dl: Column, stats: Column) -> Column:
 
 
 def snippet(content: Column, folded: Column, phrases: list[str], tokens: int = SNIPPET_TOKENS,
-            open_mark: str = "[", close_mark: str = "]", ellipsis: str = "..", mode: str = "first") -> Column:
+            open_mark: str = "[", close_mark: str = "]", ellipsis: str = "..", mode: str = "first",
+            start: Column | None = None) -> Column:
     """Leading window of ``tokens`` trigram tokens centred on the first hit (step (a) of the
     snippet rules), clamped to the text; hits wrapped in marks, adjacent hits merged; ``..`` where
     the text is cut. Without phrases (glob/regex): the first window.
     """
     n_tok = token_count(content)
     live = [p for p in phrases if len(p) >= MIN_PHRASE]
-    if mode == "scored":
+    if start is not None:  # a window start computed elsewhere (the scored mode)
+        adj = start
+    elif mode == "scored":
         from .snippets import window_start
 
         adj = window_start(content, live, tokens)
@@ -95,7 +98,7 @@ def snippet(content: Column, folded: Column, phrases: list[str], tokens: int = S
         adj = F.coalesce(first - 1 - half.otherwise(F.lit(0)), F.lit(0))
     else:
         adj = F.lit(0)
-    if mode != "scored":
+    if start is None and mode != "scored":
         adj = F.when(adj + tokens > n_tok, n_tok - tokens).otherwise(adj)
         adj = F.greatest(adj, F.lit(0))
     window = F.substring(content, adj + 1, tokens + 2)
@@ -155,13 +158,23 @@ def search(index: DataFrame, query, kind: str = "simple", root: str | None = Non
     live = term.positive_phrases() if ranked else []
     order = [F.col("rank").asc_nulls_last(), F.col("modtime").desc(), F.col("path").asc()]
     cols = ["path", "modtime", "rank"]
-    snip = snippet(content, fold("content"), live, mode=snippet_mode).alias("snippet")
+    scored = with_snippet and snippet_mode == "scored"
+    if scored:
+        from .snippets import with_window_start
+        snip = snippet(content, fold("content"), live, start=F.col("_start")).alias("snippet")
+    else:
+        snip = snippet(content, fold("content"), live).alias("snippet")
     if limit is None:
         # every hit: cut the snippet first so only short strings travel through the sort
-        out = scoped.select(*( [snip] if with_snippet else []), "path", "modtime", rank.alias("rank"))
+        rows = scoped.select("path", "modtime", "content", rank.alias("rank"))
+        if scored:
+            rows = with_window_start(rows, live)
+        out = rows.select(*([snip] if with_snippet else []), "path", "modtime", "rank")
         return out.orderBy(*order).select(*((["snippet"] if with_snippet else []) + cols))
     # top-k: TakeOrderedAndProject keeps k rows per task; the snippet is cut for those k only
     top = scoped.select("path", "modtime", "content", rank.alias("rank")).orderBy(*order).limit(limit)
+    if scored:
+        top = with_window_start(top, live)
     return top.select(*(([snip] if with_snippet else []) + cols))
 
 

@@ -97,3 +97,21 @@ def window_start(content: Column, phrases: list[str], tokens: int = 64) -> Colum
         return pd.Series([best_start(t, ph, tokens) for t in texts], dtype="int32")
 
     return start(content)
+
+
+def with_window_start(df, phrases: list[str], content_col: str = "content", out_col: str = "_start", tokens: int = 64):
+    """Adds the scored window start as ``out_col`` with ``mapInPandas``.
+
+    A projection with a Python UDF above a top-k is moved below the limit by the optimizer and
+    turns the top-k into a full sort; a ``mapInPandas`` step is left where it is, so the top-k
+    stays a ``TakeOrderedAndProject`` and only its k rows reach Python.
+    """
+    ph = list(phrases)
+    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.IntegerType())])
+
+    def run(batches):
+        for pdf in batches:
+            pdf[out_col] = pd.Series([best_start(t, ph, tokens) for t in pdf[content_col]], dtype="int32")
+            yield pdf
+
+    return df.mapInPandas(run, schema)
