@@ -1,13 +1,14 @@
 """Trigram postings: build, corpus statistics, and candidate lookup for a phrase.
 
-Postings are ``(gram, id, tf)``; they are built row by row from the folded text (a doc's grams
-never leave its task, so the build is a narrow map with no shuffle), and written sorted by gram
-within each file so a lookup reads only the row groups whose min/max range holds the gram.
+Postings are ``(gram, id, tf)``. A row's grams are all in one task, so the partial aggregation
+already holds the final counts and the one shuffle carries postings, not grams. They are
+written sorted by gram within each file, so a lookup reads only the row groups whose min/max
+range holds the gram. ``gram_presence`` gives ``(gram, id)`` without counts as a narrow map.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import MIN_PHRASE
