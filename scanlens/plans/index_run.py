@@ -51,7 +51,7 @@ def index_folder(spark: SparkSession, root: str, store: ST.IndexStore, make_engi
     current = store.current()
     listed = LS.list_files(spark, root, recursive=o.subdirs, exclude=o.exclude, limit=o.limit)
     todo = ST.changed_files(listed, current, rescan=o.rescan)
-    imgs = LS.read_bytes(spark, todo, root, recursive=o.subdirs).join(todo.select("path", "modtime"), "path")
+    imgs = LS.read_bytes(todo.select("path", "modtime"), partitions=o.partitions)
     if o.max_size:
         imgs = H.dimensions(imgs).where(within_size("width", "height", o.max_size)).drop("width", "height")
     res = R.recognise(imgs, make_engine, {"lang": o.lang, **o.engine_options}, partitions=o.partitions)

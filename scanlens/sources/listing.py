@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import (IMAGE_EXTENSIONS, at_depth_one, exclude_patterns, excluded,
                                has_allowed_extension, strip_scheme)
@@ -51,11 +52,32 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True, extension
     return out
 
 
-def read_bytes(spark: SparkSession, paths: DataFrame, root: str, recursive: bool = True) -> DataFrame:
-    """Bytes for the listed paths only: the listing re-read with content, semi-joined to ``paths``."""
-    r = root.rstrip("/") or "/"
-    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    raw = reader.load(r).select(strip_scheme("path").alias("path"), "content")
-    return raw.join(paths.select("path"), "path", "left_semi")
+def read_bytes(files: DataFrame, path_col: str = "path", partitions: int | None = None) -> DataFrame:
+    """Adds ``content binary`` to a table of file paths by opening each listed file in its task.
+
+    Only the listed files are read (``binaryFile`` cannot push a path filter, so re-reading the
+    folder with content would read every file). Works on any table of paths — also names that
+    Spark's listing skips — and any file system ``pyarrow.fs`` knows. An unreadable file gets a
+    null ``content``; recognition then records it as an error row.
+    """
+    src = files.repartition(partitions) if partitions else files
+    schema = T.StructType(src.schema.fields + [T.StructField("content", T.BinaryType())])
+
+    def run(batches):
+        from pyarrow import fs as pafs
+
+        local = pafs.LocalFileSystem()
+        for pdf in batches:
+            out = []
+            for p in pdf[path_col]:
+                try:
+                    # plain paths stay as they are (spaces and % are legal in names); URIs are parsed
+                    fsys, inner = (pafs.FileSystem.from_uri(p) if "://" in p else (local, p))
+                    with fsys.open_input_stream(inner) as f:
+                        out.append(f.read())
+                except Exception:  # missing or unreadable: leave it to the error column
+                    out.append(None)
+            pdf["content"] = out
+            yield pdf
+
+    return src.mapInPandas(run, schema)
