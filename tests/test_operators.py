@@ -204,3 +204,22 @@ def test_scored_snippet_windows(spark):
     assert first["/r/a.png"].count("[needle]") == 1
     # the window at the start of the sentence holding the hit wins (+100)
     assert got["/r/b.png"].startswith("..Next [needle] here")
+
+
+def test_index_run_size_filter_and_layout_refusal(spark, tmp_path):
+    def _len_engine(options):  # local, so it is shipped to the workers by value
+        return lambda b: f"bytes {len(b)} needle"
+
+    root = tmp_path / "sized"
+    root.mkdir()
+    (root / "small.png").write_bytes(png(50, 60))
+    (root / "big.png").write_bytes(png(500, 60))
+    (root / "edge.png").write_bytes(png(100, 100))  # equal to the limit: kept
+    store = ST.IndexStore(spark, str(tmp_path / "st"))
+    index_folder(spark, str(root), store, _len_engine, IndexOptions(max_size="100x100"))
+    assert sorted(p.rsplit("/", 1)[1] for p in store.current().toPandas().path) == ["edge.png", "small.png"]
+    with pytest.raises(ValueError):
+        index_folder(spark, str(root), store, _len_engine, IndexOptions(max_size="100"))
+    spark.createDataFrame([(9, 1, "x")], "version long, layout_version int, path string").write.mode("append").parquet(store.log_path)
+    with pytest.raises(ST.LayoutError):
+        store.current()
