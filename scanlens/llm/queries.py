@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup
+from . import language_id, minhash_dedup, quality
+from .subword import crc_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,28 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents"), minhash_dedup.MinHashOptions(shingle_words=3, percent=85))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learnt from documents whose crc32 mod 3 is not 1."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs, crc_mod(F.col("doc_id"), 3) != 1)
+    out = language_id.predict(docs, model, ["doc_id"])
+    return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
+                      "lang_pred", "score", "rejected")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text, learnt from rows whose crc32 mod 5 is not 0."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
+    out = quality.score(docs, model, ["doc_id"])
+    return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
+                      "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_language": op2_language,
+    "op9_quality": op9_quality,
 }
 
 ORACLE: dict[str, str] = {}
