@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, minhash_dedup, quality
+from . import language_id, line_dedup, minhash_dedup, quality
 from .subword import crc_mod
 
 
@@ -40,10 +40,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "score", "predicted")
 
 
+def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of repeated line runs."""
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "lines_total", "lines_removed", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_language": op2_language,
     "op9_quality": op9_quality,
+    "op10_line_runs": op10_line_runs,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_line_runs": line_dedup.ORACLE_SQL,
+}
