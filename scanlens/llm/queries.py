@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, minhash_dedup, quality
+from . import language_id, line_dedup, minhash_dedup, quality, source_mix
 from .subword import crc_mod
 
 
@@ -31,6 +31,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "lang_pred", "score", "rejected")
 
 
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 5, 2, 1: words taken of every document."""
+    return source_mix.mixed(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole text, learnt from rows whose crc32 mod 5 is not 0."""
     docs = _table(spark, sf_dir, "documents")
@@ -49,6 +54,7 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_language": op2_language,
+    "op6_mix": op6_mix,
     "op9_quality": op9_quality,
     "op10_line_runs": op10_line_runs,
 }
