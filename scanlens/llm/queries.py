@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, minhash_dedup, quality, source_mix
+from . import language_id, line_dedup, minhash_dedup, quality, source_mix, vector_dedup
 from .subword import crc_mod
 
 
@@ -31,6 +31,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "lang_pred", "score", "rejected")
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings of equal label: cosine of 0.98 or more."""
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1: words taken of every document."""
     return source_mix.mixed(_table(spark, sf_dir, "documents"))
@@ -54,6 +59,7 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_language": op2_language,
+    "op4_vectors": op4_vectors,
     "op6_mix": op6_mix,
     "op9_quality": op9_quality,
     "op10_line_runs": op10_line_runs,
