@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, minhash_dedup, quality, source_mix, vector_dedup
+from . import language_id, line_dedup, minhash_dedup, mtree, quality, source_mix, vector_dedup
 from .subword import crc_mod
 
 
@@ -36,6 +36,11 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best by integer inner product for every vector whose id is divisible by 50."""
+    return mtree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1: words taken of every document."""
     return source_mix.mixed(_table(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_language": op2_language,
     "op4_vectors": op4_vectors,
+    "op5_topk": op5_topk,
     "op6_mix": op6_mix,
     "op9_quality": op9_quality,
     "op10_line_runs": op10_line_runs,
