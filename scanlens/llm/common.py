@@ -216,6 +216,24 @@ def fixed_matrix(col: pa.ChunkedArray | pa.Array, dtype, width: int) -> np.ndarr
     return np.frombuffer(data, dtype=dtype).reshape(-1, width)
 
 
+def forest_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index reachable for each of n nodes (minimum propagation with pointer jumping)."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while True:
+            nxt = root[root]
+            if (nxt == root).all():
+                break
+            root = nxt
+        if (before == root).all():
+            break
+    return root
+
+
 # ---------------------------------------------------------------- distributed numbering
 
 def running_offsets(sizes: DataFrame, part: str, total: str) -> DataFrame:

@@ -12,10 +12,14 @@ Plan
    are never paired.
 3. Class representatives meet in band buckets. Every member is first tried against its bucket's
    smallest member (a star, not all pairs). Verified links form first components.
-4. Buckets that still span several components are compared pairwise on the bitmaps alone, in numpy
-   blocks; large buckets are split into chunk pairs. Only pairs of different components whose
-   estimate reaches ``threshold`` minus a margin leave the task.
-5. Every candidate is confirmed on the full shingle sets. Then distributed connected components.
+4. Buckets that still span several components are compared on the bitmaps alone, in numpy blocks;
+   large buckets are split into chunk pairs. Pairs of different components whose estimate reaches
+   the threshold minus a margin are open; a task returns a spanning forest of them, not the pairs.
+   The components of these forests are clusters: every open pair lies inside one.
+5. Inside a cluster, members of different components are compared on their full shingle sets. A
+   large cluster is dealt over chunks, every pair of chunks a group of its own, so the work spreads
+   and no pair is emitted; a task returns a spanning forest of the links it confirmed.
+6. All confirmed links go to distributed connected components.
 
 A link is missed only if no band meets: with 32 bands of 5 samples (1 - 0.85**5)**32 = 7e-9 at a
 similarity of 0.85, 2e-6 at 0.8. The margin of 0.15 is five standard deviations.
@@ -37,7 +41,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_batches, fixed_matrix, mix64, shingle_sets, text_blocks, whole_groups, word_hashes, written
+from .common import (
+    clean_batches,
+    fixed_matrix,
+    forest_roots,
+    mix64,
+    shingle_sets,
+    text_blocks,
+    whole_groups,
+    word_hashes,
+    written,
+)
 from .components import components
 
 
@@ -51,8 +65,10 @@ class MinHashOptions:
     sketch_bits: int = 1024
     #: by how much an odd-sketch estimate may fall short before a pair is given up
     margin: float = 0.15
-    #: members of a bucket that one task compares with each other; larger buckets are split
+    #: members of a bucket that one group compares on bitmaps; larger buckets are split
     chunk: int = 512
+    #: shingles of a cluster's chunk, which one group compares on full sets
+    chunk_shingles: int = 1 << 16
 
     @property
     def samples(self) -> int:
@@ -154,9 +170,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, opt: MinHashOptions) -> DataFra
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _pairs_in_buckets(members: DataFrame, opt: MinHashOptions) -> DataFrame:
-    """Candidate pairs (a, b), a < b, from rows (bucket, lo, hi, side, id, component, n, sketch)
-    already chunked: odd sketches and set sizes decide."""
+def _open_links(members: DataFrame, opt: MinHashOptions) -> DataFrame:
+    """(a, b): a spanning forest, per group, of the pairs of different components that set sizes and
+    odd sketches do not rule out. ``members`` has (bucket, lo, hi, side, id, component, n, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(clean_batches(batches), ["bucket", "lo", "hi"]):
@@ -167,7 +183,7 @@ def _pairs_in_buckets(members: DataFrame, opt: MinHashOptions) -> DataFrame:
             ids, comp, n, side = (t.column(c).to_numpy() for c in ("id", "component", "n", "side"))
             lo, hi = key[1], key[2]
             sk = fixed_matrix(t.column("sketch"), np.uint64, opt.sketch_bits // 64)
-            seen_a, seen_b = [], []
+            left, right = [], []
             for d in range(1, t.num_rows):
                 at = np.nonzero(group[:-d] == group[d:])[0]
                 if not len(at):
@@ -176,19 +192,77 @@ def _pairs_in_buckets(members: DataFrame, opt: MinHashOptions) -> DataFrame:
                 ok = (comp[at] != comp[to]) & ((lo[at] == hi[at]) | (side[at] != side[to]))
                 ok &= 100 * np.minimum(n[at], n[to]) >= opt.percent * np.maximum(n[at], n[to])
                 at, to = at[ok], to[ok]
-                if not len(at):
-                    continue
-                flips = np.bitwise_count(sk[at] ^ sk[to]).sum(axis=1, dtype=np.int64)
-                ok = sketch_similarity(flips, opt.samples, opt.sketch_bits) >= opt.percent / 100 - opt.margin
-                a, b = ids[at[ok]], ids[to[ok]]
-                seen_a.append(np.minimum(a, b))
-                seen_b.append(np.maximum(a, b))
-            if seen_a:
-                pairs = np.unique(np.stack([np.concatenate(seen_a), np.concatenate(seen_b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                if len(at):
+                    flips = np.bitwise_count(sk[at] ^ sk[to]).sum(axis=1, dtype=np.int64)
+                    ok = sketch_similarity(flips, opt.samples, opt.sketch_bits) >= opt.percent / 100 - opt.margin
+                    left.append(at[ok])
+                    right.append(to[ok])
+            if left:
+                yield _forest(ids, np.concatenate(left), np.concatenate(right))
+
+    keys = ["bucket", "lo", "hi"]
+    return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def _forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    root = forest_roots(len(ids), left, right)
+    own = np.nonzero(root != np.arange(len(ids)))[0]
+    return pa.RecordBatch.from_arrays([pa.array(ids[root[own]], pa.int64()), pa.array(ids[own], pa.int64())], names=["a", "b"])
+
+
+def _links_in_clusters(clusters: DataFrame, label: DataFrame, docs: DataFrame, sizes: DataFrame, opt: MinHashOptions) -> DataFrame:
+    """(a, b): confirmed links between members of one cluster that were in different components, as a
+    spanning forest per group. clusters (id, cluster), label (id, component), sizes (id, n)."""
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = clusters.join(label, "id").join(sizes, "id")
+    chunks = F.ceil(F.col("total") / F.lit(opt.chunk_shingles)).cast("int")
+    dealt = (rows.join(rows.groupBy("cluster").agg(F.sum("n").alias("total")), "cluster")
+             .withColumn("side", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+             .select("id", "cluster", "component", "n", "side", chunks.alias("chunks")))
+    members = (dealt.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+               .select("cluster", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"),
+                       "side", "id", "component", "text"))
 
-    ordered = members.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(clean_batches(batches), ["cluster", "lo", "hi"]):
+            key = np.stack([t.column(c).to_numpy() for c in ("cluster", "lo", "hi")])
+            cuts = np.nonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0), True])[0]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                g = t.slice(s, e - s)
+                ids, comp, side = (g.column(c).to_numpy() for c in ("id", "component", "side"))
+                sets: list[np.ndarray] = []
+                for _, _, data, offs in text_blocks(g.column("text")):
+                    sets += shingle_sets(*word_hashes(data, offs), opt.shingle_words)
+                full = np.array([len(x) for x in sets])
+                offs = np.r_[0, np.cumsum(full)]
+                _, num = np.unique(np.concatenate(sets), return_inverse=True)  # shingles as small numbers
+                mark = np.zeros(len(num) + 1, dtype=np.int64)
+                left, right = [], []
+                for x in range(len(ids)):
+                    other = comp != comp[x]
+                    other[:x + 1] = False
+                    if key[1, s] != key[2, s]:
+                        other &= side != side[x]
+                    other &= 100 * np.minimum(full, full[x]) >= opt.percent * np.maximum(full, full[x])
+                    other &= full > 0
+                    to = np.nonzero(other)[0]
+                    if not len(to):
+                        continue
+                    own = num[offs[x]:offs[x + 1]]
+                    mark[own] = 1
+                    if 4 * len(to) > len(ids):
+                        inter = np.add.reduceat(mark[num], np.minimum(offs[:-1], len(num) - 1))[to]
+                    else:
+                        inter = np.array([mark[num[offs[y]:offs[y + 1]]].sum() for y in to])
+                    mark[own] = 0
+                    hit = to[100 * inter >= opt.percent * (full[x] + full[to] - inter)]
+                    left.append(np.full(len(hit), x))
+                    right.append(hit)
+                if left:
+                    yield _forest(ids, np.concatenate(left), np.concatenate(right))
+
+    keys = ["cluster", "lo", "hi"]
+    return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def _labelled(ids: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -224,13 +298,16 @@ def near_duplicates(docs: DataFrame, opt: MinHashOptions = MinHashOptions()) ->
     first = written(confirmed(_likely(stars.join(a, "a").join(b, "b"), opt), docs, opt), "minhash-links")
     found = components(first.unionByName(shared), "a", "b")
 
-    # buckets that still hold several components: pairwise on the bitmaps
+    # buckets that still hold several components: on bitmaps first, then on full sets
     parts = _labelled(met.select("bucket", "id", "size"), found, "id")
-    open_ = parts.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"),
-                                        F.max("size").alias("_s")).where("c0 <> c1").select("bucket")
+    open_ = parts.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
     left = parts.join(open_, "bucket", "left_semi").join(
         small.withColumnsRenamed({"doc_id": "id", "n_shingles": "n"}), "id")
-    second = written(confirmed(_pairs_in_buckets(_chunked(left, opt), opt), docs, opt), "minhash-links")
+    clusters = written(components(_open_links(_chunked(left, opt), opt), "a", "b")
+                       .select("id", F.col("component").alias("cluster")), "minhash-clusters")
+    label = _labelled(clusters.select("id"), found, "id")
+    sizes = small.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    second = written(_links_in_clusters(clusters, label, docs, sizes, opt), "minhash-links")
 
     found = written(components(first.unionByName(second).unionByName(shared), "a", "b"), "minhash-components")
     label = (_labelled(rows.withColumnRenamed("cid", "id"), found, "id")

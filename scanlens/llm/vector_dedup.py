@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_batches, whole_groups, written
+from .common import clean_batches, forest_roots, whole_groups, written
 from .components import components
 
 
@@ -95,24 +95,6 @@ def signed(vectors: DataFrame, opt: SignHashOptions) -> DataFrame:
         run, "vec_id long, label string, fp binary, vec binary, codes binary")
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable for each of n nodes (minimum propagation with pointer jumping)."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        while True:
-            nxt = root[root]
-            if (nxt == root).all():
-                break
-            root = nxt
-        if (before == root).all():
-            break
-    return root
-
-
 def _compare(members: DataFrame, opt: SignHashOptions) -> DataFrame:
     """Per member and task: (id, links, root): vectors linked and one spanning link (id, root)."""
 
@@ -153,7 +135,7 @@ def _compare(members: DataFrame, opt: SignHashOptions) -> DataFrame:
                     ea.append(at)
                     eb.append(to)
             if ea:
-                root = _roots(len(raw), np.concatenate(ea), np.concatenate(eb))
+                root = forest_roots(len(raw), np.concatenate(ea), np.concatenate(eb))
                 hit = np.nonzero(links)[0]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[hit]), pa.array(links[hit]), pa.array(ids[root[hit]])], names=["id", "links", "root"])
