@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, minhash_dedup, mtree, quality, source_mix, vector_dedup
+from . import language_id, line_dedup, minhash_dedup, mtree, quality, record_files, source_mix, vector_dedup
 from .subword import crc_mod
 
 
@@ -31,6 +32,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "lang_pred", "score", "rejected")
 
 
+def op3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token-id records, read back from the files."""
+    opt = record_files.RecordOptions(tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+    out = record_files.encoded(_table(spark, sf_dir, "documents"), opt, with_ids=False)
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32", "offset")
+
+
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all embeddings of equal label: cosine of 0.98 or more."""
     return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
@@ -64,6 +72,7 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_language": op2_language,
+    "op3_records": op3_records,
     "op4_vectors": op4_vectors,
     "op5_topk": op5_topk,
     "op6_mix": op6_mix,
