@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, minhash_dedup, mtree, quality, record_files, source_mix, vector_dedup
+from . import language_id, line_dedup, minhash_dedup, mtree, piece_codec, quality, record_files, source_mix, vector_dedup
 from .subword import crc_mod
 
 
@@ -54,6 +54,12 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids and decoded text of every whole document, as digests."""
+    opt = piece_codec.PieceOptions(model=public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_codec.pieces(_table(spark, sf_dir, "documents"), opt, ["doc_id"], digest=True)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole text, learnt from rows whose crc32 mod 5 is not 0."""
     docs = _table(spark, sf_dir, "documents")
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_vectors": op4_vectors,
     "op5_topk": op5_topk,
     "op6_mix": op6_mix,
+    "op8_pieces": op8_pieces,
     "op9_quality": op9_quality,
     "op10_line_runs": op10_line_runs,
 }
