@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, minhash_dedup, mtree, piece_codec, quality, record_files, source_mix, vector_dedup
+from . import language_id, line_dedup, minhash_dedup, mtree, piece_codec, quality, record_files, source_mix, vector_dedup, warc_derive
 from .subword import crc_mod
 
 
@@ -54,6 +54,11 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page's response record."""
+    return warc_derive.derive(warc_derive.responses(_table(spark, sf_dir, "pages")), ["page_id"])
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids and decoded text of every whole document, as digests."""
     opt = piece_codec.PieceOptions(model=public_tokenizers.path("piece_bpe_32k.model"))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_vectors": op4_vectors,
     "op5_topk": op5_topk,
     "op6_mix": op6_mix,
+    "op7_warc": op7_warc,
     "op8_pieces": op8_pieces,
     "op9_quality": op9_quality,
     "op10_line_runs": op10_line_runs,
