@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import checkpoint_dir
@@ -263,5 +262,13 @@ def numbered(df: DataFrame, order: list[Column], size: Column, out: str, name: s
             .drop("_part", "_size", "_before", "offset"))
 
 
-def schema_of(*fields: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in fields])
+def with_text(docs: DataFrame, keep: list[str], out: str) -> tuple[DataFrame, int, str]:
+    """For Arrow functions over texts: the columns ``keep`` and the text (not twice if it is among
+    them), the position of the text, and the DDL of ``keep`` followed by ``out``."""
+    text = F.col("text").cast("string")
+    if "text" in keep:
+        base, at = docs.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in keep]), keep.index("text")
+    else:
+        base, at = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("text")), len(keep)
+    ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:len(keep)]]
+    return base, at, ", ".join([*ddl, out])

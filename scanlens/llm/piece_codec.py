@@ -32,9 +32,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import clean_batches
+from .common import clean_batches, with_text
 
 SPACE = "▁"
 # every byte that is not part of a character becomes one U+FFFD
@@ -240,15 +239,14 @@ def memory(opt: PieceOptions) -> WordMemory:
 def pieces(docs: DataFrame, opt: PieceOptions, keep: list[str], digest: bool = False) -> DataFrame:
     """``keep`` columns plus n_tokens and either ids (array of int) and decoded (text) or their sha256
     digests (of the decimal ids joined by one space, and of the decoded text)."""
-    added = [("n_tokens", "long"), *([("ids_sha256", "string"), ("decoded_sha256", "string")] if digest
-                                     else [("ids", "array<int>"), ("decoded", "string")])]
-    base = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    names = [*keep, *[n for n, _ in added]]
+    out = "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
+    base, at, ddl = with_text(docs, keep, out)
+    names = [*keep, *[f.split()[0] for f in out.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mem = memory(opt)
         for b in clean_batches(batches, 4 << 20):
-            rows = mem.encode(b.column(len(keep)).to_pylist())
+            rows = mem.encode([t or "" for t in b.column(at).to_pylist()])
             many = pa.array([r[0].count(" ") + 1 for r in rows], pa.int64())
             if digest:
                 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -258,5 +256,4 @@ def pieces(docs: DataFrame, opt: PieceOptions, keep: list[str], digest: bool = F
                         pa.array([r[1] for r in rows], pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], many, *more], names=names)
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:len(keep)]] + [f"{n} {t}" for n, t in added])
     return base.mapInArrow(run, ddl)

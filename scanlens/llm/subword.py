@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _LOWER, PrefixHash, clean_batches, mix64, text_blocks, word_hashes
+from .common import _LOWER, PrefixHash, clean_batches, mix64, text_blocks, with_text, word_hashes
 
 
 @dataclass(frozen=True)
@@ -190,12 +190,12 @@ def scored(docs: DataFrame, model: SubwordModel, keep: list[str],
     """The columns ``keep`` of every row and what ``finish`` makes of its label probabilities
     (rows x labels); ``out`` is the DDL of the added columns."""
     opt = model.options
-    base = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    base, at, ddl = with_text(docs, keep, out)
     names = [*keep, *[f.split()[0] for f in out.split(",")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in clean_batches(batches):
-            for i, j, data, offs in text_blocks(batch.column(len(keep))):
+            for i, j, data, offs in text_blocks(batch.column(at)):
                 z = np.zeros((j - i, len(model.labels)))
                 total = np.zeros(j - i)
                 for idx, o in bucket_streams(data, offs, opt):
@@ -206,7 +206,6 @@ def scored(docs: DataFrame, model: SubwordModel, keep: list[str],
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(i, j - i) for c in range(len(keep))] + finish(_softmax(z / model.temperature)), names=names)
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keep] + [out])
     return base.mapInArrow(run, ddl)
 
 
