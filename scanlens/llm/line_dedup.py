@@ -26,7 +26,7 @@ Edge cases. Null text stays null; empty text stays empty. A document whose lines
 row with what is left (blank lines or an empty text). Null doc_id sorts first. Repeated rows (same
 doc_id and text) are one document at one place: each comes back with the same deletions. Several
 texts under one doc_id are ordered by text hash. Extra columns pass through; ``lines_total`` and
-``lines_removed`` replace columns of those names. An empty table gives an empty result.
+``lines_removed`` replace columns of those names; names that start with ``__`` are reserved. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -123,9 +123,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     plus lines_total and lines_removed (of all lines, blank ones included in the total)."""
     columns = docs.columns
     gone = (later_copies(docs.select("doc_id", F.col("text").cast("string").alias("text")), min_chars)
-            .groupBy("doc", "th").agg(F.collect_set("i").alias("__gone")))
+            .groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__at")).agg(F.collect_set("i").alias("__gone")))
     keyed = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("__th") == F.col("th")), "left")
+    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__th") == F.col("__at")), "left")
     lines = F.split(F.col("text").cast("string"), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col("text").cast("string")).otherwise(

@@ -131,7 +131,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, opt: SubwordOptions) ->
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=-1, keepdims=True))
+    e = np.exp(z - z.max(axis=-1, keepdims=True, initial=-np.inf))
     return e / e.sum(axis=-1, keepdims=True)
 
 
