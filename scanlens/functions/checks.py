@@ -65,7 +65,7 @@ def parse_size_spec(spec: str) -> tuple[int, int]:
     """``"WxH"`` -> (W, H); anything else is an error."""
     parts = spec.split("x")
     if len(parts) != 2 or not all(p.isdigit() for p in parts):
-        raise ValueError("invalid max-size: should be [width]x[height]")
+        raise ValueError(f"a size is given as WIDTHxHEIGHT in pixels, not {spec!r}")
     return int(parts[0]), int(parts[1])
 
 

@@ -126,47 +126,166 @@ def content_glob_to_regex(pattern: str) -> str:
     return "(?s)" + ("" if lead else "\\A") + "".join(out) + ("" if trail else "\\z")
 
 
+def content_glob_literals(pattern: str) -> list[str]:
+    """Literal runs that every text matching a content glob must hold."""
+    runs, run, i = [], "", 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch in "*?[":
+            runs.append(run)
+            run = ""
+            i = _parse_class(pattern, i + 1, "^")[1] if ch == "[" else i + 1
+        else:
+            run += ch
+            i += 1
+    return [r for r in [*runs, run] if r]
+
+
 def content_glob_for_duckdb(pattern: str) -> str:
     """The same content glob in DuckDB's GLOB dialect (negation is ``[!x]``)."""
     return re.sub(r"\[\^", "[!", pattern)
 
 
-_LOOKAROUND = re.compile(r"\(\?<?[=!]|\\[1-9]|\\k<")
+# POSIX class names of the reference's regex dialect and their members.
+POSIX_CLASSES = {
+    "alnum": "a-zA-Z0-9", "alpha": "a-zA-Z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9",
+    "graph": "!-~", "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z",
+    "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+}
+_GROUP_HEAD = re.compile(r"\(\?(?:P?<(?P<name>[A-Za-z_][A-Za-z0-9_.\[\]]*)>|(?P<on>[a-zA-Z]*)(?:-(?P<off>[a-zA-Z]+))?(?P<end>[:)]))")
+_CODE_POINT = re.compile(r"\\(?:x\{([0-9A-Fa-f]{1,8})\}|u\{([0-9A-Fa-f]{1,8})\}|x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8}))")
+_PLAIN_ESCAPES = set("dDwWsSbBAzntrfva")
+
+
+def _escape_token(pattern: str, i: int, in_class: bool) -> tuple[str, int]:
+    """One escape starting at the backslash ``i``: (Java form, index after it)."""
+    if m := _CODE_POINT.match(pattern, i):
+        point = int(next(g for g in m.groups() if g), 16)
+        if point > 0x10FFFF:
+            raise PatternError("code point out of range")
+        return f"\\x{{{point:x}}}", m.end()
+    if i + 1 >= len(pattern):
+        raise PatternError("pattern ends in a backslash")
+    ch = pattern[i + 1]
+    if ch in "pP":
+        m = re.compile(r"\\([pP])(?:\{(\^?)([A-Za-z_0-9=: -]+)\}|([A-Za-z]))").match(pattern, i)
+        if not m:
+            raise PatternError("malformed \\p class")
+        name = (m[3] or m[4]).replace(" ", "")
+        short = len(name) <= 2 or name.startswith("Is")
+        negated = (m[1] == "P") != bool(m[2])
+        return ("\\P" if negated else "\\p") + "{" + (name if short else "Is" + name) + "}", m.end()
+    if ch == "v":
+        return "\\x0B", i + 2
+    if ch in _PLAIN_ESCAPES:
+        if in_class and ch in "bBAz":
+            raise PatternError(f"\\{ch} is not allowed in a class")
+        return "\\" + ch, i + 2
+    if ch.isascii() and ch.isalnum():
+        raise PatternError(f"\\{ch} is not supported (no back-references, no look-around)")
+    return "\\" + ch if ch.isascii() else ch, i + 2
+
+
+def _class_token(pattern: str, i: int) -> tuple[str, int]:
+    """A bracketed class starting at ``i``: (Java form, index after it). Sets nest, ``&&`` intersects."""
+    out, i = ["["], i + 1
+    if pattern[i:i + 1] == "^":
+        out.append("^")
+        i += 1
+    if pattern[i:i + 1] == "]":
+        out.append("\\]")
+        i += 1
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "]":
+            return "".join(out) + "]", i + 1
+        if m := re.compile(r"\[:(\^?)([a-z]+):\]").match(pattern, i):
+            if m[2] not in POSIX_CLASSES:
+                raise PatternError(f"unknown class [:{m[2]}:]")
+            out.append("[" + m[1] + POSIX_CLASSES[m[2]] + "]")
+            i = m.end()
+        elif ch == "[":
+            piece, i = _class_token(pattern, i)
+            out.append(piece)
+        elif ch == "\\":
+            piece, i = _escape_token(pattern, i, True)
+            out.append(piece)
+        elif pattern.startswith("&&", i):
+            out.append("&&")
+            i += 2
+        elif pattern[i:i + 2] in ("--", "~~"):
+            raise PatternError("set difference is not supported")
+        else:
+            out.append("\\" + ch if ch in "&~#" or ch.isspace() and ch.isascii() else ch)
+            i += 1
+    raise PatternError("unclosed character class")
 
 
 def regex_for_java(pattern: str) -> str:
-    """Reference regex dialect -> Java regex with the same meaning.
+    """Reference regex dialect -> Java regex with the same meaning, token by token.
 
-    Unicode classes (``(?U)``), ``.`` excludes only ``\\n`` (``(?d)``), and a bare ``$`` is the very
-    end (``\\z``). Look-around and back-references are refused, as the reference dialect has none.
+    Unicode classes (``(?U)``), ``.`` excludes only ``\n`` (``(?d)``); ``$`` is the very end, or the end
+    of a line while the ``m`` flag is on; POSIX classes, ``(?P<name>..)`` and code-point escapes are
+    translated. What the dialect does not have (look-around, back-references) and what has no
+    equal in Java (flags ``R`` and ``U``, set difference) is refused here, on the driver.
     """
-    if _LOOKAROUND.search(pattern):
-        raise PatternError("look-around and back-references are not supported")
-    out = []
-    i = 0
-    in_class = False
+    out, i, multi, names = [], 0, [False], 0
     while i < len(pattern):
         ch = pattern[i]
-        if ch == "\\" and i + 1 < len(pattern):
-            out.append(pattern[i : i + 2])
-            i += 2
-            continue
-        if in_class:
-            if ch == "]":
-                in_class = False
-            out.append(ch)
+        if ch == "\\":
+            piece, i = _escape_token(pattern, i, False)
+            out.append(piece)
         elif ch == "[":
-            in_class = True
-            out.append(ch)
-            if i + 1 < len(pattern) and pattern[i + 1] == "^":
-                out.append("^")
-                i += 1
-            if i + 1 < len(pattern) and pattern[i + 1] == "]":
-                out.append("\\]")
+            piece, i = _class_token(pattern, i)
+            out.append(piece)
+        elif ch == "(":
+            if not pattern.startswith("(?", i):
+                out.append("(")
+                multi.append(multi[-1])
                 i += 1
+                continue
+            m = _GROUP_HEAD.match(pattern, i)
+            if not m:
+                raise PatternError("look-around and other special groups are not supported")
+            if m["name"]:
+                names += 1
+                out.append(f"(?<g{names}>")  # names only label groups; Java's alphabet is smaller
+                multi.append(multi[-1])
+            else:
+                on, off = m["on"] or "", m["off"] or ""
+                if set(on + off) - set("imsux") or "u" in off:
+                    raise PatternError(f"flags {on}{off} are not supported")
+                state = ("m" in on or multi[-1]) and "m" not in off
+                # u (Unicode) is always on
+                on, off = on.replace("u", ""), off.replace("u", "")
+                flags = on + ("-" + off if off else "")
+                if m["end"] == ")":
+                    out.append(f"(?{flags})" if flags else "")
+                    multi[-1] = state
+                else:
+                    out.append(f"(?{flags}:")
+                    multi.append(state)
+            i = m.end()
+        elif ch == ")":
+            if len(multi) == 1:
+                raise PatternError("unopened group")
+            multi.pop()
+            out.append(")")
+            i += 1
         elif ch == "$":
-            out.append("\\z")
+            out.append("(?=\\n|\\z)" if multi[-1] else "\\z")
+            i += 1
+        elif ch == "^" and multi[-1]:
+            out.append("(?<=\\A|\\n)")
+            i += 1
+        elif ch == "^":
+            out.append("\\A")
+            i += 1
+        elif ch in "*+?}" and pattern[i + 1:i + 2] == "+":
+            raise PatternError("a repetition may not follow another one")
         else:
             out.append(ch)
-        i += 1
+            i += 1
+    if len(multi) != 1:
+        raise PatternError("unclosed group")
     return "(?U)(?d)" + "".join(out)

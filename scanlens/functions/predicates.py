@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold_literal
+from .text import fold_literal, fold_text, quote_regex
 
 MIN_PHRASE = 3
 
@@ -120,10 +120,10 @@ class Near(Term):
         With start offsets pa, pb and token lengths ta = len(a) - 2, tb = len(b) - 2 the condition is
         ``-(distance + tb) <= pb - pa <= distance + ta``.
         """
-        a, b = self.first.lower(), self.second.lower()
+        a, b = fold_text(self.first), fold_text(self.second)
         ka = self.distance + len(a) - 2
         kb = self.distance + len(b) - 2
-        qa, qb = "\\Q" + a + "\\E", "\\Q" + b + "\\E"
+        qa, qb = quote_regex(a), quote_regex(b)
         parts = []
         if ka >= 0:
             parts.append(f"(?={qa})(?=(?s:.){{0,{ka}}}{qb})")
@@ -134,9 +134,6 @@ class Near(Term):
     def predicate(self, folded: Column) -> Column:
         if min(len(self.first), len(self.second)) < MIN_PHRASE:
             return F.lit(False)
-        for s in (self.first, self.second):
-            if "\\E" in s:
-                raise ValueError("phrase may not contain \\E")
         return (
             F.contains(folded, fold_literal(self.first))
             & F.contains(folded, fold_literal(self.second))
@@ -202,6 +199,19 @@ def can_self_overlap(p: str) -> bool:
     return any(p[:k] == p[-k:] for k in range(1, len(p)))
 
 
+def hit_positions(folded: Column, phrase_text: str) -> Column:
+    """0-based start of every occurrence of a phrase, overlapping ones included, in order.
+
+    The text is cut before every occurrence; the lengths of the pieces add up to the positions.
+    """
+    pieces = F.split(folded, "(?=" + quote_regex(fold_text(phrase_text)) + ")")
+    starts = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.length(x)))
+    inner = F.slice(starts, 2, F.size(starts) - 2)
+    none = F.array().cast("array<int>")
+    head = F.when(F.startswith(folded, fold_literal(phrase_text)), F.array(F.lit(0))).otherwise(none)
+    return F.when(F.size(starts) > 2, F.concat(head, inner)).otherwise(head)
+
+
 def count_hits(folded: Column, phrase_text: str) -> Column:
     """Occurrences of a phrase, overlapping ones included (every start position counts).
 
@@ -211,6 +221,6 @@ def count_hits(folded: Column, phrase_text: str) -> Column:
     if len(phrase_text) < MIN_PHRASE:
         return F.lit(0)
     lp = fold_literal(phrase_text)
-    if not can_self_overlap(phrase_text.lower()):
+    if not can_self_overlap(fold_text(phrase_text)):
         return ((F.length(folded) - F.length(F.replace(folded, lp, F.lit("")))) / F.length(lp)).cast("int")
-    return F.regexp_count(folded, F.lit("(?=\\Q" + phrase_text.lower() + "\\E)")).cast("int")
+    return F.regexp_count(folded, F.lit("(?=" + quote_regex(fold_text(phrase_text)) + ")")).cast("int")

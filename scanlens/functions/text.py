@@ -13,14 +13,34 @@ def col_(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Code points whose lower-case form depends on their neighbours or takes more than one
+# code point, each with the one code point it folds to.
+FOLD_EXCEPTIONS = {"Σ": "σ", "ς": "σ", "İ": "i"}
+
+
 def fold(c: Column | str) -> Column:
-    """Case fold used by the index and every case-insensitive predicate (compute once, as a column)."""
-    return F.lower(col_(c))
+    """Case fold used by the index and every case-insensitive predicate (compute once, as a column).
+
+    One code point becomes one code point whatever stands beside it, so offsets in the folded text
+    are offsets in the text.
+    """
+    return F.lower(F.translate(col_(c), "".join(FOLD_EXCEPTIONS), "".join(FOLD_EXCEPTIONS.values())))
+
+
+def fold_text(text: str) -> str:
+    """The same fold for a pattern on the driver."""
+    return text.translate(str.maketrans(FOLD_EXCEPTIONS)).lower()
 
 
 def fold_literal(text: str) -> Column:
     """Fold a constant with the same function as the column side; Catalyst folds it to a literal."""
-    return F.lower(F.lit(text))
+    return fold(F.lit(text))
+
+
+def quote_regex(text: str) -> str:
+    """``text`` as a Java regex that matches it literally (every other ASCII sign is escaped, so no
+    text can end the quotation)."""
+    return "".join("\\" + c if c.isascii() and not c.isalnum() else c for c in text)
 
 
 def collapse_blank_lines(c: Column | str) -> Column:
@@ -42,45 +62,41 @@ def keep_only(c: Column | str, char_class: str) -> Column:
     return F.regexp_replace(col_(c), f"[^{char_class}\\s]", "")
 
 
-# The named escapes of Rust's ``escape_debug`` (backslash must go first).
-NAMED_ESCAPES = [("\\", "\\\\"), ("\t", "\\t"), ("\r", "\\r"), ("\n", "\\n"), ("'", "\\'"), ('"', '\\"'), ("\0", "\\0")]
-
-
-def _control_escapes() -> list[tuple[str, str]]:
-    # Other C0 controls, DEL and the C1 block print as \u{hex} (lower case, no leading zeros).
-    codes = [c for c in range(0x01, 0x20) if chr(c) not in "\t\r\n"] + list(range(0x7F, 0xA0))
-    return [(chr(c), "\\u{%x}" % c) for c in codes]
-
-
-def escape_pairs() -> list[tuple[str, str]]:
-    return NAMED_ESCAPES + _control_escapes()
+# The named escapes of the debug form.
+NAMED_ESCAPES = {"\\": "\\\\", "\t": "\\t", "\r": "\\r", "\n": "\\n", "'": "\\'", '"': '\\"', "\0": "\\0"}
+# Code points that are not printed: control, format, surrogate, private, unassigned, and separators other than the space.
+_UNPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
+_TO_ESCAPE = r"[\p{C}\p{Z}\\'\"&&[^ ]]|^[\p{Mn}\p{Me}]"
 
 
 def escape_debug(c: Column | str) -> Column:
-    out = col_(c)
-    for raw, esc in escape_pairs():
-        out = F.replace(out, F.lit(raw), F.lit(esc))
-    return out
+    """Debug form of a text: named escapes, ``\\u{hex}`` for code points that are not printed and for
+    a combining mark at the very start. Texts without any are passed through untouched."""
+    x = col_(c)
 
+    def one(ch: Column, i: Column) -> Column:
+        out = F.when(ch == "\\", NAMED_ESCAPES["\\"])
+        for raw, esc in NAMED_ESCAPES.items():
+            if raw != "\\":
+                out = out.when(ch == raw, esc)
+        hidden = ch.rlike(_UNPRINTABLE) | ((i == 0) & ch.rlike(r"[\p{Mn}\p{Me}]"))
+        return out.when(hidden, F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(ch).cast("long"))), F.lit("}"))).otherwise(ch)
 
-def char_array(c: Column | str) -> Column:
-    """Array of code points (Spark's empty-pattern split steps by code point, astral ones included)."""
-    x = col_(c)
-    return F.when(F.length(x) > 0, F.split(x, "")).otherwise(F.array().cast("array<string>"))
+    escaped = F.array_join(F.transform(F.split(x, ""), one), "")
+    return F.when(x.rlike(_TO_ESCAPE), escaped).otherwise(x)
 
 
 def gram_array(folded: Column | str) -> Column:
     """Every 3-code-point window of an already folded text; [] for texts under 3 characters.
 
-    Two regex scans pick, at every code point, the point itself and the two after it (the
-    lookahead keeps windows overlapping); ``zip_with`` joins them. Linear per row, steps by code
-    point (astral characters included), and the lambda reads only its own arguments, so the
+    One regex scan cuts the text into code points (astral characters included); three shifted slices
+    of that array are zipped. Linear per row, and the lambda reads only its own arguments, so the
     optimizer cannot inline an array expression into it.
     """
-    f = col_(folded)
-    first = F.regexp_extract_all(f, F.lit("(?s)(.)(?=(..))"), 1)
-    rest = F.regexp_extract_all(f, F.lit("(?s)(.)(?=(..))"), 2)
-    return F.zip_with(first, rest, lambda a, b: F.concat(a, b))
+    chars = F.regexp_extract_all(col_(folded), F.lit("(?s)."), 0)
+    n = F.greatest(F.size(chars) - 2, F.lit(0))
+    pairs = F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.concat(a, b))
+    return F.zip_with(pairs, F.slice(chars, 3, n), lambda a, b: F.concat(a, b))
 
 
 def token_count(c: Column | str) -> Column:

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from scanlens.functions import checks, paths, text
 from scanlens.functions import predicates as P
-from scanlens.functions.globs import PatternError, content_glob_to_regex, path_glob_to_regex, regex_for_java
+from scanlens.functions.globs import (
+    PatternError,
+    content_glob_literals,
+    content_glob_to_regex,
+    path_glob_to_regex,
+    regex_for_java,
+)
 
 
 def one(spark, col, value=None, schema="x string"):
@@ -31,6 +37,8 @@ def test_whitelist(spark):
 
 def test_escape_debug(spark):
     assert one(spark, text.escape_debug("x"), "a\tb\n\"c'\\\x01") == "a\\tb\\n\\\"c\\'\\\\\\u{1}"
+    assert one(spark, text.escape_debug("x"), "\u00ad\u200b\ufeff\u2028\u00a0\0 é😀") == "\\u{ad}\\u{200b}\\u{feff}\\u{2028}\\u{a0}\\0 é😀"
+    assert one(spark, text.escape_debug("x"), "\u0301a\u0301") == "\\u{301}a\u0301"  # a mark is escaped at the start only
 
 
 def test_grams(spark):
@@ -180,10 +188,46 @@ def test_path_glob():
         path_glob_to_regex("a**b")
 
 
-def test_regex_dialect(spark):
-    df = spark.createDataFrame([("end\n",), ("end",), ("x\ry",)], "content string")
-    assert df.where(F.col("content").rlike(regex_for_java("end$"))).count() == 1
-    assert df.where(F.col("content").rlike(regex_for_java("x.y"))).count() == 1
-    assert regex_for_java("[$]") == "(?U)(?d)[$]"
+REGEX_CASES = [
+    (r"end$", "end\n", False), (r"end$", "end", True), (r"x.y", "x\ry", True), (r"x.y", "x\ny", False), (r"(?m)foo$", "foo\nbar", True),
+    (r"(?m)^bar", "foo\nbar", True), (r"^bar", "foo\nbar", False), (r"[[:alpha:]]+9", "abc9", True), (r"[[:^alpha:]]9", "a9", False),
+    (r"(?P<x>foo)(?<y>b)", "foob", True), (r"\u{e9}", "é", True), (r"\x{1F600}", "😀", True), (r"C:\\1", "C:\\1", True), (r"[(?=]", "?", True),
+    (r"\p{Greek}+", "α", True), (r"\w", "é", True), (r"[a-z&&[^aeiou]]", "e", False), (r"(?i:FOO)bar", "foobar", True), (r"[]a]", "]", True),
+    (r"a{2,3}", "caab", True), (r"[$]", "$", True), (r"(?i)É", "é", True), (r"(a(?m)b$)c?$", "ab\n", False),
+]
+
+
+@pytest.mark.parametrize("pattern,value,hit", REGEX_CASES)
+def test_regex_dialect(spark, pattern, value, hit):
+    assert one(spark, F.col("x").rlike(regex_for_java(pattern)), value) is hit
+
+
+@pytest.mark.parametrize("pattern", [r"(?=a)", r"(?!a)", r"(?<=a)b", r"(?<!a)b", r"(a)\1", r"\k<x>", r"a\Qb\E", r"[[:foo:]]", "(a", "a)", "[a", "a\\",
+                                     r"(?R)a", r"(?U)a", "a++", r"[a--b]", r"\u{110000}"])
+def test_unsupported_regex_is_refused_on_the_driver(pattern):
     with pytest.raises(PatternError):
-        regex_for_java("(?=a)")
+        regex_for_java(pattern)
+
+
+def test_content_glob_literals():
+    assert content_glob_literals("*one?two[a-z]three*") == ["one", "two", "three"]
+    assert content_glob_literals("[*]x") == ["x"] and content_glob_literals("*?") == []
+
+
+def test_fold_keeps_offsets(spark):
+    for t in ("ΟΔΟΣ ΟΔΟΣΑ", "İİ x", "ǅ ẞ K Å", "😀Σ"):
+        assert one(spark, F.length(text.fold("x")), t) == len(t)
+        assert one(spark, text.fold("x"), t) == text.fold_text(t)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text(alphabet="abA", min_size=0, max_size=30), st.sampled_from(["aba", "aaa", "abb", "a.b"]))
+def test_hit_positions_match_brute_force(spark, t, p):
+    got = one(spark, P.hit_positions(text.fold("x"), p), t)
+    assert got == [i for i in range(len(t)) if t.lower().startswith(p, i)]
+
+
+def test_quoting_survives_any_text(spark):
+    for p in ("a\\Eb", "C:\\Export", "(x)[y]{z}^$.|?*+", "a-b&&c#d e", "éa\n"):
+        assert one(spark, F.col("x").rlike(text.quote_regex(p)), f"1{p}2") is True
+        assert one(spark, P.near(p, p, 0).predicate(text.fold("x")), f"{p} {p}") is True
