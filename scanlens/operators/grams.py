@@ -1,9 +1,9 @@
-"""Trigram postings: build, corpus statistics, and candidate lookup for a phrase.
+"""Trigram postings: build, corpus statistics, and candidate lookup for a phrase.
 
 Postings are ``(gram, id, tf)``. A row's grams are all in one task, so the partial aggregation
-already holds the final counts and the one shuffle carries postings, not grams. They are
-written sorted by gram within each file, so a lookup reads only the row groups whose min/max
-range holds the gram. ``gram_presence`` gives ``(gram, id)`` without counts as a narrow map.
+already holds the final counts and the one shuffle carries postings, not grams. Files are
+range-partitioned by (gram, id) and sorted, so a gram lies in few files, a hot gram is split over
+several by id, and a lookup reads only the row groups whose min/max range holds the gram.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import MIN_PHRASE
-from ..functions.text import fold, gram_array, token_count
+from ..functions.text import fold, fold_text, gram_array, token_count
 
 
 def _grams(index: DataFrame, id_col: str, content_col: str) -> DataFrame:
@@ -30,12 +30,6 @@ def postings(index: DataFrame, id_col: str = "id", content_col: str = "content")
     return g.groupBy("gram", "id").agg(F.count("*").cast("int").alias("tf"))
 
 
-def gram_presence(index: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
-    """``(gram, id)`` without counts: a narrow map (no shuffle) for candidate lookups."""
-    g = _grams(index, id_col, content_col)
-    return g.select(F.explode(F.array_distinct("g")).alias("gram"), "id")
-
-
 def doc_stats(index: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
     """``(id, dl)`` — trigram tokens per row, the length term of BM25."""
     return index.select(F.col(id_col).alias("id"), token_count(content_col).cast("int").alias("dl"))
@@ -47,31 +41,35 @@ def gram_document_frequency(post: DataFrame) -> DataFrame:
 
 
 def phrase_grams(text: str) -> list[str]:
-    t = text.lower()
+    t = fold_text(text)
     return sorted({t[i : i + 3] for i in range(len(t) - 2)}) if len(t) >= MIN_PHRASE else []
 
 
-def candidates(post: DataFrame, text: str) -> DataFrame:
-    """Ids whose postings hold every distinct gram of the phrase (a superset of the true hits).
+def candidates(post: DataFrame, text: str, lead: int = 3) -> DataFrame:
+    """Ids that may hold the phrase: those with all of its ``lead`` rarest grams.
 
-    The ``isin`` filter is pushed into the Parquet scan; the per-id count is a small aggregation
-    over the posting lists of these grams only.
+    One small query counts the posting lists of the phrase's grams (a pushed ``isin`` on sorted
+    files, partial counts per task); the lists of the common grams are then never read. Callers
+    verify candidates on the text, so leaving grams out costs no result.
     """
     grams = phrase_grams(text)
     if not grams:
         return post.sparkSession.createDataFrame([], "id long")
+    if len(grams) > lead:
+        counts = dict(gram_document_frequency(post.where(F.col("gram").isin(*grams))).collect())  # one row per gram of the phrase
+        grams = sorted(grams, key=lambda g: (counts.get(g, 0), g))[:lead]
     hit = post.where(F.col("gram").isin(*grams)).select("gram", "id")
     return hit.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("id")
 
 
-def write_postings(post: DataFrame, path: str, mode: str = "overwrite") -> None:
-    post.sortWithinPartitions("gram", "id").write.mode(mode).parquet(path)
+def write_postings(post: DataFrame, path: str) -> None:
+    n = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    post.repartitionByRange(n, "gram", "id").sortWithinPartitions("gram", "id").write.parquet(path)
 
 
 def build_index_tables(index: DataFrame, base: str) -> tuple[str, str]:
-    """Write ``postings`` (sorted by gram inside each file, so a gram lookup reads only the row
-    groups whose min/max range holds it) and ``doc_stats`` under ``base``; returns both paths."""
+    """Write ``postings`` and ``doc_stats`` of an index that is not in a store; returns both paths."""
     post_path, stats_path = f"{base.rstrip('/')}/postings", f"{base.rstrip('/')}/doc_stats"
     write_postings(postings(index), post_path)
-    doc_stats(index).write.mode("overwrite").parquet(stats_path)
+    doc_stats(index).write.parquet(stats_path)
     return post_path, stats_path

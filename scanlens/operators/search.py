@@ -1,30 +1,37 @@
 """Search: predicate, BM25 rank, top-k, snippet, result lines.
 
-Plan (``plan="scan"``): one pass over the index computes the corpus statistics as a scalar
-subquery (row count, mean trigram length, rows per phrase); the main pass filters, ranks and
-keeps the top ``limit`` rows with ``TakeOrderedAndProject`` (k rows per task, never a global
-sort); the snippet is cut only for those k rows.
-
-Plan (``plan="postings"``): candidate ids come from the trigram postings (J5) and only those rows
-are read and verified; length statistics come from the ``doc_stats`` table.
+A ranked search reads every text once. That pass verifies the predicate, counts the hits of every
+phrase, and writes the narrow hit rows (id, path, modtime, length, counts) to the shared folder;
+the document frequencies are observed in the same pass, and row count and mean length come from
+the caller (``corpus_size``, kept with the store's commits) or are observed too. Ranking and top-k
+(``TakeOrderedAndProject``: k rows per task, never a global sort) work on the hit rows, and only
+the k texts are fetched again for snippets.
+
+``plan="postings"`` reads candidate rows only: ids with the rarest grams of the phrases (J5), also
+for content globs with a literal run of three characters or more.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.globs import content_glob_to_regex, regex_for_java
+from ..functions.globs import content_glob_literals, content_glob_to_regex, regex_for_java
 from ..functions.paths import in_scope, search_excluded
-from ..functions.predicates import MIN_PHRASE, Term, count_hits, simple_phrase
+from ..functions.predicates import MIN_PHRASE, Term, count_hits, hit_positions, simple_phrase
 from ..functions.text import escape_debug, fold, fold_literal, token_count
+from ..session import checkpoint_dir
 from . import grams
 
 # BM25 parameters of the default rank and its idf floor.
 K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
+# Snippet window in tokens and the scores of its choice.
 SNIPPET_TOKENS = 64
+FIRST_HIT, FURTHER_HIT, TEXT_START, SENTENCE_START = 1000, 1, 120, 100
 
 
 def make_term(query, kind: str) -> Term | str | None:
@@ -62,163 +69,197 @@ def idf(n_rows: Column, df: Column) -> Column:
     return F.when(x <= 0, F.lit(IDF_FLOOR)).otherwise(x)
 
 
-def bm25(tfs: list[Column], dl: Column, stats: Column) -> Column:
+def bm25(tfs: list[Column], dl: Column, n_rows: Column, avg_dl: Column, dfs: list[Column]) -> Column:
     """Default full-text rank: minus the BM25 sum over phrases (smaller is better)."""
     score = F.lit(0.0)
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / stats["avg_dl"])
-    for i, tf in enumerate(tfs):
-        score = score + idf(stats["n_rows"], stats[f"df_{i}"]) * (tf * (K1 + 1)) / (tf + norm)
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / avg_dl)
+    for tf, df in zip(tfs, dfs):
+        score = score + idf(n_rows, df) * (tf * (K1 + 1)) / (tf + norm)
     return -score
 
 
-def snippet(content: Column, folded: Column, phrases: list[str], tokens: int = SNIPPET_TOKENS,
-            open_mark: str = "[", close_mark: str = "]", ellipsis: str = "..", mode: str = "first",
-            start: Column | None = None) -> Column:
-    """Leading window of ``tokens`` trigram tokens centred on the first hit (step (a) of the
-    snippet rules), clamped to the text; hits wrapped in marks, adjacent hits merged; ``..`` where
-    the text is cut. Without phrases (glob/regex): the first window.
-    """
-    n_tok = token_count(content)
-    live = [p for p in phrases if len(p) >= MIN_PHRASE]
-    if start is not None:  # a window start computed elsewhere (the scored mode)
-        adj = start
-    elif mode == "scored":
-        from .snippets import window_start
-
-        adj = window_start(content, live, tokens)
-    elif live:
-        # when(x > 0, x) rather than nullif: nullif becomes a common-expression node that splits the
-        # projection above the sort and stops the planner from using a top-k (TakeOrderedAndProject)
-        firsts = [F.when(F.instr(folded, fold_literal(p)) > 0, F.instr(folded, fold_literal(p))) for p in live]
-        first = F.least(*firsts) if len(firsts) > 1 else firsts[0]
-        half = None
-        for p, h in zip(live, firsts):
-            k = int((tokens - (len(p) - 2)) / 2)  # C integer division truncates toward zero
-            half = F.when(h == first, F.lit(k)) if half is None else half.when(h == first, F.lit(k))
-        adj = F.coalesce(first - 1 - half.otherwise(F.lit(0)), F.lit(0))
-    else:
-        adj = F.lit(0)
-    if start is None and mode != "scored":
-        adj = F.when(adj + tokens > n_tok, n_tok - tokens).otherwise(adj)
-        adj = F.greatest(adj, F.lit(0))
-    window = F.substring(content, adj + 1, tokens + 2)
-    if live:
-        alt = "|".join("\\Q" + p + "\\E" for p in live)
-        window = F.regexp_replace(window, F.lit("(?iu)((?:" + alt + ")+)"),
-                                  F.lit(_java_repl(open_mark) + "$1" + _java_repl(close_mark)))
-    head = F.when(adj > 0, F.lit(ellipsis)).otherwise(F.lit(""))
-    tail = F.when(adj + tokens >= n_tok, F.lit("")).otherwise(F.lit(ellipsis))
-    return F.concat(head, window, tail)
+# ------------------------------------------------------------------ snippet
 
+def _sentence_starts(content: Column) -> Column:
+    """0-based starts of sentences: 0 and every code point after ``.`` or ``:`` and white space."""
+    ends = F.regexp_extract_all(content, F.lit(r"(?s)(.*?[.:][ \t\n\r]+|.+$)"), 1)
+    starts = F.aggregate(ends, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.length(x)))
+    return F.slice(starts, 1, F.greatest(F.size(starts) - 1, F.lit(1)))
 
-def _java_repl(s: str) -> str:
-    return s.replace("\\", "\\\\").replace("$", "\\$")
 
+def with_snippet_column(rows: DataFrame, phrases: list[str], tokens: int = SNIPPET_TOKENS, open_mark: str = "[",
+                        close_mark: str = "]", ellipsis: str = "..") -> DataFrame:
+    """Adds ``snippet`` to rows with ``content``: the best window of ``tokens`` trigram tokens.
+
+    Every hit proposes the window that starts at it, scored 1000 for the first hit of each phrase
+    inside and 1 for each further hit, and then centred on those hits; in texts longer than the
+    window also the window at the start of its sentence (+120 at the start of the text, +100
+    elsewhere). The best score wins, the first on ties. Hits inside the window are put in marks,
+    overlapping and adjacent ones in one pair, also where the window cuts them; ``..`` stands
+    where text is cut. Without hits the first window is shown.
+    """
+    live = [p for p in phrases if len(p) >= MIN_PHRASE]
+    n_tok = token_count("content")
+    if not live:
+        best = rows.withColumn("_hits", F.expr("cast(array() as array<struct<pos:int,k:int,len:int>>)")).withColumn("_adj", F.lit(0))
+    else:
+        f = fold("content")
+
+        def of_phrase(k: int, p: str) -> Column:
+            return F.transform(hit_positions(f, p), lambda x: F.struct(x.alias("pos"), F.lit(k).alias("k"), F.lit(len(p)).alias("len")))
+
+        each = [of_phrase(k, p) for k, p in enumerate(live)]
+        hits = F.array_sort(F.concat(*each) if len(each) > 1 else each[0])
+        staged = rows.withColumn("_hits", hits).withColumn("_sent", _sentence_starts(F.col("content"))).withColumn("_n", n_tok)
+
+        def inside(start: Column, at: Column) -> Column:
+            # hits are sorted and a window holds at most ``tokens`` starts of each phrase
+            part = F.slice("_hits", at, tokens * len(live))
+            return F.filter(part, lambda h: (h["pos"] >= start) & (h["pos"] < start + tokens))
+
+        def score(held: Column) -> Column:
+            kinds = F.size(F.array_distinct(F.transform(held, lambda h: h["k"])))
+            return kinds * FIRST_HIT + (F.size(held) - kinds) * FURTHER_HIT
+
+        def centred(held: Column, n: Column) -> Column:
+            first, last = F.element_at(held, 1)["pos"], F.element_at(held, -1)
+            spare = F.lit(tokens) - (last["pos"] + last["len"] - 2 - first)
+            adj = first - F.when(spare >= 0, F.floor(spare / 2)).otherwise(F.ceil(spare / 2)).cast("int")
+            adj = F.when(adj + tokens > n, n - tokens).otherwise(adj)
+            return F.greatest(adj, F.lit(0))
+
+        def at_hit(h: Column, i: Column) -> Column:
+            held = inside(h["pos"], i + 1)
+            return F.struct(score(held).alias("score"), (-(2 * i)).alias("order"), centred(held, F.col("_n")).alias("adj"))
+
+        def at_sentence(h: Column, i: Column) -> Column:
+            start = F.array_max(F.filter("_sent", lambda s: s <= h["pos"]))
+            before = F.greatest(i + 1 - tokens * len(live), F.lit(1))
+            part = F.filter(F.slice("_hits", before, 2 * tokens * len(live)), lambda x: (x["pos"] >= start) & (x["pos"] < start + tokens))
+            bonus = F.when(start == 0, TEXT_START).otherwise(SENTENCE_START)
+            ok = (F.col("_n") > tokens) & (start < h["pos"])
+            return F.struct(F.when(ok, score(part) + bonus).otherwise(-1).alias("score"), (-(2 * i + 1)).alias("order"), start.alias("adj"))
+
+        options = F.concat(F.transform("_hits", at_hit), F.transform("_hits", at_sentence))
+        best = staged.withColumn("_best", F.array_max(options)).withColumn("_adj", F.coalesce(F.col("_best.adj"), F.lit(0)))
+    # flags per code point of the window: overlapping and adjacent hits merge by themselves
+    window = F.substring("content", F.col("_adj") + 1, F.lit(tokens + 2))
+    cut = best.withColumn("_w", F.regexp_extract_all(window, F.lit("(?s)."), 0)).withColumn(
+        "_near", F.filter("_hits", lambda h: (h["pos"] + h["len"] > F.col("_adj")) & (h["pos"] < F.col("_adj") + tokens + 2)))
+    cut = cut.withColumn("_on", F.transform("_w", lambda _, i: F.exists("_near", lambda h: (h["pos"] <= F.col("_adj") + i) & (
+        h["pos"] + h["len"] > F.col("_adj") + i))))
+    marked = F.transform("_w", lambda ch, i: F.concat(
+        F.when(F.get("_on", i) & ~F.coalesce(F.get("_on", i - 1), F.lit(False)), F.lit(open_mark)).otherwise(F.lit("")), ch,
+        F.when(F.get("_on", i) & ~F.coalesce(F.get("_on", i + 1), F.lit(False)), F.lit(close_mark)).otherwise(F.lit(""))))
+    head = F.when(F.col("_adj") > 0, F.lit(ellipsis)).otherwise(F.lit(""))
+    tail = F.when(F.col("_adj") + tokens >= n_tok, F.lit("")).otherwise(F.lit(ellipsis))
+    out = cut.withColumn("snippet", F.concat(head, F.array_join(marked, ""), tail))
+    return out.select(*rows.columns, "snippet")
+
+
+# ------------------------------------------------------------------ search
 
 def search(index: DataFrame, query, kind: str = "simple", root: str | None = None,
            prefix_like: bool = False, exclude: str | list[str] | None = None, limit: int | None = 100,
            with_snippet: bool = True, plan: str = "scan", postings: DataFrame | None = None,
-           stats_table: DataFrame | None = None, snippet_mode: str = "first") -> DataFrame:
+           corpus_size: tuple[int, float] | None = None) -> DataFrame:
     """Ranked search over an index ``(id, path, modtime, content)``.
 
     Returns ``(snippet, path, modtime, rank)``; ordered by rank, then newest first, then path.
     ``limit=None`` keeps every hit (no top-k). ``exclude`` takes one pattern or a list; each is
-    tested as ``pattern + '/**'``. ``snippet_mode="first"`` centres the window on the first hit
-    (native); ``"scored"`` scores every hit and sentence-start window (``snippets.py``).
+    tested as ``pattern + '/**'``. ``corpus_size`` is (rows, mean trigram length) of the whole
+    index; the postings plan needs it for a ranked search, since it reads candidate rows only.
     """
     term = make_term(query, kind)
     content, folded = F.col("content"), F.col("_f")
     ranked = kind in ("simple", "match")
     phrases = term.phrases() if ranked else []
+    live = term.positive_phrases() if ranked else []
 
     base = index
     if plan == "postings":
-        if postings is None or not ranked:
-            raise ValueError("postings plan needs a postings table and a simple/match query")
-        base = index.join(_candidate_ids(postings, term), "id", "left_semi")
+        if postings is None:
+            raise ValueError("the postings plan needs a postings table")
+        if ranked and corpus_size is None:
+            raise ValueError("the postings plan needs corpus_size")
+        ids = _ranked_ids(postings, phrases) if ranked else _glob_ids(postings, term, kind)
+        if ids is not None:
+            base = index.join(ids, "id", "left_semi")
     elif plan != "scan":
         raise ValueError(f"unknown plan {plan!r}")
 
-    hits = base.withColumn("_f", fold("content")).where(content_predicate(term, kind, content, folded))
-    scoped = hits.where(in_scope("path", root, prefix_like))
+    wanted = content_predicate(term, kind, content, folded) & in_scope("path", root, prefix_like)
     for pat in [exclude] if isinstance(exclude, str) else (exclude or []):
-        scoped = scoped.where(~search_excluded("path", pat))
-
+        wanted = wanted & ~search_excluded("path", pat)
+    texts = ["content"] if with_snippet and limit is None else []
+    seen = base.withColumn("_f", fold("content"))
     if ranked:
-        if plan == "postings":
-            st = _postings_stats(index, postings, phrases, stats_table)
-        else:
-            stats = corpus_stats(index, phrases)
-            st = stats.select(F.struct(*stats.columns).alias("s")).scalar()
-        tfs = [count_hits(folded, p) for p in phrases]
-        rank = bm25(tfs, token_count(content), st)
+        hits, sizes = _counted(seen, phrases, wanted, folded, texts, corpus_size)
+        n_rows, avg_dl, dfs = sizes
+        tfs = [F.col(f"tf_{i}") for i in range(len(phrases))]
+        rank = bm25(tfs, F.col("dl"), F.lit(n_rows), F.lit(avg_dl), [F.lit(d) for d in dfs]) if n_rows else F.lit(0.0)
+        rows = hits.withColumn("rank", rank)
     else:
-        rank = F.lit(None).cast("double")
+        rows = seen.where(wanted).withColumn("rank", F.lit(None).cast("double"))
+        texts = ["content"] if with_snippet else []
 
-    live = term.positive_phrases() if ranked else []
     order = [F.col("rank").asc_nulls_last(), F.col("modtime").desc(), F.col("path").asc()]
-    cols = ["path", "modtime", "rank"]
-    scored = with_snippet and snippet_mode == "scored"
-    if scored:
-        from .snippets import with_window_start
-        snip = snippet(content, fold("content"), live, start=F.col("_start")).alias("snippet")
-    else:
-        snip = snippet(content, fold("content"), live).alias("snippet")
+    cols = (["snippet"] if with_snippet else []) + ["path", "modtime", "rank"]
     if limit is None:
-        # every hit: cut the snippet first so only short strings travel through the sort
-        rows = scoped.select("path", "modtime", "content", rank.alias("rank"))
-        if scored:
-            rows = with_window_start(rows, live)
-        out = rows.select(*([snip] if with_snippet else []), "path", "modtime", "rank")
-        return out.orderBy(*order).select(*((["snippet"] if with_snippet else []) + cols))
-    # top-k: TakeOrderedAndProject keeps k rows per task; the snippet is cut for those k only
-    top = scoped.select("path", "modtime", "content", rank.alias("rank")).orderBy(*order).limit(limit)
-    if scored:
-        top = with_window_start(top, live)
-    return top.select(*(([snip] if with_snippet else []) + cols))
-
-
-def _candidate_ids(post: DataFrame, term: Term) -> DataFrame:
-    """Ids that may satisfy the term, from the postings alone (E1 as set operations on ids)."""
-    from ..functions import predicates as P
-
-    if isinstance(term, (P.Phrase, P.StartsWith)):
-        return grams.candidates(post, term.text)
-    if isinstance(term, P.Near):
-        return grams.candidates(post, term.first).intersect(grams.candidates(post, term.second))
-    if isinstance(term, P.AllOf):
-        out = _candidate_ids(post, term.terms[0])
-        for t in term.terms[1:]:
-            out = out.intersect(_candidate_ids(post, t))
-        return out
-    if isinstance(term, P.AnyOf):
-        out = _candidate_ids(post, term.terms[0])
-        for t in term.terms[1:]:
-            out = out.union(_candidate_ids(post, t))
-        return out.distinct()
-    if isinstance(term, P.ButNot):
-        # the NOT side is verified on the text; candidates come from the kept side only
-        return _candidate_ids(post, term.keep)
-    raise TypeError(type(term))
-
-
-def _postings_stats(index: DataFrame, post: DataFrame, phrases: list[str], stats_table: DataFrame | None) -> Column:
-    """Same statistics as ``corpus_stats`` but reading only candidate rows for the phrase counts.
-
-    Returned as a struct of scalar subqueries (each one row by construction).
-    """
-    lengths = stats_table if stats_table is not None else grams.doc_stats(index)
-    fields = [
-        lengths.agg(F.count("*")).scalar().alias("n_rows"),
-        lengths.agg(F.avg("dl")).scalar().alias("avg_dl"),
-    ]
-    for i, p in enumerate(phrases):
-        if len(p) < MIN_PHRASE:
-            fields.append(F.lit(0).cast("long").alias(f"df_{i}"))
-            continue
-        cand = index.join(grams.candidates(post, p), "id", "left_semi")
-        fields.append(cand.agg(F.count_if(F.contains(fold("content"), fold_literal(p)))).scalar().alias(f"df_{i}"))
-    return F.struct(*fields)
+        rows = rows.select("path", "modtime", "rank", *texts)
+        # cut the snippet first so only short strings travel through the sort
+        return (with_snippet_column(rows, live) if with_snippet else rows).orderBy(*order).select(*cols)
+    top = rows.select("id", "path", "modtime", "rank", *texts).orderBy(*order).limit(limit)
+    if not with_snippet:
+        return top.select(*cols)
+    if texts:
+        return with_snippet_column(top, live).select(*cols)
+    # the texts of the k rows: their ids become a pushed filter (k is the caller's limit)
+    best = top.collect()
+    if not best:
+        return with_snippet_column(top.withColumn("content", F.lit("")), live).select(*cols)
+    keys = index.sparkSession.createDataFrame([(r.id, r.path, r.modtime, r.rank) for r in best], top.schema)
+    found = index.where(F.col("id").isin(*[r.id for r in best])).select("id", "content")
+    return with_snippet_column(F.broadcast(keys).join(found, "id"), live).orderBy(*order).select(*cols)
+
+
+def _counted(seen: DataFrame, phrases: list[str], wanted: Column, folded: Column, texts: list[str],
+             corpus_size: tuple[int, float] | None) -> tuple[DataFrame, tuple[int, float, list[int]]]:
+    """The one pass over the texts: hit rows written to the shared folder, and (rows, mean length,
+    rows per phrase) observed on the way."""
+    spark = seen.sparkSession
+    obs = Observation()
+    counted = seen.select("id", "path", "modtime", token_count("content").alias("dl"), "content",
+                          *[count_hits(folded, p).alias(f"tf_{i}") for i, p in enumerate(phrases)],
+                          F.coalesce(wanted, F.lit(False)).alias("_wanted"))
+    watched = counted.observe(obs, F.count("*").alias("n"), F.coalesce(F.sum(F.col("dl").cast("long")), F.lit(0)).alias("dl"),
+                              *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(phrases))])
+    path = f"{checkpoint_dir(spark)}/scanlens-hits-{uuid.uuid4().hex}"
+    watched.where("_wanted").drop("_wanted", *([] if texts else ["content"])).write.parquet(path)
+    got = obs.get
+    n, mean = corpus_size or (got["n"], got["dl"] / got["n"] if got["n"] else 0.0)
+    return spark.read.parquet(path), (n, mean, [got[f"df_{i}"] for i in range(len(phrases))])
+
+
+def _ranked_ids(post: DataFrame, phrases: list[str]) -> DataFrame:
+    """Ids that may hold any phrase of the query: enough to count every phrase and to verify the term."""
+    out = None
+    for p in phrases:
+        ids = grams.candidates(post, p)
+        out = ids if out is None else out.union(ids)
+    return out.distinct()
+
+
+def _glob_ids(post: DataFrame, pattern: str, kind: str) -> DataFrame | None:
+    """Ids with all literal runs of a content glob; None where the pattern has none of use."""
+    if kind != "glob":
+        return None
+    out = None
+    for run in content_glob_literals(pattern):
+        if len(run) >= MIN_PHRASE:
+            ids = grams.candidates(post, run)
+            out = ids if out is None else out.intersect(ids)
+    return out
 
 
 def result_lines(results: DataFrame) -> DataFrame:
@@ -230,8 +271,4 @@ def path_list(results: DataFrame) -> DataFrame:
     return results.select("path")
 
 
-def rank_round(c: Column, digits: int = 9) -> Column:
-    return F.round(c, digits)
-
-
-__all__ = ["search", "corpus_stats", "bm25", "snippet", "result_lines", "path_list", "make_term"]
+__all__ = ["search", "corpus_stats", "bm25", "with_snippet_column", "result_lines", "path_list", "make_term"]
