@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_blank_lines
+from ..functions.paths import strip_scheme
+from ..functions.text import DEFAULT_BLACKLIST, collapse_blank_lines, strip_chars
+from ..sources.listing import read_file
 
 RESULT_SCHEMA = "path string, modtime long, content string, error string"
 # Fixed value: page segmentation mode used when the caller gives none.
@@ -22,32 +24,54 @@ DEFAULT_PSM = 11
 
 
 def recognise(images: DataFrame, make_engine: Callable[[dict], Callable[[bytes], str]],
-              options: dict | None = None, content_col: str = "content", partitions: int | None = None) -> DataFrame:
-    """``images (path, modtime, content binary)`` -> ``(path, modtime, content, error)``.
+              options: dict | None = None, content_col: str = "content") -> DataFrame:
+    """``images (path, modtime, content binary)`` -> ``(path, modtime, content, error)`` for images
+    that are in a table already. The characters of ``DEFAULT_BLACKLIST`` (or the option
+    ``tessedit_char_blacklist``) are deleted, and blank lines are collapsed once."""
+    opts = engine_options(options)
 
-    ``partitions`` spreads the images over that many tasks (recognition is CPU-bound per image,
-    while file partitions follow bytes). Blank lines are collapsed once after recognition.
-    """
-    opts = {"psm": str(DEFAULT_PSM), **{k: str(v) for k, v in (options or {}).items()}}
-    src = images.select("path", "modtime", F.col(content_col).alias("bytes"))
-    if partitions:
-        src = src.repartition(partitions)
+    def run(batches):
+        engine = make_engine(opts)
+        for pdf in batches:
+            out = [_one(engine, None if b is None else bytes(b)) for b in pdf["bytes"]]
+            yield pd.DataFrame({"path": pdf["path"], "modtime": pdf["modtime"], "content": [t for t, _ in out], "error": [e for _, e in out]})
+
+    out = images.select("path", "modtime", F.col(content_col).alias("bytes")).mapInPandas(run, RESULT_SCHEMA)
+    return _cleaned(out, opts)
+
+
+def recognise_files(files: DataFrame, make_engine: Callable[[dict], Callable[[bytes], str]], options: dict | None = None) -> DataFrame:
+    """``files (path, modtime)`` -> ``(path, modtime, content, error)``: each file is opened, recognised
+    and forgotten in one task, so image bytes are neither shuffled nor held beyond one file.
+    Spread the paths first (``listing.spread``)."""
+    opts = engine_options(options)
 
     def run(batches):
         engine = make_engine(opts)
         for pdf in batches:
-            texts, errors = [], []
-            for b in pdf["bytes"]:
-                try:
-                    texts.append(engine(bytes(b) if b is not None else b""))
-                    errors.append(None)
-                except Exception as e:  # one bad file: keep going
-                    texts.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"path": pdf["path"], "modtime": pdf["modtime"], "content": texts, "error": errors})
+            for i in range(0, len(pdf), 16):
+                part = pdf.iloc[i:i + 16]
+                out = [_one(engine, read_file(p)) for p in part["path"]]
+                yield pd.DataFrame({"path": part["path"], "modtime": part["modtime"], "content": [t for t, _ in out], "error": [e for _, e in out]})
+
+    return _cleaned(files.select("path", "modtime").mapInPandas(run, RESULT_SCHEMA), opts)
 
-    out = src.mapInPandas(run, RESULT_SCHEMA)
-    return out.withColumn("content", collapse_blank_lines("content"))
+
+def engine_options(options: dict | None) -> dict:
+    return {"psm": str(DEFAULT_PSM), "tessedit_char_blacklist": DEFAULT_BLACKLIST, **{k: str(v) for k, v in (options or {}).items()}}
+
+
+def _one(engine: Callable[[bytes], str], data: bytes | None) -> tuple[str | None, str | None]:
+    if data is None:
+        return None, "OSError: the file cannot be read"
+    try:
+        return engine(data), None
+    except Exception as e:  # one bad file: keep going
+        return None, f"{type(e).__name__}: {e}"
+
+
+def _cleaned(results: DataFrame, opts: dict) -> DataFrame:
+    return results.withColumn("content", collapse_blank_lines(strip_chars("content", opts["tessedit_char_blacklist"])))
 
 
 def succeeded(results: DataFrame) -> DataFrame:
@@ -70,7 +94,7 @@ def check_options(spark, options: dict, known_names: DataFrame, name_col: str =
     """
     given = spark.createDataFrame([(k, str(v)) for k, v in options.items()], "name string, value string")
     unknown = given.join(known_names.select(F.col(name_col).alias("name")), "name", "left_anti")
-    bad = [r.name for r in unknown.limit(20).collect()]
+    bad = sorted(r.name for r in unknown.collect())  # options come from the driver: a few names
     if bad:
         raise UnknownOption(f"unknown engine option(s): {', '.join(bad)}")
     return given.agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("options"))
@@ -79,15 +103,5 @@ def check_options(spark, options: dict, known_names: DataFrame, name_col: str =
 def recognise_one(spark, path: str, make_engine, options: dict | None = None) -> DataFrame:
     """Recognise one file and return its row; nothing is stored."""
     img = spark.read.format("binaryFile").load(path).select(
-        "path", F.floor(F.unix_micros("modificationTime") / 1_000_000).alias("modtime"), "content")
+        strip_scheme("path").alias("path"), F.floor(F.unix_micros("modificationTime") / 1_000_000).alias("modtime"), "content")
     return recognise(img, make_engine, options)
-
-
-def text_engine(options: dict) -> Callable[[bytes], str]:
-    """A stand-in engine: the bytes are UTF-8 text; empty input counts as a damaged file."""
-    def engine(b: bytes) -> str:
-        if not b:
-            raise ValueError("damaged image")
-        return b.decode("utf-8")
-
-    return engine

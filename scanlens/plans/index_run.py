@@ -1,9 +1,8 @@
 """The index run (reference lifecycle 3.1) and the search run (3.2) composed from the operators.
 
-Index run: list → allow-list / exclude / limit → change detection against the current snapshot →
-size filter on files not yet indexed → recognition of those only → upsert → optional cleanup →
-commit. Filters sit below the recognition step on purpose: Catalyst does not push predicates
-through ``mapInPandas``.
+Index run: list → allow-list / exclude / limit → change detection against the current index → size
+filter from header bytes → paths spread over tasks by number → each file opened and recognised in
+its task → one incremental commit of the changed rows and, with cleanup, the deleted paths.
 """
 
 from __future__ import annotations
@@ -32,7 +31,10 @@ class IndexOptions:
     cleanup: bool = False
     max_size: str | None = None  # "WxH"
     engine_options: dict = field(default_factory=dict)
-    partitions: int | None = None
+    #: table of option names the engine knows, column ``name``; without it names are not checked
+    known_options: DataFrame | None = None
+    #: files one recognition task handles, about
+    files_per_task: int = 32
 
 
 @dataclass
@@ -48,30 +50,39 @@ def index_folder(spark: SparkSession, root: str, store: ST.IndexStore, make_engi
         raise ValueError("cleanup cannot be combined with a single-level scan")
     if o.cleanup and o.limit is not None:
         raise ValueError("cleanup with a scan limit would delete everything past the limit")
+    lang = check_language(o.lang)
+    if o.known_options is not None and o.engine_options:
+        R.check_options(spark, o.engine_options, o.known_options)
     current = store.current()
     listed = LS.list_files(spark, root, recursive=o.subdirs, exclude=o.exclude, limit=o.limit)
-    todo = ST.changed_files(listed, current, rescan=o.rescan)
-    imgs = LS.read_bytes(todo.select("path", "modtime"), partitions=o.partitions)
+    todo = ST.changed_files(listed, current, rescan=o.rescan).select("path", "modtime")
+    todo = LS.spread(todo, o.files_per_task)
     if o.max_size:
-        imgs = H.dimensions(imgs).where(within_size("width", "height", o.max_size)).drop("width", "height")
-    res = R.recognise(imgs, make_engine, {"lang": o.lang, **o.engine_options}, partitions=o.partitions)
+        todo = H.file_dimensions(todo).where(within_size("width", "height", o.max_size)).select("path", "modtime")
+    res = R.recognise_files(todo, make_engine, {"lang": lang, **o.engine_options})
     # recognition is the expensive step: materialise it once in the shared checkpoint folder, so the
-    # index, the counts and the failure report read the same rows and a lost executor re-runs nothing
+    # commit, the counts and the failure report read the same rows and a lost executor re-runs nothing
     checkpoint_dir(spark)
     res = res.checkpoint(eager=True)
-    new_index = ST.upsert(current, R.succeeded(res))
-    deleted = 0
-    if o.cleanup:
-        before = new_index
-        new_index = ST.cleanup(new_index, listed, root)
-        deleted = before.count() - new_index.count()
-    version = store.commit(new_index)
+    gone = ST.deleted_paths(current, listed, root.rstrip("/") or "/") if o.cleanup else None
+    done = store.commit_delta(R.succeeded(res), gone)
     counts = res.agg(F.count_if(F.col("error").isNull()).alias("rows_written"),
                      F.count_if(F.col("error").isNotNull()).alias("failed")).first().asDict()
-    counts["deleted"] = deleted
-    return RunReport(version, counts, R.failed(res))
+    counts["deleted"] = gone.count() if gone is not None else 0
+    return RunReport(done.version, counts, R.failed(res))
 
 
-def search_index(store: ST.IndexStore, query, **kwargs) -> DataFrame:
-    """Search the current snapshot (``--no-index``: just read it)."""
-    return S.search(store.current(), query, **kwargs)
+def check_language(code: str) -> str:
+    """The language code in lower case; refused when it is not three ASCII bytes without separators."""
+    if len(code.encode()) != 3 or not code.isascii() or set(code) & set("./\\"):
+        raise ValueError(f"not a language code: {code!r}")
+    return code.lower()
+
+
+def search_index(store: ST.IndexStore, query, kind: str = "simple", **kwargs) -> DataFrame:
+    """Search the current index through its postings and stored sizes (``--no-index``: just read it).
+    A regex has no literal runs to look up and scans."""
+    if kind == "regex":
+        return S.search(store.current(), query, kind=kind, **kwargs)
+    return S.search(store.current(), query, kind=kind, plan="postings", postings=store.postings(),
+                    corpus_size=store.corpus_size(), **kwargs)

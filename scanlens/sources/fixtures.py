@@ -140,19 +140,3 @@ def header_bytes(images_df: DataFrame) -> DataFrame:
             .when(ext == "webp", webp))
     fmt = F.when(ext.isin("jpg", "jpeg"), F.lit("jpeg")).otherwise(ext)
     return images_df.where(hexs.isNotNull()).select("id", "path", fmt.alias("fmt"), F.unhex(hexs).alias("content"))
-
-
-def tiff_bytes(images_df: DataFrame) -> DataFrame:
-    """``(id, n_pages, content)``: a little-endian multi-page TIFF page directory chain per row,
-    ``1 + id % 3`` pages, page k sized ``(width + k, height + 2k)``."""
-    n = (F.col("id") % 3 + 1).cast("int")
-
-    def ifd(k):
-        nxt = F.when(k < n - 1, 8 + 30 * (k + 1)).otherwise(0)
-        return F.concat(F.lit("0200"),
-                        F.lit("00010400"), _hex_le(F.lit(1), 4), _hex_le(F.col("width") + k, 4),
-                        F.lit("01010400"), _hex_le(F.lit(1), 4), _hex_le(F.col("height") + 2 * k, 4),
-                        _hex_le(nxt, 4))
-
-    body = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), ifd), "")
-    return images_df.select("id", n.alias("n_pages"), F.unhex(F.concat(F.lit("49492A0008000000"), body)).alias("content"))

@@ -2,15 +2,16 @@
 
 PNG, GIF and the three WebP variants are fixed-offset fields: read natively from ``hex`` of the
 first bytes. JPEG needs a marker walk and TIFF a linked list of page directories, so those two
-run in vectorised pandas UDFs / ``mapInPandas`` over the binary column — only the first bytes
-are touched, never the pixels.
+walk in Python. ``file_dimensions`` probes files on disk before anything else of them is read.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,37 +73,37 @@ def native_dimensions(content: Column | str) -> Column:
     return F.struct(width.alias("width"), height.alias("height"))
 
 
-def _jpeg_size(b: bytes | None):
-    """Walk JPEG markers to the first start-of-frame; (width, height) or None."""
-    if b is None or len(b) < 4 or b[0] != 0xFF or b[1] != 0xD8:
+def jpeg_size(read: Callable[[int, int], bytes]) -> tuple[int, int] | None:
+    """(width, height) from the first start-of-frame segment, or None.
+
+    ``read(offset, n)`` gives bytes of the file; segments are skipped by their stored length, so only
+    a few bytes of each are read, however long the ones before the frame header are.
+    """
+    if read(0, 2) != b"\xff\xd8":
         return None
-    i = 2
-    n = len(b)
-    while i + 4 <= n:
-        if b[i] != 0xFF:
-            i += 1
-            continue
-        marker = b[i + 1]
-        if marker == 0xFF:
-            i += 1
+    at = 2
+    while True:
+        head = read(at, 4)
+        if len(head) < 2:
+            return None
+        if head[0] != 0xFF or head[1] == 0xFF:  # fill bytes
+            at += 1
             continue
-        if marker in (0xD8, 0x01) or 0xD0 <= marker <= 0xD7:
-            i += 2
+        marker = head[1]
+        if marker == 0x01 or 0xD0 <= marker <= 0xD8:  # no payload
+            at += 2
             continue
-        seg = int.from_bytes(b[i + 2 : i + 4], "big")
+        if marker in (0xD9, 0xDA) or len(head) < 4:  # picture data or the end came first
+            return None
         if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            if i + 9 > n:
-                return None
-            hgt = int.from_bytes(b[i + 5 : i + 7], "big")
-            wid = int.from_bytes(b[i + 7 : i + 9], "big")
-            return wid, hgt
-        i += 2 + seg
-    return None
+            frame = read(at + 5, 4)
+            return (int.from_bytes(frame[2:4], "big"), int.from_bytes(frame[0:2], "big")) if len(frame) == 4 else None
+        at += 2 + int.from_bytes(head[2:4], "big")
 
 
 @F.pandas_udf(T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())]))
 def jpeg_dimensions(content: pd.Series) -> pd.DataFrame:
-    sizes = [_jpeg_size(b) for b in content]
+    sizes = [None if b is None else jpeg_size(lambda o, n, b=b: bytes(b[o:o + n])) for b in content]
     return pd.DataFrame({"width": [s[0] if s else None for s in sizes],
                          "height": [s[1] if s else None for s in sizes]}, dtype="Int64")
 
@@ -113,11 +114,44 @@ def dimensions(df: DataFrame, content_col: str = "content") -> DataFrame:
     c = F.col(content_col)
     nat = native_dimensions(c)
     is_jpeg = image_format(c) == "jpeg"
-    jp = F.when(is_jpeg, jpeg_dimensions(F.when(is_jpeg, F.substring(c, 1, 1 << 16))))
+    jp = F.when(is_jpeg, jpeg_dimensions(F.when(is_jpeg, c)))
     return df.withColumn("width", F.coalesce(nat["width"], jp["width"])).withColumn(
         "height", F.coalesce(nat["height"], jp["height"]))
 
 
+def file_dimensions(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """Adds ``width`` and ``height`` to a table of paths from a few header bytes of each file: the
+    first 64 for fixed-offset formats, a seek from segment to segment for JPEG. The rest of a file
+    is not read; an unreadable file has null sizes."""
+    from .listing import filesystem
+
+    names = [*files.columns, "_head", "_w", "_h"]
+    at = files.columns.index(path_col)
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields] + ["_head binary, _w long, _h long"])
+
+    def probe(path: str) -> tuple[bytes | None, int | None, int | None]:
+        try:
+            fs, inner = filesystem(path)
+            with fs.open_input_file(inner) as f:
+                size = f.size()
+                read = lambda o, n: f.read_at(min(n, size - o), o) if o < size else b""
+                w, h = jpeg_size(read) or (None, None)
+                return read(0, HEAD_BYTES), w, h
+        except OSError:
+            return None, None, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [probe(p) for p in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64()),
+                 pa.array([g[2] for g in got], pa.int64())], names=names)
+
+    native = native_dimensions("_head")
+    return (files.mapInArrow(run, ddl).withColumn("width", F.coalesce(native["width"], "_w"))
+            .withColumn("height", F.coalesce(native["height"], "_h")).drop("_head", "_w", "_h"))
+
+
 # ---------------------------------------------------------------- TIFF pages
 
 TIFF_PAGE_SCHEMA = "page int, width long, height long"

@@ -1,21 +1,80 @@
-"""Folder listing (S1-S6, P3, Q14): file metadata only — the bytes are pruned from the scan."""
+"""Folder listing (S1-S6, P3) and reading of listed files, both inside tasks.
+
+The walk goes level by level: the folders of a level are spread over tasks, each task lists its
+folders and returns files and subfolders, and the level is written to the shared folder. The driver
+only learns whether there is a next level, so neither file names nor statuses gather there. Every
+entry is seen, also names that start with ``.`` or ``_`` and empty files.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.paths import (IMAGE_EXTENSIONS, at_depth_one, exclude_patterns, excluded,
-                               has_allowed_extension, strip_scheme)
+from ..functions.paths import IMAGE_EXTENSIONS, exclude_patterns, excluded, has_allowed_extension
+from ..session import checkpoint_dir
+
+ENTRY_SCHEMA = "path string, modtime long, length long, is_dir boolean, error string"
+
+
+def filesystem(path: str):
+    """(file system, path inside it) for a plain path or a URI."""
+    from pyarrow import fs as pafs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    # plain paths stay as they are (spaces and % are legal in names); URIs are parsed
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs as pafs
+
+    names = ["path", "modtime", "length", "is_dir", "error"]
+    types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+
+    def rows(part: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate(types)], names=names)
 
-LISTING_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            prefix = folder[:folder.index("://") + 3] if "://" in folder else ""
+            try:
+                fs, inner = filesystem(folder)
+                found = fs.get_file_info(pafs.FileSelector(inner, recursive=False))
+            except OSError as e:  # an unreadable folder is reported and left out
+                yield rows([(folder, None, None, None, f"{type(e).__name__}: {e}")])
+                continue
+            for i in range(0, len(found), 10_000):
+                yield rows([(prefix + f.path, f.mtime_ns // 1_000_000_000 if f.mtime_ns is not None else None, f.size,
+                             f.type == pafs.FileType.Directory, None)
+                            for f in found[i:i + 10_000] if f.type != pafs.FileType.NotFound])
+
+
+def walk(spark: SparkSession, root: str, recursive: bool = True, patterns: list[str] | None = None) -> DataFrame:
+    """All entries under ``root`` as ``ENTRY_SCHEMA``; excluded folders are not entered."""
+    base = f"{checkpoint_dir(spark)}/scanlens-walk-{uuid.uuid4().hex}"
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, level, paths = spark.createDataFrame([(root,)], "path string"), 0, []
+    while True:
+        found = folders.repartition(tasks).mapInArrow(_entries, ENTRY_SCHEMA)
+        if patterns:
+            found = found.where(F.col("error").isNotNull() | ~excluded("path", root, patterns))
+        paths.append(f"{base}/{level:06d}")
+        found.write.parquet(paths[-1])
+        folders = spark.read.schema(ENTRY_SCHEMA).parquet(paths[-1]).where("is_dir").select("path")
+        if not recursive or folders.isEmpty():
+            return spark.read.schema(ENTRY_SCHEMA).parquet(*paths)
+        level += 1
 
 
 def list_files(spark: SparkSession, root: str, recursive: bool = True, extensions=IMAGE_EXTENSIONS,
-               exclude: list[str] | None = None, builtin_excludes: bool = True, limit: int | None = None,
-               with_content: bool = False) -> DataFrame:
-    """``(path, modtime, length[, content])`` for the files under ``root`` that would be indexed.
+               exclude: list[str] | None = None, builtin_excludes: bool = True, limit: int | None = None) -> DataFrame:
+    """``(path, modtime, length)`` for the files under ``root`` that would be indexed.
 
     * extension allow-list, case-sensitive (``.JPG`` is not ``jpg``);
     * exclude patterns (glob, ``*``/``?`` cross ``/``) pruning whole subtrees, built-ins
@@ -23,61 +82,56 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True, extension
     * ``recursive=False`` keeps files directly in ``root``;
     * ``limit`` keeps the first ``limit`` files in path order (deterministic, unlike a walk);
     * modtime is whole epoch seconds; ``file:`` is stripped from paths;
-    * unreadable entries are skipped (``ignoreMissingFiles`` / ``ignoreCorruptFiles``).
-
-    Names starting with ``.`` or ``_`` are skipped by Spark's file listing (a known gap).
+    * unreadable folders are skipped (``walk`` returns them with their error).
     """
-    r = root.rstrip("/") or "/"
-    reader = (spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
-              .option("ignoreCorruptFiles", "true"))
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    if extensions:
-        reader = reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
-    raw = reader.load(r)
-    cols = [strip_scheme("path").alias("path"),
-            F.floor(F.unix_micros("modificationTime") / 1_000_000).alias("modtime"), "length"]
-    if with_content:
-        cols.append("content")
-    out = raw.select(*cols)
+    r = root
+    if r.startswith("file:"):
+        r = "/" + r[5:].lstrip("/")
+    r = r.rstrip("/") or "/"
+    entries = walk(spark, r, recursive, exclude_patterns(exclude or [], builtin_excludes))
+    out = entries.where("error is null and not is_dir").select("path", "modtime", "length")
     if extensions:
         out = out.where(has_allowed_extension("path", extensions))
-    if not recursive:
-        out = out.where(at_depth_one("path", r))
-    pats = exclude_patterns(exclude or [], builtin_excludes)
-    if pats:
-        out = out.where(~excluded("path", r, pats))
     if limit is not None:
         out = out.orderBy("path").limit(limit)
     return out
 
 
-def read_bytes(files: DataFrame, path_col: str = "path", partitions: int | None = None) -> DataFrame:
-    """Adds ``content binary`` to a table of file paths by opening each listed file in its task.
+def spread(files: DataFrame, per_task: int = 32) -> DataFrame:
+    """Paths dealt over tasks by number, so that slow work per file fans out however few bytes the
+    paths take; the count reads the (narrow) list of paths only."""
+    n = files.count()
+    return files.repartition(max(1, -(-n // per_task)))
+
 
-    Only the listed files are read (``binaryFile`` cannot push a path filter, so re-reading the
-    folder with content would read every file). Works on any table of paths — also names that
-    Spark's listing skips — and any file system ``pyarrow.fs`` knows. An unreadable file gets a
+def read_file(path: str) -> bytes | None:
+    """The bytes of a file; None when it is missing or unreadable."""
+    try:
+        fs, inner = filesystem(path)
+        with fs.open_input_stream(inner) as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def read_bytes(files: DataFrame, path_col: str = "path", budget: int = 64 << 20) -> DataFrame:
+    """Adds ``content binary`` by opening each listed file in its task, one batch per ``budget`` bytes.
+
+    Works on any table of paths and any file system ``pyarrow.fs`` knows. An unreadable file gets a
     null ``content``; recognition then records it as an error row.
     """
-    src = files.repartition(partitions) if partitions else files
-    schema = T.StructType(src.schema.fields + [T.StructField("content", T.BinaryType())])
-
-    def run(batches):
-        from pyarrow import fs as pafs
-
-        local = pafs.LocalFileSystem()
-        for pdf in batches:
-            out = []
-            for p in pdf[path_col]:
-                try:
-                    # plain paths stay as they are (spaces and % are legal in names); URIs are parsed
-                    fsys, inner = (pafs.FileSystem.from_uri(p) if "://" in p else (local, p))
-                    with fsys.open_input_stream(inner) as f:
-                        out.append(f.read())
-                except Exception:  # missing or unreadable: leave it to the error column
-                    out.append(None)
-            pdf["content"] = out
-            yield pdf
-
-    return src.mapInPandas(run, schema)
+    names = [*files.columns, "content"]
+    at = files.columns.index(path_col)
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields] + ["content binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held, size = 0, [], 0
+            for i, p in enumerate(batch.column(at).to_pylist()):
+                held.append(read_file(p) if p is not None else None)
+                size += len(held[-1] or b"")
+                if size >= budget or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(held)).columns, pa.array(held, pa.binary())], names=names)
+                    start, held, size = i + 1, [], 0
+
+    return files.mapInArrow(run, ddl)

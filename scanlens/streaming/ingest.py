@@ -1,18 +1,19 @@
 """Continuous ingestion (T1): the index job as a Structured Streaming query.
 
-A file source feeds new images in micro-batches of at most ``max_files_per_trigger`` files (the
-reference's chunk of 900); each batch goes through change detection, recognition and the upsert,
-and is committed as a new snapshot by ``foreachBatch``. A ``trigger(availableNow=True)`` run
-processes what is there and stops, so it can run as a scheduled job; the checkpoint makes a
-restarted run continue after the last committed batch.
+A source of rows feeds micro-batches; each goes through change detection and becomes one incremental
+commit of its changed rows (``IndexStore.commit_delta``), so the cost of a batch follows the batch.
+For image files the stream carries paths only: bytes are read in the task that recognises them, and
+rows that failed go to a table of failures beside the index.
 
+A ``trigger(availableNow=True)`` run processes what is there and stops, so it can run as a
+scheduled job; the checkpoint makes a restarted run continue after the last committed batch.
 File sources do not report deletions and do not re-deliver a file changed after it was seen, so
 cleanup (and catching in-place edits) stays with the batch index run.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,52 +22,44 @@ from ..functions.paths import IMAGE_EXTENSIONS, has_allowed_extension, strip_sch
 from ..operators import recognise as R
 from ..operators import store as ST
 from ..session import checkpoint_dir
-from ..sources import fixtures as fx
+from ..sources import listing as LS
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def _process(store: ST.IndexStore, make_engine, options, partitions):
+def ingest_rows(rows: DataFrame, store: ST.IndexStore, checkpoint: str):
+    """Run a stream of ``(path, modtime, content)`` texts into ``store``, one commit per batch."""
+
     def run(batch: DataFrame, epoch_id: int) -> None:
-        current = store.current()
-        todo = ST.changed_files(batch, current)
-        # the upsert reads the results several times (paths, known rows, new rows): materialise the
-        # recognition once in the shared checkpoint folder so no engine runs twice for a file
-        res = R.recognise(todo, make_engine, options, partitions=partitions).checkpoint(eager=True)
-        ok = R.succeeded(res)
-        store.commit(ST.upsert(current, ok))
+        todo = ST.changed_files(batch, store.current()).select("path", "modtime", "content")
+        store.commit_delta(todo)
+
+    return _finish(rows, run, checkpoint)
+
 
-    return run
+def _finish(rows: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str):
+    q = rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
 
 
 def ingest_files(spark: SparkSession, root: str, store: ST.IndexStore, make_engine, options: dict | None = None,
-                 checkpoint: str | None = None, max_files_per_trigger: int = 900, partitions: int | None = None):
-    """Start (and, with ``availableNow``, finish) a stream of image files under ``root`` into ``store``."""
-    ck = checkpoint or f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+                 checkpoint: str | None = None, max_files_per_trigger: int = 900, files_per_task: int = 32):
+    """Run the image files under ``root`` into ``store``, at most ``max_files_per_trigger`` per commit.
+    Failed files are appended to ``<store>/failures`` (path, modtime, error)."""
     src = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
            .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files_per_trigger)
            .option("pathGlobFilter", "*.{" + ",".join(IMAGE_EXTENSIONS) + "}").load(root))
     files = src.select(strip_scheme("path").alias("path"),
-                       F.floor(F.unix_micros("modificationTime") / 1_000_000).alias("modtime"), "content")
+                       F.floor(F.unix_micros("modificationTime") / 1_000_000).alias("modtime"))
     files = files.where(has_allowed_extension("path"))
-    q = (files.writeStream.foreachBatch(_process(store, make_engine, options, partitions))
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
 
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        todo = LS.spread(ST.changed_files(batch, store.current()).select("path", "modtime"), files_per_task)
+        checkpoint_dir(spark)
+        # the commit reads the results several times: no engine runs twice for a file
+        res = R.recognise_files(todo, make_engine, options).checkpoint(eager=True)
+        R.failed(res).write.mode("append").parquet(f"{store.base.rstrip('/')}/failures")
+        store.commit_delta(R.succeeded(res))
 
-def ingest_documents_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """The same streaming job fed by the driver's ``documents`` table as a file stream: each
-    document becomes an image row (FIXTURES F1) whose bytes are its UTF-8 text, recognised by the
-    text engine, upserted and committed per micro-batch. Returns the final index."""
-    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    store = ST.IndexStore(spark, f"{base}/index")
-    schema = fx.load(spark, sf_dir, "documents").schema
-    docs = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-            .option("pathGlobFilter", "documents.parquet").parquet(sf_dir.rstrip("/")))
-    imgs = fx.images_from_documents(docs).where(has_allowed_extension("path"))
-    files = imgs.select("path", "modtime", F.encode("content", "UTF-8").alias("content"))
-    q = (files.writeStream.foreachBatch(_process(store, R.text_engine, {}, None))
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return store.current().select("id", "path", "modtime", F.md5("content").alias("content_md5"))
+    return _finish(files, run, checkpoint or f"{store.base.rstrip('/')}/ingest")
