@@ -8,16 +8,17 @@ Box containment joins never pair every box with every word of an image: boxes ar
 over the horizontal bands they span and words go to the band of their top edge, so the join is
 an equi-join on ``(image_id, page, band)`` plus the containment test.
 
-Documents per page (page text, hOCR, ALTO) are built bottom-up — words to lines to paragraphs
-to blocks to the page — after one shuffle by ``(image_id, page)``; each later level groups by a
-superset of those keys, so it stays inside the partition. One page is one value, so one page is
-one task; a page's words are bounded by what the page can hold.
+Forms per page (TSV, hOCR, ALTO) come from one tree per page (``page_trees``): words are read once and
+shuffled once by ``(image_id, page)``, then rolled up to lines, paragraphs, blocks and the page inside
+the partition, boxes by min and max of the level below. One page is one value, so one page is one
+task; a page's words are bounded by what the page can hold. Pages without words keep their row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 PAGE = ["image_id", "page"]
 LEVEL_KEYS = {
@@ -25,12 +26,13 @@ LEVEL_KEYS = {
     "para": ["block", "par"],
     "textline": ["block", "par", "line"],
     "word": ["block", "par", "line", "word"],
+    "symbol": ["block", "par", "line", "word", "symbol"],
 }
 BAND = 64  # band height (pixels) for containment joins
 
 
-def _ordered_join(items: Column, order_fields: list[str], value: str, sep: str) -> Column:
-    """``array_join`` of ``value`` over a collected struct array sorted by ``order_fields``."""
+def _ordered_join(items: Column, value: str, sep: str) -> Column:
+    """``array_join`` of ``value`` over a collected struct array in the order of its first fields."""
     return F.array_join(F.transform(F.array_sort(items), lambda s: s[value]), sep)
 
 
@@ -53,9 +55,14 @@ def word_confs(words: DataFrame) -> DataFrame:
 
 
 def component_boxes(words: DataFrame, level: str = "textline", text_only: bool = True) -> DataFrame:
-    """Bounding boxes of the components at ``level`` (block, para, textline, word) in reading
+    """Bounding boxes of the components at ``level`` (block, para, textline, word, symbol) in reading
     order: ``(image_id, page, <level keys>, left, top, width, height, n_words)``. Boxes are
-    built from the words, so every box holds text (``text_only`` is kept for the signature)."""
+    built from the words, so every box holds text (``text_only`` is kept for the signature).
+    Symbols split their word's box evenly and are numbered from 0."""
+    if level == "symbol":
+        x0, x1 = _symbol_edges()
+        return _symbols(words).select(*PAGE, *LEVEL_KEYS["word"], F.col("i").alias("symbol"), x0.alias("left"), "top",
+                                      (x1 - x0).alias("width"), "height", F.lit(1).cast("long").alias("n_words"))
     keys = PAGE + LEVEL_KEYS[level]
     right, bottom = F.col("left") + F.col("width"), F.col("top") + F.col("height")
     return words.groupBy(*keys).agg(
@@ -76,15 +83,19 @@ def line_texts(words: DataFrame) -> DataFrame:
     """``(image_id, page, block, par, line, text)``: words of a line joined by one space."""
     keys = PAGE + LEVEL_KEYS["textline"]
     agg = words.groupBy(*keys).agg(_collect(["word"], F.col("text")).alias("x"))
-    return agg.select(*keys, _ordered_join(F.col("x"), ["word"], "v", " ").alias("text"))
+    return agg.select(*keys, _ordered_join(F.col("x"), "v", " ").alias("text"))
 
 
-def page_text(words: DataFrame) -> DataFrame:
-    """Plain text of each page: every line followed by a newline, in reading order."""
+def page_text(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Plain text of each page: every line followed by a newline, in reading order. With ``pages``
+    every page has a row, one without words the empty text."""
     lines = line_texts(words.repartition(*PAGE))
     order = LEVEL_KEYS["textline"]
     agg = lines.groupBy(*PAGE).agg(_collect(order, F.concat("text", F.lit("\n"))).alias("x"))
-    return agg.select(*PAGE, _ordered_join(F.col("x"), order, "v", "").alias("text"))
+    text = agg.select(*PAGE, _ordered_join(F.col("x"), "v", "").alias("text"))
+    if pages is None:
+        return text
+    return pages.select(*PAGE).join(text, PAGE, "left").select(*PAGE, F.coalesce("text", F.lit("")).alias("text"))
 
 
 # ---------------------------------------------------------------- J6, J7
@@ -120,10 +131,10 @@ def text_in_boxes(words: DataFrame, boxes: DataFrame, box_keys: list[str]) -> Da
     lines = hit.groupBy(*keys, *line_keys).agg(
         _collect(["word"], F.col("text")).alias("x"), F.sum("conf").alias("cs"), F.count("*").alias("n"))
     lines = lines.select(*keys, *line_keys, "cs", "n",
-                         F.concat(_ordered_join(F.col("x"), ["word"], "v", " "), F.lit("\n")).alias("lt"))
+                         F.concat(_ordered_join(F.col("x"), "v", " "), F.lit("\n")).alias("lt"))
     agg = lines.groupBy(*keys).agg(_collect(line_keys, F.col("lt")).alias("x"),
                                    F.sum("cs").alias("cs"), F.sum("n").alias("n_words"))
-    return agg.select(*keys, _ordered_join(F.col("x"), line_keys, "v", "").alias("text"),
+    return agg.select(*keys, _ordered_join(F.col("x"), "v", "").alias("text"),
                       F.floor(F.col("cs") / F.col("n_words")).cast("int").alias("mean_conf"), "n_words")
 
 
@@ -147,37 +158,82 @@ def _tsv(level: int, page, block, par, line, word, left, top, width, height, con
     return F.concat_ws("\t", *[p.cast("string") for p in parts], text)
 
 
+def page_trees(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """``pages`` with column ``blocks``: array of (block, l, t, r, b, paras: array of (par, l, t, r, b, lines:
+    array of (line, l, t, r, b, words: array of (word, left, top, width, height, conf, text)))), every
+    array in reading order, empty for a page without words."""
+    edges = [F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b")]
+
+    def up(rows: DataFrame, keys: list[str], child: str, fields: list[str], name: str) -> DataFrame:
+        items = F.array_sort(F.collect_list(F.struct(child, *fields)))
+        return rows.groupBy(*PAGE, *keys).agg(*edges, items.alias(name))
+
+    w = words.repartition(*PAGE).select(
+        *PAGE, "block", "par", "line", "word", "left", "top", "width", "height", "conf", "text", F.col("left").alias("l"),
+        F.col("top").alias("t"), (F.col("left") + F.col("width")).alias("r"), (F.col("top") + F.col("height")).alias("b"))
+    box = ["l", "t", "r", "b"]
+    lines = up(w, ["block", "par", "line"], "word", ["left", "top", "width", "height", "conf", "text"], "words")
+    paras = up(lines, ["block", "par"], "line", [*box, "words"], "lines")
+    blocks = up(paras, ["block"], "par", [*box, "lines"], "paras")
+    tree = up(blocks, [], "block", [*box, "paras"], "blocks").select(*PAGE, "blocks")
+    none = F.array().cast(tree.schema["blocks"].dataType)
+    return pages.join(tree, PAGE, "left").withColumn("blocks", F.coalesce("blocks", none))
+
+
 def tsv_rows(words: DataFrame, pages: DataFrame) -> DataFrame:
     """TSV rows for every level (1 page .. 5 word), with their ordering keys:
     ``(image_id, level, page, block, par, line, word, tsv)``. Sort by the keys to print a page."""
-    z = F.lit(0)
-    m1 = F.lit(-1)
-    out = [pages.select("image_id", F.lit(1).alias("level"), "page", z.alias("block"), z.alias("par"), z.alias("line"),
-                        z.alias("word"), _tsv(1, F.col("page"), z, z, z, z, z, z, F.col("page_width"), F.col("page_height"),
-                                              m1, F.lit("")).alias("tsv"))]
-    for lvl, level in ((2, "block"), (3, "para"), (4, "textline")):
-        keys = LEVEL_KEYS[level]
-        b = component_boxes(words, level)
-        k = {c: (F.col(c) if c in keys else z) for c in ("block", "par", "line")}
-        out.append(b.select("image_id", F.lit(lvl).alias("level"), "page", k["block"].alias("block"), k["par"].alias("par"),
-                            k["line"].alias("line"), z.alias("word"),
-                            _tsv(lvl, F.col("page"), k["block"], k["par"], k["line"], z, F.col("left"), F.col("top"),
-                                 F.col("width"), F.col("height"), m1, F.lit("")).alias("tsv")))
-    out.append(words.select("image_id", F.lit(5).alias("level"), "page", "block", "par", "line", "word",
-                            _tsv(5, *[F.col(c) for c in TSV_COLUMNS[1:]]).alias("tsv")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    z, m1 = F.lit(0), F.lit(-1)
+    pg = F.col("page")
+
+    def row(level: int, block, par, line, word, left, top, width, height, conf=m1, text=F.lit("")) -> Column:
+        return F.struct(F.lit(level).alias("level"), *[c.cast("int").alias(n) for n, c in (
+            ("block", block), ("par", par), ("line", line), ("word", word))],
+            _tsv(level, pg, block, par, line, word, left, top, width, height, conf, text).alias("tsv"))
+
+    def box(x: Column) -> list[Column]:
+        return [x["l"], x["t"], x["r"] - x["l"], x["b"] - x["t"]]
+
+    def under(own: Column, children: Column, one) -> Column:
+        return F.concat(F.array(own), F.flatten(F.transform(children, one)))
+
+    def of_line(b, p):
+        return lambda ln: F.concat(F.array(row(4, b["block"], p["par"], ln["line"], z, *box(ln))), F.transform(ln["words"], lambda w: row(
+            5, b["block"], p["par"], ln["line"], w["word"], w["left"], w["top"], w["width"], w["height"], w["conf"], w["text"])))
+
+    def of_par(b):
+        return lambda p: under(row(3, b["block"], p["par"], z, z, *box(p)), p["lines"], of_line(b, p))
+
+    def of_block(b):
+        return under(row(2, b["block"], z, z, z, *box(b)), b["paras"], of_par(b))
+
+    page = row(1, z, z, z, z, z, z, F.col("page_width"), F.col("page_height"))
+    rows = page_trees(words, pages).select("image_id", "page", F.explode(under(page, F.col("blocks"), of_block)).alias("x"))
+    return rows.select("image_id", "x.level", "page", "x.block", "x.par", "x.line", "x.word", "x.tsv")
+
+
+def _tsv_lines(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
+    lines = df.select(*keys, F.explode(F.split(col, "\r?\n")).alias("tsv")).where(F.col("tsv") != "")
+    f = F.split("tsv", "\t", 12)
+    numbers = [F.get(f, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(TSV_COLUMNS[:11])]
+    rows = lines.select(*keys, "tsv", *numbers, F.get(f, F.lit(11)).alias("text"))
+    good = F.col("level").isNotNull()
+    for n in TSV_COLUMNS[1:11]:
+        good = good & F.col(n).isNotNull()
+    return rows.withColumn("_good", good)
 
 
 def tsv_parse(df: DataFrame, col: str = "tsv", keys: list[str] = ("image_id",)) -> DataFrame:
-    """Read TSV text (one line per row or whole documents) back into the words table (level 5)."""
-    lines = df.select(*keys, F.explode(F.split(col, "\n")).alias("l")).where(F.col("l") != "")
-    f = F.split("l", "\t", 12)
-    ints = [f[i].cast("int").alias(n) for i, n in enumerate(TSV_COLUMNS[:11])]
-    parsed = lines.select(*keys, *ints, f[11].alias("text"))
-    return parsed.where(F.col("level") == 5).drop("level")
+    """Read TSV text (one line per row or whole documents) back into the words table (level 5).
+    A confidence may have a fraction (it is cut); header lines and lines without eleven numbers
+    are left out, ``tsv_bad_lines`` returns them."""
+    parsed = _tsv_lines(df, col, list(keys)).where(F.col("_good") & (F.col("level") == 5))
+    return parsed.select(*keys, *[F.col(n).cast("int").alias(n) for n in TSV_COLUMNS[1:11]], F.coalesce("text", F.lit("")).alias("text"))
+
+
+def tsv_bad_lines(df: DataFrame, col: str = "tsv", keys: list[str] = ("image_id",)) -> DataFrame:
+    """``(<keys>, tsv)``: the lines that ``tsv_parse`` does not take, header lines aside."""
+    return _tsv_lines(df, col, list(keys)).where(~F.col("_good") & ~F.col("tsv").startswith("level\t")).select(*keys, "tsv")
 
 
 # ---------------------------------------------------------------- L3 hOCR, L4 ALTO
@@ -198,60 +254,86 @@ def _bbox(l, t, w, h) -> Column:
     return F.format_string("bbox %d %d %d %d", l, t, l + w, t + h)
 
 
-def _nest(rows: DataFrame, keys: list[str], child_keys: list[str], value: str, open_fmt, close: str, sep: str) -> DataFrame:
-    """Group ``rows`` by ``keys``, join child strings in ``child_keys`` order, wrap in open/close."""
-    agg = rows.groupBy(*keys).agg(_collect(child_keys, F.col(value)).alias("x"))
-    return agg.select(*keys, F.concat(open_fmt, _ordered_join(F.col("x"), child_keys, "v", sep), F.lit(close)).alias(value))
-
-
-def _boxes_for(words: DataFrame, level: str) -> DataFrame:
-    return component_boxes(words, level)
+def _edges(x: Column) -> Column:
+    return F.format_string("bbox %d %d %d %d", x["l"], x["t"], x["r"], x["b"])
 
 
 def hocr_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
     """One hOCR document fragment per page: ``(image_id, page, hocr)``."""
-    w = words.repartition(*PAGE)
-    p, b, pa, li = F.col("page"), F.col("block"), F.col("par"), F.col("line")
-    wd = w.select(*PAGE, "block", "par", "line", "word", F.concat(
-        F.format_string("<span class='ocrx_word' id='word_%d_%d_%d_%d_%d' title='", p, b, pa, li, F.col("word")),
-        _bbox(F.col("left"), F.col("top"), F.col("width"), F.col("height")),
-        F.format_string("; x_wconf %d'>", F.col("conf")), _xml_escape(F.col("text")), F.lit("</span>")).alias("h"))
-    lb = _boxes_for(w, "textline")
-    ln = _nest(wd, PAGE + ["block", "par", "line"], ["word"], "h", F.lit(""), "", " ")
-    ln = ln.join(lb, PAGE + ["block", "par", "line"]).select(*PAGE, "block", "par", "line", F.concat(
-        F.format_string("<span class='ocr_line' id='line_%d_%d_%d_%d' title=\"", p, b, pa, li),
-        _bbox(F.col("left"), F.col("top"), F.col("width"), F.col("height")), F.lit("\">"), F.col("h"), F.lit("</span>")).alias("h"))
-    pb = _boxes_for(w, "para")
-    par = _nest(ln, PAGE + ["block", "par"], ["line"], "h", F.lit(""), "", "\n")
-    par = par.join(pb, PAGE + ["block", "par"]).select(*PAGE, "block", "par", F.concat(
-        F.format_string("<p class='ocr_par' id='par_%d_%d_%d' title=\"", p, b, pa),
-        _bbox(F.col("left"), F.col("top"), F.col("width"), F.col("height")), F.lit("\">\n"), F.col("h"), F.lit("\n</p>")).alias("h"))
-    bb = _boxes_for(w, "block")
-    blk = _nest(par, PAGE + ["block"], ["par"], "h", F.lit(""), "", "\n")
-    blk = blk.join(bb, PAGE + ["block"]).select(*PAGE, "block", F.concat(
-        F.format_string("<div class='ocr_carea' id='block_%d_%d' title=\"", p, b),
-        _bbox(F.col("left"), F.col("top"), F.col("width"), F.col("height")), F.lit("\">\n"), F.col("h"), F.lit("\n</div>")).alias("h"))
-    pg = _nest(blk, PAGE, ["block"], "h", F.lit(""), "", "\n")
-    return pg.join(pages, PAGE).select(*PAGE, F.concat(
+    pg = F.col("page")
+
+    def of_word(b, p, ln):
+        return lambda w: F.concat(
+            F.format_string("<span class='ocrx_word' id='word_%d_%d_%d_%d_%d' title='", pg, b["block"], p["par"], ln["line"], w["word"]),
+            _bbox(w["left"], w["top"], w["width"], w["height"]), F.format_string("; x_wconf %d'>", w["conf"]),
+            _xml_escape(w["text"]), F.lit("</span>"))
+
+    def of_line(b, p):
+        return lambda ln: F.concat(
+            F.format_string("<span class='ocr_line' id='line_%d_%d_%d_%d' title=\"", pg, b["block"], p["par"], ln["line"]), _edges(ln),
+            F.lit('">'), F.array_join(F.transform(ln["words"], of_word(b, p, ln)), " "), F.lit("</span>"))
+
+    def of_par(b):
+        return lambda p: F.concat(
+            F.format_string("<p class='ocr_par' id='par_%d_%d_%d' title=\"", pg, b["block"], p["par"]), _edges(p),
+            F.lit('">\n'), F.array_join(F.transform(p["lines"], of_line(b, p)), "\n"), F.lit("\n</p>"))
+
+    def of_block(b):
+        return F.concat(F.format_string("<div class='ocr_carea' id='block_%d_%d' title=\"", pg, b["block"]), _edges(b),
+                        F.lit('">\n'), F.array_join(F.transform(b["paras"], of_par(b)), "\n"), F.lit("\n</div>"))
+
+    return page_trees(words, pages).select(*PAGE, F.concat(
         F.format_string("<div class='ocr_page' id='page_%d' title='image \"%d\"; bbox 0 0 %d %d; ppageno %d'>\n",
-                        p, F.col("image_id"), F.col("page_width"), F.col("page_height"), p - 1),
-        F.col("h"), F.lit("\n</div>\n")).alias("hocr"))
+                        pg, F.col("image_id"), F.col("page_width"), F.col("page_height"), pg - 1),
+        F.array_join(F.transform("blocks", of_block), "\n"), F.lit("\n</div>\n")).alias("hocr"))
 
 
-_HOCR_WORD = ("<span class='ocrx_word' id='word_(\\d+)_(\\d+)_(\\d+)_(\\d+)_(\\d+)' "
-              "title='bbox (\\d+) (\\d+) (\\d+) (\\d+); x_wconf (\\d+)'>([^<]*)</span>")
+# hOCR classes of each level.
+HOCR_LEVELS = {"page": ["ocr_page"], "block": ["ocr_carea"], "par": ["ocr_par"],
+               "line": ["ocr_line", "ocr_header", "ocr_caption", "ocr_textfloat"], "word": ["ocrx_word"]}
+_HOCR_TAG = (r"<(?:div|p|span)\b[^>]*\bclass\s*=\s*['\"](?:" + "|".join(c for cs in HOCR_LEVELS.values() for c in cs)
+             + r")['\"][^>]*>[^<]*(?:<(?!/?(?:div|p|span)\b)[^<]*)*")
+
+
+def _nested_numbers(tags: DataFrame, levels: list[str]) -> DataFrame:
+    """``tags`` (_doc, _at, level) with, per level, the number of that element inside its parent,
+    counted in document order: running counts that start anew in every parent."""
+    outer: list[str] = []
+    for level in levels:
+        w = Window.partitionBy("_doc", *outer).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        tags = tags.withColumn(f"_n_{level}", F.sum(F.when(F.col("level") == level, 1).otherwise(0)).over(w))
+        outer.append(f"_n_{level}")
+    return tags
 
 
 def hocr_parse(df: DataFrame, col: str = "hocr", keys: list[str] = ("image_id",)) -> DataFrame:
-    """Words back from hOCR: ids give page/block/par/line/word, bbox gives the box."""
-    g = {n: F.regexp_extract_all(col, F.lit(_HOCR_WORD), i + 1) for i, n in enumerate(
-        ["page", "block", "par", "line", "word", "x0", "y0", "x1", "y1", "conf", "text"])}
-    z = df.select(*keys, F.inline(F.arrays_zip(*[v.alias(n) for n, v in g.items()])))
-    ints = {n: F.col(n).cast("int") for n in ["page", "block", "par", "line", "word", "x0", "y0", "x1", "y1", "conf"]}
-    return z.select(*keys, ints["page"].alias("page"), ints["block"].alias("block"), ints["par"].alias("par"),
-                    ints["line"].alias("line"), ints["word"].alias("word"), ints["x0"].alias("left"), ints["y0"].alias("top"),
-                    (ints["x1"] - ints["x0"]).alias("width"), (ints["y1"] - ints["y0"]).alias("height"),
-                    ints["conf"].alias("conf"), _xml_unescape(F.col("text")).alias("text"))
+    """Words back from hOCR of any writer: the place of a word comes from the order in which pages,
+    areas, paragraphs, lines and words nest, the page number from ``ppageno`` where it is given.
+    Ids of the form this library writes (page, block, par, line and word number) take precedence, so
+    numbers with gaps come back."""
+    numbered = df.select(*keys, col).withColumn("_doc", F.monotonically_increasing_id())  # before the explode
+    docs = numbered.select(*keys, "_doc", F.posexplode(F.regexp_extract_all(col, F.lit("(?is)" + _HOCR_TAG), 0)).alias("_at", "_tag"))
+    cls = F.regexp_extract("_tag", r"(?i)\bclass\s*=\s*['\"]([a-z_]+)['\"]", 1)
+    level = F.lit(None).cast("string")
+    for name, classes in HOCR_LEVELS.items():
+        level = F.when(F.lower(cls).isin(*classes), F.lit(name)).otherwise(level)
+    tags = _nested_numbers(docs.withColumn("level", level), list(HOCR_LEVELS))
+    page_no = F.regexp_extract("_tag", r"ppageno\s+(\d+)", 1)
+    w = Window.partitionBy("_doc", "_n_page").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    tags = tags.withColumn("_page", F.coalesce(F.max(F.when((F.col("level") == "page") & (page_no != ""), page_no.try_cast("int") + 1)).over(w),
+                                               F.greatest("_n_page", F.lit(1))))
+    own = F.regexp_extract("_tag", r"\bid\s*=\s*['\"]word_(\d+_\d+_\d+_\d+_\d+)['\"]", 1)
+    ids = F.split(own, "_")
+    number = lambda k, col: F.when(own != "", F.get(ids, F.lit(k)).try_cast("int")).otherwise(F.greatest(F.col(col), F.lit(1)).cast("int"))
+    bbox = r"bbox\s+(-?\d+)\s+(-?\d+)\s+(-?\d+)\s+(-?\d+)"
+    x0, y0, x1, y1 = (F.regexp_extract("_tag", bbox, k).try_cast("int") for k in (1, 2, 3, 4))
+    body = F.regexp_replace(F.regexp_replace("_tag", r"(?s)\A<[^>]*>", ""), r"<[^>]*>", "")
+    return tags.where(F.col("level") == "word").select(
+        *keys, number(0, "_page").alias("page"), number(1, "_n_block").alias("block"), number(2, "_n_par").alias("par"),
+        number(3, "_n_line").alias("line"), number(4, "_n_word").alias("word"), x0.alias("left"), y0.alias("top"),
+        (x1 - x0).alias("width"), (y1 - y0).alias("height"),
+        F.regexp_extract("_tag", r"x_wconf\s+(-?\d+(?:\.\d+)?)", 1).try_cast("double").cast("int").alias("conf"),
+        _xml_unescape(F.trim(body)).alias("text"))
 
 
 ALTO_NS = "http://www.loc.gov/standards/alto/ns-v3#"
@@ -264,64 +346,88 @@ def _wc(conf: Column) -> Column:
 
 def alto_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
     """One ALTO document per page: ``(image_id, page, alto)``."""
-    w = words.repartition(*PAGE)
-    b, pa, li = F.col("block"), F.col("par"), F.col("line")
-    pos = lambda: F.format_string('HPOS="%d" VPOS="%d" WIDTH="%d" HEIGHT="%d"', F.col("left"), F.col("top"), F.col("width"), F.col("height"))
-    st = w.select(*PAGE, "block", "par", "line", "word", F.concat(
-        F.format_string('<String ID="string_%d_%d_%d_%d" ', b, pa, li, F.col("word")), pos(),
-        F.lit(' WC="'), _wc(F.col("conf")), F.lit('" CONTENT="'), _xml_escape(F.col("text")), F.lit('"/>')).alias("a"))
-    ln = _nest(st, PAGE + ["block", "par", "line"], ["word"], "a", F.lit(""), "", "<SP/>")
-    ln = ln.join(_boxes_for(w, "textline"), PAGE + ["block", "par", "line"]).select(*PAGE, "block", "par", "line", F.concat(
-        F.format_string('<TextLine ID="line_%d_%d_%d" ', b, pa, li), pos(), F.lit(">"), F.col("a"), F.lit("</TextLine>")).alias("a"))
-    blk = _nest(ln, PAGE + ["block"], ["par", "line"], "a", F.lit(""), "", "\n")
-    blk = blk.join(_boxes_for(w, "block"), PAGE + ["block"]).select(*PAGE, "block", F.concat(
-        F.format_string('<TextBlock ID="block_%d" ', b), pos(), F.lit(">\n"), F.col("a"), F.lit("\n</TextBlock>")).alias("a"))
-    pg = _nest(blk, PAGE, ["block"], "a", F.lit(""), "", "\n")
-    return pg.join(pages, PAGE).select(*PAGE, F.concat(
+
+    def place(left, top, width, height) -> Column:
+        return F.format_string('HPOS="%d" VPOS="%d" WIDTH="%d" HEIGHT="%d"', left, top, width, height)
+
+    def box(x: Column) -> Column:
+        return place(x["l"], x["t"], x["r"] - x["l"], x["b"] - x["t"])
+
+    def of_word(b, p, ln):
+        return lambda w: F.concat(
+            F.format_string('<String ID="string_%d_%d_%d_%d" ', b["block"], p["par"], ln["line"], w["word"]),
+            place(w["left"], w["top"], w["width"], w["height"]), F.lit(' WC="'), _wc(w["conf"]), F.lit('" CONTENT="'),
+            _xml_escape(w["text"]), F.lit('"/>'))
+
+    def of_line(b, p):
+        return lambda ln: F.concat(F.format_string('<TextLine ID="line_%d_%d_%d" ', b["block"], p["par"], ln["line"]), box(ln), F.lit(">"),
+                                   F.array_join(F.transform(ln["words"], of_word(b, p, ln)), "<SP/>"), F.lit("</TextLine>"))
+
+    def of_block(b):
+        lines = F.flatten(F.transform(b["paras"], lambda p: F.transform(p["lines"], of_line(b, p))))
+        return F.concat(F.format_string('<TextBlock ID="block_%d" ', b["block"]), box(b), F.lit(">\n"), F.array_join(lines, "\n"),
+                        F.lit("\n</TextBlock>"))
+
+    return page_trees(words, pages).select(*PAGE, F.concat(
         F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<alto xmlns="{ALTO_NS}">\n<Layout>\n'),
         F.format_string('<Page WIDTH="%d" HEIGHT="%d" PHYSICAL_IMG_NR="%d" ID="page_%d">\n', F.col("page_width"),
                         F.col("page_height"), F.col("page"), F.col("page")),
         F.format_string('<PrintSpace HPOS="0" VPOS="0" WIDTH="%d" HEIGHT="%d">\n', F.col("page_width"), F.col("page_height")),
-        F.col("a"), F.lit("\n</PrintSpace>\n</Page>\n</Layout>\n</alto>\n")).alias("alto"))
+        F.array_join(F.transform("blocks", of_block), "\n"), F.lit("\n</PrintSpace>\n</Page>\n</Layout>\n</alto>\n")).alias("alto"))
+
+
+_ALTO_TAG = r"<(?:\w+:)?(?:Page|TextBlock|TextLine|String)\b[^>]*>"
+
+
+def alto_parse(df: DataFrame, col: str = "alto", keys: list[str] = ("image_id",)) -> DataFrame:
+    """Words back from ALTO of any writer (attributes in any order, any namespace prefix): the place
+    of a word comes from the order in which pages, blocks, lines and strings nest; ALTO has no
+    paragraphs, so ``par`` is 1. Ids of the form this library writes take precedence."""
+    numbered = df.select(*keys, col).withColumn("_doc", F.monotonically_increasing_id())  # before the explode
+    docs = numbered.select(*keys, "_doc", F.posexplode(F.regexp_extract_all(col, F.lit(_ALTO_TAG), 0)).alias("_at", "_tag"))
+    names = {"Page": "page", "TextBlock": "block", "TextLine": "line", "String": "word"}
+    kind = F.regexp_extract("_tag", r"\A<(?:\w+:)?(\w+)", 1)
+    level = F.lit(None).cast("string")
+    for tag, name in names.items():
+        level = F.when(kind == tag, F.lit(name)).otherwise(level)
+    attr = lambda name: F.regexp_extract("_tag", rf"""\s{name}\s*=\s*["']([^"']*)["']""", 1)
+    tags = _nested_numbers(docs.withColumn("level", level), list(names.values()))
+    w = Window.partitionBy("_doc", "_n_page").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    number_given = F.when(F.col("level") == "page", attr("PHYSICAL_IMG_NR").try_cast("int"))
+    tags = tags.withColumn("_page", F.coalesce(F.max(number_given).over(w), F.greatest("_n_page", F.lit(1))).cast("int"))
+    own = F.regexp_extract(attr("ID"), r"\Astring_(\d+_\d+_\d+_\d+)\z", 1)
+    ids = F.split(own, "_")
+    number = lambda k, other: F.when(own != "", F.get(ids, F.lit(k)).try_cast("int")).otherwise(other.cast("int"))
+    first = lambda c: F.greatest(F.col(c), F.lit(1))
+    return tags.where(F.col("level") == "word").select(
+        *keys, F.col("_page").alias("page"), number(0, first("_n_block")).alias("block"), number(1, F.lit(1)).alias("par"),
+        number(2, first("_n_line")).alias("line"), number(3, first("_n_word")).alias("word"),
+        *[attr(a).try_cast("double").cast("int").alias(n) for n, a in (("left", "HPOS"), ("top", "VPOS"), ("width", "WIDTH"), ("height", "HEIGHT"))],
+        F.round(attr("WC").try_cast("double") * 100).cast("int").alias("conf"), _xml_unescape(attr("CONTENT")).alias("text"))
 
 
-def alto_parse(df: DataFrame, col: str = "alto", keys: list[str] = ("image_id",), method: str = "scan") -> DataFrame:
-    """Words back from ALTO.
+# ---------------------------------------------------------------- L5 symbol boxes, L6 WordStr
 
-    ``method="scan"`` cuts the ``<String .../>`` elements out in one regex pass and reads each
-    attribute from the short element (any attribute order). ``method="xpath"`` uses ``xpath``
-    (works with the default namespace) but parses the document once per attribute.
-    """
-    attrs = {"id": "ID", "left": "HPOS", "top": "VPOS", "width": "WIDTH", "height": "HEIGHT", "wc": "WC", "text": "CONTENT"}
-    page = F.regexp_extract(col, '<Page [^>]*PHYSICAL_IMG_NR="([0-9]+)"', 1).cast("int")
-    if method == "xpath":
-        arrs = [F.xpath(col, F.lit(f"//String/@{a}")).alias(n) for n, a in attrs.items()]
-        z = df.select(*keys, page.alias("page"), F.inline(F.arrays_zip(*arrs)))
-    else:
-        el = df.select(*keys, page.alias("page"), F.explode(F.regexp_extract_all(col, F.lit("<String [^>]*/>"), 0)).alias("e"))
-        z = el.select(*keys, "page", *[F.regexp_extract("e", f' {a}="([^"]*)"', 1).alias(n) for n, a in attrs.items()])
-        z = z.withColumn("text", _xml_unescape(F.col("text")))
-    ids = F.split(F.col("id"), "_")
-    return z.select(*keys, "page", ids[1].cast("int").alias("block"), ids[2].cast("int").alias("par"),
-                    ids[3].cast("int").alias("line"), ids[4].cast("int").alias("word"),
-                    *[F.col(c).cast("int").alias(c) for c in ("left", "top", "width", "height")],
-                    F.round(F.col("wc").cast("double") * 100).cast("int").alias("conf"), "text")
+def _symbols(words: DataFrame) -> DataFrame:
+    """One row per symbol of a word: the word columns, ``i`` from 0, ``sym`` and the word's ``n`` symbols."""
+    return words.select("*", F.posexplode(F.split("text", "")).alias("i", "sym"), F.length("text").alias("n"))
 
 
-# ---------------------------------------------------------------- L5 symbol boxes, L6 WordStr
+def _symbol_edges() -> tuple[Column, Column]:
+    """Left and right edge of symbol ``i``: its share of the word's width."""
+    edge = lambda k: (F.col("left") + F.floor(k * F.col("width") / F.col("n"))).cast("long")
+    return edge(F.col("i")), edge(F.col("i") + 1)
+
 
 def symbol_boxes(words: DataFrame, pages: DataFrame) -> DataFrame:
     """One box line per symbol: ``sym left bottom right top page`` with the y axis flipped
     (origin at the bottom) and a 0-based page. Symbols split the word box evenly."""
-    w = words.join(pages, PAGE).select(*PAGE, "block", "par", "line", "word", "left", "top", "width", "height",
-                                       "page_height", F.posexplode(F.split("text", "")).alias("i", "sym"),
-                                       F.length("text").alias("n"))
-    x0 = F.col("left") + F.floor(F.col("i") * F.col("width") / F.col("n"))
-    x1 = F.col("left") + F.floor((F.col("i") + 1) * F.col("width") / F.col("n"))
+    w = _symbols(words.join(pages, PAGE))
+    x0, x1 = _symbol_edges()
     bottom = F.col("page_height") - (F.col("top") + F.col("height"))
     top = F.col("page_height") - F.col("top")
     return w.select(*PAGE, "block", "par", "line", "word", F.col("i").alias("symbol"), F.concat_ws(
-        " ", F.col("sym"), x0.cast("long").cast("string"), bottom.cast("string"), x1.cast("long").cast("string"),
+        " ", F.col("sym"), x0.cast("string"), bottom.cast("string"), x1.cast("string"),
         top.cast("string"), (F.col("page") - 1).cast("string")).alias("box"))
 
 
