@@ -6,6 +6,7 @@ rows-only checks). Every query reads whole tables; limits appear only where top-
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, paths, text
 from ..functions import predicates as P
-from ..functions.globs import content_glob_for_duckdb
 from ..operators import search as S
 from ..operators import store
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_views
+from ..streaming.ingest import ingest_rows
+from .index_run import search_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -147,7 +150,7 @@ def match_starts(spark, sf):
 
 
 @register("search_glob", with_views(
-    f"SELECT path, modtime FROM images WHERE content GLOB '{content_glob_for_duckdb('[^E]*ment?*')}'", "images"))
+    "SELECT path, modtime FROM images WHERE content GLOB '[!E]*ment?*'", "images"))
 def search_glob(spark, sf):
     return S.search(fx.images(spark, sf), "[^E]*ment?*", kind="glob", limit=None, with_snippet=False).select("path", "modtime")
 
@@ -163,46 +166,141 @@ def search_regex(spark, sf):
     return S.search(fx.images(spark, sf), r"(qu|ch)[a-zé]+ment|[a-z]{3}\.$", kind="regex", limit=None, with_snippet=False).select("path", "modtime")
 
 
-def _sql_snippet(p: str) -> str:
-    k = int((64 - (len(p) - 2)) / 2)
-    n_tok = "greatest(length(content) - 2, 0)"
-    adj0 = f"(instr(lower(content), '{p}') - 1 - {k})"
-    adj1 = f"(CASE WHEN {adj0} + 64 > {n_tok} THEN {n_tok} - 64 ELSE {adj0} END)"
-    adj = f"greatest({adj1}, 0)"
-    return (f"concat(CASE WHEN {adj} > 0 THEN '..' ELSE '' END, "
-            f"regexp_replace(substring(content, {adj} + 1, 66), '((?:{p})+)', '[\\1]', 'gi'), "
-            f"CASE WHEN {adj} + 64 >= {n_tok} THEN '' ELSE '..' END)")
-
-
-@register("snippet", _sql_ranked(["tion"], "contains(lower(content), 'tion')").replace(
-    "SELECT path, modtime, round(", "SELECT " + _sql_snippet("tion") + " AS snippet, path, modtime, round("))
+def _sql_snippets(phrases: list[str], source: str = "images", tokens: int = 64) -> str:
+    """CTEs ``hits`` .. ``snips`` (id, snippet), written from the rule: candidate windows as rows, the
+    best by score then order, marks from a set of covered positions. ``source`` has id, content."""
+    ph = " UNION ALL ".join(f"SELECT {k} AS k, '{p}' AS p" for k, p in enumerate(phrases))
+    return rf"""src AS (SELECT id, content, lower(content) AS f, length(content) AS n FROM {source}),
+ph AS ({ph}),
+hits AS (SELECT id, n, k, length(p) AS len, unnest(list_filter(range(n), lambda i: substring(f, i + 1, length(p)) = p)) AS pos FROM src, ph WHERE contains(f, p)),
+pieces AS (SELECT id, unnest(ps) AS piece, unnest(range(len(ps))) AS j FROM (SELECT id, regexp_extract_all(content, '(?s).*?[.:][ \t\n\r]+') AS ps FROM src)),
+sent AS (SELECT id, 0 AS s FROM src UNION SELECT id, CAST(sum(length(piece)) OVER (PARTITION BY id ORDER BY j) AS BIGINT) FROM pieces),
+ord AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos, k) AS o FROM hits),
+bysent AS (SELECT o.id, o.n, o.o, max(s.s) AS start, o.pos FROM ord o JOIN sent s ON s.id = o.id AND s.s <= o.pos GROUP BY ALL),
+cand AS (SELECT id, n, pos AS start, 0 AS bonus, true AS centre, 2 * o AS rnk FROM ord
+  UNION ALL SELECT id, n, start, CASE WHEN start = 0 THEN 120 ELSE 100 END, false, 2 * o + 1 FROM bysent WHERE start < pos AND greatest(n - 2, 0) > {tokens}),
+scored AS (SELECT c.id, c.n, c.start, c.centre, c.rnk, count(DISTINCT h.k) * 1000 + (count(*) - count(DISTINCT h.k)) + c.bonus AS score,
+    min(h.pos) AS p0, max_by(h.pos + h.len - 2, h.pos * 100 + h.k) AS p1
+  FROM cand c JOIN hits h ON h.id = c.id AND h.pos BETWEEN c.start AND c.start + {tokens - 1} GROUP BY c.id, c.n, c.start, c.centre, c.rnk, c.bonus),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, rnk) = 1),
+adj AS (SELECT id, n, CASE WHEN NOT centre THEN start
+  ELSE greatest(least(p0 - CAST(trunc(({tokens} - (p1 - p0)) / 2.0) AS BIGINT), greatest(n - 2, 0) - {tokens}), 0) END AS a FROM best),
+covered AS (SELECT DISTINCT id, unnest(range(pos, pos + len)) AS i FROM hits),
+spots AS (SELECT id, a, n, unnest(range(a, least(a + {tokens + 2}, n))) AS i FROM adj),
+flags AS (SELECT p.id, p.a, p.n, p.i, substring(s.content, p.i + 1, 1) AS ch, v.i IS NOT NULL AS cov
+  FROM spots p JOIN src s ON s.id = p.id LEFT JOIN covered v ON v.id = p.id AND v.i = p.i),
+edges AS (SELECT *, coalesce(lag(cov) OVER (PARTITION BY id ORDER BY i), false) AS prev, coalesce(lead(cov) OVER (PARTITION BY id ORDER BY i), false) AS nxt FROM flags),
+snips AS (SELECT id, concat(CASE WHEN any_value(a) > 0 THEN '..' ELSE '' END,
+  string_agg(concat(CASE WHEN cov AND NOT prev THEN '[' ELSE '' END, ch, CASE WHEN cov AND NOT nxt THEN ']' ELSE '' END), '' ORDER BY i),
+  CASE WHEN any_value(a) + {tokens} >= greatest(any_value(n) - 2, 0) THEN '' ELSE '..' END) AS snippet FROM edges GROUP BY id)"""
+
+
+def _sql_search_snippets(phrases: list[str], where: str) -> str:
+    return (with_views(f", {_sql_stats(phrases)},\n{_sql_snippets(phrases, f'(SELECT * FROM images WHERE {where})')}\n"
+                       f"SELECT s.snippet, path, modtime, round({_sql_rank(phrases)}, 9) AS rank FROM images JOIN snips s USING (id), st WHERE {where}", "images")
+            .replace("\n, st AS", ",\nst AS"))
+
+
+@register("snippet", _sql_search_snippets(["tion"], "contains(lower(content), 'tion')"))
 def snippet_q(spark, sf):
     r = S.search(fx.images(spark, sf), "tion", limit=None)
     return r.select("snippet", "path", "modtime", F.round("rank", 9).alias("rank"))
 
 
+@register("snippet_two_phrases", _sql_search_snippets(["tion", "ions"], "(contains(lower(content), 'tion') OR contains(lower(content), 'ions'))"))
+def snippet_two_phrases(spark, sf):
+    """Two phrases that overlap each other in one word."""
+    r = S.search(fx.images(spark, sf), P.any_of("tion", "ions"), kind="match", limit=None)
+    return r.select("snippet", "path", "modtime", F.round("rank", 9).alias("rank"))
+
+
+@register("snippet_self_overlap", with_views(",\n" + _sql_snippets(["ere"], "(SELECT id, replace(content, 'er', 'erer') AS content FROM images)")
+                                             + "\nSELECT id, snippet FROM snips", "images").replace("\n,\nsrc AS", ",\nsrc AS"))
+def snippet_self_overlap(spark, sf):
+    """A phrase that overlaps itself, in texts where it does."""
+    im = fx.images(spark, sf).withColumn("content", F.replace("content", F.lit("er"), F.lit("erer")))
+    rows = im.where(P.phrase("ere").predicate(text.fold("content"))).select("id", "content")
+    return S.with_snippet_column(rows, ["ere"]).select("id", "snippet")
+
+
+# inputs on which an incomplete escaping shows: soft hyphens, zero-width and line separators, quotes, tabs
+_SPECIAL = [("a", 0xAD), ("o", 0x200B), ("q", 0xFEFF), ("z", 0x2028), ("v", 9), ("k", 0x85), (",", 0x22), (";", 0xA0), ("x", 0x27), ("j", 0x5C)]
+
+
+def _sql_special(expr: str) -> str:
+    for raw, point in _SPECIAL:
+        expr = f"replace({expr}, '{raw}', chr({point}))"
+    return expr
+
+
+def _special(c):
+    c = F.col(c)
+    for raw, point in _SPECIAL:
+        c = F.replace(c, F.lit(raw), F.lit(chr(point)))
+    return c
+
+
 def _sql_escape(expr: str) -> str:
-    out = expr
-    for raw, esc in text.escape_pairs():
-        out = f"replace({out}, chr({ord(raw)}), '{esc.replace(chr(39), chr(39) * 2)}')"
-    return out
+    """Escape by code point number and general category, one code point at a time."""
+    return rf"""array_to_string(list_transform(regexp_extract_all({expr}, '(?s).'), lambda ch: CASE unicode(ch)
+  WHEN 92 THEN '\\' WHEN 9 THEN '\t' WHEN 13 THEN '\r' WHEN 10 THEN '\n' WHEN 39 THEN concat('\', chr(39)) WHEN 34 THEN '\"' WHEN 0 THEN '\0'
+  WHEN 32 THEN ' ' ELSE CASE WHEN regexp_matches(ch, '[\p{{Cc}}\p{{Cf}}\p{{Co}}\p{{Zs}}\p{{Zl}}\p{{Zp}}]')
+  THEN concat('\u{{', format('{{:x}}', unicode(ch)), '}}') ELSE ch END END), '')"""
 
 
-@register("escape_debug", with_views(f"SELECT id, {_sql_escape('substring(content, 1, 300)')} AS escaped FROM images", "images"))
+@register("escape_debug", with_views(f"SELECT id, {_sql_escape(_sql_special('content'))} AS escaped FROM images", "images"))
 def escape_debug_q(spark, sf):
-    im = fx.images(spark, sf)
-    return im.select("id", text.escape_debug(F.substring("content", 1, 300)).alias("escaped"))
+    return fx.images(spark, sf).select("id", text.escape_debug(_special("content")).alias("escaped"))
 
 
-@register("result_lines", (lambda: (
-    "SELECT concat(" + _sql_escape("snippet") + ", chr(9), path) AS line FROM ("
-    + _sql_ranked(["ción"], "contains(lower(content), 'ción')").replace(
-        "SELECT path, modtime, round(", "SELECT " + _sql_snippet("ción") + " AS snippet, path, modtime, round(")
-    + " ORDER BY rank, modtime DESC, path LIMIT 100)"))())
+@register("result_lines", "SELECT concat(" + _sql_escape("snippet") + ", chr(9), path) AS line FROM ("
+          + _sql_search_snippets(["ción"], "contains(lower(content), 'ción')") + " ORDER BY rank, modtime DESC, path LIMIT 100)")
 def result_lines_q(spark, sf):
     return S.result_lines(S.search(fx.images(spark, sf), "ción", limit=100))
 
 
+# texts whose folding depends on context or length in a plain lower-casing
+_FOLD_TAILS = ["ΟΔΟΣΑ", "οδός ΟΔΟΣ", "İstanbul İ", "ΌΣΟΣ", "𐐀𐐁 ΟΔΟΣ", ""]
+
+
+def _sql_fold(e: str) -> str:
+    return f"lower(translate({e}, 'Σςİ', 'σσi'))"
+
+
+@register("search_fold", with_views(f""",
+t AS (SELECT id, concat(content, ' ', CASE CAST(id % 6 AS INT) {' '.join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_FOLD_TAILS))} END) AS c FROM images),
+f AS (SELECT id, {_sql_fold('c')} AS f, length(c) AS n FROM t)
+SELECT id, contains(f, 'οδοσ') AS odos, contains(f, 'istanbul') AS istanbul, contains(f, '𐐩 ο') AS deseret, length(f) = n AS same_length,
+  CAST((length(f) - length(replace(f, 'οσ', ''))) // 2 AS INT) AS n_os FROM f""", "images").replace("\n,\nt AS", ",\nt AS"))
+def search_fold(spark, sf):
+    im = fx.images(spark, sf)
+    tail = F.element_at(F.array(*[F.lit(v) for v in _FOLD_TAILS]), (F.col("id") % 6).cast("int") + 1)
+    f = text.fold("c")
+    t = im.select("id", F.concat("content", F.lit(" "), tail).alias("c"))
+    return t.select("id", P.phrase("ΟΔΟΣ").predicate(f).alias("odos"), P.phrase("İSTANBUL").predicate(f).alias("istanbul"),
+                    P.phrase("𐐁 ο").predicate(f).alias("deseret"), (F.length(f) == F.length("c")).alias("same_length"),
+                    ((F.length(f) - F.length(F.replace(f, text.fold_literal("ΟΣ"), F.lit("")))) / 2).cast("int").alias("n_os"))
+
+
+@register("search_words", _sql_ranked(["of the"], "contains(lower(content), 'of the')"))
+def search_words(spark, sf):
+    """Several words of the ``simple`` kind are one phrase."""
+    return _ranked(S.search(fx.images(spark, sf), ["of", "the"], limit=None, with_snippet=False))
+
+
+def _in_order(df: DataFrame) -> DataFrame:
+    """Rows (a caller's limit of them) with their place in the result."""
+    spark, rows = df.sparkSession, df.collect()
+    return spark.createDataFrame([(k + 1, r.path, r.modtime) for k, r in enumerate(rows)], "place int, path string, modtime long")
+
+
+@register("glob_order", with_views("SELECT CAST(row_number() OVER (ORDER BY modtime DESC, path) AS INT) AS place, path, modtime FROM images "
+                                   "WHERE content GLOB '*ment?*' QUALIFY place <= 100", "images"))
+def glob_order(spark, sf):
+    """The first 100 glob hits, newest first, with their places."""
+    return _in_order(S.search(fx.images(spark, sf), "*ment?*", kind="glob", limit=100, with_snippet=False))
+
+
 # ---------------------------------------------------------------- paths and listing filters
 
 _EXT_SQL = "regexp_extract(path, '\\.([^./]+)$', 1) IN ('png', 'jpeg', 'jpg', 'gif', 'webp')"
@@ -414,25 +512,66 @@ def doc_lengths(spark, sf):
     return G.doc_stats(fx.images(spark, sf))
 
 
+def _store(spark) -> store.IndexStore:
+    return store.IndexStore(spark, f"{checkpoint_dir(spark)}/scanlens-store-{uuid.uuid4().hex}")
+
+
+def _stored(spark, sf) -> store.IndexStore:
+    """F1 committed to a new store: rows and postings as files."""
+    st = _store(spark)
+    st.commit(fx.images(spark, sf).select("id", "path", "modtime", "content"))
+    return st
+
+
 @register("postings_search", ORACLE["search_simple"])
 def postings_search(spark, sf):
-    im = fx.images(spark, sf)
-    post = G.postings(im)
-    return _ranked(S.search(im, "tion", limit=None, with_snippet=False, plan="postings", postings=post))
+    return _ranked(search_index(_stored(spark, sf), "tion", limit=None, with_snippet=False))
 
 
 @register("postings_match", ORACLE["match_and"])
 def postings_match(spark, sf):
+    return _ranked(search_index(_stored(spark, sf), P.all_of("tion", "ment"), kind="match", limit=None, with_snippet=False))
+
+
+@register("postings_glob", with_views("SELECT path, modtime FROM images WHERE content GLOB '*ción*[a-m]ado*'", "images"))
+def postings_glob(spark, sf):
+    """A content glob whose literal runs are looked up in the stored postings."""
+    return search_index(_stored(spark, sf), "*ción*[a-m]ado*", kind="glob", limit=None, with_snippet=False).select("path", "modtime")
+
+
+def _delta_store(spark, sf) -> store.IndexStore:
+    """F4 committed whole, then F3 over it as one incremental commit: changed and new rows, deletions."""
     im = fx.images(spark, sf)
-    post = G.postings(im)
-    return _ranked(S.search(im, P.all_of("tion", "ment"), kind="match", limit=None, with_snippet=False,
-                            plan="postings", postings=post))
+    sc, ix = fx.scan_from_images(im), fx.indexed_from_images(im)
+    st = _store(spark)
+    st.commit(ix.select("id", "path", "modtime", "content"))
+    before = st.current()
+    st.commit_delta(store.changed_files(sc, before), store.deleted_paths(before, sc, "/lib"))
+    return st
+
+
+_DELTA_SQL = _UPSERT_SQL + """,
+live AS (SELECT m.* FROM merged m SEMI JOIN scan s ON m.path = s.path)"""
+
+
+@register("commit_delta", with_views(", " + _DELTA_SQL + "\nSELECT id, path, modtime, md5(content) AS content_md5 FROM live", "scan", "indexed").replace("\n, res AS", ",\nres AS"))
+def commit_delta(spark, sf):
+    return _delta_store(spark, sf).current().select("id", "path", "modtime", F.md5("content").alias("content_md5"))
+
+
+@register("postings_upkeep", with_views(", " + _DELTA_SQL + """,
+g AS (SELECT id, unnest(list_transform(range(1, length(f) - 1), lambda i: substring(f, i, 3))) AS gram
+  FROM (SELECT id, lower(content) AS f FROM live) WHERE length(f) >= 3)
+SELECT gram, id, CAST(count(*) AS INT) AS tf FROM g GROUP BY gram, id""", "scan", "indexed").replace("\n, res AS", ",\nres AS"))
+def postings_upkeep(spark, sf):
+    """Postings after an incremental commit: those of the merged rows."""
+    return _delta_store(spark, sf).postings()
 
 
 def _hit_ids(spark, sf, a: str, b: str, op: str) -> DataFrame:
-    """E1 on id sets: candidates from postings, verified on the text, then a set operation."""
-    im = fx.images(spark, sf)
-    post = G.postings(im)
+    """E1 on id sets: candidates from stored postings, verified on the text, then a set operation."""
+    st = _stored(spark, sf)
+    im, post = st.current(), st.postings()
     f = text.fold("content")
 
     def hits(p):
@@ -505,6 +644,23 @@ def block_boxes(spark, sf):
     return L.regions(fx.words(spark, sf))
 
 
+@register("para_boxes", _boxes_sql("block, par"))
+def para_boxes(spark, sf):
+    return L.component_boxes(fx.words(spark, sf), "para")
+
+
+@register("word_boxes", _boxes_sql("block, par, line, word"))
+def word_boxes(spark, sf):
+    return L.component_boxes(fx.words(spark, sf), "word")
+
+
+@register("symbol_boxes_level", with_views("""SELECT image_id, page, block, par, line, word, CAST(i AS INT) AS symbol,
+  CAST("left" + floor(i * width / n) AS BIGINT) AS "left", top, CAST(floor((i + 1) * width / n) - floor(i * width / n) AS BIGINT) AS width, height,
+  CAST(1 AS BIGINT) AS n_words FROM (SELECT *, length(text) AS n, unnest(range(length(text))) AS i FROM words)""", "words"))
+def symbol_boxes_level(spark, sf):
+    return L.component_boxes(fx.words(spark, sf), "symbol")
+
+
 @register("page_text", _layout_sql(
     "SELECT image_id, page, string_agg(text || chr(10), '' ORDER BY block, par, line) AS text FROM lines GROUP BY image_id, page", _LINES_SQL))
 def page_text(spark, sf):
@@ -518,11 +674,15 @@ def page_text(spark, sf):
   FROM words w JOIN regions r ON w.image_id = r.image_id AND w.page = r.page
   WHERE w."left" >= r.x AND w.top >= r.y AND w."left" + w.width <= r.x + r.w AND w.top + w.height <= r.y + r.h
   GROUP BY w.image_id, w.page, r.region, w.block, w.par, w.line) GROUP BY image_id, page, region""",
-    "regions AS (SELECT id AS image_id, 1 AS page, 1 AS region, 0 AS x, 0 AS y, width AS w, 100 AS h FROM images)"))
+    "regions AS (SELECT id AS image_id, 1 AS page, k AS region, 50 * (k - 1) AS x, 60 * (k - 1) AS y, width AS w, 100 * k AS h "
+    "FROM images, (SELECT unnest([1, 2, 3]) AS k))"))
 def region_text(spark, sf):
+    """Three regions per page that overlap each other."""
     im = fx.images(spark, sf)
-    reg = im.select(F.col("id").alias("image_id"), F.lit(1).alias("page"), F.lit(1).alias("region"),
-                    F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("width").alias("w"), F.lit(100).alias("h"))
+    k = F.col("region")
+    reg = im.withColumn("region", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select(
+        F.col("id").alias("image_id"), F.lit(1).alias("page"), "region", (50 * (k - 1)).alias("x"), (60 * (k - 1)).alias("y"),
+        F.col("width").alias("w"), (100 * k).alias("h"))
     return L.text_in_boxes(fx.words(spark, sf), reg, ["region"])
 
 
@@ -599,17 +759,9 @@ def wordstr(spark, sf):
     return L.wordstr_lines(fx.words(spark, sf), _pages(spark, sf))
 
 
-# ---------------------------------------------------------------- files, headers, recognition
+# ---------------------------------------------------------------- headers, streams
 
-from ..operators import recognise as R  # noqa: E402
 from ..sources import headers as H  # noqa: E402
-from ..sources import listing as LS  # noqa: E402
-
-
-@register("listing")
-def listing(spark, sf):
-    """The given folder listed as files (extension allow-list set to the table files)."""
-    return LS.list_files(spark, sf, recursive=True, extensions=("parquet",), builtin_excludes=True)
 
 
 @register("png_dims", with_views(
@@ -620,44 +772,21 @@ def png_dims(spark, sf):
     return H.dimensions(hdr).select("id", "width", "height")
 
 
-@register("tiff_pages", with_views(
-    "SELECT id, CAST(k AS INT) AS page, CAST(width + k AS BIGINT) AS width, CAST(height + 2 * k AS BIGINT) AS height "
-    "FROM (SELECT id, width, height, unnest(range(id % 3 + 1)) AS k FROM images)", "images"))
-def tiff_pages_q(spark, sf):
-    return H.tiff_pages(fx.tiff_bytes(fx.images(spark, sf)), ["id"])
-
-
-def _stub_inputs(spark, sf) -> DataFrame:
-    im = fx.images(spark, sf).where(paths.has_allowed_extension("path"))
-    raw = F.encode("content", "UTF-8")
-    # every 50th image is damaged (no bytes); the job must keep going
-    return im.select("path", "modtime", F.when(F.col("id") % 50 == 0, F.lit(b"")).otherwise(raw).alias("content"))
-
-
-@register("recognise_stub", with_views(
-    "SELECT path, CASE WHEN id % 50 = 0 THEN NULL ELSE replace(content, chr(10) || chr(10), chr(10)) END AS content, "
-    "id % 50 = 0 AS failed FROM images WHERE regexp_extract(path, '\\.([^./]+)$', 1) IN ('png', 'jpeg', 'jpg', 'gif', 'webp')", "images"))
-def recognise_stub(spark, sf):
-    res = R.recognise(_stub_inputs(spark, sf), R.text_engine, {"tessedit_char_blacklist": "|®»«®©"})
-    return res.select("path", "content", F.col("error").isNotNull().alias("failed"))
-
-
 @register("stream_ingest", with_views(
-    "SELECT row_number() OVER (ORDER BY path) AS id, path, modtime, md5(replace(content, chr(10) || chr(10), chr(10))) AS content_md5 "
-    "FROM images WHERE regexp_extract(path, '\\.([^./]+)$', 1) IN ('png', 'jpeg', 'jpg', 'gif', 'webp')", "images"))
+    "SELECT path, modtime, md5(content) AS content_md5 FROM images "
+    "WHERE regexp_extract(path, '\\.([^./]+)$', 1) IN ('png', 'jpeg', 'jpg', 'gif', 'webp')", "images"))
 def stream_ingest(spark, sf):
-    from ..streaming.ingest import ingest_documents_stream
-    return ingest_documents_stream(spark, sf)
+    """F1 as a stream of rows in four micro-batches, each one incremental commit."""
+    base = f"{checkpoint_dir(spark)}/scanlens-stream-{uuid.uuid4().hex}"
+    rows = fx.images(spark, sf).where(paths.has_allowed_extension("path")).select("path", "modtime", "content")
+    rows.repartitionByRange(4, "path").write.parquet(f"{base}/in")
+    st = store.IndexStore(spark, f"{base}/store")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    ingest_rows(source, st, f"{base}/checkpoint")
+    return st.current().select("path", "modtime", F.md5("content").alias("content_md5"))
 
 
 @register("path_list", "SELECT path FROM (" + ORACLE["bm25_topk"] + ")")
 def path_list(spark, sf):
     """The viewer-script form — only the path column of the ranked hits."""
     return S.path_list(S.search(fx.images(spark, sf), "ción", limit=100, with_snippet=False))
-
-
-@register("snippet_scored")
-def snippet_scored(spark, sf):
-    """P17 step (b): best-scoring window per hit (sentence starts included), for the top 100."""
-    r = S.search(fx.images(spark, sf), "ción", limit=100, snippet_mode="scored")
-    return r.select("snippet", "path", "modtime", F.round("rank", 9).alias("rank"))

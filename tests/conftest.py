@@ -18,3 +18,16 @@ def spark():
 @pytest.fixture()
 def tmp_root(tmp_path):
     return tmp_path
+
+
+@pytest.fixture(scope="session")
+def text_engine():
+    """A stand-in for a recognition engine: the bytes are UTF-8 text; empty input counts as damaged."""
+    def make(options):
+        def engine(b: bytes) -> str:
+            if not b:
+                raise ValueError("damaged image")
+            return b.decode("utf-8")
+        return engine
+
+    return make
