@@ -14,6 +14,7 @@ for content globs with a literal run of three characters or more.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -87,6 +88,11 @@ def _sentence_starts(content: Column) -> Column:
     return F.slice(starts, 1, F.greatest(F.size(starts) - 1, F.lit(1)))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def with_snippet_column(rows: DataFrame, phrases: list[str], tokens: int = SNIPPET_TOKENS, open_mark: str = "[",
                         close_mark: str = "]", ellipsis: str = "..") -> DataFrame:
     """Adds ``snippet`` to rows with ``content``: the best window of ``tokens`` trigram tokens.
@@ -110,35 +116,36 @@ def with_snippet_column(rows: DataFrame, phrases: list[str], tokens: int = SNIPP
 
         each = [of_phrase(k, p) for k, p in enumerate(live)]
         hits = F.array_sort(F.concat(*each) if len(each) > 1 else each[0])
-        staged = rows.withColumn("_hits", hits).withColumn("_sent", _sentence_starts(F.col("content"))).withColumn("_n", n_tok)
-
-        def inside(start: Column, at: Column) -> Column:
-            # hits are sorted and a window holds at most ``tokens`` starts of each phrase
-            part = F.slice("_hits", at, tokens * len(live))
-            return F.filter(part, lambda h: (h["pos"] >= start) & (h["pos"] < start + tokens))
-
-        def score(held: Column) -> Column:
-            kinds = F.size(F.array_distinct(F.transform(held, lambda h: h["k"])))
-            return kinds * FIRST_HIT + (F.size(held) - kinds) * FURTHER_HIT
-
-        def centred(held: Column, n: Column) -> Column:
-            first, last = F.element_at(held, 1)["pos"], F.element_at(held, -1)
+        # every hit with the start of its sentence
+        sentence = F.transform("_found", lambda h: F.struct(h["pos"], h["k"], h["len"], F.array_max(
+            F.filter("_sent", lambda x: x <= h["pos"])).alias("sent")))
+        staged = (rows.withColumn("_found", hits).withColumn("_sent", _sentence_starts(F.col("content")))
+                  .withColumn("_hits", sentence).withColumn("_n", n_tok))
+        most = tokens * len(live)  # starts of hits that a window can hold
+
+        def held(start: Column, first: Column, n: int) -> Column:
+            """Hits that start inside the window, out of ``n`` sorted ones from position ``first`` on."""
+            return F.filter(F.slice("_hits", first, n), lambda h: (h["pos"] >= start) & (h["pos"] < start + tokens))
+
+        def score(inside: Column, bonus: Column) -> Column:
+            kinds = F.size(F.array_distinct(F.transform(inside, lambda h: h["k"])))
+            return kinds * (FIRST_HIT - FURTHER_HIT) + F.size(inside) * FURTHER_HIT + bonus
+
+        def centred(inside: Column) -> Column:
+            first, last = F.element_at(inside, 1)["pos"], F.element_at(inside, -1)
             spare = F.lit(tokens) - (last["pos"] + last["len"] - 2 - first)
-            adj = first - F.when(spare >= 0, F.floor(spare / 2)).otherwise(F.ceil(spare / 2)).cast("int")
-            adj = F.when(adj + tokens > n, n - tokens).otherwise(adj)
-            return F.greatest(adj, F.lit(0))
+            half = F.when(spare >= 0, F.floor(spare / 2)).otherwise(F.ceil(spare / 2)).cast("int")
+            return F.greatest(F.least(first - half, F.col("_n") - tokens), F.lit(0))
 
         def at_hit(h: Column, i: Column) -> Column:
-            held = inside(h["pos"], i + 1)
-            return F.struct(score(held).alias("score"), (-(2 * i)).alias("order"), centred(held, F.col("_n")).alias("adj"))
+            return _bound(held(h["pos"], i + 1, most), lambda x: F.struct(
+                score(x, F.lit(0)).alias("score"), (-(2 * i)).alias("order"), centred(x).alias("adj")))
 
         def at_sentence(h: Column, i: Column) -> Column:
-            start = F.array_max(F.filter("_sent", lambda s: s <= h["pos"]))
-            before = F.greatest(i + 1 - tokens * len(live), F.lit(1))
-            part = F.filter(F.slice("_hits", before, 2 * tokens * len(live)), lambda x: (x["pos"] >= start) & (x["pos"] < start + tokens))
-            bonus = F.when(start == 0, TEXT_START).otherwise(SENTENCE_START)
-            ok = (F.col("_n") > tokens) & (start < h["pos"])
-            return F.struct(F.when(ok, score(part) + bonus).otherwise(-1).alias("score"), (-(2 * i + 1)).alias("order"), start.alias("adj"))
+            bonus = F.when(h["sent"] == 0, TEXT_START).otherwise(SENTENCE_START)
+            ok = (F.col("_n") > tokens) & (h["sent"] < h["pos"])
+            inside = held(h["sent"], F.greatest(i + 1 - most, F.lit(1)), 2 * most)
+            return F.struct(F.when(ok, score(inside, bonus)).otherwise(-1).alias("score"), (-(2 * i + 1)).alias("order"), h["sent"].alias("adj"))
 
         options = F.concat(F.transform("_hits", at_hit), F.transform("_hits", at_sentence))
         best = staged.withColumn("_best", F.array_max(options)).withColumn("_adj", F.coalesce(F.col("_best.adj"), F.lit(0)))
