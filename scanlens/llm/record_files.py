@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,7 @@ def _linear(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
     return acc
 
 
+_T16 = (_T0[np.arange(1 << 16) & 0xFF] >> np.uint32(8)) ^ _T0[(_T0[np.arange(1 << 16) & 0xFF] & np.uint32(0xFF)) ^ (np.arange(1 << 16) >> 8).astype(np.uint32)]
 _SPAN = 256
 
 
@@ -89,7 +91,8 @@ def crc32c_many(data: list[bytes]) -> np.ndarray:
 
     Every string is cut into spans of 256 bytes from its end (zeros before the first byte leave a zero
     state unchanged; the initial state is folded into the first four bytes), all spans run as lanes
-    of one vector, and a string's lanes are joined by advancing its state over a span.
+    of one vector, two bytes a step, and a string's lanes are joined by advancing its state over a
+    span. Strings of at most 16 bytes run in spans of 16.
     """
     size = np.array([len(d) for d in data], np.int64)
     out = np.zeros(len(data), np.uint32)
@@ -103,24 +106,28 @@ def crc32c_many(data: list[bytes]) -> np.ndarray:
     if not len(full):
         return out
     size = size[full]
-    spans = -(-size // _SPAN)
+    width = 16 if size.max() <= 16 else _SPAN
+    spans = -(-size // width)
     ends = np.cumsum(spans)
-    lanes = np.zeros((int(ends[-1]), _SPAN), np.uint8)
+    lanes = np.zeros((int(ends[-1]), width), np.uint8)
     flat = lanes.reshape(-1)
-    for i, n, e in zip(full, size, ends * _SPAN):
+    for i, n, e in zip(full.tolist(), size.tolist(), (ends * width).tolist()):
         flat[e - n:e] = np.frombuffer(data[i], np.uint8)
-        flat[e - n:e - n + 4] ^= 0xFF
+    first = ends * width - size
+    for k in range(4):
+        flat[first + k] ^= 0xFF
     state = np.zeros(len(lanes), np.uint32)
-    for col in np.ascontiguousarray(lanes.T):
-        state = _T0[(state ^ col) & np.uint32(0xFF)] ^ (state >> np.uint32(8))
+    pairs = lanes.view("<u2")
+    for k in range(width // 2):
+        state = _T16[(state ^ pairs[:, k]) & np.uint32(0xFFFF)] ^ (state >> np.uint32(16))
     order = np.argsort(-spans, kind="stable")  # longest first, so that those still open are a prefix
-    first, many = (ends - spans)[order], spans[order]
-    c = state[first]
+    head, many = (ends - spans)[order], spans[order]
+    c = state[head]
     for k in range(1, int(many[0])):
         m = int(np.searchsorted(-many, -k, side="left"))  # strings of more than k spans
         v = c[:m]
         c[:m] = (_ADVANCE[0][v & np.uint32(0xFF)] ^ _ADVANCE[1][v >> np.uint32(8) & np.uint32(0xFF)]
-                 ^ _ADVANCE[2][v >> np.uint32(16) & np.uint32(0xFF)] ^ _ADVANCE[3][v >> np.uint32(24)] ^ state[first[:m] + k])
+                 ^ _ADVANCE[2][v >> np.uint32(16) & np.uint32(0xFF)] ^ _ADVANCE[3][v >> np.uint32(24)] ^ state[head[:m] + k])
     out[full[order]] = c ^ np.uint32(0xFFFFFFFF)
     return out
 
@@ -175,13 +182,6 @@ class PieceEncoder:
         self.older: dict[str, bytes] = {}
         self.remembered = remembered
 
-    def pieces(self, text: str) -> list[str]:
-        """The first piece, then every later one without the space it starts with."""
-        if _ODD_SPACE.search(text) is None:
-            return text.split(" ")
-        head, *rest = _SAFE_SPACE.split(text)
-        return [head, *[p[1:] for p in rest]]
-
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for i in range(0, len(texts), 4096)
                 for e in self.tok.encode_batch_fast(texts[i:i + 4096], add_special_tokens=False)]
@@ -202,18 +202,55 @@ class PieceEncoder:
                     at = end
         self.known.update(zip(alone, self._alone([" " + p for p in alone])))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text as little-endian integers of ``width`` bytes."""
-        cut = [self.pieces(t) for t in texts]
-        heads = self._alone([c.pop(0) for c in cut])
+    def _find(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces (given without the space they start with)."""
         if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
-        new, older = set().union(*cut) - self.known.keys(), self.older
-        again = new & older.keys()
-        self.known.update({p: older[p] for p in again})
-        self._learn(list(new - again))
-        find = self.known.__getitem__
-        return [h + b"".join(map(find, c)) for h, c in zip(heads, cut)]
+        found = list(map(self.known.get, pieces))
+        absent = [k for k, v in enumerate(found) if v is None]
+        if absent:
+            names = [pieces[k] for k in absent]
+            older = list(map(self.older.get, names))
+            self.known.update((p, v) for p, v in zip(names, older) if v is not None)
+            self._learn([p for p, v in zip(names, older) if v is None])
+            for k, v in zip(absent, map(self.known.__getitem__, names)):
+                found[k] = v
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text (no nulls) as little-endian integers of ``width`` bytes.
+
+        Arrow cuts the texts at spaces and numbers the distinct pieces; only those go through the
+        memory, and numpy puts the ids of a text together by piece number.
+        """
+        plain = [_ODD_SPACE.search(t) is None for t in texts.to_pylist()]
+        mask = pa.array(plain)
+        lists = pc.split_pattern(texts.filter(mask), " ").combine_chunks() if isinstance(texts, pa.ChunkedArray) \
+            else pc.split_pattern(texts.filter(mask), " ")
+        rows = [lists]
+        if not all(plain):  # cut at safe spaces only
+            cut = [_SAFE_SPACE.split(t) for t in texts.filter(pc.invert(mask)).to_pylist()]
+            rows.append(pa.array([[c[0], *[p[1:] for p in c[1:]]] for c in cut], lists.type))
+        lists = pa.concat_arrays(rows)
+        offs = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        word = coded.indices.to_numpy().astype(np.int32)
+        heads = offs[:-1]
+        found = self._find(coded.dictionary.to_pylist())
+        # the first piece of a text has no space before it
+        found += self._alone(lists.flatten().take(pa.array(heads)).to_pylist())
+        word[heads] = len(coded.dictionary) + np.arange(len(heads))
+        size = np.fromiter(map(len, found), np.int32, len(found)) // self.width
+        start = np.cumsum(size, dtype=np.int32) - size
+        many = size[word]
+        end = np.cumsum(many, dtype=np.int32)  # a batch holds far fewer than 2**31 ids
+        at = np.repeat(start[word] - (end - many), many)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = np.frombuffer(b"".join(found), self.dtype)[at]
+        cuts = np.r_[0, end][offs]
+        out = [ids[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
+        order = np.argsort(np.r_[np.nonzero(plain)[0], np.nonzero(np.logical_not(plain))[0]], kind="stable")
+        return [out[k] for k in order]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -258,10 +295,10 @@ def write_records(docs: DataFrame, folder: str, opt: RecordOptions) -> DataFrame
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([f"{folder}/{name}"]),
                  pa.array([len(index)], pa.int64()), pa.array([ids], pa.int64())], names=["part", "seq", "file", "records", "ids"])
 
-        for batch in clean_batches(batches, 4 << 20):
+        for batch in clean_batches(batches, 8 << 20):
             part = batch.column(2)[0].as_py()
             payloads = [struct.pack("<qBB", doc or 0, doc is None, enc.width) + body + end
-                        for doc, body in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()))]
+                        for doc, body in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)))]
             for payload, rec in zip(payloads, frames(payloads)):
                 if out is None:
                     fs.create_dir(base, recursive=True)
