@@ -112,7 +112,8 @@ def schedule(sources: DataFrame, opt: MixOptions) -> DataFrame:
 def placed(docs: DataFrame, opt: MixOptions) -> tuple[DataFrame, DataFrame]:
     """(documents on their source's stream, sources): doc_id, source, size, at and every source's
     target. ``at`` counts all words before a document, sources one after another."""
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    # the texts are counted once: the range partitioning below reads its input twice
+    sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "mix-sizes")
     order = [F.col("source").asc_nulls_last(), F.xxhash64(F.col("doc_id"), F.lit(opt.seed)), F.col("doc_id"), F.col("size")]
     laid = written(numbered(sized, order, F.col("size"), "at", "mix-sizes"), "mix-placed")
     return laid, written(source_targets(laid, opt), "mix-targets")
