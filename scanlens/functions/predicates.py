@@ -199,6 +199,11 @@ def can_self_overlap(p: str) -> bool:
     return any(p[:k] == p[-k:] for k in range(1, len(p)))
 
 
+def shortest_shift(p: str) -> int:
+    """The smallest distance between two hits of ``p``."""
+    return next(k for k in range(1, len(p) + 1) if p[k:] == p[:len(p) - k])
+
+
 def hit_positions(folded: Column, phrase_text: str) -> Column:
     """0-based start of every occurrence of a phrase, overlapping ones included, in order.
 

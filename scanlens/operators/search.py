@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import content_glob_literals, content_glob_to_regex, regex_for_java
 from ..functions.paths import in_scope, search_excluded
-from ..functions.predicates import MIN_PHRASE, Term, count_hits, hit_positions, simple_phrase
-from ..functions.text import escape_debug, fold, fold_literal, token_count
+from ..functions.predicates import MIN_PHRASE, Term, count_hits, hit_positions, shortest_shift, simple_phrase
+from ..functions.text import escape_debug, fold, fold_literal, fold_text, token_count
 from ..session import checkpoint_dir
 from . import grams
 
@@ -121,7 +121,8 @@ def with_snippet_column(rows: DataFrame, phrases: list[str], tokens: int = SNIPP
             F.filter("_sent", lambda x: x <= h["pos"])).alias("sent")))
         staged = (rows.withColumn("_found", hits).withColumn("_sent", _sentence_starts(F.col("content")))
                   .withColumn("_hits", sentence).withColumn("_n", n_tok))
-        most = tokens * len(live)  # starts of hits that a window can hold
+        # starts of hits that a window can hold at most
+        most = sum(-(-tokens // shortest_shift(fold_text(p))) for p in live)
 
         def held(start: Column, first: Column, n: int) -> Column:
             """Hits that start inside the window, out of ``n`` sorted ones from position ``first`` on."""
@@ -142,10 +143,14 @@ def with_snippet_column(rows: DataFrame, phrases: list[str], tokens: int = SNIPP
                 score(x, F.lit(0)).alias("score"), (-(2 * i)).alias("order"), centred(x).alias("adj")))
 
         def at_sentence(h: Column, i: Column) -> Column:
+            # the first hit after a sentence's start speaks for all of the sentence
+            before = F.get("_hits", i - 1)
+            first = (i == 0) | (before["sent"] != h["sent"]) | (before["pos"] == h["sent"])
+            ok = (F.col("_n") > tokens) & (h["sent"] < h["pos"]) & first
             bonus = F.when(h["sent"] == 0, TEXT_START).otherwise(SENTENCE_START)
-            ok = (F.col("_n") > tokens) & (h["sent"] < h["pos"])
-            inside = held(h["sent"], F.greatest(i + 1 - most, F.lit(1)), 2 * most)
-            return F.struct(F.when(ok, score(inside, bonus)).otherwise(-1).alias("score"), (-(2 * i + 1)).alias("order"), h["sent"].alias("adj"))
+            inside = held(h["sent"], F.greatest(i + 1 - len(live), F.lit(1)), most + len(live))
+            return F.struct(F.when(ok, _bound(inside, lambda x: score(x, bonus))).otherwise(-1).alias("score"),
+                            (-(2 * i + 1)).alias("order"), h["sent"].alias("adj"))
 
         options = F.concat(F.transform("_hits", at_hit), F.transform("_hits", at_sentence))
         best = staged.withColumn("_best", F.array_max(options)).withColumn("_adj", F.coalesce(F.col("_best.adj"), F.lit(0)))
