@@ -3,8 +3,9 @@ Arrow buffers, grouped streaming over sorted partitions, distributed running off
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 from ..session import checkpoint_dir
 
 #: Bytes of text that one numpy block holds at most (one longer document forms a block alone).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -166,14 +167,51 @@ def shingle_sets(words: np.ndarray, woffs: np.ndarray, k: int) -> list[np.ndarra
     return out
 
 
-def clean_batches(batches: Iterator[pa.RecordBatch], budget: int = 32 << 20) -> Iterator[pa.RecordBatch]:
-    """Arrow batches sliced so that none holds much more than ``budget`` bytes."""
+#: what a Python worker remembers between tasks, by operator; one operator's at a time
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """Something costly that tasks of one operator share in a worker process (a vocabulary, a memory
+    of words). A worker that turns to another operator gives it up, see ``clean_batches``."""
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def clean_batches(batches: Iterator[pa.RecordBatch], budget: int = 32 << 20, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Arrow batches sliced so that none holds much more than ``budget`` bytes. Starting a task drops
+    what other operators than ``owner`` hold in this process; ending it gives back freed memory."""
+    for key in [k for k in _HELD if k != owner]:
+        del _HELD[key]
     for b in batches:
         if b.num_rows == 0:
             continue
         step = max(1, int(b.num_rows * min(1.0, budget / max(1, b.nbytes))))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+    _give_back()
+
+
+#: rows of whole texts that travel to Python at once
+TEXT_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``TEXT_ROWS`` rows, where they are larger: ten thousand
+    whole texts at once can outgrow an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -265,6 +303,7 @@ def numbered(df: DataFrame, order: list[Column], size: Column, out: str, name: s
 def with_text(docs: DataFrame, keep: list[str], out: str) -> tuple[DataFrame, int, str]:
     """For Arrow functions over texts: the columns ``keep`` and the text (not twice if it is among
     them), the position of the text, and the DDL of ``keep`` followed by ``out``."""
+    bounded_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     if "text" in keep:
         base, at = docs.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in keep]), keep.index("text")

@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
+    bounded_batches,
     clean_batches,
     fixed_matrix,
     forest_roots,
@@ -135,6 +136,7 @@ def features(docs: DataFrame, opt: MinHashOptions) -> DataFrame:
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "fp", "bands", "sketch"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, n_shingles long, fp binary, bands array<long>, sketch binary")
 

@@ -31,11 +31,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import clean_batches, with_text
+from .common import clean_batches, held, with_text
 
 SPACE = "▁"
+#: remembered tests of token pairs; the memory starts anew beyond it
+MOST_PAIRS = 300_000
 # every byte that is not part of a character becomes one U+FFFD
 codecs.register_error("piece_bytes", lambda e: ("\ufffd", e.start + 1))
 
@@ -44,7 +47,7 @@ codecs.register_error("piece_bytes", lambda e: ("\ufffd", e.start + 1))
 class PieceOptions:
     model: str
     #: words that a process remembers in each of two generations
-    remembered: int = 400_000
+    remembered: int = 150_000
 
 
 class PieceModel:
@@ -177,7 +180,7 @@ class WordMemory:
         self.model, self.remembered = model, remembered
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
-        #: words whose decoded form differs from the word itself
+        #: remembered words whose decoded form is not a space and the word itself
         self.odd: dict[str, str] = {}
 
     @staticmethod
@@ -198,6 +201,8 @@ class WordMemory:
         return out
 
     def _learn(self, new: list[str]) -> None:
+        if len(self.model.fits) > MOST_PAIRS:
+            self.model.fits.clear()
         spelled = sorted(SPACE + w.replace(" ", SPACE) for w in new)
         for s, ids in zip(spelled, self.model.encode_sorted(spelled)):
             w = s[1:].replace(SPACE, " ")
@@ -206,34 +211,58 @@ class WordMemory:
             if back != " " + w:
                 self.odd[w] = back
 
-    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
-        """(ids as decimal text with single spaces, decoded text) per text, end id included."""
-        cut = [self.words(t) for t in texts]
+    def _find(self, words: list[str]) -> list[str]:
+        """Ids (decimal text) of distinct words."""
+        if len(self.odd) > self.remembered:
+            self.known, self.older, self.odd = {}, {}, {}
         if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
-        older = self.older
-        new = set().union(*cut) - self.known.keys()
-        again = new & older.keys()
-        self.known.update({w: older[w] for w in again})
-        self._learn(list(new - again))
-        find, end, odd = self.known.__getitem__, str(self.model.end), self.odd
-        out = []
-        for c in cut:
-            if odd and not odd.keys().isdisjoint(c):
-                back = "".join([odd.get(w) or " " + w for w in c])[1:]
+        found = list(map(self.known.get, words))
+        absent = [k for k, v in enumerate(found) if v is None]
+        if absent:
+            names = [words[k] for k in absent]
+            older = list(map(self.older.get, names))
+            self.known.update((w, v) for w, v in zip(names, older) if v is not None)
+            self._learn([w for w, v in zip(names, older) if v is None])
+            for k, v in zip(absent, map(self.known.__getitem__, names)):
+                found[k] = v
+        return found
+
+    def encode(self, texts: pa.Array) -> list[tuple[str, str]]:
+        """(ids as decimal text with single spaces, decoded text) per text (no nulls), end id included.
+
+        Arrow cuts the texts at spaces and numbers the distinct words; only those go through the
+        memory.
+        """
+        raw = texts.to_pylist()
+        cut = [None if t and "  " not in t and SPACE not in t and t[0] != " " and t[-1] != " " else self.words(t) for t in raw]
+        plain = pa.array([c is None for c in cut])
+        lists = pc.split_pattern(texts.filter(plain), " ")
+        rest = [c for c in cut if c is not None]
+        if rest:
+            lists = pa.concat_arrays([lists, pa.array(rest, lists.type)])
+        offs = lists.offsets.to_pylist()
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        spelled = np.array(self._find(names), dtype=object)
+        at = coded.indices.to_numpy()
+        odd = self.odd
+        back = np.array([odd.get(w, " " + w) for w in names], dtype=object) if odd else None
+        order = [k for k, c in enumerate(cut) if c is None] + [k for k, c in enumerate(cut) if c is not None]
+        out: list = [None] * len(raw)
+        end = str(self.model.end)
+        for k, i, j in zip(order, offs[:-1], offs[1:]):
+            own = at[i:j]
+            if back is None:  # every word decodes to itself and the space before it
+                text = raw[k].replace(SPACE, " ")
             else:
-                back = " ".join(c)
-            out.append((" ".join([*map(find, c), end]), back))
+                text = "".join(back[own].tolist())[1:]
+            out[k] = (" ".join([*spelled[own].tolist(), end]), text)
         return out
 
 
-_MEMORIES: dict[str, WordMemory] = {}
-
-
 def memory(opt: PieceOptions) -> WordMemory:
-    if opt.model not in _MEMORIES:
-        _MEMORIES[opt.model] = WordMemory(PieceModel(opt.model), opt.remembered)
-    return _MEMORIES[opt.model]
+    return held(f"pieces {opt}", lambda: WordMemory(PieceModel(opt.model), opt.remembered))
 
 
 def pieces(docs: DataFrame, opt: PieceOptions, keep: list[str], digest: bool = False) -> DataFrame:
@@ -245,8 +274,8 @@ def pieces(docs: DataFrame, opt: PieceOptions, keep: list[str], digest: bool = F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mem = memory(opt)
-        for b in clean_batches(batches, 4 << 20):
-            rows = mem.encode([t or "" for t in b.column(at).to_pylist()])
+        for b in clean_batches(batches, 4 << 20, f"pieces {opt}"):
+            rows = mem.encode(b.column(at).fill_null(""))
             many = pa.array([r[0].count(" ") + 1 for r in rows], pa.int64())
             if digest:
                 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()

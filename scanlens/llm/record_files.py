@@ -36,7 +36,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clean_batches, running_offsets, shared_folder, written
+from .common import clean_batches, held, running_offsets, shared_folder, written
 
 
 @dataclass(frozen=True)
@@ -253,13 +253,8 @@ class PieceEncoder:
         return [out[k] for k in order]
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(opt: RecordOptions) -> PieceEncoder:
-    if opt.tokenizer not in _ENCODERS:
-        _ENCODERS[opt.tokenizer] = PieceEncoder(opt.tokenizer, opt.remembered)
-    return _ENCODERS[opt.tokenizer]
+    return held(f"records {opt}", lambda: PieceEncoder(opt.tokenizer, opt.remembered))
 
 
 # ------------------------------------------------------------------ files
@@ -295,7 +290,7 @@ def write_records(docs: DataFrame, folder: str, opt: RecordOptions) -> DataFrame
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([f"{folder}/{name}"]),
                  pa.array([len(index)], pa.int64()), pa.array([ids], pa.int64())], names=["part", "seq", "file", "records", "ids"])
 
-        for batch in clean_batches(batches, 8 << 20):
+        for batch in clean_batches(batches, 8 << 20, f"records {opt}"):
             part = batch.column(2)[0].as_py()
             payloads = [struct.pack("<qBB", doc or 0, doc is None, enc.width) + body + end
                         for doc, body in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)))]

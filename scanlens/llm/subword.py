@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _LOWER, PrefixHash, clean_batches, mix64, text_blocks, with_text, word_hashes
+from .common import _LOWER, PrefixHash, bounded_batches, clean_batches, mix64, text_blocks, with_text, word_hashes
 
 
 @dataclass(frozen=True)
@@ -35,9 +36,11 @@ class SubwordOptions:
     #: give every word one more feature: whether it repeats the word before it
     repeats: bool = False
     #: bound on the documents that training sees, dealt evenly over the labels
-    sample: int = 3000
+    sample: int = 2000
     #: share of the sample kept back to calibrate scores
     kept_back: float = 0.2
+    #: the threshold of rejection is never higher
+    most_threshold: float = 0.4
     epochs: int = 6
     rate: float = 4.0
     seed: int = 7
@@ -92,42 +95,53 @@ def row_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
+#: a bucket's share of a document's features is kept as a half-precision float times this
+_SHARE = 4096.0
+
+
 def _sparse(docs: DataFrame, opt: SubwordOptions) -> DataFrame:
-    """label, h, idx (uint16 bytes), cnt (float32 bytes) for rows (label, h, text)."""
+    """label, h, idx (uint16 bytes), x (float16 bytes: shares of the buckets) for rows (label, h, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in clean_batches(batches):
             for i, j, data, offs in text_blocks(batch.column(2)):
                 parts = list(bucket_streams(data, offs, opt))
-                idx, cnt = [], []
+                idx, x = [], []
                 for r in range(j - i):
                     own = np.concatenate([np.zeros(0, np.int32)] + [s[o[r]:o[r + 1]] for s, o in parts])
                     u, c = np.unique(own[own < opt.buckets], return_counts=True)
                     idx.append(u.astype(np.uint16).tobytes())
-                    cnt.append(c.astype(np.float32).tobytes())
+                    x.append((c * (_SHARE / max(1, c.sum()))).astype(np.float16).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(idx, pa.binary()), pa.array(cnt, pa.binary())],
-                    names=["label", "h", "idx", "cnt"])
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(idx, pa.binary()), pa.array(x, pa.binary())],
+                    names=["label", "h", "idx", "x"])
 
-    return docs.select("label", "h", "text").mapInArrow(run, "label string, h long, idx binary, cnt binary")
+    bounded_batches(docs.sparkSession)
+    return docs.select("label", "h", "text").mapInArrow(run, "label string, h long, idx binary, x binary")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, opt: SubwordOptions) -> list:
+def labelled_sample(docs: DataFrame, labels: DataFrame, opt: SubwordOptions) -> pa.Table:
     """At most ``opt.sample`` labelled documents as sparse counts, in hash order, on the driver.
 
-    ``labels`` has (doc_id, label). The ids are drawn first, from id and label alone; only the
-    drawn ids (a bounded table) are broadcast to the texts.
+    ``labels`` has (doc_id, label). The ids are drawn first, from id and label alone: a first cut by
+    hash keeps about twice the sample of every label (all of a small one), so ranking inside a
+    label handles a bounded number of rows however many carry it. Only the drawn ids (a bounded
+    table) are broadcast to the texts.
     """
     h = F.xxhash64(F.col("doc_id"), F.lit(opt.seed)).alias("h")
-    ranked = (labels.where("doc_id is not null and label is not null")
-              .groupBy("doc_id").agg(F.min(F.col("label").cast("string")).alias("label"))
-              .select("doc_id", "label", h)
+    named = (labels.where("doc_id is not null and label is not null")
+             .select("doc_id", F.col("label").cast("string").alias("label"), h))
+    many = named.groupBy("label").agg(F.count("*").alias("n"))
+    place = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = named.join(many, "label").where(place * F.col("n") < F.lit(2.0 * opt.sample + 200)).drop("n")
+    ranked = (near.groupBy("doc_id", "h").agg(F.min("label").alias("label"))
               .withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id")))
               .where(F.col("rn") <= opt.sample))
     drawn = ranked.orderBy("rn", "h", "doc_id").limit(opt.sample).select("doc_id", "label", "h")
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    rows = _sparse(texts, opt).collect()
-    return sorted(rows, key=lambda r: (r.h, r.label, bytes(r.idx)))[:opt.sample]
+    rows = _sparse(texts, opt).toArrow()
+    order = pc.sort_indices(rows, [("h", "ascending"), ("label", "ascending"), ("idx", "ascending")])
+    return rows.take(order[:opt.sample]).combine_chunks()
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -135,23 +149,24 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list, opt: SubwordOptions) -> SubwordModel:
-    """Train on rows (label, idx, cnt). Without rows the model has no labels; with one label it
+def fit(rows: pa.Table, opt: SubwordOptions) -> SubwordModel:
+    """Train on rows (label, idx, x). Without rows the model has no labels; with one label it
     predicts that label."""
-    labels = sorted({r.label for r in rows})
+    names = rows.column("label").to_pylist()
+    labels = sorted(set(names))
     c = len(labels)
     table = np.zeros((c, opt.buckets + 1), dtype=np.float32)
     if c == 0:
         return SubwordModel([], table, np.zeros(0), 1.0, 0.0, opt)
-    of = {x: k for k, x in enumerate(labels)}
-    ys = np.array([of[r.label] for r in rows])
-    xs = []
-    for r in rows:
-        idx, cnt = np.frombuffer(r.idx, np.uint16).astype(np.int64), np.frombuffer(r.cnt, np.float32)
-        xs.append((idx, (cnt / max(1.0, float(cnt.sum()))).astype(np.float32)))
+    ys = np.array([labels.index(x) for x in names])
+
+    def features(k: int) -> tuple[np.ndarray, np.ndarray]:  # views into the Arrow buffers
+        idx = np.frombuffer(rows.column("idx")[k].as_buffer(), np.uint16).astype(np.int64)
+        return idx, np.frombuffer(rows.column("x")[k].as_buffer(), np.float16).astype(np.float32) / np.float32(_SHARE)
+
     rng = np.random.default_rng(opt.seed)
-    order = rng.permutation(len(rows))
-    back = order[:int(len(rows) * opt.kept_back)]
+    order = rng.permutation(len(names))
+    back = order[:int(len(names) * opt.kept_back)]
     train = order[len(back):]
     e = rng.uniform(-1.0 / opt.dims, 1.0 / opt.dims, (opt.buckets, opt.dims)).astype(np.float32)
     w = rng.normal(0, 0.5, (c, opt.dims)).astype(np.float32)
@@ -159,7 +174,7 @@ def fit(rows: list, opt: SubwordOptions) -> SubwordModel:
     steps, done = max(1, opt.epochs * len(train)), 0
     for _ in range(opt.epochs):
         for k in rng.permutation(train):
-            idx, x = xs[k]
+            idx, x = features(k)
             rate = opt.rate * (1.0 - done / steps)
             done += 1
             hid = x @ e[idx] if len(idx) else np.zeros(opt.dims, np.float32)
@@ -174,14 +189,14 @@ def fit(rows: list, opt: SubwordOptions) -> SubwordModel:
     table[:, :opt.buckets] = w @ e.T
     model = SubwordModel(labels, table, b.astype(np.float64), 1.0, 0.0, opt)
     if len(back):
-        z = np.stack([table[:, xs[k][0]] @ xs[k][1] + b if len(xs[k][0]) else b for k in back]).astype(np.float64)
+        z = np.stack([table[:, idx] @ x + b for idx, x in map(features, back)]).astype(np.float64)
         grid = np.geomspace(0.25, 16.0, 49)
         loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(back)), ys[back]], 1e-12)).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
         p = _softmax(z / model.temperature)
         good = np.sort(p.max(axis=1)[p.argmax(axis=1) == ys[back]])
-        # at most one right prediction in 500 falls below; never above an even chance
-        model.threshold = float(min(0.5, good[int(len(good) / 500)])) if len(good) else 0.0
+        # at most one right prediction in 500 falls below
+        model.threshold = float(min(opt.most_threshold, good[int(len(good) / 500)])) if len(good) else 0.0
     return model
 
 
