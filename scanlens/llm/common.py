@@ -4,6 +4,7 @@ Arrow buffers, grouped streaming over sorted partitions, distributed running off
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,12 +25,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/scanlens-{name}-{uuid.uuid4().hex}"
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect handles of finished steps. Spark deletes shuffle files and checkpoints
+    when their handles are collected; without this, those of all steps of an iterative operator
+    pile up on the executors' disks until the driver happens to collect."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: lineage is cut, and a lost
     executor costs no recomputation."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .common import tidy
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -46,3 +47,4 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
                 e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         state = (now.n, now.h)
+        tidy(links.sparkSession)
