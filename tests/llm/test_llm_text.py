@@ -232,6 +232,12 @@ def test_line_runs_equal_the_oracle(spark):
     assert sorted(map(tuple, got)) == sorted(con.execute(line_dedup.ORACLE_SQL).fetchall())
 
 
+def test_short_lines_stay_under_the_minimum_and_go_without_it(spark):
+    rows = [(d, f"a long line that stands only here, number {d}\nAnd so.") for d in range(30)]
+    left = {m: sum("And so." in r.text for r in line_dedup.dedup_lines(docs_of(spark, rows), m).collect()) for m in (line_dedup.MIN_CHARS, 1)}
+    assert left == {20: 30, 1: 1}  # README: what the minimum leaves
+
+
 def test_line_runs_edge_rows(spark):
     line = "the same line with more than twenty characters"
     docs = docs_of(spark, [(None, line), (1, line), (1, line), (2, None), (3, ""), (4, f"x\n{line}\n\ny")])
