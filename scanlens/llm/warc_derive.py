@@ -9,8 +9,10 @@ Record ids are derived from the response's id, so reruns agree.
 
 Text of a page: comments, scripts, styles, templates and the head are taken out, tags of block
 elements become line breaks, other tags vanish, character references are resolved, white space
-inside a line becomes one space, and empty lines go. A ``<`` that starts no tag stays. Cost grows
-linearly with the page.
+inside a line becomes one space, and empty lines go. A ``<`` that starts no tag stays. A head ends
+at its end tag or, as in HTML, before the first text or tag that cannot stand in a head. Of a
+noscript, template or title in the head without an end tag only the tag goes; an unclosed comment,
+script or style reaches to the end of the page, as in HTML. Cost grows linearly with the page.
 
 Files: ``write_warc`` writes one gzip member per record, a file per task under a random name; only
 files that a successful task returns enter the manifest. ``read_warc`` streams files back into
@@ -44,7 +46,12 @@ DATE = "1970-01-01T00:00:00Z"
 FIELDS = ("warc_type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, "
           "content_type string, payload_digest string, block_digest string, content_length long, block string")
 
-_SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+#: what a page is cut at: a comment, a script or style with its text, a tag, other markup
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)(?![^\s/>])[^<>]*+>.*?(?:</\1\s*>|\Z)"
+                    r"|<(/?)([A-Za-z][^\s/<>]*+)[^<>]*+>|<[/!?][^<>]*+>", re.I | re.S)
+#: elements that are skipped up to their own end tag; title counts inside a head only
+_PAIRED = {"noscript", "template", "title"}
+_VOID_IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta"}
 _TITLE = re.compile(r"<title\b[^<>]*>(.*?)</title\s*>", re.I | re.S)
 _LINK = re.compile(r"""<a\s(?:[^<>]*?\s)?href\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)'|([^\s"'<>]+))""", re.I)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form"
@@ -56,8 +63,50 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _skipped(page: str) -> list[tuple[int, int]]:
+    """Spans of a page that are not text, by start; they may overlap."""
+    spans, tags, ends = [], [], {}
+    open_at: dict[str, list[int]] = {name: [] for name in _PAIRED}
+    for m in _TOKEN.finditer(page):
+        name = (m[3] or "").lower()
+        tags.append((m.start(), m.end(), "/" if m[2] else "", name))
+        if not name and (m[1] or page.startswith("<!--", m.start())):
+            spans.append(m.span())
+        elif name in _PAIRED and not m[2]:
+            open_at[name].append(m.start())
+        elif name in _PAIRED and open_at[name]:
+            ends[open_at[name].pop()] = m.end()
+    head = at = None  # start of the open head, end of what is known to belong to it
+    for start, end, slash, name in tags:
+        if head is not None and start >= at:
+            if page[at:start].strip() or (name in ("body", "br", "html") if slash else name and name not in _PAIRED | _VOID_IN_HEAD):
+                spans.append((head, at))
+                head = None
+            elif slash and name == "head":
+                spans.append((head, end))
+                head = None
+            else:
+                at = end if slash else ends.get(start, end)
+        elif head is None and name == "head" and not slash:
+            head, at = start, end
+        if name in ("noscript", "template") and start in ends:
+            spans.append((start, ends[start]))
+    if head is not None:
+        spans.append((head, at))
+    return sorted(spans)
+
+
+def _shown(page: str) -> str:
+    parts, at = [], 0
+    for start, end in _skipped(page):
+        if start >= at:
+            parts.append(page[at:start])
+        at = max(at, end)
+    return " ".join([*parts, page[at:]])
+
+
 def page_text(page: str) -> str:
-    body = _TAG.sub("", _BLOCK.sub("\n", _SKIPPED.sub(" ", page)))
+    body = _TAG.sub("", _BLOCK.sub("\n", _shown(page)))
     lines = (" ".join(x.split()) for x in html.unescape(body).split("\n"))
     return "\n".join(x for x in lines if x)
 

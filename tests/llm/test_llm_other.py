@@ -282,6 +282,25 @@ def test_page_text_of_broken_pages():
     assert warc_derive.page_text("") == "" and warc_derive.page_facts("") == (None, [])
 
 
+def test_page_text_without_end_tags():
+    text = warc_derive.page_text
+    assert text("<html><head><title>t</title><body><p>all of the text</p></body></html>") == "all of the text"
+    assert text("<head><meta charset=x><title>t</title><style>p{}</style><!-- <p> --><link rel=y><p>one</p><p>two") == "one\ntwo"
+    assert text("<head><title>t</title> bare text<p>more") == "bare text\nmore"
+    assert text("<head><title>never closed<body><p>x") == "never closed\nx"
+    assert text("<head><script>'</head><p>'</script><title>a<b></title></head>x") == "x"
+    assert text("<head><title>t</title></body>x") == "x"
+    assert text("<head><noscript><img src=p><p>no</p></noscript><title>t</title></head><p>yes") == "yes"
+    for name in ("noscript", "template"):
+        assert text(f"a<{name}>b<p>c</p>") == "ab\nc"
+        assert text(f"<p>a</p><{name}>b<p>c</p><{name}>gone</{name}><p>d") == "a\nb\nc\nd"
+        assert text(f"<p>a</p><{name}>gone</{name}>d<{name}-view>e</{name}-view>") == "a\nde"
+        assert text(f"<head><{name}><title>t</title><body><p>c") == "c"
+        assert text(f"<{name}>" * 100_000 + "x") == "x"
+    assert text("<template>a<template>b</template>c</template>d") == "d"
+    assert text("<head>" * 50_000 + "x") == "x" and text("<head" * 50_000) == "<head" * 50_000
+
+
 def test_derived_records(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     odd = spark.createDataFrame([(-1, None, "<p>x"), (-2, "u", None), (None, "u", "y"), (-1, None, "<p>x")], pages.schema)
