@@ -16,7 +16,11 @@ script or style reaches to the end of the page, as in HTML. Cost grows linearly
 
 Files: ``write_warc`` writes one gzip member per record, a file per task under a random name; only
 files that a successful task returns enter the manifest. ``read_warc`` streams files back into
-records of any type.
+records of any type, with text blocks and the columns ``FIELDS``, or with ``raw=True`` with the bytes
+of every block and all headers (``RAW_FIELDS``), which ``write_warc`` writes back as they were.
+``split_responses`` cuts raw response blocks into HTTP head and payload bytes for ``derive``. Digest and
+length are those of the payload bytes; for the text they are decoded by byte order mark, HTTP or
+meta charset, else as UTF-8, else as windows-1252. Transfer and content codings are not undone.
 
 Edge cases. Null html: an empty payload, empty text. Null url: no target URI. Null page_id: the id
 comes from url and payload alone. Repeated rows give repeated records with the same ids. Extra
@@ -26,6 +30,7 @@ columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
@@ -52,6 +57,12 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)(?![^\s/>])[^<>]*+>.*?(?:
 #: elements that are skipped up to their own end tag; title counts inside a head only
 _PAIRED = {"noscript", "template", "title"}
 _VOID_IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta"}
+#: ``FIELDS`` of records as they are: block bytes, and all headers in order
+RAW_FIELDS = FIELDS.removesuffix("block string") + "block binary, headers array<struct<name:string,value:string>>"
+
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+_CHARSET = re.compile(r"""charset\s*=\s*["']?\s*([^\s"';,/>]+)""", re.I)
+_BOMS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
 _TITLE = re.compile(r"<title\b[^<>]*>(.*?)</title\s*>", re.I | re.S)
 _LINK = re.compile(r"""<a\s(?:[^<>]*?\s)?href\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)'|([^\s"'<>]+))""", re.I)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form"
@@ -119,6 +130,57 @@ def page_facts(page: str) -> tuple[str | None, list[str]]:
             [html.unescape(a or b or c) for a, b, c in _LINK.findall(seen)])
 
 
+def _header_text(data: bytes) -> str:
+    """Header bytes as text: UTF-8 where they are, else one character per byte."""
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
+
+def payload_text(payload: bytes, head: str | None) -> str:
+    """A payload's text, by byte order mark, declared charset, UTF-8 or windows-1252."""
+    content_type = re.search(r"^content-type\s*:(.*)$", head or "", re.I | re.M)
+    named = [n for b, n in _BOMS if payload.startswith(b)]
+    for place in (content_type[1] if content_type else "", payload[:1024].decode("latin-1")):
+        named += _CHARSET.findall(place)[:1]
+    for name in named:
+        try:
+            name = codecs.lookup(name).name
+            if name in ("iso8859-1", "ascii"):  # as browsers read these labels
+                name = "cp1252"
+            return payload.decode(name, "replace").encode("utf-8", "replace").decode()
+        except (LookupError, ValueError):
+            pass
+    try:
+        return payload.decode()
+    except UnicodeDecodeError:
+        return payload.decode("cp1252", "replace")
+
+
+def split_block(block: bytes) -> tuple[str | None, bytes]:
+    """HTTP head (None if the block has none) and payload bytes of a response block."""
+    if not block.startswith(b"HTTP/"):
+        return None, block
+    end = _HEAD_END.search(block)
+    return (_header_text(block[:end.start()]), block[end.end():]) if end else (_header_text(block), b"")
+
+
+def split_responses(records: DataFrame) -> DataFrame:
+    """Source of ``derive`` from raw records: record_id, target_uri, date, http_head, payload bytes of
+    every response record."""
+    base = records.where(F.lower("warc_type") == "response").select("record_id", "target_uri", "date", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in clean_batches(batches, 8 << 20):
+            parts = [split_block(x or b"") for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], pa.array([h for h, _ in parts], pa.string()), pa.array([x for _, x in parts], pa.binary())],
+                names=["record_id", "target_uri", "date", "http_head", "payload"])
+
+    return base.mapInArrow(run, "record_id string, target_uri string, date string, http_head string, payload binary")
+
+
 def _derived_id(response: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1(f'{kind} {response}'.encode()).digest()[:16], version=5)}>"
 
@@ -137,7 +199,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 def derive(source: DataFrame, keep: list[str]) -> DataFrame:
     """Metadata and conversion records, two rows per response: the columns ``keep`` and ``FIELDS``.
-    ``source`` has record_id, target_uri, date, http_head, payload."""
+    ``source`` has record_id, target_uri, date, http_head, payload (text or bytes)."""
     base = source.select(*keep, "record_id", "target_uri", "date", "http_head", "payload")
     n = len(keep)
 
@@ -146,8 +208,9 @@ def derive(source: DataFrame, keep: list[str]) -> DataFrame:
         for b in clean_batches(batches, 8 << 20):
             rows: list[tuple] = []
             for rid, uri, date, head, payload in zip(*(b.column(n + k).to_pylist() for k in range(5))):
-                raw = payload.encode()
-                status, *fields = (head or "").split("\r\n")
+                raw = payload.encode() if isinstance(payload, str) else payload or b""
+                payload = payload if isinstance(payload, str) else payload_text(raw, head)
+                status, *fields = re.sub(r"\r?\n[ \t]+", " ", head or "").replace("\r\n", "\n").split("\n")
                 meta, conv = _derived_id(rid, "metadata"), _derived_id(rid, "conversion")
                 title, links = page_facts(payload)
                 text, source_digest = page_text(payload), digest(raw)
@@ -175,13 +238,20 @@ _HEADERS = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-
 
 
 def record_bytes(row: dict) -> bytes:
-    block = (row["block"] or "").encode()
-    head = ["WARC/1.1", *[f"{h}: {row[c]}" for h, c in _HEADERS if row[c] is not None], f"Content-Length: {len(block)}"]
+    block = row["block"] or b""
+    block = block.encode() if isinstance(block, str) else block
+    column = {h.lower(): c for h, c in _HEADERS} | {"content-length": "content_length"}
+    # headers without a column, and further ones of a repeated name
+    more = [(h["name"], h["value"]) for h in row.get("headers") or []
+            if h["name"].lower() not in column or h["name"].lower() == "warc-concurrent-to" and h["value"] != row["concurrent_to"]]
+    head = ["WARC/1.1", *[f"{h}: {v}" for h, v in more], *[f"{h}: {row[c]}" for h, c in _HEADERS if row[c] is not None],
+            f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_records(stream) -> Iterator[dict]:
-    """Records of an uncompressed WARC byte stream, any version and type; blocks as text."""
+def parse_records(stream, raw: bool = False) -> Iterator[dict]:
+    """Records of an uncompressed WARC byte stream, any version and type; blocks as text, or with
+    ``raw`` as bytes with all headers."""
     by_name = {h.lower(): c for h, c in _HEADERS}
     while True:
         line = stream.readline()
@@ -192,10 +262,15 @@ def parse_records(stream) -> Iterator[dict]:
         if not line.startswith(b"WARC/"):
             raise ValueError("not a WARC record")
         row: dict = {c: None for _, c in _HEADERS}
-        size = 0
+        size, headers = 0, []
         while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            name, value = name.strip().lower(), value.strip()
+            if line[:1] in (b" ", b"\t") and headers:  # a folded header goes on
+                headers[-1]["value"] += " " + _header_text(line).strip()
+                continue
+            name, _, value = _header_text(line).partition(":")
+            headers.append({"name": name.strip(), "value": value.strip()})
+        for h in headers:
+            name, value = h["name"].lower(), h["value"]
             if name == "content-length":
                 size = int(value)
             elif name in by_name:
@@ -203,14 +278,16 @@ def parse_records(stream) -> Iterator[dict]:
         block = stream.read(size)
         if len(block) != size:
             raise ValueError("a record ends early")
-        row["content_length"], row["block"] = size, block.decode("utf-8", "replace")
+        row["content_length"], row["block"] = size, block if raw else block.decode("utf-8", "replace")
+        if raw:
+            row["headers"] = headers
         yield row
 
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
-    """Write records (columns ``FIELDS``) as ``*.warc.gz``; returns the manifest (file, records)."""
+    """Write records (columns ``FIELDS``, or ``RAW_FIELDS``) as ``*.warc.gz``; returns the manifest (file, records)."""
     folder = _uri(folder)
-    names = [f.split()[0] for f in FIELDS.split(", ")]
+    names = [f.split()[0] for f in FIELDS.split(", ")] + [c for c in ("headers",) if c in records.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _filesystem(folder)
@@ -230,20 +307,24 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
     return written(records.select(*names).mapInArrow(run, "file string, records long"), "warc-manifest")
 
 
-def read_warc(spark: SparkSession, files: DataFrame, rows: int = 256) -> DataFrame:
-    """Records (columns ``FIELDS``) of the files named in column ``file``, ``rows`` at a time."""
-    names = [f.split()[0] for f in FIELDS.split(", ")]
+def read_warc(spark: SparkSession, files: DataFrame, rows: int = 256, raw: bool = False) -> DataFrame:
+    """Records (columns ``FIELDS``, or ``RAW_FIELDS`` with ``raw``) of the files named in column
+    ``file``, ``rows`` at a time. Text blocks suit derived records; responses need ``raw``."""
+    names = [f.split()[0] for f in (RAW_FIELDS if raw else FIELDS).split(", ")]
+    types = {"content_length": pa.int64(), "headers": pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))}
+    if raw:
+        types["block"] = pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cut(part: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], pa.int64() if c == "content_length" else pa.string())
-                                               for c in names], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], types.get(c, pa.string())) for c in names],
+                                              names=names)
         for b in batches:
             for file in b.column(0).to_pylist():
                 fs, path = _filesystem(_uri(file))
-                with fs.open_input_file(path) as raw, gzip.GzipFile(fileobj=raw) as f:
+                with fs.open_input_file(path) as packed, gzip.GzipFile(fileobj=packed) as f:
                     part: list[dict] = []
-                    for row in parse_records(f):
+                    for row in parse_records(f, raw):
                         part.append(row)
                         if len(part) == rows:
                             yield cut(part)
@@ -251,4 +332,4 @@ def read_warc(spark: SparkSession, files: DataFrame, rows: int = 256) -> DataFra
                     if part:
                         yield cut(part)
 
-    return files.select("file").repartition("file").mapInArrow(run, FIELDS)
+    return files.select("file").repartition("file").mapInArrow(run, RAW_FIELDS if raw else FIELDS)

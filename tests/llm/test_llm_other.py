@@ -344,3 +344,46 @@ def test_foreign_records_are_read():
     assert [(r["warc_type"], r["record_id"], r["block"]) for r in got] == [("warcinfo", None, "abcd"), ("response", "<urn:x>", "")]
     with pytest.raises(ValueError):
         list(warc_derive.parse_records(io.BytesIO(raw[:-40] + b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab")))
+
+
+def test_responses_of_real_files_keep_bytes_and_headers(spark, tmp_path):
+    import gzip
+
+    pages = {"<urn:a>": ("Content-Type: text/html; charset=iso-8859-1\r\nX-Odd: \u00e9".encode("latin-1"), "<head><title>\u00e9t\u00e9</title><p>caf\u00e9 \u2013 x".encode("cp1252")),
+             "<urn:b>": (b"Server: y\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nX-Long: one\r\n  two", b"<p>\xff\xfe\r\n\r\n\x00 end"),
+             "<urn:c>": (b"Content-Type: text/html; charset=no-such", "<meta charset='koi8-r'><p>\u0434\u0430".encode("koi8-r"))}
+    raw = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    for rid, (head, body) in pages.items():
+        block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body
+        raw += (b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: " + rid.encode() + b"\r\nWARC-IP-Address: 10.0.0.1\r\nX-Note: one\r\n\ttwo"
+                b"\r\nWARC-Concurrent-To: <urn:x>\r\nWARC-Concurrent-To: <urn:y>\r\nContent-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+    (tmp_path / "in.warc.gz").write_bytes(gzip.compress(raw))
+    files = spark.createDataFrame([(str(tmp_path / "in.warc.gz"),)], "file string")
+    records = warc_derive.read_warc(spark, files, raw=True)
+    one = {r.record_id: r for r in records.collect()}
+    assert len(one) == 4 and bytes(one[None].block) == b"ab"
+    for rid, (head, body) in pages.items():
+        assert bytes(one[rid].block).endswith(head + b"\r\n\r\n" + body)
+        assert {("WARC-IP-Address", "10.0.0.1"), ("X-Note", "one two"), ("WARC-Concurrent-To", "<urn:x>")} <= {tuple(h) for h in one[rid].headers}
+    # written and read again: the same bytes and headers
+    again = warc_derive.read_warc(spark, warc_derive.write_warc(records, str(tmp_path / "out")), raw=True).collect()
+    plain = lambda r: (r.warc_type, r.record_id, r.concurrent_to, bytes(r.block), sorted(map(tuple, r.headers)))
+    assert sorted(map(plain, again), key=repr) == sorted(map(plain, one.values()), key=repr)
+    source = warc_derive.split_responses(records)
+    assert {r.record_id: bytes(r.payload) for r in source.collect()} == {k: v for k, (_, v) in pages.items()}
+    rows = warc_derive.derive(source, []).collect()
+    assert all(r.payload_digest == warc_derive.digest(pages[r.refers_to][1]) for r in rows) and len(rows) == 6
+    facts = {r.refers_to: json.loads(r.block) for r in rows if r.warc_type == "metadata"}
+    assert facts["<urn:a>"]["headers"][1] == ["X-Odd", "\u00e9"] and facts["<urn:a>"]["title"] == "\u00e9t\u00e9"
+    assert facts["<urn:b>"]["headers"] == [["Server", "y"], ["Set-Cookie", "a=1"], ["Set-Cookie", "b=2"], ["X-Long", "one two"]]
+    assert all(f["payload_length"] == len(pages[k][1]) for k, f in facts.items())
+    text = {r.refers_to: r.block for r in rows if r.warc_type == "conversion"}
+    assert (text["<urn:a>"], text["<urn:c>"]) == ("caf\u00e9 \u2013 x", "\u0434\u0430") and text["<urn:b>"].endswith("end")
+
+
+def test_payload_text_and_blocks_of_odd_form():
+    text, split = warc_derive.payload_text, warc_derive.split_block
+    assert text("\ufeffé".encode(), None) == "é" and text("é".encode("utf-16"), "Content-Type: text/html; charset=utf-8") == "é"
+    assert text(b"\xe9", None) == "é" and text(b"", None) == "" and text(b"x", "Content-Type: a; charset=hex") == "x"
+    assert split(b"HTTP/1.0 204 x") == ("HTTP/1.0 204 x", b"") and split(b"HTTP/1.0 200 x\n\na\r\n\r\nb") == ("HTTP/1.0 200 x", b"a\r\n\r\nb")
+    assert split(b"20240101 dns") == (None, b"20240101 dns") and split(b"") == (None, b"")
