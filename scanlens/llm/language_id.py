@@ -2,8 +2,8 @@
 
 The score is the winning probability after temperature scaling on documents kept back from
 training. A prediction is to be rejected when the text has no letter or the score falls below the
-calibrated threshold (at most one right prediction in 500 of the kept-back ones, and never above
-0.4: texts of two languages keep a place).
+calibrated threshold (set for one right prediction in 500, see ``rejection_threshold``). With a single
+learnt language every score is 1, and only letterless texts are rejected.
 
 Edge cases. Null, empty or letterless text: ``und`` with score 0, rejected. Null doc_id: predicted
 like any row, never learnt from. Repeated rows come back each. If nothing can be learnt (empty

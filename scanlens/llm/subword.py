@@ -39,8 +39,10 @@ class SubwordOptions:
     sample: int = 2000
     #: share of the sample kept back to calibrate scores
     kept_back: float = 0.2
-    #: the threshold of rejection is never higher
-    most_threshold: float = 0.4
+    #: share of right predictions that calibration lets fall below the threshold of rejection
+    lost: float = 1 / 500
+    #: with fewer right scores kept back, the threshold is at most halfway from chance to certainty
+    enough: int = 100
     epochs: int = 6
     rate: float = 4.0
     seed: int = 7
@@ -149,6 +151,27 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def rejection_threshold(z: np.ndarray, right: np.ndarray, opt: SubwordOptions) -> float:
+    """The winning probability below which a share of ``opt.lost`` of right predictions falls, from
+    kept-back logits ``z`` (rows x labels, after temperature scaling).
+
+    A sample of fewer than 1 / ``opt.lost`` rows has no such quantile: the lower tail of the log-odds
+    is extended exponentially by its mean excess below the lowest twentieth (in log-odds, since
+    probabilities crowd at 1). One label always has probability 1, so nothing can be rejected.
+    """
+    c = z.shape[1]
+    if c < 2 or not right.any():
+        return 0.0
+    top = np.sort(z[right], axis=1)
+    rest = top[:, :-1]
+    odds = np.sort(top[:, -1] - rest[:, -1] - np.log(np.exp(rest - rest[:, -1:]).sum(axis=1)))
+    n = len(odds)
+    k = min(n - 1, max(1, n // 20))
+    at = odds[k] - (odds[k] - odds[:k]).mean() * max(0.0, np.log(k / n / opt.lost)) if k else odds[0]
+    threshold = float(1.0 / (1.0 + np.exp(-at)))
+    return threshold if n >= opt.enough else min(threshold, (1.0 + 1.0 / c) / 2.0)
+
+
 def fit(rows: pa.Table, opt: SubwordOptions) -> SubwordModel:
     """Train on rows (label, idx, x). Without rows the model has no labels; with one label it
     predicts that label."""
@@ -194,9 +217,7 @@ def fit(rows: pa.Table, opt: SubwordOptions) -> SubwordModel:
         loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(back)), ys[back]], 1e-12)).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
         p = _softmax(z / model.temperature)
-        good = np.sort(p.max(axis=1)[p.argmax(axis=1) == ys[back]])
-        # at most one right prediction in 500 falls below
-        model.threshold = float(min(opt.most_threshold, good[int(len(good) / 500)])) if len(good) else 0.0
+        model.threshold = rejection_threshold(z / model.temperature, p.argmax(axis=1) == ys[back], opt)
     return model
 
 

@@ -149,6 +149,34 @@ def test_language_edge_rows(spark):
     assert language_id.predict(docs_of(spark, []), model, ["doc_id"]).count() == 0
 
 
+def test_unlearnt_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs, F.col("lang").isin("de", "en"))
+    rows = language_id.predict(docs, model, ["doc_id", "lang"]).where("lang_pred <> 'und'").collect()
+    right = [r.rejected for r in rows if r.lang == r.lang_pred]
+    wrong = [r.rejected for r in rows if r.lang not in ("de", "en")]
+    assert model.labels == ["de", "en"] and len(right) > 500 and len(wrong) > 200
+    assert sum(right) <= 0.01 * len(right) and sum(wrong) >= 0.9 * len(wrong)
+
+
+def test_rejection_threshold_is_the_quantile_of_right_scores():
+    import numpy as np
+
+    from scanlens.llm.subword import rejection_threshold
+
+    opt, rng = SubwordOptions(), np.random.default_rng(3)
+    for n, most in ((130, 0.006), (400, 0.004), (4000, 0.003)):
+        lost = []
+        for _ in range(100):
+            odds = rng.logistic(12, 1, n)
+            t = rejection_threshold(np.stack([odds, 0 * odds], 1), odds > 0, opt)
+            lost.append(1 / (1 + np.exp(12 - np.log(t / (1 - t)))))
+        assert 0.0005 < np.mean(lost) < most, (n, np.mean(lost))
+    z = np.stack([np.full(20, 9.0), np.zeros(20)], 1)
+    assert rejection_threshold(z, np.ones(20, bool), opt) == 0.75  # too few to place a higher one
+    assert rejection_threshold(z[:, :1], np.ones(20, bool), opt) == rejection_threshold(z, np.zeros(20, bool), opt) == 0.0
+
+
 def test_training_sample_is_bounded_and_repeatable(spark):
     from scanlens.llm.subword import fit, labelled_sample
 
