@@ -759,18 +759,7 @@ def wordstr(spark, sf):
     return L.wordstr_lines(fx.words(spark, sf), _pages(spark, sf))
 
 
-# ---------------------------------------------------------------- headers, streams
-
-from ..sources import headers as H  # noqa: E402
-
-
-@register("png_dims", with_views(
-    "SELECT id, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height FROM images "
-    "WHERE regexp_extract(path, '\\.([^./]+)$', 1) IN ('png', 'jpeg', 'jpg', 'gif', 'webp')", "images"))
-def png_dims(spark, sf):
-    hdr = fx.header_bytes(fx.images(spark, sf))
-    return H.dimensions(hdr).select("id", "width", "height")
-
+# ---------------------------------------------------------------- streams
 
 @register("stream_ingest", with_views(
     "SELECT path, modtime, md5(content) AS content_md5 FROM images "
