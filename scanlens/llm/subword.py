@@ -102,11 +102,22 @@ _SHARE = 4096.0
 
 
 def _sparse(docs: DataFrame, opt: SubwordOptions) -> DataFrame:
-    """label, h, idx (uint16 bytes), x (float16 bytes: shares of the buckets) for rows (label, h, text)."""
+    """label, h, th (text hash), idx (uint16 bytes), x (float16 bytes: shares of the buckets) for rows
+    (label, h, th, text): the row of the smallest text hash of every h, and per task perhaps others
+    that came before its smallest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, int] = {}  # at most one entry per drawn id
         for batch in clean_batches(batches):
-            for i, j, data, offs in text_blocks(batch.column(2)):
+            new = []
+            for k, (h, th) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if h not in least or th < least[h]:
+                    least[h] = th
+                    new.append(k)
+            if not new:
+                continue
+            batch = batch.take(pa.array(new, pa.int64()))
+            for i, j, data, offs in text_blocks(batch.column(3)):
                 parts = list(bucket_streams(data, offs, opt))
                 idx, x = [], []
                 for r in range(j - i):
@@ -115,11 +126,12 @@ def _sparse(docs: DataFrame, opt: SubwordOptions) -> DataFrame:
                     idx.append(u.astype(np.uint16).tobytes())
                     x.append((c * (_SHARE / max(1, c.sum()))).astype(np.float16).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(idx, pa.binary()), pa.array(x, pa.binary())],
-                    names=["label", "h", "idx", "x"])
+                    [*[batch.column(c).slice(i, j - i) for c in range(3)], pa.array(idx, pa.binary()), pa.array(x, pa.binary())],
+                    names=["label", "h", "th", "idx", "x"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select("label", "h", "text").mapInArrow(run, "label string, h long, idx binary, x binary")
+    rows = docs.select("label", "h", F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(run, "label string, h long, th long, idx binary, x binary")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, opt: SubwordOptions) -> pa.Table:
@@ -128,7 +140,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, opt: SubwordOptions) ->
     ``labels`` has (doc_id, label). The ids are drawn first, from id and label alone: a first cut by
     hash keeps about twice the sample of every label (all of a small one), so ranking inside a
     label handles a bounded number of rows however many carry it. Only the drawn ids (a bounded
-    table) are broadcast to the texts.
+    table) are broadcast to the texts. Of several texts under one doc_id the one with the smallest hash
+    counts; the choice is made by an aggregation, so one row per drawn id reaches the driver.
     """
     h = F.xxhash64(F.col("doc_id"), F.lit(opt.seed)).alias("h")
     named = (labels.where("doc_id is not null and label is not null")
@@ -141,7 +154,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, opt: SubwordOptions) ->
               .where(F.col("rn") <= opt.sample))
     drawn = ranked.orderBy("rn", "h", "doc_id").limit(opt.sample).select("doc_id", "label", "h")
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    rows = _sparse(texts, opt).toArrow()
+    one = _sparse(texts, opt).groupBy("label", "h").agg(F.min(F.struct("th", "idx", "x")).alias("s"))
+    rows = one.select("label", "h", "s.idx", "s.x").toArrow()
     order = pc.sort_indices(rows, [("h", "ascending"), ("label", "ascending"), ("idx", "ascending")])
     return rows.take(order[:opt.sample]).combine_chunks()
 

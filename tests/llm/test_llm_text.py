@@ -188,6 +188,20 @@ def test_training_sample_is_bounded_and_repeatable(spark):
     assert (fit(a, opt).table == fit(b, opt).table).all()
 
 
+def test_one_text_of_a_repeated_id_reaches_the_driver(spark):
+    from scanlens.llm.subword import labelled_sample
+
+    rows = [(7, prose(20, i % 50), "a", "s") for i in range(600)] + [(100 + i, prose(20, i), "ab"[i % 2], "s") for i in range(20)]
+    docs = docs_of(spark, rows).repartition(5)
+    labels = docs.select("doc_id", F.col("lang").alias("label"))
+    opt = SubwordOptions(sample=400)
+    got = labelled_sample(docs, labels, opt)
+    assert len(got) == len(set(got.column("h").to_pylist())) == 21
+    least = docs.where("doc_id = 7").orderBy(F.xxhash64("text")).limit(1)
+    own = labelled_sample(least, labels.where("doc_id = 7").distinct(), opt).to_pylist()
+    assert len(own) == 1 and own[0] in got.to_pylist()
+
+
 def test_quality_held_out_accuracy(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = Q.op9_quality(spark, "/root/testdata/sf0.01").collect()
