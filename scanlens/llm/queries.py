@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, minhash_dedup, mtree, piece_codec, quality, record_files, source_mix, vector_dedup, warc_derive
+from . import (benchmark_clean, language_id, line_dedup, merkle_manifest, minhash_dedup, mtree, piece_codec, quality, record_files, source_audit,
+               source_mix, vector_dedup, warc_derive)
 from .subword import crc_mod
 
 
@@ -80,6 +81,28 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines_total", "lines_removed", "text")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source of each language from the others, and the terms it over-uses."""
+    return source_audit.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole document that lie in 10-word passages of the benchmark."""
+    out = benchmark_clean.passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle roots and proofs of all documents, held against a copy with deleted line ends."""
+    docs = _table(spark, sf_dir, "documents")
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    changed = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    out = merkle_manifest.manifest(docs, check={"text": changed})
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_language": op2_language,
@@ -91,8 +114,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_quality": op9_quality,
     "op10_line_runs": op10_line_runs,
+    "op11_divergence": op11_divergence,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_manifest": op13_manifest,
 }
 
 ORACLE: dict[str, str] = {
     "op10_line_runs": line_dedup.ORACLE_SQL,
+    "op11_divergence": source_audit.ORACLE_SQL,
+    "op12_decontaminate": benchmark_clean.ORACLE_SQL,
+    "op13_manifest": merkle_manifest.ORACLE_SQL,
 }
