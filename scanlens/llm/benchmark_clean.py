@@ -64,8 +64,9 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes, sorted by their first ``depth`` codes at least (prefix doubling)."""
     rank, width = codes.astype(np.int64), 1
     while True:
-        key = rank * (int(rank.max(initial=0)) + 1)
-        key[:-width or None] += rank[width:]
+        # a suffix that has ended sorts before all that go on
+        key = rank * (int(rank.max(initial=0)) + 2)
+        key[:-width] += rank[width:] + 1
         order = np.argsort(key)
         key = key[order]
         new = np.zeros(len(key), np.int64)
