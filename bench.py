@@ -43,7 +43,7 @@ def main() -> None:
     base = f"{checkpoint_dir(spark)}/bench-{uuid.uuid4().hex}"
 
     images = fx.images(spark, sf)
-    store = ST.IndexStore(spark, f"{base}/store")
+    store = ST.IndexStore(spark, f"{base}/store", block_rows=1024)
     q = {}
     # F4 as a whole: rows, postings and sizes in one commit
     q["postings_build"], _ = timed(lambda: store.commit(fx.indexed_from_images(images).select("id", "path", "modtime", "content")))
@@ -54,7 +54,11 @@ def main() -> None:
     q["search_postings"], _ = timed(lambda: search_index(store, "tion", limit=100).collect())
     q["search_scan_rare"], _ = timed(lambda: S.search(index, "ción", limit=100, corpus_size=store.corpus_size()).collect())
     q["search_postings_rare"], _ = timed(lambda: search_index(store, "ción", limit=100).collect())
+    q["search_scan_rare_plain"], _ = timed(lambda: S.search(index, "ción", limit=100, corpus_size=store.corpus_size(), with_snippet=False).collect())
+    q["search_postings_rare_plain"], _ = timed(lambda: search_index(store, "ción", limit=100, with_snippet=False).collect())
     q["search_match"], _ = timed(lambda: S.search(index, P.all_of("tion", "ment"), kind="match", limit=100).collect())
+    q["search_match_postings"], _ = timed(lambda: search_index(store, P.all_of("tion", "ment"), kind="match", limit=100).collect())
+    q["search_regex_postings"], _ = timed(lambda: search_index(store, "licen[cs]ed under cc", kind="regex", limit=100).collect())
     q["search_glob"], _ = timed(lambda: S.search(index, "[A-Z]*tion*", kind="glob", limit=100).collect())
     q["search_glob_postings"], _ = timed(lambda: search_index(store, "*licensed under cc by*", kind="glob", limit=100).collect())
 

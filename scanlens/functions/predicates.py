@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import bound, running_sums
 from .text import fold_literal, fold_text, quote_regex
 
 MIN_PHRASE = 3
@@ -210,11 +211,11 @@ def hit_positions(folded: Column, phrase_text: str) -> Column:
     The text is cut before every occurrence; the lengths of the pieces add up to the positions.
     """
     pieces = F.split(folded, "(?=" + quote_regex(fold_text(phrase_text)) + ")")
-    starts = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.length(x)))
-    inner = F.slice(starts, 2, F.size(starts) - 2)
     none = F.array().cast("array<int>")
     head = F.when(F.startswith(folded, fold_literal(phrase_text)), F.array(F.lit(0))).otherwise(none)
-    return F.when(F.size(starts) > 2, F.concat(head, inner)).otherwise(head)
+    # the last piece runs to the end of the text, so the sum behind it is no start
+    return bound(running_sums(F.transform(pieces, lambda x: F.length(x))), lambda starts: F.concat(
+        head, F.slice(starts, 2, F.greatest(F.size(starts) - 2, F.lit(0)))))
 
 
 def count_hits(folded: Column, phrase_text: str) -> Column:

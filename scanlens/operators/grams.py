@@ -1,19 +1,30 @@
-"""Trigram postings: build, corpus statistics, and candidate lookup for a phrase.
+"""Trigram postings: build, corpus statistics, phrase places, and candidate lookup.
 
-Postings are ``(gram, id, tf)``. A row's grams are all in one task, so the partial aggregation
-already holds the final counts and the one shuffle carries postings, not grams. Files are
-range-partitioned by (gram, id) and sorted, so a gram lies in few files, a hot gram is split over
-several by id, and a lookup reads only the row groups whose min/max range holds the gram.
+Postings are ``(gram, id, tf)``, in a store with ``pos``, the gram's places in the text. With them
+phrases, proximity and ranking need no text: the places of a phrase are those of a few grams that
+cover it, shifted and intersected. A row's grams are all in one task, so the one shuffle carries
+postings, not grams. Files are dealt by a hash of the gram and sorted by (gram, id), so a lookup prunes
+directories by bucket and pages by gram.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, running_sums
 from ..functions.predicates import MIN_PHRASE
 from ..functions.text import fold, fold_text, gram_array, token_count
 
+#: code points handled at once, grams behind one bucket of postings, rows of a list that one task sorts
+BLOCK_CHARS, FILE_GRAMS, LIST_ROWS = 2_000_000, 16_000_000, 16_000_000
+
 
 def _grams(index: DataFrame, id_col: str, content_col: str) -> DataFrame:
     folded = index.select(F.col(id_col).alias("id"), fold(content_col).alias("f"))
@@ -62,14 +73,128 @@ def candidates(post: DataFrame, text: str, lead: int = 3) -> DataFrame:
     return hit.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("id")
 
 
-def write_postings(post: DataFrame, path: str) -> None:
-    n = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    post.repartitionByRange(n, "gram", "id").sortWithinPartitions("gram", "id").write.parquet(path)
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, folded text) -> (gram, id, tf, pos): numpy over the code points of a block of rows."""
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy().astype(np.int64)
+        ends = np.cumsum(sizes)
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK_CHARS, side="right")))
+            points = np.frombuffer("".join(t or "" for t in texts.slice(i, j - i).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+            yield from _block_positions(ids.slice(i, j - i).to_numpy(), sizes[i:j], points)
+            i = j
+
+
+def _block_positions(ids: np.ndarray, sizes: np.ndarray, points: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One sort of integers that hold (row, gram, place) brings equal grams of a row together in order."""
+    if len(points) < 3:
+        return
+    row = np.repeat(np.arange(len(ids)), sizes)
+    at = np.nonzero(row[2:] == row[:-2])[0]  # grams do not cross rows
+    if not len(at):
+        return
+    # grams as numbers in the block's own alphabet
+    alphabet = np.nonzero(np.bincount(points))[0]
+    letter = np.zeros(int(alphabet[-1]) + 1, np.int64)
+    letter[alphabet] = np.arange(len(alphabet))
+    coded, base = letter[points], len(alphabet)
+    gram = (coded[at] * base + coded[at + 1]) * base + coded[at + 2]
+    grams = np.arange(base ** 3)
+    if base ** 3 > len(at):
+        grams, gram = np.unique(gram, return_inverse=True)
+    place_bits = int(sizes.max()).bit_length()
+    place = at - (np.cumsum(sizes) - sizes)[row[at]]
+    packed = ((row[at] * len(grams) + gram) << place_bits) | place  # at most 2 * 22 + 22 bits: a block has few rows or short ones
+    packed.sort()
+    place, key = packed & ((1 << place_bits) - 1), packed >> place_bits
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    starts = np.nonzero(first)[0]
+    steps = place.copy()
+    steps[1:] -= place[:-1]
+    steps[starts] = place[starts]
+    doc, which = np.divmod(key[starts], len(grams))
+    used, which = np.unique(which, return_inverse=True)
+    digits = [alphabet[grams[used] // base ** 2], alphabet[grams[used] // base % base], alphabet[grams[used] % base]]
+    names = pa.array([chr(x) + chr(y) + chr(z) for x, y, z in zip(*(d.tolist() for d in digits))], pa.string())
+    offsets = np.append(starts, len(key)).astype(np.int32)
+    table = pa.table([names.take(pa.array(which)), pa.array(ids[doc]), pa.array(np.diff(offsets)),
+                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(steps.astype(np.int32)))], names=["gram", "id", "tf", "pos"])
+    yield from table.to_batches(max_chunksize=50_000)
+
+
+def positional(index: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
+    """``(gram, id, tf, pos)``: postings with the places of the gram in the text (0-based code points, each
+    as the distance from the one before, the first from 0). No shuffle."""
+    folded = index.select(F.col(id_col).cast("long").alias("id"), fold(content_col).alias("f"))
+    return folded.mapInArrow(_positions, "gram string, id long, tf int, pos array<int>")
+
+
+def cover(text: str) -> list[tuple[int, str]]:
+    """(offset, gram) of a phrase's grams that together hold all of its characters."""
+    t = fold_text(text)
+    offsets = list(range(0, len(t) - 2, 3))
+    if offsets[-1] != len(t) - 3:
+        offsets.append(len(t) - 3)
+    return [(o, t[o:o + 3]) for o in offsets]
+
+
+def starts_from_positions(lists: Column, text: str) -> Column:
+    """Places of a phrase from ``lists`` (map gram -> delta-coded places in one text): the places of its
+    covering grams, shifted by their offsets and intersected. Empty where a gram is missing."""
+    def places(offset: int, gram: str) -> Column:
+        steps = F.coalesce(F.try_element_at(lists, F.lit(gram)), F.array().cast("array<int>"))
+        at = bound(running_sums(steps), lambda s: F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))))
+        return at if offset == 0 else F.transform(at, lambda x: x - offset)
+
+    grams = cover(text)
+    out = places(*grams[0])
+    for g in grams[1:]:
+        out = F.array_intersect(out, places(*g))
+    return out
+
+
+def phrase_places(positions: DataFrame, phrases: list[str]) -> DataFrame:
+    """``(id, s_0, s_1, ...)``: the places of every phrase (of three characters or more) in every row that
+    has one, from postings alone. Only the lists of covering grams are read; they meet by id."""
+    grams = sorted({g for p in phrases for _, g in cover(p)})
+    lists = (positions.where(F.col("gram").isin(grams)).groupBy("id")
+             .agg(F.map_from_entries(F.collect_list(F.struct("gram", "pos"))).alias("lists")))
+    found = lists.select("id", *[starts_from_positions(F.col("lists"), p).alias(f"s_{i}") for i, p in enumerate(phrases)])
+    some = F.lit(False)
+    for i in range(len(phrases)):
+        some = some | (F.size(f"s_{i}") > 0)
+    return found.where(some)
+
+
+def bucket_of(gram: Column, buckets: int) -> Column:
+    return (F.crc32(gram) % buckets).cast("int")
+
+
+def bucket_number(gram: str, buckets: int) -> int:
+    """The same on the driver."""
+    return zlib.crc32(gram.encode()) % buckets
+
+
+def write_postings(post: DataFrame, path: str, length: int, rows: int) -> int:
+    """Files by ``bucket``, a hash of the gram, sorted by (gram, id); returns the number of buckets.
+    ``length`` is the number of grams in the texts. A bucket is split by id where the list of one
+    gram could get long, so a hot gram is the work of several tasks."""
+    most = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, -(-length // FILE_GRAMS), min(most, -(-length // 1_000_000)))
+    slices = -(-rows // LIST_ROWS)
+    dealt = post.withColumn("bucket", bucket_of(F.col("gram"), buckets))
+    dealt = dealt.repartition(buckets, "bucket") if slices < 2 else dealt.repartition(buckets * slices, "bucket", F.pmod("id", F.lit(slices)))
+    dealt.sortWithinPartitions("bucket", "gram", "id").write.partitionBy("bucket").parquet(path)
+    return buckets
 
 
 def build_index_tables(index: DataFrame, base: str) -> tuple[str, str]:
     """Write ``postings`` and ``doc_stats`` of an index that is not in a store; returns both paths."""
     post_path, stats_path = f"{base.rstrip('/')}/postings", f"{base.rstrip('/')}/doc_stats"
-    write_postings(postings(index), post_path)
+    rows, length = index.agg(F.count("*"), F.coalesce(F.sum(token_count("content").cast("long")), F.lit(0))).first()
+    write_postings(positional(index), post_path, length, rows)
     doc_stats(index).write.parquet(stats_path)
     return post_path, stats_path

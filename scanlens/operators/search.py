@@ -4,24 +4,27 @@ A ranked search reads every text once. That pass verifies the predicate, counts
 phrase, and writes the narrow hit rows (id, path, modtime, length, counts) to the shared folder;
 the document frequencies are observed in the same pass, and row count and mean length come from
 the caller (``corpus_size``, kept with the store's commits) or are observed too. Ranking and top-k
-(``TakeOrderedAndProject``: k rows per task, never a global sort) work on the hit rows, and only
-the k texts are fetched again for snippets.
+(``TakeOrderedAndProject``: k rows per task, never a global sort) work on the hit rows; for snippets
+the rows found are joined with the index again.
 
-``plan="postings"`` reads candidate rows only: ids with the rarest grams of the phrases (J5), also
-for content globs with a literal run of three characters or more.
+``plan="postings"`` reads candidate rows only: ids with the rarest grams of the phrases (J5), also for
+content globs and regexes that secure three characters or more. ``search_stored`` searches an
+``IndexStore``: there ranked searches need no text at all before the snippet.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-
+from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, floor_index, running_sums
 from ..functions.globs import content_glob_literals, content_glob_to_regex, regex_for_java
 from ..functions.paths import in_scope, search_excluded
-from ..functions.predicates import MIN_PHRASE, Term, count_hits, hit_positions, shortest_shift, simple_phrase
+from ..functions.predicates import (MIN_PHRASE, AllOf, AnyOf, ButNot, Near, StartsWith, Term, count_hits, hit_positions, shortest_shift,
+                                    simple_phrase)
+from ..functions.regex_grams import required
 from ..functions.text import escape_debug, fold, fold_literal, fold_text, token_count
 from ..session import checkpoint_dir
 from . import grams
@@ -84,89 +87,107 @@ def bm25(tfs: list[Column], dl: Column, n_rows: Column, avg_dl: Column, dfs: lis
 def _sentence_starts(content: Column) -> Column:
     """0-based starts of sentences: 0 and every code point after ``.`` or ``:`` and white space."""
     ends = F.regexp_extract_all(content, F.lit(r"(?s)(.*?[.:][ \t\n\r]+|.+$)"), 1)
-    starts = F.aggregate(ends, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.length(x)))
-    return F.slice(starts, 1, F.greatest(F.size(starts) - 1, F.lit(1)))
+    return bound(running_sums(F.transform(ends, lambda x: F.length(x))),
+                 lambda starts: F.slice(starts, 1, F.greatest(F.size(starts) - 1, F.lit(1))))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _all_hits(content: Column, live: list[str]) -> Column:
+    """Every hit (pos, k, len, sent) of the phrases in order of position, with the start of its sentence.
+    Text is scanned once per phrase and once for sentences; both lists are bound before they meet."""
+    def of_phrase(folded: Column, k: int, p: str) -> Column:
+        return F.transform(hit_positions(folded, p), lambda x: F.struct(x.alias("pos"), F.lit(k).alias("k"), F.lit(len(p)).alias("len")))
 
+    def in_order(folded: Column) -> Column:
+        each = [of_phrase(folded, k, p) for k, p in enumerate(live)]
+        return F.array_sort(F.concat(*each)) if len(each) > 1 else each[0]
 
-def with_snippet_column(rows: DataFrame, phrases: list[str], tokens: int = SNIPPET_TOKENS, open_mark: str = "[",
-                        close_mark: str = "]", ellipsis: str = "..") -> DataFrame:
-    """Adds ``snippet`` to rows with ``content``: the best window of ``tokens`` trigram tokens.
+    def placed(hits: Column, sentences: Column) -> Column:
+        return F.transform(hits, lambda h: F.struct(h["pos"].alias("pos"), h["k"].alias("k"), h["len"].alias("len"),
+                                                    F.get(sentences, floor_index(sentences, h["pos"])).alias("sent")))
+
+    return bound(bound(fold(content), in_order), lambda hits: bound(_sentence_starts(content), lambda sent: placed(hits, sent)))
+
+
+def _best_start(hits: Column, n_tok: Column, live: list[str], tokens: int) -> Column:
+    """Start of the window with the highest score; 0 without hits."""
+    # starts of hits that a window can hold at most
+    most = sum(-(-tokens // shortest_shift(fold_text(p))) for p in live)
+
+    def held(start: Column, first: Column, n: int) -> Column:
+        """Hits that start inside the window, out of ``n`` sorted ones from position ``first`` on."""
+        return F.filter(F.slice(hits, first, n), lambda h: (h["pos"] >= start) & (h["pos"] < start + tokens))
+
+    def score(inside: Column, bonus: Column) -> Column:
+        kinds = F.size(F.array_distinct(F.transform(inside, lambda h: h["k"]))) if len(live) > 1 else F.least(F.size(inside), F.lit(1))
+        return kinds * (FIRST_HIT - FURTHER_HIT) + F.size(inside) * FURTHER_HIT + bonus
+
+    def centred(inside: Column) -> Column:
+        first, last = F.element_at(inside, 1)["pos"], F.element_at(inside, -1)
+        spare = F.lit(tokens) - (last["pos"] + last["len"] - 2 - first)
+        half = F.when(spare >= 0, F.floor(spare / 2)).otherwise(F.ceil(spare / 2)).cast("int")
+        return F.greatest(F.least(first - half, n_tok - tokens), F.lit(0))
+
+    def at_hit(h: Column, i: Column) -> Column:
+        return bound(held(h["pos"], i + 1, most), lambda x: F.struct(
+            score(x, F.lit(0)).alias("score"), (-(2 * i)).alias("order"), centred(x).alias("adj")))
+
+    def at_sentence(h: Column, i: Column) -> Column:
+        # the first hit after a sentence's start speaks for all of the sentence
+        before = F.get(hits, i - 1)
+        first = (i == 0) | (before["sent"] != h["sent"]) | (before["pos"] == h["sent"])
+        ok = (n_tok > tokens) & (h["sent"] < h["pos"]) & first
+        bonus = F.when(h["sent"] == 0, TEXT_START).otherwise(SENTENCE_START)
+        inside = held(h["sent"], F.greatest(i + 1 - len(live), F.lit(1)), most + len(live))
+        return F.struct(F.when(ok, bound(inside, lambda x: score(x, bonus))).otherwise(-1).alias("score"),
+                        (-(2 * i + 1)).alias("order"), h["sent"].alias("adj"))
+
+    options = F.concat(F.transform(hits, at_hit), F.transform(hits, at_sentence))
+    return F.coalesce(F.array_max(options)["adj"], F.lit(0))
+
+
+def snippet(content: Column, phrases: list[str], tokens: int = SNIPPET_TOKENS, open_mark: str = "[", close_mark: str = "]",
+            ellipsis: str = "..") -> Column:
+    """The best window of ``tokens`` trigram tokens of a text, with its hits in marks.
 
     Every hit proposes the window that starts at it, scored 1000 for the first hit of each phrase
     inside and 1 for each further hit, and then centred on those hits; in texts longer than the
     window also the window at the start of its sentence (+120 at the start of the text, +100
     elsewhere). The best score wins, the first on ties. Hits inside the window are put in marks,
     overlapping and adjacent ones in one pair, also where the window cuts them; ``..`` stands
-    where text is cut. Without hits the first window is shown.
+    where text is cut. Without hits the first window is shown. Work grows with the text and the hits.
     """
     live = [p for p in phrases if len(p) >= MIN_PHRASE]
-    n_tok = token_count("content")
-    if not live:
-        best = rows.withColumn("_hits", F.expr("cast(array() as array<struct<pos:int,k:int,len:int>>)")).withColumn("_adj", F.lit(0))
-    else:
-        f = fold("content")
-
-        def of_phrase(k: int, p: str) -> Column:
-            return F.transform(hit_positions(f, p), lambda x: F.struct(x.alias("pos"), F.lit(k).alias("k"), F.lit(len(p)).alias("len")))
-
-        each = [of_phrase(k, p) for k, p in enumerate(live)]
-        hits = F.array_sort(F.concat(*each) if len(each) > 1 else each[0])
-        # every hit with the start of its sentence
-        sentence = F.transform("_found", lambda h: F.struct(h["pos"], h["k"], h["len"], F.array_max(
-            F.filter("_sent", lambda x: x <= h["pos"])).alias("sent")))
-        staged = (rows.withColumn("_found", hits).withColumn("_sent", _sentence_starts(F.col("content")))
-                  .withColumn("_hits", sentence).withColumn("_n", n_tok))
-        # starts of hits that a window can hold at most
-        most = sum(-(-tokens // shortest_shift(fold_text(p))) for p in live)
-
-        def held(start: Column, first: Column, n: int) -> Column:
-            """Hits that start inside the window, out of ``n`` sorted ones from position ``first`` on."""
-            return F.filter(F.slice("_hits", first, n), lambda h: (h["pos"] >= start) & (h["pos"] < start + tokens))
-
-        def score(inside: Column, bonus: Column) -> Column:
-            kinds = F.size(F.array_distinct(F.transform(inside, lambda h: h["k"])))
-            return kinds * (FIRST_HIT - FURTHER_HIT) + F.size(inside) * FURTHER_HIT + bonus
-
-        def centred(inside: Column) -> Column:
-            first, last = F.element_at(inside, 1)["pos"], F.element_at(inside, -1)
-            spare = F.lit(tokens) - (last["pos"] + last["len"] - 2 - first)
-            half = F.when(spare >= 0, F.floor(spare / 2)).otherwise(F.ceil(spare / 2)).cast("int")
-            return F.greatest(F.least(first - half, F.col("_n") - tokens), F.lit(0))
-
-        def at_hit(h: Column, i: Column) -> Column:
-            return _bound(held(h["pos"], i + 1, most), lambda x: F.struct(
-                score(x, F.lit(0)).alias("score"), (-(2 * i)).alias("order"), centred(x).alias("adj")))
-
-        def at_sentence(h: Column, i: Column) -> Column:
-            # the first hit after a sentence's start speaks for all of the sentence
-            before = F.get("_hits", i - 1)
-            first = (i == 0) | (before["sent"] != h["sent"]) | (before["pos"] == h["sent"])
-            ok = (F.col("_n") > tokens) & (h["sent"] < h["pos"]) & first
-            bonus = F.when(h["sent"] == 0, TEXT_START).otherwise(SENTENCE_START)
-            inside = held(h["sent"], F.greatest(i + 1 - len(live), F.lit(1)), most + len(live))
-            return F.struct(F.when(ok, _bound(inside, lambda x: score(x, bonus))).otherwise(-1).alias("score"),
-                            (-(2 * i + 1)).alias("order"), h["sent"].alias("adj"))
-
-        options = F.concat(F.transform("_hits", at_hit), F.transform("_hits", at_sentence))
-        best = staged.withColumn("_best", F.array_max(options)).withColumn("_adj", F.coalesce(F.col("_best.adj"), F.lit(0)))
-    # flags per code point of the window: overlapping and adjacent hits merge by themselves
-    window = F.substring("content", F.col("_adj") + 1, F.lit(tokens + 2))
-    cut = best.withColumn("_w", F.regexp_extract_all(window, F.lit("(?s)."), 0)).withColumn(
-        "_near", F.filter("_hits", lambda h: (h["pos"] + h["len"] > F.col("_adj")) & (h["pos"] < F.col("_adj") + tokens + 2)))
-    cut = cut.withColumn("_on", F.transform("_w", lambda _, i: F.exists("_near", lambda h: (h["pos"] <= F.col("_adj") + i) & (
-        h["pos"] + h["len"] > F.col("_adj") + i))))
-    marked = F.transform("_w", lambda ch, i: F.concat(
-        F.when(F.get("_on", i) & ~F.coalesce(F.get("_on", i - 1), F.lit(False)), F.lit(open_mark)).otherwise(F.lit("")), ch,
-        F.when(F.get("_on", i) & ~F.coalesce(F.get("_on", i + 1), F.lit(False)), F.lit(close_mark)).otherwise(F.lit(""))))
-    head = F.when(F.col("_adj") > 0, F.lit(ellipsis)).otherwise(F.lit(""))
-    tail = F.when(F.col("_adj") + tokens >= n_tok, F.lit("")).otherwise(F.lit(ellipsis))
-    out = cut.withColumn("snippet", F.concat(head, F.array_join(marked, ""), tail))
-    return out.select(*rows.columns, "snippet")
+
+    def rendered(hits: Column, n_tok: Column, adj: Column) -> Column:
+        near = F.filter(hits, lambda h: (h["pos"] + h["len"] > adj) & (h["pos"] < adj + tokens + 2))
+        chars = F.regexp_extract_all(F.substring(content, adj + 1, F.lit(tokens + 2)), F.lit("(?s)."), 0)
+
+        def marked(w: Column, on: Column) -> Column:
+            # flags per code point of the window: overlapping and adjacent hits merge by themselves
+            text = F.transform(w, lambda ch, i: F.concat(
+                F.when(F.get(on, i) & ~F.coalesce(F.get(on, i - 1), F.lit(False)), F.lit(open_mark)).otherwise(F.lit("")), ch,
+                F.when(F.get(on, i) & ~F.coalesce(F.get(on, i + 1), F.lit(False)), F.lit(close_mark)).otherwise(F.lit(""))))
+            head = F.when(adj > 0, F.lit(ellipsis)).otherwise(F.lit(""))
+            tail = F.when(adj + tokens >= n_tok, F.lit("")).otherwise(F.lit(ellipsis))
+            return F.concat(head, F.array_join(text, ""), tail)
+
+        def flags(w: Column, close: Column) -> Column:
+            return F.transform(w, lambda _, i: F.exists(close, lambda h: (h["pos"] <= adj + i) & (h["pos"] + h["len"] > adj + i)))
+
+        return bound(near, lambda close: bound(chars, lambda w: bound(flags(w, close), lambda on: marked(w, on))))
+
+    def chosen(hits: Column, n_tok: Column) -> Column:
+        start = _best_start(hits, n_tok, live, tokens) if live else F.lit(0)
+        return bound(start, lambda adj: rendered(hits, n_tok, adj))
+
+    hits = _all_hits(content, live) if live else F.expr("cast(array() as array<struct<pos:int,k:int,len:int>>)")
+    return bound(token_count(content), lambda n_tok: bound(hits, lambda h: chosen(h, n_tok)))
+
+
+def with_snippet_column(rows: DataFrame, phrases: list[str], tokens: int = SNIPPET_TOKENS, open_mark: str = "[",
+                        close_mark: str = "]", ellipsis: str = "..") -> DataFrame:
+    """Adds ``snippet`` to rows with ``content``."""
+    return rows.withColumn("snippet", snippet(F.col("content"), phrases, tokens, open_mark, close_mark, ellipsis))
 
 
 # ------------------------------------------------------------------ search
@@ -194,7 +215,7 @@ def search(index: DataFrame, query, kind: str = "simple", root: str | None = Non
             raise ValueError("the postings plan needs a postings table")
         if ranked and corpus_size is None:
             raise ValueError("the postings plan needs corpus_size")
-        ids = _ranked_ids(postings, phrases) if ranked else _glob_ids(postings, term, kind)
+        ids = _ranked_ids(postings, phrases) if ranked else _pattern_ids(postings, term, kind)
         if ids is not None:
             base = index.join(ids, "id", "left_semi")
     elif plan != "scan":
@@ -226,13 +247,18 @@ def search(index: DataFrame, query, kind: str = "simple", root: str | None = Non
         return top.select(*cols)
     if texts:
         return with_snippet_column(top, live).select(*cols)
-    # the texts of the k rows: their ids become a pushed filter (k is the caller's limit)
-    best = top.collect()
-    if not best:
-        return with_snippet_column(top.withColumn("content", F.lit("")), live).select(*cols)
-    keys = index.sparkSession.createDataFrame([(r.id, r.path, r.modtime, r.rank) for r in best], top.schema)
-    found = index.where(F.col("id").isin(*[r.id for r in best])).select("id", "content")
-    return with_snippet_column(F.broadcast(keys).join(found, "id"), live).orderBy(*order).select(*cols)
+    # the texts of the k rows: the rows found, written, joined with the index by id
+    found = _kept(top, "top")
+    texts = found.join(index.select("id", "content"), "id")
+    return with_snippet_column(texts, live).orderBy(*order).select(*cols)
+
+
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """Narrow rows written to the shared folder, so that they are computed once."""
+    spark = rows.sparkSession
+    path = f"{checkpoint_dir(spark)}/scanlens-{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def _counted(seen: DataFrame, phrases: list[str], wanted: Column, folded: Column, texts: list[str],
@@ -262,16 +288,117 @@ def _ranked_ids(post: DataFrame, phrases: list[str]) -> DataFrame:
     return out.distinct()
 
 
-def _glob_ids(post: DataFrame, pattern: str, kind: str) -> DataFrame | None:
-    """Ids with all literal runs of a content glob; None where the pattern has none of use."""
-    if kind != "glob":
-        return None
-    out = None
-    for run in content_glob_literals(pattern):
-        if len(run) >= MIN_PHRASE:
-            ids = grams.candidates(post, run)
-            out = ids if out is None else out.intersect(ids)
-    return out
+def _pattern_condition(pattern: str, kind: str):
+    """What a match of a content glob or a regex must contain; None where that is no three characters."""
+    if kind == "regex":
+        return required(pattern)
+    runs = [r for r in content_glob_literals(pattern) if len(r) >= MIN_PHRASE]
+    return ("and", *runs) if runs else None
+
+
+def _pattern_ids(post: DataFrame, pattern: str, kind: str) -> DataFrame | None:
+    condition = _pattern_condition(pattern, kind)
+    return None if condition is None else _condition_ids(post, condition)
+
+
+def _strings(condition) -> list[str]:
+    return [condition] if isinstance(condition, str) else [s for c in condition[1:] for s in _strings(c)]
+
+
+def _condition_ids(post: DataFrame, condition) -> DataFrame:
+    if isinstance(condition, str):
+        return grams.candidates(post, condition)
+    ids = [_condition_ids(post, c) for c in condition[1:]]
+    out = ids[0]
+    for more in ids[1:]:
+        out = out.join(more, "id", "left_semi") if condition[0] == "and" else out.union(more)
+    return out if condition[0] == "and" else out.distinct()
+
+
+# ------------------------------------------------------------------ search of a store
+
+def on_places(term: Term, places: Iterator[Column]) -> Column:
+    """A term's condition over the places of its phrases, which come in the order of ``term.phrases()``."""
+    if isinstance(term, (AllOf, AnyOf)):
+        parts = [on_places(t, places) for t in term.terms]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out & p if isinstance(term, AllOf) else out | p
+        return out
+    if isinstance(term, ButNot):
+        keep = on_places(term.keep, places)
+        return keep & ~on_places(term.drop, places)
+    if isinstance(term, Near):
+        a, b = next(places), next(places)
+        # -(distance + tokens of b) <= start of b - start of a <= distance + tokens of a
+        low, high = term.distance + len(term.second) - 2, term.distance + len(term.first) - 2
+        close = F.exists(a, lambda x: bound(F.get(b, floor_index(b, x + high)), lambda y: (y <= x + high) & (y >= x - low)))
+        return (F.size(a) > 0) & (F.size(b) > 0) & F.coalesce(close, F.lit(False))
+    if isinstance(term, StartsWith):
+        return F.coalesce(F.get(next(places), F.lit(0)) == 0, F.lit(False))
+    return F.size(next(places)) > 0
+
+
+def search_stored(store, query, kind: str = "simple", root: str | None = None, prefix_like: bool = False,
+                  exclude: str | list[str] | None = None, limit: int | None = 100, with_snippet: bool = True) -> DataFrame:
+    """The same results as ``search`` over a store's current rows, through its postings.
+
+    Phrases, proximity, counts and document frequencies come from positions; paths, times and lengths from
+    the id blocks that hold a hit; texts are read for snippets only, from the blocks of the rows shown.
+    Globs and regexes read the texts of rows that hold the grams their pattern secures (all texts where it
+    secures none).
+    """
+    term = make_term(query, kind)
+    version = store.current_version() or None
+    ranked = kind in ("simple", "match")
+    live = [p for p in term.positive_phrases() if len(p) >= MIN_PHRASE] if ranked else []
+    if ranked:
+        phrases = term.phrases()
+        usable = list(dict.fromkeys(p for p in phrases if len(p) >= MIN_PHRASE))
+        hits, dfs = _stored_hits(store, term, phrases, usable, version)
+        n_rows, avg_dl = store.corpus_size()
+        rows = store.rows_of(hits, ["id", "path", "modtime", "dl", *hits.columns[1:]], version)
+        tfs = [F.col(f"tf_{usable.index(p)}") if p in usable else F.lit(0) for p in phrases]
+        df = [F.lit(dfs[usable.index(p)] if p in usable else 0) for p in phrases]
+        rows = rows.withColumn("rank", bm25(tfs, F.col("dl"), F.lit(n_rows), F.lit(avg_dl), df) if n_rows else F.lit(0.0))
+    else:
+        condition = _pattern_condition(term, kind)
+        ids = None if condition is None else _condition_ids(store.positions(version, _strings(condition)), condition)
+        if ids is None:
+            rows = store.current(version)
+        else:
+            rows = store.rows_of(_kept(ids, "candidates"), ["id", "path", "modtime", "content"], version)
+        rows = rows.where(content_predicate(term, kind, F.col("content"), F.col("content"))).withColumn("rank", F.lit(None).cast("double"))
+    wanted = in_scope("path", root, prefix_like)
+    for pat in [exclude] if isinstance(exclude, str) else (exclude or []):
+        wanted = wanted & ~search_excluded("path", pat)
+    order = [F.col("rank").asc_nulls_last(), F.col("modtime").desc(), F.col("path").asc()]
+    top = rows.where(wanted).select("id", "path", "modtime", "rank").orderBy(*order)
+    top = top if limit is None else top.limit(limit)
+    if not with_snippet:
+        return top.select("path", "modtime", "rank")
+    shown = _kept(top, "top")
+    texts = store.rows_of(shown, ["path", "modtime", "rank", "content"], version)
+    return with_snippet_column(texts, live).drop("content").orderBy(*order).select("snippet", "path", "modtime", "rank")
+
+
+def _stored_hits(store, term: Term, phrases: list[str], usable: list[str], version: int | None) -> tuple[DataFrame, list[int]]:
+    """(id, tf_0, ...) of the rows that satisfy a term, written once, and the rows per usable phrase."""
+    if not usable:
+        return store.spark.createDataFrame([], "id long"), []
+    places = grams.phrase_places(store.positions(version, usable), usable)
+    none = F.array().cast("array<int>")
+
+    def judged(found: Column) -> Column:
+        each = iter([found[f"s_{usable.index(p)}"] if p in usable else none for p in phrases])
+        return F.struct(*[F.size(found[f"s_{i}"]).alias(f"tf_{i}") for i in range(len(usable))], on_places(term, each).alias("wanted"))
+
+    counted = places.select("id", bound(F.struct(*places.columns[1:]), judged).alias("x")).select("id", "x.*")
+    obs = Observation()
+    watched = counted.observe(obs, *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(usable))])
+    hits = _kept(watched.where("wanted").drop("wanted"), "hits")
+    got = obs.get
+    return hits, [got[f"df_{i}"] for i in range(len(usable))]
 
 
 def result_lines(results: DataFrame) -> DataFrame:

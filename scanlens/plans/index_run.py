@@ -80,9 +80,5 @@ def check_language(code: str) -> str:
 
 
 def search_index(store: ST.IndexStore, query, kind: str = "simple", **kwargs) -> DataFrame:
-    """Search the current index through its postings and stored sizes (``--no-index``: just read it).
-    A regex has no literal runs to look up and scans."""
-    if kind == "regex":
-        return S.search(store.current(), query, kind=kind, **kwargs)
-    return S.search(store.current(), query, kind=kind, plan="postings", postings=store.postings(),
-                    corpus_size=store.corpus_size(), **kwargs)
+    """Search the current index through its postings and stored sizes (``--no-index``: just read it)."""
+    return S.search_stored(store, query, kind=kind, **kwargs)
