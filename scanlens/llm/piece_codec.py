@@ -180,8 +180,8 @@ class WordMemory:
         self.model, self.remembered = model, remembered
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
-        #: remembered words whose decoded form is not a space and the word itself
-        self.odd: dict[str, str] = {}
+        #: decoded text by ids, both of one word; it knows nothing of the words
+        self.decoded: dict[str, str] = {}
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -207,14 +207,20 @@ class WordMemory:
         for s, ids in zip(spelled, self.model.encode_sorted(spelled)):
             w = s[1:].replace(SPACE, " ")
             self.known[w] = " ".join(map(str, ids))
-            back = self.model.decode(ids, first=False)
-            if back != " " + w:
-                self.odd[w] = back
+
+    def _decode(self, spelled: list[str]) -> list[str]:
+        """Decoded texts of ids (decimal text) of words."""
+        if len(self.decoded) > self.remembered:
+            self.decoded.clear()
+        found = list(map(self.decoded.get, spelled))
+        for k, text in enumerate(found):
+            if text is None:
+                ids = spelled[k]
+                found[k] = self.decoded[ids] = self.model.decode(list(map(int, ids.split(" "))), first=False)
+        return found
 
     def _find(self, words: list[str]) -> list[str]:
         """Ids (decimal text) of distinct words."""
-        if len(self.odd) > self.remembered:
-            self.known, self.older, self.odd = {}, {}, {}
         if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
         found = list(map(self.known.get, words))
@@ -244,20 +250,15 @@ class WordMemory:
         offs = lists.offsets.to_pylist()
         coded = lists.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
-        spelled = np.array(self._find(names), dtype=object)
+        ids = self._find(names)
+        spelled, back = np.array(ids, dtype=object), np.array(self._decode(ids), dtype=object)
         at = coded.indices.to_numpy()
-        odd = self.odd
-        back = np.array([odd.get(w, " " + w) for w in names], dtype=object) if odd else None
         order = [k for k, c in enumerate(cut) if c is None] + [k for k, c in enumerate(cut) if c is not None]
         out: list = [None] * len(raw)
         end = str(self.model.end)
         for k, i, j in zip(order, offs[:-1], offs[1:]):
             own = at[i:j]
-            if back is None:  # every word decodes to itself and the space before it
-                text = raw[k].replace(SPACE, " ")
-            else:
-                text = "".join(back[own].tolist())[1:]
-            out[k] = (" ".join([*spelled[own].tolist(), end]), text)
+            out[k] = (" ".join([*spelled[own].tolist(), end]), "".join(back[own].tolist())[1:])
         return out
 
 

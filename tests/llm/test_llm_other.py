@@ -10,6 +10,7 @@ import zlib
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -91,8 +92,26 @@ def test_top_k_equals_brute_force(spark, opt):
     assert mtree.top_k(spark.createDataFrame([], VEC), F.col("vec_id") % 20 == 0, opt).count() == 0
 
 
-def test_best_first_leaves_pages_out():
-    """Bounds must save distance computations: far clusters are never opened."""
+def test_top_k_with_one_long_vector_and_repeated_queries(spark):
+    rows = clustered(300, seed=5) + [(5000, [40.0] * 12, 0), (5001, [0.0] * 12, 0), (5002, [1e-4] * 12, 0)] + [(20, [0.25] * 11, 0)]
+    got = mtree.top_k(spark.createDataFrame(rows, VEC), F.col("vec_id") % 20 == 0, mtree.MTreeOptions(pivots=6, shard=30, page=8)).collect()
+    want = brute_top([r for r in rows if (r[0], len(r[1])) != (20, 12)], 20, 5)
+    # of two vectors under one query id the shorter one asks; both are candidates
+    want = {w for w in want if w[0] == 20} | {w for w in brute_top(rows[:-1], 20, 5) if w[0] != 20}
+    assert {tuple(r) for r in got} == want
+
+
+def test_vectors_at_one_distance_are_spread_over_rings(spark):
+    rows = [(i, [0.5, 0.25, 1.0] if i % 3 else [float(i), 1.0, 0.0], 0) for i in range(900)]
+    opt = mtree.MTreeOptions(pivots=4, shard=50, page=8)
+    _, rings, _ = mtree.build(mtree.written(mtree.quantised(spark.createDataFrame(rows, VEC), opt), "t"), opt)
+    assert rings.where("low = high").count() >= 8
+    got = mtree.top_k(spark.createDataFrame(rows, VEC), F.col("vec_id") % 60 == 0, opt).collect()
+    assert {tuple(r) for r in got} == brute_top(rows, 60, 5)
+
+
+def test_block_search_leaves_entries_out():
+    """Bounds must save scores: clusters that cannot hold a better entry are not scored."""
     rng = np.random.default_rng(1)
     pts = np.floor(256 * (rng.normal(size=(8, 6))[rng.integers(0, 8, 2000)] + rng.normal(size=(2000, 6)) * 0.01))
     sq = np.einsum("ij,ij->i", pts, pts)
@@ -102,23 +121,13 @@ def test_best_first_leaves_pages_out():
     below = {}
     for n, v in enumerate(nodes):
         below.setdefault(v[0], []).append(n)
-    opened = []
-
-    class Page:
-        def __init__(self, points):
-            self.points = points
-
-        def __getitem__(self, k):
-            opened.append(1)
-            return self.points[k]
-
-    nodes = [(*v[:5], None if v[5] is None else Page(v[5]), v[6]) for v in nodes]
-    q = np.append(pts[7], 0.0)
-    best = mtree._best_first(nodes, below, q, -1, float(np.linalg.norm(q - lifted[0])), float(sq[7] + sq.max()), -np.inf, 5)
-    want = sorted(((float(s), -i) for i, s in enumerate(pts @ pts[7])), reverse=True)[:5]
-    assert sorted(best, reverse=True) == want
-    leaves = sum(v[4] is not None for v in nodes)
-    assert sum(opened) < leaves
+    asks = np.arange(0, 2000, 100)
+    q = np.hstack([pts[asks], np.zeros((len(asks), 1))])
+    best, computed = mtree.search_block(nodes, below, q, asks, np.linalg.norm(q - lifted[0], axis=1), sq[asks] + sq.max(), np.full(len(asks), -np.inf), 5)
+    for r, a in enumerate(asks):
+        want = sorted((-float(pts[a] @ pts[i]), i) for i in range(2000) if i != a)[:5]
+        assert list(zip(-best.score[r], best.vec[r])) == want
+    assert computed < 0.6 * len(asks) * 2000
 
 
 # ------------------------------------------------------------------ token records
@@ -387,3 +396,27 @@ def test_payload_text_and_blocks_of_odd_form():
     assert text(b"\xe9", None) == "é" and text(b"", None) == "" and text(b"x", "Content-Type: a; charset=hex") == "x"
     assert split(b"HTTP/1.0 204 x") == ("HTTP/1.0 204 x", b"") and split(b"HTTP/1.0 200 x\n\na\r\n\r\nb") == ("HTTP/1.0 200 x", b"a\r\n\r\nb")
     assert split(b"20240101 dns") == (None, b"20240101 dns") and split(b"") == (None, b"")
+
+
+def test_decoded_text_comes_from_the_ids():
+    opt = piece_codec.PieceOptions(model=public_tokenizers.path("piece_bpe_32k.model"))
+    mem = piece_codec.WordMemory(piece_codec.PieceModel(opt.model), opt.remembered)
+    text = pa.array(["the cat sat on the mat", "", "  two  spaces "])
+    whole = mem.encode(text)
+    assert [t for _, t in whole] == text.to_pylist()
+    mem.known["cat"] = mem.known["mat"]
+    assert [t for _, t in mem.encode(text)] == ["the mat sat on the mat", "", "  two  spaces "]
+
+
+def test_records_are_read_by_as_many_tasks_as_files(spark, tmp_path):
+    opt = record_files.RecordOptions(tokenizer=public_tokenizers.path("byte_bpe_50k.json"), file_bytes=600)
+    docs = spark.createDataFrame([(i % 7 if i % 3 else None, f"some text {i} " * 20) for i in range(200)], "doc_id long, text string")
+    manifest = record_files.write_records(docs, str(tmp_path / "a"), opt)
+    assert manifest.count() > 50
+    back = record_files.read_records(spark, manifest, with_ids=False)
+    busy = back.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert busy > 25
+    # rows of one doc_id keep their places when the input comes in another order
+    first = sorted((r.start, str(r.doc_id), r.ids_crc32) for r in back.collect())
+    other = record_files.encoded(docs.orderBy(F.rand(3)), opt, with_ids=False)
+    assert sorted((r.start, str(r.doc_id), r.ids_crc32) for r in other.collect()) == first

@@ -60,6 +60,23 @@ def test_stages_take_odd_rows(spark):
         assert set(ids) <= {None, 1, 5}
 
 
+def test_stages_leave_columns_of_any_name_alone(spark):
+    """Names that operators and stages use inside come back as they were."""
+    from pyspark.sql import functions as F
+
+    names = ["rejected", "score", "_letters", "lang_pred", "lines_total", "lines_removed", "__gone", "__th", "__text", "first", "__first",
+             "component_id", "kept", "n_shingles", "taken", "size", "target", "copies", "copy", "id", "__copies", "packed_columns", "c0", "u", "h",
+             "source_size", "th", "_part", "a.b"]
+    docs = spark.createDataFrame([(k, prose(40, k), "en", "ab"[k % 2], 9) for k in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select(F.lit("front").alias("doc"), "*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id")).alias(n) for n in names])
+    for _, stage in P.STAGES[:-1]:
+        docs2 = written(stage(spark, docs, SF), "t")
+        assert docs2.columns == docs.columns
+        rows = docs2.collect()
+        assert rows and all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names)
+    assert P.encode_pieces(spark, docs, SF).columns == ["doc_id", "source", "n_tokens", "ids", "round_trip"]
+
+
 def test_run_is_repeatable(spark):
     a = sorted(map(tuple, P.run(spark, SF).drop("ids").collect()))
     assert a == sorted(map(tuple, P.run(spark, SF).drop("ids").collect())) and a
