@@ -41,8 +41,6 @@ class SubwordOptions:
     kept_back: float = 0.2
     #: share of right predictions that calibration lets fall below the threshold of rejection
     lost: float = 1 / 500
-    #: with fewer right scores kept back, the threshold is at most halfway from chance to certainty
-    enough: int = 100
     epochs: int = 6
     rate: float = 4.0
     seed: int = 7
@@ -170,20 +168,22 @@ def rejection_threshold(z: np.ndarray, right: np.ndarray, opt: SubwordOptions) -
     kept-back logits ``z`` (rows x labels, after temperature scaling).
 
     A sample of fewer than 1 / ``opt.lost`` rows has no such quantile: the lower tail of the log-odds
-    is extended exponentially by its mean excess below the lowest twentieth (in log-odds, since
-    probabilities crowd at 1). One label always has probability 1, so nothing can be rejected.
+    is extended exponentially below the lowest twentieth (in log-odds, since probabilities crowd at
+    1). The tail's scale is its mean excess there, widened by one standard error of that mean, so
+    the fewer rows were kept back, the lower the threshold; a single one says nothing about spread.
+    One label always has probability 1, so nothing can be rejected.
     """
     c = z.shape[1]
-    if c < 2 or not right.any():
+    if c < 2 or right.sum() < 2:
         return 0.0
     top = np.sort(z[right], axis=1)
     rest = top[:, :-1]
     odds = np.sort(top[:, -1] - rest[:, -1] - np.log(np.exp(rest - rest[:, -1:]).sum(axis=1)))
     n = len(odds)
-    k = min(n - 1, max(1, n // 20))
-    at = odds[k] - (odds[k] - odds[:k]).mean() * max(0.0, np.log(k / n / opt.lost)) if k else odds[0]
-    threshold = float(1.0 / (1.0 + np.exp(-at)))
-    return threshold if n >= opt.enough else min(threshold, (1.0 + 1.0 / c) / 2.0)
+    k = max(1, n // 20)
+    scale = (odds[k] - odds[:k]).mean() * (1.0 + 1.0 / np.sqrt(k))
+    at = odds[k] - scale * max(0.0, np.log(k / n / opt.lost))
+    return float(1.0 / (1.0 + np.exp(-at)))
 
 
 def fit(rows: pa.Table, opt: SubwordOptions) -> SubwordModel:
