@@ -15,7 +15,7 @@ that nobody reads. File numbers follow doc_id order. Reading takes the manifest
 seeks record by record, checking both checksums.
 
 Edge cases. Null text is the empty text (only the end id). Null doc_id sorts first. Repeated rows
-are written once per row. Extra columns are ignored. An empty table writes no file and reads back as
+are written once per row; rows that share a doc_id are ordered by digests of their texts. Extra columns are ignored. An empty table writes no file and reads back as
 an empty result. Text of any length is encoded whole.
 """
 
@@ -272,8 +272,12 @@ def write_records(docs: DataFrame, folder: str, opt: RecordOptions) -> DataFrame
     spark = docs.sparkSession
     folder = _uri(folder)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-               .repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # rows of one doc_id (or of none) are ordered by their text's digests, so they spread and reruns agree
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h1"), F.col("h2")]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h1"),
+                           F.xxhash64(F.lit(1), text).alias("h2"))
+               .repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
                .withColumn("part", F.spark_partition_id()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +322,9 @@ def read_records(spark: SparkSession, manifest: DataFrame, with_ids: bool = True
     seeks into the record files, about ``budget`` bytes at a time."""
     order = manifest.withColumn("num", F.struct("part", "seq"))
     before = running_offsets(order, "num", "ids").withColumnRenamed("offset", "base")
-    files = order.join(before, "num").select("file", "base").repartition("file")
+    files = order.join(before, "num").select("file", "base")
+    # as many tasks as files: their rows are few bytes, by which partitions would be merged
+    files = files.repartition(max(1, manifest.count()), F.xxhash64("file"))
     fields = "doc_id long, file string, row long, offset long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
