@@ -1,31 +1,33 @@
 """Exact top-k search by integer inner product with a distributed M-tree.
 
 Every component x becomes floor(scale * x) as a long; the score of two vectors is their integer inner
-product. With one more coordinate sqrt(M**2 - |x|**2) for candidates (M the largest length) and 0
-for queries, the Euclidean distance orders candidates as the inner product does:
-d**2 = |q|**2 + M**2 - 2 * score. The tree is an M-tree (Ciaccia, Patella, Zezula, 1997) in that
-metric space.
-
-Index, one table in the shared folder. The root's routing objects are drawn from a bounded sample;
-every vector belongs to the nearest one. A routing object's subtree is built where its rows meet:
-at most ``shard`` rows per task, more rows than that are dealt over several subtrees by hash, so a
-hot region spreads out. A subtree has paged nodes: inner nodes with routing object, covering radius
-and distance to the parent, and leaf pages of at most ``page`` vectors with their distance to the
-page's routing object.
-
-Search. The query set meets the subtrees in blocks, not in a cross join: a first pass searches the
-subtrees of each query's nearest routing object and yields a k-th best score; a second pass sends a
-query only to subtrees whose covering radius leaves room for a better one. Inside a task the search
-is best first: nodes wait in a heap by the best score their radius allows and are left out, first
-by the stored parent distance (no computation), then by their own distance; page entries are left
-out by |d(query, page) - d(entry, page)|. Bounds are relaxed by a relative 1e-9, scores that count
-are computed in integers (exactly, in doubles, below 2**53), so results are exact; ties go to the
-smaller vec_id.
+product. Candidates are split into *trees* by their number of components and by norm bands (lengths
+within a factor of two). With one more coordinate sqrt(M**2 - |x|**2) for candidates (M the largest
+length of the tree) and 0 for queries, the Euclidean distance orders candidates as the inner product
+does: d**2 = |q|**2 + M**2 - 2 * score. Every tree is an M-tree (Ciaccia, Patella, Zezula, 1997) in
+that metric space; a band of its own keeps long vectors from flattening the distances of others.
+
+Index, one table in the shared folder. A tree's routing objects are drawn from a bounded sample;
+every vector belongs to the nearest one. A region of more than ``shard`` rows is cut into rings by
+distance to its routing object, each with its least and largest distance, so that a hot region has
+several subtrees and a query leaves out the rings that lie too far in or out; only vectors at one
+and the same distance are dealt over several rings by hash. A ring's subtree has paged nodes: inner
+nodes with routing object, covering radius and distance to the parent, and leaf pages of at most
+``page`` vectors with their distance to the page's routing object.
+
+Search. Queries meet rings in blocks, not in a cross join: a first pass searches for each query the
+nearest ring of the region whose routing object scores best and yields a k-th best score; a second
+pass sends a query only to rings whose distances leave room for a better one. Inside a task a block
+of queries goes through the subtree together, nodes with the most room first: a node is left out for
+a query first by the stored parent distance (no computation), then by its own distance, and page
+entries by |d(query, page) - d(entry, page)|. What any query of the block needs of a node or page is
+computed as one matrix product. Bounds are relaxed by a relative 1e-9, scores that count are computed
+in integers (exactly, in doubles, below 2**53), so results are exact; ties go to the smaller vec_id.
 
 Edge cases. Vectors that are null, empty or hold null or non-finite components take no part, nor do
 rows with null vec_id; vectors of another length than a query's are not compared with it. Repeated
 rows count once per row as candidates, and a vec_id is never a candidate of itself; a repeated query
-id gives one result. Extra columns are ignored. An empty table gives an empty result.
+id gives one result, of its vector that is smallest as (number of components, bytes). Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,44 +50,69 @@ from .common import clean_batches, whole_groups, written
 class MTreeOptions:
     k: int = 5
     scale: int = 256
-    #: routing objects of the root, drawn from a sample of at most this many rows
+    #: routing objects of a tree, a sample of at most this many rows
     pivots: int = 64
-    #: rows of one subtree, about
+    #: rows of one ring, about
     shard: int = 4096
     #: vectors of one leaf page, and children of one inner node
     page: int = 64
     #: queries of one block
-    block: int = 256
+    block: int = 2048
 
 
 # ------------------------------------------------------------------ vectors
 
+#: norm bands per number of components: half the binary exponents of a double's square, and zero
+_BANDS = 1024
+
+
+def _packed(m: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    m = np.ascontiguousarray(m)
+    offsets = np.arange(len(m) + 1, dtype=np.int32) * np.int32(m.shape[1] * m.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets), pa.py_buffer(m)])
+
+
 def quantised(vectors: DataFrame, opt: MTreeOptions) -> DataFrame:
-    """(id, dims, sq, vec): the integer vector as doubles (bytes) and its squared length, valid rows only."""
+    """(id, tree, sq, vec): the integer vector as doubles (bytes) and its squared length, valid rows
+    only; tree is the number of components times ``_BANDS`` plus the norm band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in clean_batches(batches):
-            ids, dims, sq, vec = [], [], [], []
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if i is None or not v or any(c is None for c in v):
-                    continue
-                a = np.asarray(v, dtype=np.float64)
-                if not np.isfinite(a).all():
-                    continue
-                a = np.floor(opt.scale * a)
-                ids.append(i)
-                dims.append(len(a))
-                sq.append(float(a @ a))
-                vec.append(a.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(sq, pa.float64()),
-                                              pa.array(vec, pa.binary())], names=["id", "dims", "sq", "vec"])
+        for b in clean_batches(batches, 8 << 20):
+            ids, lists = b.column(0), b.column(1)
+            size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            begin = np.cumsum(size) - size
+            flat = lists.flatten()
+            value = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False)  # a null is as invalid as a nan
+            usable = (size > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
+            for d in np.unique(size[usable]).tolist():
+                rows = np.nonzero(usable & (size == d))[0]
+                x = value[begin[rows][:, None] + np.arange(d)]
+                good = np.isfinite(x).all(axis=1)
+                rows, x = rows[good], np.floor(opt.scale * x[good])
+                sq = np.einsum("ij,ij->i", x, x)
+                band = np.clip(np.frexp(sq)[1] // 2 + 1, 0, _BANDS - 1) * (sq > 0)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array((d * _BANDS + band).astype(np.int64)), pa.array(sq), _packed(x)],
+                                                 names=["id", "tree", "sq", "vec"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")) \
-        .mapInArrow(run, "id long, dims int, sq double, vec binary")
+        .mapInArrow(run, "id long, tree long, sq double, vec binary")
+
 
+def _matrix(col: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    _, offsets, data = col.buffers()
+    first = int(np.frombuffer(offsets, np.int32)[col.offset]) if len(col) else 0
+    return np.frombuffer(data, np.float64, len(col) * dims, first).reshape(-1, dims) if len(col) else np.zeros((0, dims))
 
-def _matrix(col: pa.ChunkedArray, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), dtype=np.float64).reshape(-1, dims)
+
+def _groups(t: pa.Table, keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of equal integer keys of a sorted table."""
+    key = np.stack([t.column(c).to_numpy() for c in keys])
+    cuts = np.nonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0), True])[0]
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        yield tuple(int(v) for v in key[:, s]), t.slice(s, e - s)
 
 
 def _lifted(x: np.ndarray, sq: np.ndarray, top: float) -> np.ndarray:
@@ -99,12 +127,12 @@ def _distances(x: np.ndarray, o: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Root:
-    """What the driver holds of an index: one entry per vector length, at most ``pivots`` objects each."""
+    """What the driver holds of an index, per tree: at most ``pivots`` routing objects, the largest squared
+    length, and the least and largest distance of the vectors of every region."""
 
     pivots: dict[int, np.ndarray]
     top: dict[int, float]
-    #: (dims, pivot) -> (number of subtrees, covering radius)
-    shards: dict[tuple[int, int], tuple[int, float]]
+    reach: dict[tuple[int, int], tuple[float, float]]
 
 
 def _subtree(ids: np.ndarray, pts: np.ndarray, parent: np.ndarray, page: int, out: list, up: int) -> int:
@@ -151,62 +179,68 @@ def _subtree(ids: np.ndarray, pts: np.ndarray, parent: np.ndarray, page: int, ou
     return at
 
 
-def build(rows: DataFrame, opt: MTreeOptions) -> tuple[DataFrame, Root]:
-    """(node table, root) over quantised rows. The table is sorted by subtree and node number."""
-    spark = rows.sparkSession
-    tops = {r.dims: float(r.m) for r in rows.groupBy("dims").agg(F.max("sq").alias("m")).collect()}
-    pivots: dict[int, np.ndarray] = {}
-    for dims, top in tops.items():
-        drawn = rows.where(F.col("dims") == dims).orderBy(F.xxhash64("id"), "id").limit(opt.pivots).collect()
-        x = np.stack([np.frombuffer(bytes(r.vec)) for r in drawn])
-        pivots[dims] = np.unique(_lifted(x, np.array([r.sq for r in drawn]), top), axis=0)
+def build(rows: DataFrame, opt: MTreeOptions) -> tuple[DataFrame, DataFrame, Root]:
+    """(node table, rings, root) over quantised rows. ``rings`` has (tree, pivot, ring, low, high)."""
+    tops = {r.tree: float(r.m) for r in rows.groupBy("tree").agg(F.max("sq").alias("m")).collect()}  # one row per tree
+    draw = Window.partitionBy("tree").orderBy(F.xxhash64("id"), "id", "vec")
+    drawn: dict[int, list] = {}
+    for r in rows.withColumn("n", F.row_number().over(draw)).where(F.col("n") <= opt.pivots).select("tree", "sq", "vec").collect():
+        drawn.setdefault(r.tree, []).append(r)
+    pivots = {t: np.unique(_lifted(np.stack([np.frombuffer(bytes(r.vec)) for r in some]), np.array([r.sq for r in some]), tops[t]), axis=0)
+              for t, some in drawn.items()}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in clean_batches(batches, 4 << 20):
-            t = pa.Table.from_batches([b])
-            dims = t.column("dims").to_numpy()
-            where, far = np.zeros(len(dims), np.int32), np.zeros(len(dims))
-            for d in np.unique(dims):
-                m = np.nonzero(dims == d)[0]
-                p = _lifted(_matrix(t.column("vec").take(pa.array(m)), int(d)), t.column("sq").to_numpy()[m], tops[int(d)])
-                dist = np.stack([_distances(p, o) for o in pivots[int(d)]])
-                where[m], far[m] = dist.argmin(axis=0), dist.min(axis=0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(where), pa.array(far)], names=["id", "dims", "sq", "vec", "pivot", "far"])
-
-    placed = written(rows.mapInArrow(assign, "id long, dims int, sq double, vec binary, pivot int, far double"), "mtree-rows")
-    regions = placed.groupBy("dims", "pivot").agg(
-        F.ceil(F.count("*") / F.lit(opt.shard)).cast("int").alias("n"), F.max("far").alias("radius"))
-    shards = {(r.dims, r.pivot): (r.n, r.radius) for r in regions.collect()}  # at most pivots entries per length
-    dealt = (placed.join(F.broadcast(regions.select("dims", "pivot", "n")), ["dims", "pivot"])
-             .withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.col("n")).cast("int")))
+            trees = b.column(1).to_numpy()
+            where, far = np.zeros(len(trees), np.int32), np.zeros(len(trees))
+            for t in np.unique(trees).tolist():
+                m = np.nonzero(trees == t)[0]
+                p = _lifted(_matrix(b.column(3).take(pa.array(m)), t // _BANDS), b.column(2).to_numpy()[m], tops[t])
+                near = _products(p, pivots[t]).argmin(axis=1)
+                where[m], far[m] = near, _distances(p, pivots[t][near])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(where), pa.array(far)], names=["id", "tree", "sq", "vec", "pivot", "far"])
+
+    placed = written(rows.mapInArrow(assign, "id long, tree long, sq double, vec binary, pivot int, far double"), "mtree-rows")
+    regions = written(placed.groupBy("tree", "pivot").agg(
+        F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high"),
+        F.percentile_approx("far", [i / 1024 for i in range(1, 1024)], 10_000).alias("cuts")), "mtree-regions")
+    reach = {(r.tree, r.pivot): (r.low, r.high) for r in regions.select("tree", "pivot", "low", "high").collect()}
+    # ring borders: every (1024 / rings)-th of the region's quantiles; a region has up to 1,024 rings of different distance,
+    # and rows at one distance are dealt over as many rings as they fill
+    rings = F.ceil(F.col("n") / F.lit(opt.shard))
+    step = F.greatest(F.lit(1), F.floor(F.lit(1024) / rings)).cast("int")
+    borders = regions.select("tree", "pivot", F.filter("cuts", lambda _, i: (i + 1) % step == 0).alias("cuts"), rings.alias("rings"))
+    below = F.size(F.filter("cuts", lambda c: c < F.col("far")))
+    upto = F.size(F.filter("cuts", lambda c: c <= F.col("far")))
+    # a border's own share of the region's rings, where 1,024 quantiles are fewer than they
+    fine = F.ceil(F.col("rings") / (F.size("cuts") + 1)).cast("int")
+    slot = below + F.pmod(F.xxhash64("id", F.lit(1)), upto - below + 1).cast("int")
+    dealt = placed.join(F.broadcast(borders), ["tree", "pivot"]).withColumn(
+        "ring", slot * fine + F.pmod(F.xxhash64("id", F.lit(2)), fine).cast("int")).drop("cuts", "rings")
+    spans = written(dealt.groupBy("tree", "pivot", "ring").agg(F.min("far").alias("low"), F.max("far").alias("high")), "mtree-rings")
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(clean_batches(batches), ["dims", "pivot", "shard"]):
-            key = np.stack([t.column(c).to_numpy() for c in ("dims", "pivot", "shard")])
-            cuts = np.nonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0), True])[0]
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                g = t.slice(s, e - s)
-                d, p, sh = (int(key[r, s]) for r in range(3))
-                x = _matrix(g.column("vec"), d)
-                pts = _lifted(x, g.column("sq").to_numpy(), tops[d])
+        for t in whole_groups(clean_batches(batches), ["tree", "pivot", "ring"]):
+            for (tree, p, ring), g in _groups(t, ["tree", "pivot", "ring"]):
+                pts = _lifted(_matrix(g.column("vec"), tree // _BANDS), g.column("sq").to_numpy(), tops[tree])
                 nodes: list = []
-                _subtree(g.column("id").to_numpy(), pts, pivots[d][p], opt.page, nodes, -1)
+                _subtree(g.column("id").to_numpy(), pts, pivots[tree][p], opt.page, nodes, -1)
                 n = len(nodes)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, sh, np.int32)),
+                    pa.array(np.full(n, tree, np.int64)), pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, ring, np.int32)),
                     pa.array(np.arange(n, dtype=np.int32)), pa.array([v[0] for v in nodes], pa.int32()),
                     pa.array([v[1].tobytes() for v in nodes], pa.binary()), pa.array([v[2] for v in nodes], pa.float64()),
                     pa.array([v[3] for v in nodes], pa.float64()),
                     pa.array([None if v[4] is None else v[4].tobytes() for v in nodes], pa.binary()),
                     pa.array([None if v[5] is None else v[5].tobytes() for v in nodes], pa.binary()),
                     pa.array([None if v[6] is None else v[6].tobytes() for v in nodes], pa.binary())],
-                    names=["dims", "pivot", "shard", "node", "up", "object", "radius", "parent", "ids", "points", "own"])
+                    names=["tree", "pivot", "ring", "node", "up", "object", "radius", "parent", "ids", "points", "own"])
 
-    keys = ["dims", "pivot", "shard"]
-    nodes = written(dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(
-        plant, "dims int, pivot int, shard int, node int, up int, object binary, radius double, parent double, "
+    keys = ["tree", "pivot", "ring"]
+    nodes = written(dealt.select(*keys, "id", "sq", "vec").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(
+        plant, "tree long, pivot int, ring int, node int, up int, object binary, radius double, parent double, "
                "ids binary, points binary, own binary"), "mtree-nodes")
-    return nodes, Root(pivots, tops, shards)
+    return nodes, spans, Root(pivots, tops, reach)
 
 
 # ------------------------------------------------------------------ search
@@ -214,127 +248,170 @@ def build(rows: DataFrame, opt: MTreeOptions) -> tuple[DataFrame, Root]:
 _SLACK = 1e-9
 
 
-def _best_first(nodes: list, below: dict, q: np.ndarray, qid: int, to_root: float, base: float, known: float, k: int) -> list:
-    """The (score, -id) pairs of one subtree that may belong to the k best, given a known k-th score.
+class Best:
+    """The k best (score, vec_id) of every query of a block, and the score that an entry has to reach."""
+
+    def __init__(self, ids: np.ndarray, known: np.ndarray, k: int):
+        self.ids, self.cut, self.k = ids, known.copy(), k
+        self.score = np.full((len(ids), k), -np.inf)
+        self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def offer(self, rows: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
+        """Scores of entries ``vec`` for queries ``rows``; -inf where an entry is not offered."""
+        score = np.where((vec[None, :] == self.ids[rows][:, None]) | (score < self.cut[rows][:, None]), -np.inf, score)
+        some = np.isfinite(score).any(axis=1)
+        rows, score = rows[some], score[some]
+        if not len(rows):
+            return
+        both = np.hstack([self.score[rows], score])
+        who = np.hstack([self.vec[rows], np.broadcast_to(vec, score.shape)])
+        order = np.lexsort((who, -both), axis=-1)[:, :self.k]
+        self.score[rows], self.vec[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
+        # a k-th score is a bar that equals still pass
+        self.cut[rows] = np.maximum(self.cut[rows], self.score[rows][:, -1])
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances between the rows of two matrices."""
+    return np.maximum(np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2.0 * (a @ b.T), 0.0)
+
+
+def search_block(nodes: list, below: dict, q: np.ndarray, ids: np.ndarray, to_root: np.ndarray, base: np.ndarray, known: np.ndarray,
+                 k: int) -> tuple[Best, int]:
+    """A block of queries through one subtree: the entries that may belong to each query's k best, given
+    known k-th scores, and the number of scores computed.
 
     base = |q|**2 + M**2, so a distance bound b allows scores up to (base - b * b) / 2.
     """
-    slack = _SLACK * (abs(base) + 1.0)
-    allowed = lambda b: (base - b * b) / 2.0 + slack if b > 0.0 else np.inf
-    best: list = []  # heap of (score, -id): the worst of the best on top
-    cut = known
-    heap = [(-np.inf, -1, to_root)]
+    best, computed = Best(ids, known, k), 0
+    slack = _SLACK * (np.abs(base) + 1.0)
+
+    def room(rows: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Whether a distance bound (queries x nodes) leaves a query room for its bar."""
+        b = np.maximum(bound, 0.0)
+        return (base[rows][:, None] - b * b) / 2.0 + slack[rows][:, None] >= best.cut[rows][:, None]
+
+    # nodes wait by the least distance bound of their queries
+    heap, made = [(0.0, 0, -1, np.arange(len(ids)), to_root)], 1
     while heap:
-        worst, n, d_up = heapq.heappop(heap)
-        if -worst < cut:
-            break
-        for c in below.get(n, ()):
-            _, o, radius, parent, ids, pts, own = nodes[c]
-            if allowed(abs(d_up - parent) - radius) < cut:
-                continue  # by the stored parent distance: nothing is computed
-            diff = q - o
-            d = float(np.sqrt(diff @ diff))
-            most = allowed(d - radius)
-            if most < cut:
-                continue
-            if ids is None:
-                heapq.heappush(heap, (-most, c, d))
+        _, _, n, rows, d_up = heapq.heappop(heap)
+        if n >= 0:
+            live = room(rows, d_up[:, None] - nodes[n][2])[:, 0]  # bars have risen since
+            rows, d_up = rows[live], d_up[live]
+        children = below.get(n, ())
+        if not len(rows) or not len(children):
+            continue
+        radius = np.array([nodes[c][2] for c in children])
+        # by the stored parent distance: nothing is computed
+        may = room(rows, np.abs(d_up[:, None] - np.array([nodes[c][3] for c in children])) - radius)
+        left, down = np.nonzero(may.any(axis=1))[0], np.nonzero(may.any(axis=0))[0]
+        if not len(left):
+            continue
+        dist = np.sqrt(_products(q[rows[left]], np.stack([nodes[children[c]][1] for c in down])))
+        may = may[np.ix_(left, down)]
+        for c in np.argsort(dist.min(axis=0, where=may, initial=np.inf) - radius[down]).tolist():
+            child = children[down[c]]
+            on = np.nonzero(may[:, c])[0]
+            on = on[room(rows[left[on]], dist[on, c][:, None] - radius[down[c]])[:, 0]]
+            if not len(on):
                 continue
-            gap = np.abs(d - own)
-            may = np.nonzero((base - gap * gap) / 2.0 + slack >= cut)[0]
-            if not len(may):
+            mine, own_dist = rows[left[on]], dist[on, c]
+            _, _, _, _, vec, pts, own = nodes[child]
+            if vec is None:
+                heapq.heappush(heap, (float((own_dist - nodes[child][2]).min()), made, child, mine, own_dist))
+                made += 1
                 continue
-            score = pts[may, :-1] @ q[:-1]
-            for s, i in zip(score, ids[may]):
-                if i == qid or s < cut:
-                    continue
-                item = (float(s), -int(i))
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-                else:
-                    continue
-                if len(best) == k:
-                    cut = max(cut, best[0][0])
-    return best
+            entry = room(mine, np.abs(own_dist[:, None] - own[None, :]))
+            cols, asks = np.nonzero(entry.any(axis=0))[0], np.nonzero(entry.any(axis=1))[0]
+            if len(cols):
+                score = q[mine[asks], :-1] @ pts[cols, :-1].T
+                computed += score.size
+                best.offer(mine[asks], vec[cols], np.where(entry[np.ix_(asks, cols)], score, -np.inf))
+    return best, computed
 
 
 def _search(nodes: DataFrame, asked: DataFrame, opt: MTreeOptions, tops: dict[int, float]) -> DataFrame:
-    """(query_id, vec_id, score) from rows asked (dims, pivot, shard, query, sq, vec, known): each query
-    searches the subtree it names. Nodes and queries of a subtree meet in one sorted stream, dealt
-    by (subtree, block of queries)."""
-    keys = ["dims", "pivot", "shard", "block"]
-    blocks = asked.groupBy("dims", "pivot", "shard").agg(F.ceil(F.count("*") / F.lit(opt.block)).cast("int").alias("blocks"))
-    asked = asked.join(blocks, ["dims", "pivot", "shard"]).withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int"))
-    nodes = nodes.join(blocks, ["dims", "pivot", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """(query_id, vec_id, score) from rows asked (tree, pivot, ring, query, sq, vec, known, to_root): each
+    query searches the ring it names. Nodes and queries of a ring meet in one sorted stream, dealt
+    by (ring, block of queries)."""
+    keys = ["tree", "pivot", "ring", "block"]
+    blocks = asked.groupBy("tree", "pivot", "ring").agg(F.ceil(F.count("*") / F.lit(opt.block)).cast("int").alias("blocks"))
+    asked = asked.join(blocks, ["tree", "pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int"))
+    nodes = nodes.join(blocks, ["tree", "pivot", "ring"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     none = F.lit(None)
     left = nodes.select(*keys, F.lit(0).alias("kind"), F.col("node").cast("long").alias("num"), "up", "object", "radius", "parent",
-                        "ids", "points", "own")
+                        "ids", "points", "own", none.cast("double").alias("to_root"))
     right = asked.select(*keys, F.lit(1).alias("kind"), F.col("query").alias("num"), none.cast("int").alias("up"),
                          F.col("vec").alias("object"), F.col("sq").alias("radius"), F.col("known").alias("parent"),
-                         none.cast("binary").alias("ids"), none.cast("binary").alias("points"), F.col("to_root").alias("own"))
+                         none.cast("binary").alias("ids"), none.cast("binary").alias("points"), none.cast("binary").alias("own"), "to_root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(clean_batches(batches), keys):
-            key = np.stack([t.column(c).to_numpy() for c in keys])
-            cuts = np.nonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0), True])[0]
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                d = int(key[0, s])
-                tree, below, out = [], {}, ([], [], [])
-                g = t.slice(s, e - s).to_pydict()
-                for r in range(e - s):
-                    o = np.frombuffer(g["object"][r])
-                    if g["kind"][r] == 0:
-                        below.setdefault(g["up"][r], []).append(len(tree))
-                        full = g["ids"][r] is not None
-                        tree.append((g["up"][r], o, g["radius"][r], g["parent"][r],
-                                     np.frombuffer(g["ids"][r], np.int64) if full else None,
-                                     np.frombuffer(g["points"][r]).reshape(-1, d + 1) if full else None,
-                                     np.frombuffer(g["own"][r]) if full else None))
-                        continue
-                    qid, sq, known = g["num"][r], g["radius"][r], g["parent"][r]
-                    to_root = float(np.frombuffer(g["own"][r])[0])
-                    for score, neg in _best_first(tree, below, np.append(o, 0.0), qid, to_root, sq + tops[d], known, opt.k):
-                        out[0].append(qid)
-                        out[1].append(-neg)
-                        out[2].append(int(score))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
-
-    both = left.unionByName(right.withColumn("own", F.col("own")))
-    return both.repartition(*keys).sortWithinPartitions(*keys, "kind", "num").mapInArrow(run, "query_id long, vec_id long, score long")
-
-
-def _routed(queries: DataFrame, root: Root, first: bool) -> DataFrame:
-    """Queries (query, dims, sq, vec, known) with every subtree they are to search, in the first pass
-    those of the nearest routing object, in the second the others whose radius leaves room."""
-    shards, pivots, tops = root.shards, root.pivots, root.top
+            for (tree, _, _, _), g in _groups(t, keys):
+                d = tree // _BANDS
+                asks = g.filter(pc.equal(g.column("kind"), 1))
+                g = g.filter(pc.equal(g.column("kind"), 0)).select(["up", "object", "radius", "parent", "ids", "points", "own"]).to_pydict()
+                if not len(asks):
+                    continue
+                made, below = [], {}
+                for up, o, radius, parent, vec, pts, own in zip(*g.values()):
+                    below.setdefault(up, []).append(len(made))
+                    made.append((up, np.frombuffer(o), radius, parent, None if vec is None else np.frombuffer(vec, np.int64),
+                                 None if vec is None else np.frombuffer(pts).reshape(-1, d + 1), None if vec is None else np.frombuffer(own)))
+                q = _matrix(asks.column("object"), d)
+                ids = asks.column("num").to_numpy()
+                best, _ = search_block(made, below, np.hstack([q, np.zeros((len(q), 1))]), ids, asks.column("to_root").to_numpy(),
+                                       asks.column("radius").to_numpy() + tops[tree], asks.column("parent").to_numpy(), opt.k)
+                row, col = np.nonzero(np.isfinite(best.score))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best.vec[row, col]), pa.array(best.score[row, col].astype(np.int64))],
+                                                 names=["query_id", "vec_id", "score"])
+
+    return left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "kind", "num").mapInArrow(
+        run, "query_id long, vec_id long, score long")
+
+
+def _routed(queries: DataFrame, rings: DataFrame, root: Root, first: bool) -> DataFrame:
+    """Queries (query, dims, sq, vec, known) with the rings they are to search: in the first pass the
+    nearest ring of the region whose routing object scores best, in the second those that leave room."""
+    by_dims: dict[int, list[int]] = {}
+    for t in root.pivots:
+        by_dims.setdefault(t // _BANDS, []).append(t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in clean_batches(batches, 1 << 20):
-            rows = b.to_pydict()
-            out: list[list] = [[] for _ in range(8)]
-            for qid, d, sq, vec, known in zip(*(rows[c] for c in ("query", "dims", "sq", "vec", "known"))):
-                q = np.append(np.frombuffer(vec), 0.0)
-                dist = _distances(pivots[d], q)
-                near = int(min((p for p in range(len(dist)) if (d, p) in shards), key=lambda p: dist[p]))
-                base = sq + tops[d]
-                for p in range(len(dist)):
-                    if (d, p) not in shards or (p == near) != first:
-                        continue
-                    n, radius = shards[d, p]
-                    gap = dist[p] - radius
-                    if not first and gap > 0 and (base - gap * gap) / 2.0 + _SLACK * (abs(base) + 1.0) < known:
-                        continue
-                    for sh in range(n):
-                        for c, v in zip(out, (d, p, sh, qid, sq, vec, known, np.float64(dist[p]).tobytes())):
-                            c.append(v)
-            types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.float64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(out, types)],
-                                             names=["dims", "pivot", "shard", "query", "sq", "vec", "known", "to_root"])
-
-    return queries.select("query", "dims", "sq", "vec", "known").mapInArrow(
-        run, "dims int, pivot int, shard int, query long, sq double, vec binary, known double, to_root binary")
+            dims, sq, known = (b.column(c).to_numpy() for c in (1, 2, 4))
+            for d in np.unique(dims).tolist():
+                rows = np.nonzero(dims == d)[0]
+                x = _matrix(b.column(3).take(pa.array(rows)), d)
+                x = np.hstack([x, np.zeros((len(x), 1))])
+                trees = np.concatenate([np.full(len(root.pivots[t]), t) for t in by_dims[d]])
+                place = np.concatenate([np.arange(len(root.pivots[t])) for t in by_dims[d]])
+                span = np.array([root.reach.get((t, p), (np.inf, -np.inf)) for t, p in zip(trees.tolist(), place.tolist())])
+                dist = np.sqrt(_products(x, np.concatenate([root.pivots[t] for t in by_dims[d]])))
+                base = sq[rows][:, None] + np.array([root.top[t] for t in trees.tolist()])[None, :]
+                empty = ~np.isfinite(span[:, 0])
+                if first:
+                    at_object = np.where(empty[None, :], -np.inf, base - dist * dist)
+                    take = np.zeros(dist.shape, bool)
+                    take[np.arange(len(rows)), at_object.argmax(axis=1)] = True
+                else:
+                    gap = np.maximum(np.maximum(span[:, 0] - dist, dist - span[:, 1]), 0.0)
+                    take = ((base - gap * gap) / 2.0 + _SLACK * (np.abs(base) + 1.0) >= known[rows][:, None]) & ~empty[None, :]
+                q, p = np.nonzero(take)
+                mine = b.take(pa.array(rows[q]))
+                yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(trees[p]), pa.array(place[p].astype(np.int32)), pa.array(dist[q, p]), pa.array(base[q, p])],
+                                                 names=["query", "dims", "sq", "vec", "known", "tree", "pivot", "to_root", "base"])
+
+    routed = queries.select("query", "dims", "sq", "vec", "known").mapInArrow(
+        run, "query long, dims long, sq double, vec binary, known double, tree long, pivot int, to_root double, base double")
+    gap = F.greatest(F.col("low") - F.col("to_root"), F.col("to_root") - F.col("high"), F.lit(0.0))
+    met = routed.join(rings, ["tree", "pivot"])
+    if first:
+        nearest = Window.partitionBy("query").orderBy(gap, "ring")
+        met = met.withColumn("n", F.row_number().over(nearest)).where(F.col("n") == 1).drop("n")
+    else:
+        met = met.where((F.col("base") - gap * gap) / 2.0 + _SLACK * (F.abs("base") + 1.0) >= F.col("known"))
+    return met.select("tree", "pivot", "ring", "query", "sq", "vec", "known", "to_root")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -346,13 +423,16 @@ def top_k(vectors: DataFrame, is_query: Column, opt: MTreeOptions = MTreeOptions
     """query_id, rank, vec_id, score: the ``k`` best of all rows of ``vectors`` (vec_id, embedding) for
     every row for which ``is_query`` (over vec_id) holds."""
     rows = written(quantised(vectors, opt), "mtree-vectors")
-    nodes, root = build(rows, opt)
-    queries = (rows.withColumn("vec_id", F.col("id")).where(is_query).drop("vec_id")
-               .withColumnRenamed("id", "query").dropDuplicates(["query"]))
+    nodes, rings, root = build(rows, opt)
+    asked = rows.withColumn("vec_id", F.col("id")).where(is_query).select(
+        F.col("id").alias("query"), F.floor(F.col("tree") / _BANDS).alias("dims"), "sq", "vec")
+    queries = asked.groupBy("query").agg(F.min(F.struct("dims", "vec", "sq")).alias("q")).select("query", "q.*")
     start = queries.withColumn("known", F.lit(float("-inf")))
-    one = written(_search(nodes, _routed(start, root, True), opt, root.top), "mtree-first")
+    begun = written(_routed(start, rings, root, True), "mtree-asked")
+    one = written(_search(nodes, begun, opt, root.top), "mtree-first")
     known = _top(one, opt.k).where(F.col("rank") == opt.k).select(
         F.col("query_id").alias("query"), F.col("score").cast("double").alias("found"))
     rest = queries.join(known, "query", "left").withColumn("known", F.coalesce("found", F.lit(float("-inf"))))
-    two = _search(nodes, _routed(rest, root, False), opt, root.top)
+    others = _routed(rest, rings, root, False).join(begun.select("tree", "pivot", "ring", "query"), ["tree", "pivot", "ring", "query"], "left_anti")
+    two = _search(nodes, others, opt, root.top)
     return _top(one.unionByName(two), opt.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
