@@ -45,3 +45,15 @@ def test_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["snippet", "path", "modtime", "rank"]
     assert df.count() > 0
+
+
+def test_core_queries_stand_without_the_optional_parts():
+    """Neither the training-data subpackage nor what it imports is needed for the rest."""
+    import subprocess
+    import sys
+
+    code = ("import sys; sys.modules['public_tokenizers'] = None\n"
+            "import __spark_entry__ as E\n"
+            "assert len(E.queries()) >= 70 and not any(n.startswith('op') and n[2].isdigit() for n in E.queries()), len(E.queries())\n"
+            "assert set(E.oracle_sql()) <= set(E.queries())")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=str(Path(__file__).resolve().parents[1]))
