@@ -186,7 +186,7 @@ def _escape_token(pattern: str, i: int, in_class: bool) -> tuple[str, int]:
     return "\\" + ch if ch.isascii() else ch, i + 2
 
 
-def _class_token(pattern: str, i: int) -> tuple[str, int]:
+def _class_token(pattern: str, i: int, verbose: bool = False) -> tuple[str, int]:
     """A bracketed class starting at ``i``: (Java form, index after it). Sets nest, ``&&`` intersects."""
     out, i = ["["], i + 1
     if pattern[i:i + 1] == "^":
@@ -205,8 +205,10 @@ def _class_token(pattern: str, i: int) -> tuple[str, int]:
             out.append("[" + m[1] + POSIX_CLASSES[m[2]] + "]")
             i = m.end()
         elif ch == "[":
-            piece, i = _class_token(pattern, i)
+            piece, i = _class_token(pattern, i, verbose)
             out.append(piece)
+        elif verbose and (ch.isspace() or ch == "#"):
+            i = _skipped(pattern, i)
         elif ch == "\\":
             piece, i = _escape_token(pattern, i, True)
             out.append(piece)
@@ -221,27 +223,61 @@ def _class_token(pattern: str, i: int) -> tuple[str, int]:
     raise PatternError("unclosed character class")
 
 
+def _skipped(pattern: str, i: int) -> int:
+    """Index after the white-space character or the comment at ``i`` (verbose mode)."""
+    if pattern[i] != "#":
+        return i + 1
+    end = pattern.find("\n", i)
+    return len(pattern) if end < 0 else end + 1
+
+
+_REPEAT = re.compile(r"(?:[*+?]|\{[0-9]+(?:,[0-9]*)?\})\??")
+
+
 def regex_for_java(pattern: str) -> str:
     """Reference regex dialect -> Java regex with the same meaning, token by token.
 
     Unicode classes (``(?U)``), ``.`` excludes only ``\n`` (``(?d)``); ``$`` is the very end, or the end
-    of a line while the ``m`` flag is on; POSIX classes, ``(?P<name>..)`` and code-point escapes are
-    translated. What the dialect does not have (look-around, back-references) and what has no
-    equal in Java (flags ``R`` and ``U``, set difference) is refused here, on the driver.
+    of a line while the ``m`` flag is on; POSIX classes, ``(?P<name>..)``, code-point escapes, repeated
+    repetitions (``a**``) and verbose mode are translated. What the dialect does not have (look-around,
+    back-references, a repetition of nothing, ``{,n}``) and what has no equal in Java (flags ``R`` and
+    ``U``, set difference) is refused here, on the driver.
     """
-    out, i, multi, names = [], 0, [False], 0
+    out, i, names = [], 0, 0
+    multi, verbose = [False], [False]  # flags by open group
+    opened: list[int] = []  # where open groups start in ``out``
+    atom, repeated = -1, False  # where the last atom starts in ``out``; whether it has a repetition
+
+    def add(piece: str) -> None:
+        nonlocal atom, repeated
+        atom, repeated = len(out), False
+        out.append(piece)
+
+    def plain(piece: str) -> None:
+        """Something that cannot be repeated."""
+        nonlocal atom
+        atom = -1
+        out.append(piece)
+
+    def enter(piece: str, m: bool, x: bool) -> None:
+        opened.append(len(out))
+        multi.append(m)
+        verbose.append(x)
+        plain(piece)
+
     while i < len(pattern):
         ch = pattern[i]
-        if ch == "\\":
+        if verbose[-1] and (ch.isspace() or ch == "#"):
+            i = _skipped(pattern, i)
+        elif ch == "\\":
             piece, i = _escape_token(pattern, i, False)
-            out.append(piece)
+            add(piece)
         elif ch == "[":
-            piece, i = _class_token(pattern, i)
-            out.append(piece)
+            piece, i = _class_token(pattern, i, verbose[-1])
+            add(piece)
         elif ch == "(":
             if not pattern.startswith("(?", i):
-                out.append("(")
-                multi.append(multi[-1])
+                enter("(", multi[-1], verbose[-1])
                 i += 1
                 continue
             m = _GROUP_HEAD.match(pattern, i)
@@ -249,43 +285,55 @@ def regex_for_java(pattern: str) -> str:
                 raise PatternError("look-around and other special groups are not supported")
             if m["name"]:
                 names += 1
-                out.append(f"(?<g{names}>")  # names only label groups; Java's alphabet is smaller
-                multi.append(multi[-1])
+                enter(f"(?<g{names}>", multi[-1], verbose[-1])  # names only label groups; Java's alphabet is smaller
             else:
                 on, off = m["on"] or "", m["off"] or ""
                 if set(on + off) - set("imsux") or "u" in off:
                     raise PatternError(f"flags {on}{off} are not supported")
-                state = ("m" in on or multi[-1]) and "m" not in off
-                # u (Unicode) is always on
-                on, off = on.replace("u", ""), off.replace("u", "")
+                lines = ("m" in on or multi[-1]) and "m" not in off
+                spaced = ("x" in on or verbose[-1]) and "x" not in off
+                # u (Unicode) is always on, verbose mode is undone here
+                on, off = (f.replace("u", "").replace("x", "") for f in (on, off))
                 flags = on + ("-" + off if off else "")
                 if m["end"] == ")":
-                    out.append(f"(?{flags})" if flags else "")
-                    multi[-1] = state
+                    plain(f"(?{flags})" if flags else "")
+                    multi[-1], verbose[-1] = lines, spaced
                 else:
-                    out.append(f"(?{flags}:")
-                    multi.append(state)
+                    enter(f"(?{flags}:", lines, spaced)
             i = m.end()
         elif ch == ")":
-            if len(multi) == 1:
+            if not opened:
                 raise PatternError("unopened group")
             multi.pop()
+            verbose.pop()
             out.append(")")
+            atom, repeated = opened.pop(), False
             i += 1
-        elif ch == "$":
-            out.append("(?=\\n|\\z)" if multi[-1] else "\\z")
+        elif ch in "*+?{":
+            m = _REPEAT.match(pattern, i)
+            if not m:
+                raise PatternError("malformed repetition")
+            if atom < 0:
+                raise PatternError("nothing to repeat")
+            if repeated and ch == "+":
+                raise PatternError("a possessive repetition is not supported")
+            if repeated:  # a repetition of a repetition
+                out[atom:] = ["(?:" + "".join(out[atom:]) + ")"]
+            out.append(m[0])
+            repeated = True
+            i = m.end()
+        elif ch == "|":
+            plain("|")
             i += 1
-        elif ch == "^" and multi[-1]:
-            out.append("(?<=\\A|\\n)")
+        elif ch == "$":
+            add("(?:(?=\\n|\\z))" if multi[-1] else "(?:\\z)")
             i += 1
         elif ch == "^":
-            out.append("\\A")
+            add("(?:(?<=\\A|\\n))" if multi[-1] else "(?:\\A)")
             i += 1
-        elif ch in "*+?}" and pattern[i + 1:i + 2] == "+":
-            raise PatternError("a repetition may not follow another one")
         else:
-            out.append(ch)
+            add("\\" + ch if ch in "}]" else ch)
             i += 1
-    if len(multi) != 1:
+    if opened:
         raise PatternError("unclosed group")
     return "(?U)(?d)" + "".join(out)

@@ -35,6 +35,8 @@ class IndexOptions:
     known_options: DataFrame | None = None
     #: files one recognition task handles, about
     files_per_task: int = 32
+    #: time limit of one file; with it engines run in processes of their own, None runs them in the task's
+    seconds_per_file: float | None = 600.0
 
 
 @dataclass
@@ -59,7 +61,7 @@ def index_folder(spark: SparkSession, root: str, store: ST.IndexStore, make_engi
     todo = LS.spread(todo, o.files_per_task)
     if o.max_size:
         todo = H.file_dimensions(todo).where(within_size("width", "height", o.max_size)).select("path", "modtime")
-    res = R.recognise_files(todo, make_engine, {"lang": lang, **o.engine_options})
+    res = R.recognise_files(todo, make_engine, {"lang": lang, **o.engine_options}, o.seconds_per_file)
     # recognition is the expensive step: materialise it once in the shared checkpoint folder, so the
     # commit, the counts and the failure report read the same rows and a lost executor re-runs nothing
     checkpoint_dir(spark)

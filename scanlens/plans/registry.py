@@ -539,6 +539,25 @@ def postings_glob(spark, sf):
     return search_index(_stored(spark, sf), "*ción*[a-m]ado*", kind="glob", limit=None, with_snippet=False).select("path", "modtime")
 
 
+@register("postings_phrase", with_views("SELECT id, CAST((length(f) - length(replace(f, 'the of', ''))) / 6 AS INT) AS hits, CAST(instr(f, 'the of') - 1 AS INT) AS first "
+                                        "FROM (SELECT id, lower(content) AS f FROM images) WHERE contains(f, 'the of')", "images"))
+def postings_phrase(spark, sf):
+    """Places of a phrase from stored gram positions: number and first place, no text read."""
+    found = G.phrase_places(_stored(spark, sf).positions(None, ["the of"]), ["the of"])
+    return found.select("id", F.size("s_0").alias("hits"), F.element_at("s_0", 1).alias("first"))
+
+
+@register("postings_near", ORACLE["match_near"])
+def postings_near(spark, sf):
+    return _ranked(search_index(_stored(spark, sf), P.near("the", "and", 2), kind="match", limit=None, with_snippet=False))
+
+
+@register("postings_regex", with_views("SELECT path, modtime FROM images WHERE regexp_matches(content, '(qu|ch)[a-z]+ment|[Ll]icen[cs]ed under')", "images"))
+def postings_regex(spark, sf):
+    """A regex whose alternatives and classes are looked up in the stored postings."""
+    return search_index(_stored(spark, sf), "(qu|ch)[a-z]+ment|[Ll]icen[cs]ed under", kind="regex", limit=None, with_snippet=False).select("path", "modtime")
+
+
 def _delta_store(spark, sf) -> store.IndexStore:
     """F4 committed whole, then F3 over it as one incremental commit: changed and new rows, deletions."""
     im = fx.images(spark, sf)

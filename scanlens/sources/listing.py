@@ -8,6 +8,7 @@ entry is seen, also names that start with ``.`` or ``_`` and empty files.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ from ..functions.paths import IMAGE_EXTENSIONS, exclude_patterns, excluded, has_
 from ..session import checkpoint_dir
 
 ENTRY_SCHEMA = "path string, modtime long, length long, is_dir boolean, error string"
+#: with the resolved folders above a folder, from the root on, by which link loops are seen
+_WALK_SCHEMA = ENTRY_SCHEMA + ", above array<string>"
 
 
 def filesystem(path: str):
@@ -34,39 +37,45 @@ def filesystem(path: str):
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs as pafs
 
-    names = ["path", "modtime", "length", "is_dir", "error"]
-    types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+    names = ["path", "modtime", "length", "is_dir", "error", "above"]
+    types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.string()))
 
     def rows(part: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate(types)], names=names)
 
     for batch in batches:
-        for folder in batch.column(0).to_pylist():
+        for folder, above in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             prefix = folder[:folder.index("://") + 3] if "://" in folder else ""
             try:
                 fs, inner = filesystem(folder)
+                # only local folders have links
+                here = os.path.realpath(inner) if isinstance(fs, pafs.LocalFileSystem) else folder
+                if here in above:
+                    raise OSError(f"link loop: {here} is a folder above")
                 found = fs.get_file_info(pafs.FileSelector(inner, recursive=False))
-            except OSError as e:  # an unreadable folder is reported and left out
-                yield rows([(folder, None, None, None, f"{type(e).__name__}: {e}")])
+            except OSError as e:  # an unreadable folder or a loop is reported and left out
+                yield rows([(folder, None, None, None, f"{type(e).__name__}: {e}", None)])
                 continue
+            inside = [*above, here]
             for i in range(0, len(found), 10_000):
                 yield rows([(prefix + f.path, f.mtime_ns // 1_000_000_000 if f.mtime_ns is not None else None, f.size,
-                             f.type == pafs.FileType.Directory, None)
+                             f.type == pafs.FileType.Directory, None, inside if f.type == pafs.FileType.Directory else None)
                             for f in found[i:i + 10_000] if f.type != pafs.FileType.NotFound])
 
 
 def walk(spark: SparkSession, root: str, recursive: bool = True, patterns: list[str] | None = None) -> DataFrame:
-    """All entries under ``root`` as ``ENTRY_SCHEMA``; excluded folders are not entered."""
+    """All entries under ``root`` as ``ENTRY_SCHEMA``; excluded folders are not entered. Links are followed;
+    one that leads to a folder above it is an error row, and the walk ends there."""
     base = f"{checkpoint_dir(spark)}/scanlens-walk-{uuid.uuid4().hex}"
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folders, level, paths = spark.createDataFrame([(root,)], "path string"), 0, []
+    folders, level, paths = spark.createDataFrame([(root, [])], "path string, above array<string>"), 0, []
     while True:
-        found = folders.repartition(tasks).mapInArrow(_entries, ENTRY_SCHEMA)
+        found = folders.repartition(tasks).mapInArrow(_entries, _WALK_SCHEMA)
         if patterns:
             found = found.where(F.col("error").isNotNull() | ~excluded("path", root, patterns))
         paths.append(f"{base}/{level:06d}")
         found.write.parquet(paths[-1])
-        folders = spark.read.schema(ENTRY_SCHEMA).parquet(paths[-1]).where("is_dir").select("path")
+        folders = spark.read.schema(_WALK_SCHEMA).parquet(paths[-1]).where("is_dir").select("path", "above")
         if not recursive or folders.isEmpty():
             return spark.read.schema(ENTRY_SCHEMA).parquet(*paths)
         level += 1
