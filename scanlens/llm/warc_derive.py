@@ -51,9 +51,12 @@ DATE = "1970-01-01T00:00:00Z"
 FIELDS = ("warc_type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, "
           "content_type string, payload_digest string, block_digest string, content_length long, block string")
 
-#: what a page is cut at: a comment, a script or style with its text, a tag, other markup
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)(?![^\s/>])[^<>]*+>.*?(?:</\1\s*>|\Z)"
-                    r"|<(/?)([A-Za-z][^\s/<>]*+)[^<>]*+>|<[/!?][^<>]*+>", re.I | re.S)
+#: what a tag holds: a quoted value may hold any sign; a quote that is never closed is a sign like others
+_INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+#: what a page is cut at: a comment, a script or style with its text, a tag, other markup. A tag without
+#: an end runs to the end of the page and is text; taken whole, so that no sign is looked at again.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)(?![^\s/>])" + _INSIDE + r">.*?(?:</\1\s*>|\Z)"
+                    r"|<(/?)([A-Za-z][^\s/>]*+)" + _INSIDE + r"(>?)|<[/!?][^>]*+(?:>|\Z)", re.I | re.S)
 #: elements that are skipped up to their own end tag; title counts inside a head only
 _PAIRED = {"noscript", "template", "title"}
 _VOID_IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta"}
@@ -63,23 +66,31 @@ RAW_FIELDS = FIELDS.removesuffix("block string") + "block binary, headers array<
 _HEAD_END = re.compile(rb"\r?\n\r?\n")
 _CHARSET = re.compile(r"""charset\s*=\s*["']?\s*([^\s"';,/>]+)""", re.I)
 _BOMS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
-_TITLE = re.compile(r"<title\b[^<>]*>(.*?)</title\s*>", re.I | re.S)
-_LINK = re.compile(r"""<a\s(?:[^<>]*?\s)?href\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)'|([^\s"'<>]+))""", re.I)
-_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form"
-                    r"|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|tr|ul)\b[^<>]*>", re.I)
-_TAG = re.compile(r"<[A-Za-z/!?][^<>]*>")
+_TITLE_END = re.compile(r"</title\s*>", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]*+)))?""")
+#: elements that stand on lines of their own
+_BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure",
+          "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "option", "p", "pre", "section",
+          "select", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _name(m: re.Match) -> str:
+    """A tag's name in lower case; empty for other tokens and for a tag without an end."""
+    return m[3].lower() if m[3] and m[4] else ""
+
+
 def _skipped(page: str) -> list[tuple[int, int]]:
     """Spans of a page that are not text, by start; they may overlap."""
     spans, tags, ends = [], [], {}
     open_at: dict[str, list[int]] = {name: [] for name in _PAIRED}
     for m in _TOKEN.finditer(page):
-        name = (m[3] or "").lower()
+        name = _name(m)
+        if m[3] and not name:
+            continue
         tags.append((m.start(), m.end(), "/" if m[2] else "", name))
         if not name and (m[1] or page.startswith("<!--", m.start())):
             spans.append(m.span())
@@ -117,17 +128,32 @@ def _shown(page: str) -> str:
 
 
 def page_text(page: str) -> str:
-    body = _TAG.sub("", _BLOCK.sub("\n", _shown(page)))
+    def cut(m: re.Match) -> str:
+        if m[3] and not m[4] or m[0][-1] != ">":
+            return m[0]
+        return "\n" if _name(m) in _BLOCK else ""
+
+    body = _TOKEN.sub(cut, _shown(page))
     lines = (" ".join(x.split()) for x in html.unescape(body).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def page_facts(page: str) -> tuple[str | None, list[str]]:
-    """(title or None, links as written)."""
-    seen = re.sub(r"<!--.*?(?:-->|\Z)", " ", page, flags=re.S)
-    title = _TITLE.search(seen)
-    return (" ".join(html.unescape(title[1]).split()) if title else None,
-            [html.unescape(a or b or c) for a, b, c in _LINK.findall(seen)])
+    """(title or None, links as written). A title inside svg is that of the drawing."""
+    title, links, drawing = None, [], 0
+    for m in _TOKEN.finditer(page):
+        name = _name(m)
+        if name == "svg" and not m[0].endswith("/>"):
+            drawing = max(0, drawing + (-1 if m[2] else 1))
+        elif name == "title" and not m[2] and title is None and not drawing:
+            end = _TITLE_END.search(page, m.end())
+            title = " ".join(html.unescape(page[m.end():end.start()]).split()) if end else None
+        elif name == "a" and not m[2]:
+            for key, *values in _ATTRIBUTE.findall(m[0], m.end(3) - m.start(), len(m[0]) - 1):
+                if key.lower() == "href":
+                    links.append(html.unescape(values[0] or values[1] or values[2]))
+                    break
+    return title, links
 
 
 def _header_text(data: bytes) -> str:
@@ -332,4 +358,6 @@ def read_warc(spark: SparkSession, files: DataFrame, rows: int = 256, raw: bool
                     if part:
                         yield cut(part)
 
-    return files.select("file").repartition("file").mapInArrow(run, RAW_FIELDS if raw else FIELDS)
+    # as many tasks as files: their rows are few bytes, by which partitions would be merged
+    dealt = files.select("file").repartition(max(1, files.count()), F.xxhash64("file"))
+    return dealt.mapInArrow(run, RAW_FIELDS if raw else FIELDS)

@@ -273,6 +273,46 @@ class Reader(HTMLParser):
             self.parts.append(data)
 
 
+@pytest.mark.parametrize("page,text,links,title", [
+    ('<p title="a > b">x</p>', "x", [], None),
+    ('<a onclick="if(a>b){go()}" href="/u">link</a>', "link", ["/u"], None),
+    ('p <img alt="1<2"> q', "p q", [], None),
+    ("<a title='<br>' data-x=1 href='/v?a=1&amp;b'>v</a>", "v", ["/v?a=1&b"], None),
+    ('<svg><title>drawing</title></svg><title>page</title>', "drawingpage", [], "page"),
+    ('one <a href="/x>two', "one two", ["/x"], None),
+    ("one <p two", "one <p two", [], None),
+    ('<a class=k"x href=/y>z</a> 1 < 2 > 1', "z 1 < 2 > 1", ["/y"], None),
+    ("<script>var a='<a href=\"/no\">';</script><a HREF = /w>w</a>", "w", ["/w"], None)])
+def test_tags_know_their_quotes(page, text, links, title):
+    assert warc_derive.page_text(page).replace("\n", " ") == text
+    assert warc_derive.page_facts(page) == (title, links)
+
+
+def test_pages_of_the_tables_equal_the_standard_parser():
+    import duckdb
+
+    for (page,) in duckdb.connect().execute("SELECT html FROM '/root/testdata/sf0.1/pages.parquet'").fetchall():
+        r = Reader()
+        r.feed(page)
+        r.close()
+        want = "\n".join(x for x in (" ".join(y.split()) for y in "".join(r.parts).split("\n")) if x)
+        got = warc_derive.page_text(page)
+        assert got.replace("\n", " ").split() == want.replace("\n", " ").split()
+        assert warc_derive.page_facts(page) == (r.title, r.links)
+
+
+def test_tag_scanner_is_linear():
+    import time
+
+    for part in ("<", '<a "', "<a href='", '="', "<p <a =", "<!--", "<svg>", "<title>"):
+        took = []
+        for n in (1_000_000, 4_000_000):
+            begun = time.time()
+            warc_derive.page_text(part * (n // len(part)))
+            took.append(time.time() - begun)
+        assert took[1] < 10 * max(took[0], 0.2), part
+
+
 def test_page_text_equals_the_standard_parser():
     page = ("<!DOCTYPE html><html><head><title>A &amp; B </title><script>var t='</p>';</script></head><body><nav><ul><li><a href='/x'>x</a></li>"
             "<li><a class=k href=\"/y?a=1&amp;b\">y</a></li></ul></nav><!-- gone --><p>one  two<br>three &lt;tag&gt; 1 &lt; 2</p>"
