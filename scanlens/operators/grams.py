@@ -1,7 +1,7 @@
 """Trigram postings: build, corpus statistics, phrase places, and candidate lookup.
 
-Postings are ``(gram, id, tf)``, in a store with ``pos``, the gram's places in the text. With them
-phrases, proximity and ranking need no text: the places of a phrase are those of a few grams that
+Postings are ``(gram, id, tf)``, in a store with ``dl``, the row's length, and ``pos``, the gram's places in
+the text. With them phrases, proximity and ranking need neither texts nor rows: the places of a phrase are those of a few grams that
 cover it, shifted and intersected. A row's grams are all in one task, so the one shuffle carries
 postings, not grams. Files are dealt by a hash of the gram and sorted by (gram, id), so a lookup prunes
 directories by bucket and pages by gram.
@@ -74,7 +74,7 @@ def candidates(post: DataFrame, text: str, lead: int = 3) -> DataFrame:
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, folded text) -> (gram, id, tf, pos): numpy over the code points of a block of rows."""
+    """(id, folded text) -> (gram, id, tf, dl, pos): numpy over the code points of a block of rows."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy().astype(np.int64)
@@ -120,16 +120,16 @@ def _block_positions(ids: np.ndarray, sizes: np.ndarray, points: np.ndarray) ->
     digits = [alphabet[grams[used] // base ** 2], alphabet[grams[used] // base % base], alphabet[grams[used] % base]]
     names = pa.array([chr(x) + chr(y) + chr(z) for x, y, z in zip(*(d.tolist() for d in digits))], pa.string())
     offsets = np.append(starts, len(key)).astype(np.int32)
-    table = pa.table([names.take(pa.array(which)), pa.array(ids[doc]), pa.array(np.diff(offsets)),
-                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(steps.astype(np.int32)))], names=["gram", "id", "tf", "pos"])
+    table = pa.table([names.take(pa.array(which)), pa.array(ids[doc]), pa.array(np.diff(offsets)), pa.array((sizes[doc] - 2).astype(np.int32)),
+                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(steps.astype(np.int32)))], names=["gram", "id", "tf", "dl", "pos"])
     yield from table.to_batches(max_chunksize=50_000)
 
 
 def positional(index: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
-    """``(gram, id, tf, pos)``: postings with the places of the gram in the text (0-based code points, each
-    as the distance from the one before, the first from 0). No shuffle."""
+    """``(gram, id, tf, dl, pos)``: postings with the row's length in trigram tokens and the places of the gram
+    in the text (0-based code points, each as the distance from the one before, the first from 0). No shuffle."""
     folded = index.select(F.col(id_col).cast("long").alias("id"), fold(content_col).alias("f"))
-    return folded.mapInArrow(_positions, "gram string, id long, tf int, pos array<int>")
+    return folded.mapInArrow(_positions, "gram string, id long, tf int, dl int, pos array<int>")
 
 
 def cover(text: str) -> list[tuple[int, str]]:
@@ -157,12 +157,12 @@ def starts_from_positions(lists: Column, text: str) -> Column:
 
 
 def phrase_places(positions: DataFrame, phrases: list[str]) -> DataFrame:
-    """``(id, s_0, s_1, ...)``: the places of every phrase (of three characters or more) in every row that
-    has one, from postings alone. Only the lists of covering grams are read; they meet by id."""
+    """``(id, dl, s_0, s_1, ...)``: the row's length and the places of every phrase (of three characters or more)
+    in every row that has one, from postings alone. Only the lists of covering grams are read; they meet by id."""
     grams = sorted({g for p in phrases for _, g in cover(p)})
     lists = (positions.where(F.col("gram").isin(grams)).groupBy("id")
-             .agg(F.map_from_entries(F.collect_list(F.struct("gram", "pos"))).alias("lists")))
-    found = lists.select("id", *[starts_from_positions(F.col("lists"), p).alias(f"s_{i}") for i, p in enumerate(phrases)])
+             .agg(F.max("dl").alias("dl"), F.map_from_entries(F.collect_list(F.struct("gram", "pos"))).alias("lists")))
+    found = lists.select("id", "dl", *[starts_from_positions(F.col("lists"), p).alias(f"s_{i}") for i, p in enumerate(phrases)])
     some = F.lit(False)
     for i in range(len(phrases)):
         some = some | (F.size(f"s_{i}") > 0)

@@ -33,6 +33,8 @@ from . import grams
 K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
+#: growth of the number of hits from one wave of a top-k search to the next
+WAVE = 8
 # Snippet window in tokens and the scores of its choice.
 SNIPPET_TOKENS = 64
 FIRST_HIT, FURTHER_HIT, TEXT_START, SENTENCE_START = 1000, 1, 120, 100
@@ -343,13 +345,17 @@ def search_stored(store, query, kind: str = "simple", root: str | None = None, p
                   exclude: str | list[str] | None = None, limit: int | None = 100, with_snippet: bool = True) -> DataFrame:
     """The same results as ``search`` over a store's current rows, through its postings.
 
-    Phrases, proximity, counts and document frequencies come from positions; paths, times and lengths from
-    the id blocks that hold a hit; texts are read for snippets only, from the blocks of the rows shown.
+    Phrases, proximity, counts, document frequencies, lengths and so the exact rank come from postings; paths and
+    times from the id blocks that hold a hit, with a limit best blocks first until no other can hold a row
+    of the top; texts are read for snippets only, from the blocks of the rows shown.
     Globs and regexes read the texts of rows that hold the grams their pattern secures (all texts where it
     secures none).
     """
     term = make_term(query, kind)
     version = store.current_version() or None
+    wanted = in_scope("path", root, prefix_like)
+    for pat in [exclude] if isinstance(exclude, str) else (exclude or []):
+        wanted = wanted & ~search_excluded("path", pat)
     ranked = kind in ("simple", "match")
     live = [p for p in term.positive_phrases() if len(p) >= MIN_PHRASE] if ranked else []
     if ranked:
@@ -357,10 +363,17 @@ def search_stored(store, query, kind: str = "simple", root: str | None = None, p
         usable = list(dict.fromkeys(p for p in phrases if len(p) >= MIN_PHRASE))
         hits, dfs = _stored_hits(store, term, phrases, usable, version)
         n_rows, avg_dl = store.corpus_size()
-        rows = store.rows_of(hits, ["id", "path", "modtime", "dl", *hits.columns[1:]], version)
         tfs = [F.col(f"tf_{usable.index(p)}") if p in usable else F.lit(0) for p in phrases]
         df = [F.lit(dfs[usable.index(p)] if p in usable else 0) for p in phrases]
-        rows = rows.withColumn("rank", bm25(tfs, F.col("dl"), F.lit(n_rows), F.lit(avg_dl), df) if n_rows else F.lit(0.0))
+        rank = bm25(tfs, F.col("dl"), F.lit(n_rows), F.lit(avg_dl), df) if n_rows else F.lit(0.0)
+        named = ["id", "path", "modtime", "rank"]
+        if "dl" not in hits.columns or not store.has_lengths(version):
+            rows = store.rows_of(hits.drop("dl"), ["id", "path", "modtime", "dl", *[c for c in hits.columns if c.startswith("tf_")]], version)
+            rows = rows.withColumn("rank", rank)
+        elif limit is None:
+            rows = store.rows_of(hits.select("id", rank.alias("rank")), named, version)
+        else:
+            rows = _best_first(store, hits.select("id", rank.alias("rank")), wanted, bool(root or exclude), limit, version)
     else:
         condition = _pattern_condition(term, kind)
         ids = None if condition is None else _condition_ids(store.positions(version, _strings(condition)), condition)
@@ -369,9 +382,6 @@ def search_stored(store, query, kind: str = "simple", root: str | None = None, p
         else:
             rows = store.rows_of(_kept(ids, "candidates"), ["id", "path", "modtime", "content"], version)
         rows = rows.where(content_predicate(term, kind, F.col("content"), F.col("content"))).withColumn("rank", F.lit(None).cast("double"))
-    wanted = in_scope("path", root, prefix_like)
-    for pat in [exclude] if isinstance(exclude, str) else (exclude or []):
-        wanted = wanted & ~search_excluded("path", pat)
     order = [F.col("rank").asc_nulls_last(), F.col("modtime").desc(), F.col("path").asc()]
     top = rows.where(wanted).select("id", "path", "modtime", "rank").orderBy(*order)
     top = top if limit is None else top.limit(limit)
@@ -382,8 +392,26 @@ def search_stored(store, query, kind: str = "simple", root: str | None = None, p
     return with_snippet_column(texts, live).drop("content").orderBy(*order).select("snippet", "path", "modtime", "rank")
 
 
+def _best_first(store, scored: DataFrame, wanted: Column, scoped: bool, limit: int, version: int | None) -> DataFrame:
+    """Rows (id, path, modtime, rank) among which are the best ``limit`` rows in scope and all ties of the last.
+
+    ``scored`` has every hit with its exact rank, so the rank of a row bounds what its block can still
+    give: a wave reads the blocks of the best hits only, and where the scope leaves too few of them, the
+    next one goes on with eight times as many.
+    """
+    n = max(limit, 1)
+    total = scored.count()
+    while n < total:
+        worst = scored.orderBy("rank").limit(n).agg(F.max("rank")).first()[0]
+        rows = store.rows_of(scored.where(F.col("rank") <= worst), ["id", "path", "modtime", "rank"], version)
+        if not scoped or rows.where(wanted).limit(limit).count() >= limit:
+            return rows
+        n *= WAVE
+    return store.rows_of(scored, ["id", "path", "modtime", "rank"], version)
+
+
 def _stored_hits(store, term: Term, phrases: list[str], usable: list[str], version: int | None) -> tuple[DataFrame, list[int]]:
-    """(id, tf_0, ...) of the rows that satisfy a term, written once, and the rows per usable phrase."""
+    """(id, dl, tf_0, ...) of the rows that satisfy a term, written once, and the rows per usable phrase."""
     if not usable:
         return store.spark.createDataFrame([], "id long"), []
     places = grams.phrase_places(store.positions(version, usable), usable)
@@ -393,7 +421,7 @@ def _stored_hits(store, term: Term, phrases: list[str], usable: list[str], versi
         each = iter([found[f"s_{usable.index(p)}"] if p in usable else none for p in phrases])
         return F.struct(*[F.size(found[f"s_{i}"]).alias(f"tf_{i}") for i in range(len(usable))], on_places(term, each).alias("wanted"))
 
-    counted = places.select("id", bound(F.struct(*places.columns[1:]), judged).alias("x")).select("id", "x.*")
+    counted = places.select("id", "dl", bound(F.struct(*places.columns[2:]), judged).alias("x")).select("id", "dl", "x.*")
     obs = Observation()
     watched = counted.observe(obs, *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(usable))])
     hits = _kept(watched.where("wanted").drop("wanted"), "hits")

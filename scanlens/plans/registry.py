@@ -528,6 +528,19 @@ def postings_search(spark, sf):
     return _ranked(search_index(_stored(spark, sf), "tion", limit=None, with_snippet=False))
 
 
+@register("bm25_topk_bounds", ORACLE["bm25_topk"])
+def bm25_topk_bounds(spark, sf):
+    """Top 100 from stored postings: only blocks whose best rank reaches the 100th are read."""
+    return _ranked(search_index(_stored(spark, sf), "ción", limit=100, with_snippet=False))
+
+
+@register("bm25_topk_scoped", _sql_ranked(["ent"], "contains(lower(content), 'ent') AND (path = '/lib/de' OR starts_with(path, '/lib/de/'))")
+          + " ORDER BY rank, modtime DESC, path LIMIT 20")
+def bm25_topk_scoped(spark, sf):
+    """Top 20 of a scope that few of the best hits are in: several waves of blocks."""
+    return _ranked(search_index(_stored(spark, sf), "ent", root="/lib/de", limit=20, with_snippet=False))
+
+
 @register("postings_match", ORACLE["match_and"])
 def postings_match(spark, sf):
     return _ranked(search_index(_stored(spark, sf), P.all_of("tion", "ment"), kind="match", limit=None, with_snippet=False))

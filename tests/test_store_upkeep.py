@@ -250,3 +250,34 @@ def test_many_commits_leave_few_segments_and_few_log_reads(spark, tmp_path, monk
     assert store.state(37).last.version == 37
     with pytest.raises(ST.LayoutError):
         store.state(101)
+
+
+# ------------------------------------------------------------------ top-k by bounds
+
+def test_top_k_leaves_out_blocks_that_cannot_reach_it(spark, tmp_path):
+    store = ST.IndexStore(spark, str(tmp_path / "s"), block_rows=10)
+    index = index_of(spark, 100, lambda i: "needle " * (5 if i in (33, 35, 78) else 1) + "hay " * 3)
+    store.commit(index)
+    full = [tuple(r) for r in S.search(index, "needle", limit=None, with_snippet=False).collect()]
+    for k in (0, 1, 3, 20, 100, 500):
+        got = [tuple(r) for r in search_index(store, "needle", limit=k, with_snippet=False).collect()]
+        assert [g[:2] for g in got] == [f[:2] for f in full[:k]]
+        assert [g[2] for g in got] == pytest.approx([f[2] for f in full[:k]])
+    # a scope that the best hits are not in is reached by further waves
+    scoped = [tuple(r) for r in search_index(store, "needle", root="/r/64.png", limit=2, with_snippet=False).collect()]
+    assert [g[0] for g in scoped] == ["/r/64.png"]
+    width, rows = store.log()[0].width, tmp_path / "s" / "segments" / store.log()[0].segment / "rows"
+    for b in rows.glob("block=*"):
+        if int(b.name[6:]) not in {i // width for i in (33, 35, 78)}:
+            shutil.rmtree(b)
+    top = search_index(store, "needle", limit=3, with_snippet=False).collect()
+    assert [r.path for r in top] == [f[0] for f in full[:3]]
+
+
+def test_segments_without_lengths_are_ranked_from_their_rows(spark, tmp_path, monkeypatch):
+    store = ST.IndexStore(spark, str(tmp_path / "s"), block_rows=10)
+    index = index_of(spark, 30, lambda i: "needle " * (i % 4) + "hay " * (i % 7))
+    store.commit(index)
+    want = [tuple(r) for r in search_index(store, "needle", limit=5, with_snippet=False).collect()]
+    monkeypatch.setattr(ST.IndexStore, "has_lengths", lambda self, version=None: False)
+    assert [tuple(r) for r in search_index(store, "needle", limit=5, with_snippet=False).collect()] == want
