@@ -9,8 +9,9 @@ Plan
 1. Equal vectors of a label collapse into a class (smallest vec_id, multiplicity), pre-aggregated
    before the shuffle.
 2. Every class gets ``tables`` keys of ``bits`` sign bits. Two vectors at the threshold agree on a
-   bit with probability 1 - acos(0.98)/pi = 0.936, on a key of 16 bits with 0.349, and on at least
-   one of 48 keys with 1 - 1e-9.
+   bit with probability 1 - acos(0.98)/pi = 0.936, on a key of 24 bits with 0.206, and on at least
+   one of 64 keys with 1 - 4e-7; closer ones more often. Vectors far apart share a key with 2^-24, so
+   chance meetings stay few up to tables of many millions a label.
 3. Only classes that share a key with another one go on. Buckets are compared in numpy blocks inside
    the tasks; a bucket above ``chunk`` members is dealt over chunk pairs, so no group is collected
    into one task. A pair is counted in the first table in which its keys agree, so links are counted
@@ -32,18 +33,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_batches, forest_roots, whole_groups, written
+from .common import clean_batches, fixed_matrix, forest_roots, whole_groups, written
 from .components import components
 
 
 @dataclass(frozen=True)
 class SignHashOptions:
     cosine: float = 0.98
-    tables: int = 48
-    bits: int = 16
+    tables: int = 64
+    #: of one key, at most 32
+    bits: int = 24
     #: members of a bucket that one task compares with each other
     chunk: int = 512
     seed: int = 3
@@ -53,48 +56,65 @@ def _planes(dims: int, opt: SignHashOptions) -> np.ndarray:
     return np.random.default_rng([opt.seed, dims]).normal(size=(dims, opt.tables * opt.bits))
 
 
-def _valid(v) -> np.ndarray | None:
-    if v is None or len(v) == 0 or any(x is None for x in v):
-        return None
-    a = np.asarray(v, dtype=np.float64)
-    return a if np.isfinite(a).all() and a.any() else None
+def _vectors(col: pa.Array, usable: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) per length of the usable vectors of a list column: not empty, not zero, no null or
+    non-finite component."""
+    sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = pc.list_flatten(col).to_numpy(zero_copy_only=False)  # nulls become NaN
+    if not len(values):
+        return
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    odd = np.bincount(row, ~np.isfinite(values), len(sizes)) > 0
+    some = np.bincount(row, values != 0, len(sizes)) > 0
+    starts = np.cumsum(sizes) - sizes
+    ok = usable & some & ~odd
+    for dims in np.unique(sizes[ok]):
+        at = np.nonzero(ok & (sizes == dims))[0]
+        yield at, values[starts[at][:, None] + np.arange(dims)]
 
 
 def signed(vectors: DataFrame, opt: SignHashOptions) -> DataFrame:
-    """vec_id, label, fp, vec (doubles as bytes), codes (16-bit keys as bytes) for rows that can link;
+    """vec_id, label, fp, vec (doubles as bytes), codes (keys as bytes, four each) for rows that can link;
     the other rows have null fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(opt.bits, dtype=np.int64)
         for b in clean_batches(batches):
-            col = b.column(2)
-            rows = [_valid(v) if ok else None for v, ok in zip(col.to_pylist(), b.column(1).is_valid().to_pylist())]
-            fp: list = [None] * len(rows)
-            vec: list = [None] * len(rows)
-            codes: list = [None] * len(rows)
-            for dims in {len(r) for r in rows if r is not None}:
-                at = [i for i, r in enumerate(rows) if r is not None and len(r) == dims]
-                x = np.stack([rows[i] for i in at])
-                x = x / np.abs(x).max(axis=1, keepdims=True)  # cosine ignores length; squares stay finite
+            fp: list = [None] * b.num_rows
+            vec: list = [None] * b.num_rows
+            codes: list = [None] * b.num_rows
+            for at, raw in _vectors(b.column(2), b.column(1).is_valid().to_numpy(zero_copy_only=False)):
+                dims = raw.shape[1]
+                x = raw / np.abs(raw).max(axis=1, keepdims=True)  # cosine ignores length; squares stay finite
                 if dims not in planes:
                     planes[dims] = _planes(dims, opt)
                 bits = (x @ planes[dims] >= 0).reshape(len(at), opt.tables, opt.bits)
-                keys = (bits * weights).sum(axis=2).astype(np.uint16)
-                for n, i in enumerate(at):
+                keys = (bits * weights).sum(axis=2).astype(np.uint32)
+                for n, i in enumerate(at.tolist()):
                     vec[i], codes[i] = x[n].tobytes(), keys[n].tobytes()
-                    fp[i] = hashlib.blake2b(rows[i].tobytes(), digest_size=16).digest()
+                    fp[i] = hashlib.blake2b(raw[n].tobytes(), digest_size=16).digest()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(fp, pa.binary()), pa.array(vec, pa.binary()), pa.array(codes, pa.binary())],
                 names=["vec_id", "label", "fp", "vec", "codes"])
 
-    if opt.bits > 16:
-        raise ValueError("a key has at most 16 bits")
+    if opt.bits > 32:
+        raise ValueError("a key has at most 32 bits")
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"),
                           F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(
         run, "vec_id long, label string, fp binary, vec binary, codes binary")
 
 
+def _padded(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of packed doubles as a matrix, shorter ones filled up with zeros, and their lengths."""
+    dims = pc.binary_length(col).to_numpy() // 8
+    x = np.zeros((len(dims), dims.max()))
+    for d in np.unique(dims):
+        at = np.nonzero(dims == d)[0]
+        x[at, :d] = fixed_matrix(col.take(pa.array(at)) if len(at) < len(dims) else col, np.float64, int(d))
+    return x, dims
+
+
 def _compare(members: DataFrame, opt: SignHashOptions) -> DataFrame:
     """Per member and task: (id, links, root): vectors linked and one spanning link (id, root)."""
 
@@ -108,16 +128,12 @@ def _compare(members: DataFrame, opt: SignHashOptions) -> DataFrame:
             label = t.column("label").combine_chunks().dictionary_encode()
             label = (label.combine_chunks() if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy()
             tab, lo, hi = key[1], key[2], key[3]
-            raw = t.column("vec").to_pylist()
-            dims = np.array([len(v) // 8 for v in raw])
-            x = np.zeros((len(raw), dims.max()))
-            for n, v in enumerate(raw):
-                x[n, :dims[n]] = np.frombuffer(v)
-            codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), dtype=np.uint16).reshape(len(raw), opt.tables)
+            x, dims = _padded(t.column("vec"))
+            codes = fixed_matrix(t.column("codes"), np.uint32, opt.tables)
             norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-            links = np.zeros(len(raw), dtype=np.int64)
+            links = np.zeros(len(x), dtype=np.int64)
             ea, eb = [], []
-            for d in range(1, len(raw)):
+            for d in range(1, len(x)):
                 at = np.nonzero(group[:-d] == group[d:])[0]
                 if not len(at):
                     break
@@ -135,7 +151,7 @@ def _compare(members: DataFrame, opt: SignHashOptions) -> DataFrame:
                     ea.append(at)
                     eb.append(to)
             if ea:
-                root = forest_roots(len(raw), np.concatenate(ea), np.concatenate(eb))
+                root = forest_roots(len(x), np.concatenate(ea), np.concatenate(eb))
                 hit = np.nonzero(links)[0]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[hit]), pa.array(links[hit]), pa.array(ids[root[hit]])], names=["id", "links", "root"])
@@ -152,7 +168,7 @@ def near_vectors(vectors: DataFrame, opt: SignHashOptions = SignHashOptions()) -
     reps = (able.select(F.col("vec_id").alias("id"), "label", "fp", "vec", "codes").dropDuplicates(["id", "label", "fp"])
             .join(classes, ["id", "label", "fp"]).withColumn("cls", F.xxhash64("label", "fp")))
     # (table, key of the label and the table's code)
-    spelled = F.expr(f"transform(sequence(0, {opt.tables - 1}), t -> substring(codes, 2 * t + 1, 2))")
+    spelled = F.expr(f"transform(sequence(0, {opt.tables - 1}), t -> substring(codes, 4 * t + 1, 4))")
     spread = reps.select("id", "cls", "label", F.posexplode(spelled).alias("tab", "code")) \
         .select("id", "cls", "tab", F.xxhash64("label", "tab", "code").alias("bucket"))
     met = spread.groupBy("bucket", "tab").agg(F.count("*").alias("size")).where("size > 1")

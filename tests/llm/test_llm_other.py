@@ -66,6 +66,24 @@ def test_near_vectors_equal_brute_force(spark, chunk):
     assert max(n for n, _ in want.values()) > 20
 
 
+def test_near_vectors_recall_just_above_the_threshold(spark):
+    """11,000 vectors; 3,000 pairs planted between 0.98 and 0.99, 2,000 just below."""
+    rng = np.random.default_rng(17)
+    base = rng.normal(size=(6000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=(5000, 32))
+    other -= (other * base[:5000]).sum(axis=1, keepdims=True) * base[:5000]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    c = np.r_[rng.uniform(0.9801, 0.99, 3000), rng.uniform(0.97, 0.9799, 2000)][:, None]
+    x = np.r_[base, c * base[:5000] + np.sqrt(1 - c * c) * other] * rng.uniform(0.5, 2, (11000, 1))
+    label = np.r_[np.arange(6000) % 3, np.arange(5000) % 3]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])).sum(axis=1) - 1
+    rows = spark.createDataFrame([(i, v, int(la)) for i, (v, la) in enumerate(zip(x.tolist(), label))], VEC)
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_vectors(rows).collect()}
+    assert want.sum() >= 6000 and [got[i] for i in range(11000)] == want.tolist()
+
+
 def test_near_vectors_edge_rows(spark):
     rows = [(1, [1.0, 0.0], 3), (1, [1.0, 0.0], 3), (None, [1.0, 0.0], 3), (2, [1.0, 0.0], 4)]
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.near_vectors(spark.createDataFrame(rows, VEC)).collect()), key=repr)
