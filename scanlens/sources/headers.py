@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -46,7 +47,8 @@ def image_format(content: Column | str) -> Column:
         .when(F.startswith(h, F.lit("474946383761")) | F.startswith(h, F.lit("474946383961")), F.lit("gif"))
         .when(F.startswith(h, F.lit("52494646")) & (_byte_hex(h, 8, 4) == F.lit("57454250")), F.lit("webp"))
         .when(F.startswith(h, F.lit("FFD8")), F.lit("jpeg"))
-        .when(F.startswith(h, F.lit("49492A00")) | F.startswith(h, F.lit("4D4D002A")), F.lit("tiff"))
+        .when(F.startswith(h, F.lit("49492A00")) | F.startswith(h, F.lit("4D4D002A"))
+              | F.startswith(h, F.lit("49492B00")) | F.startswith(h, F.lit("4D4D002B")), F.lit("tiff"))
     )
 
 
@@ -155,38 +157,83 @@ def file_dimensions(files: DataFrame, path_col: str = "path") -> DataFrame:
 # ---------------------------------------------------------------- TIFF pages
 
 TIFF_PAGE_SCHEMA = "page int, width long, height long"
+# Tags of a page's width and height.
+_SIZE_TAGS = (256, 257)
+#: directory entries read at once, pages of a batch
+_ENTRIES, _PAGES = 512, 4096
+
+
+def tiff_directories(read: Callable[[int, int], bytes]) -> Iterator[tuple[int, int | None, int | None]]:
+    """(page, width, height) for each page directory, classic or 64-bit; a broken chain ends the walk.
+    ``read(offset, n)`` gives up to n bytes; nothing but the directories is read."""
+    head = read(0, 16)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if order is None or len(head) < 8:
+        return
+    # sizes of an offset, of a directory's entry count and of an entry
+    wide, counted, entry = (8, 8, 20) if head[2:4] == struct.pack(order + "H", 43) else (4, 2, 12)
+    number = {2: "H", 4: "I", 8: "Q"}
+
+    def value(b: bytes, n: int) -> int | None:
+        return struct.unpack(order + number[n], b[:n])[0] if len(b) >= n else None
+
+    at, seen, page = value(head[8:16] if wide == 8 else head[4:8], wide), set(), 0
+    while at and at not in seen:
+        seen.add(at)
+        n = value(read(at, counted), counted)
+        if n is None:
+            return
+        sizes: dict[int, int | None] = {}
+        for first in range(0, n, _ENTRIES):
+            block = read(at + counted + entry * first, entry * min(_ENTRIES, n - first))
+            for e in range(0, len(block) - entry + 1, entry):
+                tag, kind = struct.unpack(order + "HH", block[e:e + 4])
+                if tag in _SIZE_TAGS:
+                    sizes[tag] = value(block[e + 4 + wide:e + entry], {3: 2, 16: wide}.get(kind, 4))
+            if len(sizes) == 2 or len(block) < entry * min(_ENTRIES, n - first):
+                break
+        yield page, sizes.get(_SIZE_TAGS[0]), sizes.get(_SIZE_TAGS[1])
+        page += 1
+        at = value(read(at + counted + entry * n, wide), wide)
 
 
-def tiff_pages_of(b: bytes | None) -> list[tuple[int, int, int]]:
-    """(page, width, height) for each page directory; a broken chain ends the list."""
-    if not b or len(b) < 8:
-        return []
-    order = {b"II": "<", b"MM": ">"}.get(bytes(b[:2]))
-    if order is None:
-        return []
-    off = struct.unpack(order + "I", b[4:8])[0]
-    out = []
-    seen = set()
-    while off and off + 2 <= len(b) and off not in seen:
-        seen.add(off)
-        n = struct.unpack(order + "H", b[off : off + 2])[0]
-        w = h = None
-        for k in range(n):
-            e = off + 2 + 12 * k
-            if e + 12 > len(b):
-                break
-            tag, typ = struct.unpack(order + "HH", b[e : e + 4])
-            val = struct.unpack(order + ("H" if typ == 3 else "I"), b[e + 8 : e + 10] if typ == 3 else b[e + 8 : e + 12])[0]
-            if tag == 256:
-                w = val
-            elif tag == 257:
-                h = val
-        out.append((len(out), w, h))
-        nxt = off + 2 + 12 * n
-        if nxt + 4 > len(b):
-            break
-        off = struct.unpack(order + "I", b[nxt : nxt + 4])[0]
-    return out
+def tiff_pages_of(b: bytes | None) -> list[tuple[int, int | None, int | None]]:
+    """The page directories of a file held as bytes."""
+    return list(tiff_directories(lambda o, n: bytes(b[o:o + n]))) if b else []
+
+
+def tiff_file_pages(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """The columns of ``files`` and ``(page, width, height)``, one row per page of each file, by seeking in
+    the opened file from directory to directory: picture data is never read, so files of any size
+    do. Other files and unreadable ones have no rows."""
+    from .listing import filesystem
+
+    at = files.columns.index(path_col)
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields] + [TIFF_PAGE_SCHEMA])
+    names = [*files.columns, "page", "width", "height"]
+
+    def walk(path: str | None) -> Iterator[tuple[int, int | None, int | None]]:
+        if path is None:
+            return
+        try:
+            fs, inner = filesystem(path)
+            with fs.open_input_file(inner) as f:
+                size = f.size()
+                yield from tiff_directories(lambda o, n: f.read_at(min(n, size - o), o) if o < size else b"")
+        except OSError:
+            return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, path in enumerate(batch.column(at).to_pylist()):
+                pages = walk(path)
+                while some := list(islice(pages, _PAGES)):
+                    own = batch.take(pa.array([k] * len(some)))
+                    yield pa.RecordBatch.from_arrays(
+                        [*own.columns, pa.array([s[0] for s in some], pa.int32()), pa.array([s[1] for s in some], pa.int64()),
+                         pa.array([s[2] for s in some], pa.int64())], names=names)
+
+    return files.mapInArrow(run, ddl)
 
 
 def tiff_pages(df: DataFrame, key_cols: list[str], content_col: str = "content") -> DataFrame:

@@ -35,3 +35,52 @@ def test_jpeg_files_with_many_long_leading_segments(spark, tmp_path):
     assert {r.path: (r.width, r.height) for r in H.file_dimensions(files).collect()} == want
     blobs = spark.createDataFrame([(p, open(p, "rb").read()) for p in want], "path string, content binary")
     assert {r.path: (r.width, r.height) for r in H.dimensions(blobs).collect()} == want
+
+
+def tiff_file(pages, order="<", big=False, gap=0):
+    """A file of page directories with ``gap`` bytes of picture data before each (as a hole on disk)."""
+    wide, counted, entry = ("Q", "Q", "HHQ") if big else ("I", "H", "HHI")
+    mark = b"II" if order == "<" else b"MM"
+    head = mark + (struct.pack(order + "HHHQ", 43, 8, 0, 16 + gap) if big else struct.pack(order + "HI", 42, 8 + gap))
+    parts, at = [(0, head)], len(head) + gap
+    for k, (w, h) in enumerate(pages):
+        tags = [(254, 4, 0), (256, 3, w), (257, 16 if big else 4, h)]
+        body = struct.pack(order + counted, len(tags))
+        for tag, kind, v in tags:
+            size = {3: "H", 4: "I", 16: "Q"}[kind]
+            body += struct.pack(order + entry, tag, kind, 1) + struct.pack(order + size, v).ljust(struct.calcsize("=" + wide), b"\0")
+        end = at + len(body) + struct.calcsize("=" + wide)
+        body += struct.pack(order + wide, end + gap if k + 1 < len(pages) else 0)
+        parts.append((at, body))
+        at = end + gap
+    return parts
+
+
+def test_tiff_pages_by_ranged_reads(spark, tmp_path):
+    sizes = [(165, 67), (3000, 70000), (1, 2)]
+    want = {}
+    for order in "<>":
+        for big in (False, True):
+            for gap in (0, 700_000_000):
+                path = tmp_path / f"{'l' if order == '<' else 'b'}{big}{gap}.tif"
+                with open(path, "wb") as f:
+                    for at, body in tiff_file(sizes, order, big, gap):
+                        f.seek(at)
+                        f.write(body)
+                want[str(path)] = [(k, w, h) for k, (w, h) in enumerate(sizes)]
+                if not gap:
+                    assert H.tiff_pages_of(path.read_bytes()) == want[str(path)]
+    loop = bytearray(b"".join(body for _, body in tiff_file(sizes[:1])))
+    loop[-4:] = struct.pack("<I", 8)
+    cut = b"".join(body for _, body in tiff_file(sizes))[:60]
+    odd = {"loop.tif": (bytes(loop), [(0, 165, 67)]), "cut.tif": (cut, [(0, 165, 67), (1, None, None)]), "not.tif": (b"nothing", []), "none.tif": (b"", [])}
+    for name, (data, pages) in odd.items():
+        (tmp_path / name).write_bytes(data)
+        want[str(tmp_path / name)] = pages
+    want[str(tmp_path / "missing.tif")] = []
+    files = spark.createDataFrame([(7, p) for p in want] + [(7, None)], "k int, path string")
+    got = {p: [] for p in want}
+    for r in H.tiff_file_pages(files).orderBy("path", "page").collect():
+        assert r.k == 7
+        got[r.path].append((r.page, r.width, r.height))
+    assert got == want
