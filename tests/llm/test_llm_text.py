@@ -1,6 +1,7 @@
 """Text operators against brute force on small fixtures: near duplicates, language, lines, mixing."""
 
 import collections
+import math
 import re
 import zlib
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanlens.llm import language_id, line_dedup, minhash_dedup, quality, source_mix
+from scanlens.llm import common, language_id, line_dedup, minhash_dedup, quality, source_mix
 from scanlens.llm import queries as Q
 from scanlens.llm.components import components
 from scanlens.llm.subword import SubwordOptions, crc_mod
@@ -211,6 +212,61 @@ def test_quality_held_out_accuracy(spark):
     assert all(r.predicted == int(r.score >= 0.3) for r in rows)
 
 
+def plain_scores(model, text, fold, repeats):
+    """Label probabilities of one text by the rule: one dictionary look-up per word and byte n-gram, in plain integers."""
+    m64, seen = (1 << 64) - 1, {}
+
+    def mixed(x):
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & m64
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & m64
+        return x ^ x >> 32
+
+    def poly(b):
+        return sum((byte + 1) * pow(common._BASE, k, 1 << 64) for k, byte in enumerate(b)) & m64
+
+    def gram_bucket(g):
+        if g not in seen:
+            h = poly(g)
+            h = (h ^ h >> 29) * (0xD6E8FEB86659FD93 + 2 * len(g)) & m64
+            seen[g] = (h >> 33) % model.options.buckets
+        return seen[g]
+
+    data = (text or "").translate(LOWER if fold else {}).encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    found = [mixed(mixed((poly(w) + len(w) * int(common._ODD)) & m64) + 1 & m64) % model.options.buckets for w in words]
+    if repeats:
+        found += [mixed(int(k > 0 and words[k] == words[k - 1]) + 0x5EED) % model.options.buckets for k in range(len(words))]
+    for n in model.options.grams:
+        found += [gram_bucket(data[k:k + n]) for k in range(len(data) - n + 1)]
+    z = [sum(float(row[b]) for b in found) / max(1, len(found)) + float(bias) for row, bias in zip(model.table, model.bias)]
+    e = [math.exp((v - max(z)) / model.temperature) for v in z]
+    return [v / sum(e) for v in e]
+
+
+def test_predictions_equal_a_plain_scorer(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    odd = ["", None, " ", "a", "ab", "Ab AB ab ab", "\u00df\u20ac\U0001f600 x", "x" * 3000, "the the the " * 50]
+    texts = [r.text for r in docs.orderBy("doc_id").collect() if r.text is not None and len(r.text) < 4000][:60] + odd
+    probe = docs_of(spark, list(enumerate(texts)))
+    lang = language_id.train(docs, crc_mod(F.col("doc_id"), 3) != 1)
+    got = {r.doc_id: r for r in language_id.predict(probe, lang, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        p = plain_scores(lang, t, True, False)
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        assert got[i].score == pytest.approx(max(p), abs=1e-6)
+        if sorted(p)[-1] - sorted(p)[-2] > 1e-6:
+            assert got[i].lang_pred == lang.labels[p.index(max(p))]
+    good = quality.train(docs, labels, crc_mod(F.col("doc_id"), 5) != 0)
+    for r in quality.score(probe, good, ["doc_id"]).collect():
+        want = plain_scores(good, texts[r.doc_id], False, True)[good.labels.index("1")]
+        assert r.score == pytest.approx(want, abs=1e-6) and r.predicted == int(r.score >= 0.3)
+
+
 def test_quality_edge_rows(spark):
     docs = docs_of(spark, [(i, ("good plain words here " if i % 2 else "BAD!! WORDS!! ") * 6) for i in range(40)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, quality int")
