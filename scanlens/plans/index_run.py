@@ -37,6 +37,8 @@ class IndexOptions:
     files_per_task: int = 32
     #: time limit of one file; with it engines run in processes of their own, None runs them in the task's
     seconds_per_file: float | None = 600.0
+    #: folder in which walks keep what they saw, so that unchanged folders are not opened again (``listing.walk``)
+    walk_memory: str | None = None
 
 
 @dataclass
@@ -56,7 +58,7 @@ def index_folder(spark: SparkSession, root: str, store: ST.IndexStore, make_engi
     if o.known_options is not None and o.engine_options:
         R.check_options(spark, o.engine_options, o.known_options)
     current = store.current()
-    listed = LS.list_files(spark, root, recursive=o.subdirs, exclude=o.exclude, limit=o.limit)
+    listed = LS.list_files(spark, root, recursive=o.subdirs, exclude=o.exclude, limit=o.limit, memory=o.walk_memory)
     todo = ST.changed_files(listed, current, rescan=o.rescan).select("path", "modtime")
     todo = LS.spread(todo, o.files_per_task)
     if o.max_size:

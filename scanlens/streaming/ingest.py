@@ -44,10 +44,11 @@ def _finish(rows: DataFrame, run: Callable[[DataFrame, int], None], checkpoint:
 SPOOL_SCHEMA = "path string, modtime long"
 
 
-def publish_changes(spark: SparkSession, root: str, store: ST.IndexStore, spool: str, per_file: int, exclude: list[str] | None = None) -> int:
+def publish_changes(spark: SparkSession, root: str, store: ST.IndexStore, spool: str, per_file: int, exclude: list[str] | None = None,
+                    memory: str | None = None) -> int:
     """Append the files under ``root`` that neither the index nor the spool has with their modtime to the
-    spool, ``per_file`` paths a file; returns their number."""
-    listed = LS.list_files(spark, root, exclude=exclude).select("path", "modtime")
+    spool, ``per_file`` paths a file; returns their number. ``memory`` as in ``listing.walk``."""
+    listed = LS.list_files(spark, root, exclude=exclude, memory=memory).select("path", "modtime")
     todo = ST.changed_files(listed, store.current()).select("path", "modtime")
     fs, p = store._fs(spool)
     if fs.exists(p):
@@ -62,12 +63,12 @@ def publish_changes(spark: SparkSession, root: str, store: ST.IndexStore, spool:
 
 def ingest_files(spark: SparkSession, root: str, store: ST.IndexStore, make_engine, options: dict | None = None,
                  checkpoint: str | None = None, max_files_per_trigger: int = 900, files_per_task: int = 32,
-                 exclude: list[str] | None = None, seconds_per_file: float | None = 600.0):
+                 exclude: list[str] | None = None, seconds_per_file: float | None = 600.0, walk_memory: str | None = None):
     """Run the image files under ``root`` into ``store``, at most ``max_files_per_trigger`` per commit.
     Failed files are appended to ``<store>/failures`` (path, modtime, error)."""
     checkpoint = checkpoint or f"{store.base.rstrip('/')}/ingest"
     spool = f"{checkpoint.rstrip('/')}-spool"
-    publish_changes(spark, root, store, spool, max_files_per_trigger, exclude)
+    publish_changes(spark, root, store, spool, max_files_per_trigger, exclude, walk_memory)
     fs, p = store._fs(spool)
     if not fs.exists(p):
         return None  # nothing was ever found
