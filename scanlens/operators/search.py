@@ -361,7 +361,7 @@ def search_stored(store, query, kind: str = "simple", root: str | None = None, p
     if ranked:
         phrases = term.phrases()
         usable = list(dict.fromkeys(p for p in phrases if len(p) >= MIN_PHRASE))
-        hits, dfs = _stored_hits(store, term, phrases, usable, version)
+        hits, total, dfs = _stored_hits(store, term, phrases, usable, version)
         n_rows, avg_dl = store.corpus_size()
         tfs = [F.col(f"tf_{usable.index(p)}") if p in usable else F.lit(0) for p in phrases]
         df = [F.lit(dfs[usable.index(p)] if p in usable else 0) for p in phrases]
@@ -373,7 +373,7 @@ def search_stored(store, query, kind: str = "simple", root: str | None = None, p
         elif limit is None:
             rows = store.rows_of(hits.select("id", rank.alias("rank")), named, version)
         else:
-            rows = _best_first(store, hits.select("id", rank.alias("rank")), wanted, bool(root or exclude), limit, version)
+            rows = _best_first(store, hits.select("id", rank.alias("rank")), total, wanted, bool(root or exclude), limit, version)
     else:
         condition = _pattern_condition(term, kind)
         ids = None if condition is None else _condition_ids(store.positions(version, _strings(condition)), condition)
@@ -392,15 +392,14 @@ def search_stored(store, query, kind: str = "simple", root: str | None = None, p
     return with_snippet_column(texts, live).drop("content").orderBy(*order).select("snippet", "path", "modtime", "rank")
 
 
-def _best_first(store, scored: DataFrame, wanted: Column, scoped: bool, limit: int, version: int | None) -> DataFrame:
+def _best_first(store, scored: DataFrame, total: int, wanted: Column, scoped: bool, limit: int, version: int | None) -> DataFrame:
     """Rows (id, path, modtime, rank) among which are the best ``limit`` rows in scope and all ties of the last.
 
-    ``scored`` has every hit with its exact rank, so the rank of a row bounds what its block can still
+    ``scored`` has all ``total`` hits with their exact ranks, so the rank of a row bounds what its block can still
     give: a wave reads the blocks of the best hits only, and where the scope leaves too few of them, the
     next one goes on with eight times as many.
     """
     n = max(limit, 1)
-    total = scored.count()
     while n < total:
         worst = scored.orderBy("rank").limit(n).agg(F.max("rank")).first()[0]
         rows = store.rows_of(scored.where(F.col("rank") <= worst), ["id", "path", "modtime", "rank"], version)
@@ -410,10 +409,10 @@ def _best_first(store, scored: DataFrame, wanted: Column, scoped: bool, limit: i
     return store.rows_of(scored, ["id", "path", "modtime", "rank"], version)
 
 
-def _stored_hits(store, term: Term, phrases: list[str], usable: list[str], version: int | None) -> tuple[DataFrame, list[int]]:
-    """(id, dl, tf_0, ...) of the rows that satisfy a term, written once, and the rows per usable phrase."""
+def _stored_hits(store, term: Term, phrases: list[str], usable: list[str], version: int | None) -> tuple[DataFrame, int, list[int]]:
+    """(id, dl, tf_0, ...) of the rows that satisfy a term, written once, their number, and the rows per usable phrase."""
     if not usable:
-        return store.spark.createDataFrame([], "id long"), []
+        return store.spark.createDataFrame([], "id long"), 0, []
     places = grams.phrase_places(store.positions(version, usable), usable)
     none = F.array().cast("array<int>")
 
@@ -423,10 +422,10 @@ def _stored_hits(store, term: Term, phrases: list[str], usable: list[str], versi
 
     counted = places.select("id", "dl", bound(F.struct(*places.columns[2:]), judged).alias("x")).select("id", "dl", "x.*")
     obs = Observation()
-    watched = counted.observe(obs, *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(usable))])
+    watched = counted.observe(obs, F.count_if("wanted").alias("hits"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(usable))])
     hits = _kept(watched.where("wanted").drop("wanted"), "hits")
     got = obs.get
-    return hits, [got[f"df_{i}"] for i in range(len(usable))]
+    return hits, got["hits"], [got[f"df_{i}"] for i in range(len(usable))]
 
 
 def result_lines(results: DataFrame) -> DataFrame:

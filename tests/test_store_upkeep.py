@@ -281,3 +281,31 @@ def test_segments_without_lengths_are_ranked_from_their_rows(spark, tmp_path, mo
     want = [tuple(r) for r in search_index(store, "needle", limit=5, with_snippet=False).collect()]
     monkeypatch.setattr(ST.IndexStore, "has_lengths", lambda self, version=None: False)
     assert [tuple(r) for r in search_index(store, "needle", limit=5, with_snippet=False).collect()] == want
+
+
+def test_lookups_open_partitions_by_name(spark, tmp_path, monkeypatch):
+    store = ST.IndexStore(spark, str(tmp_path / "s"), block_rows=2)
+    rows = [(f"/p/{i}.png", 1, f"common words {i:04d}") for i in range(7)]
+    store.commit_delta(spark.createDataFrame(rows, "path string, modtime long, content string"))
+    # the second segment has rows in the blocks of replaced and of new ids only
+    store.commit_delta(spark.createDataFrame([("/p/2.png", 2, "changed words"), ("/p/7.png", 2, "more words")], "path string, modtime long, content string"))
+    ids = {r.path: r.id for r in store.current().collect()}
+    asked = spark.createDataFrame([(ids["/p/2.png"],), (ids["/p/5.png"],)], "id long")
+
+    def go():
+        got = store.rows_of(asked, ["path", "modtime", "content"])
+        return sorted(map(tuple, got.collect())), got.inputFiles()
+
+    found, files = go()
+    assert found == [("/p/2.png", 2, "changed words"), ("/p/5.png", 1, "common words 0005")]
+    opened = {c.segment: {int(f.split("block=")[1].split("/")[0]) for f in files if f"/{c.segment}/rows/" in f} for c in store.state().live}
+    first, second = store.state().live
+    wanted = [ids["/p/2.png"], ids["/p/5.png"]]
+    assert opened[first.segment] == {i // first.width for i in wanted} and len(opened[first.segment]) == 2
+    assert opened[second.segment] <= {i // second.width for i in wanted}
+    lists = store.positions(None, ["changed"])
+    assert sorted({r.gram for r in lists.collect()}) == sorted(["cha", "han", "ang", "nge", "ged"])
+    assert store.positions(None, ["zzzz"]).count() == 0
+    monkeypatch.setattr(ST, "FOLDERS", 0)  # more partitions than that: the table's folders are listed
+    assert go()[0] == found and store.positions(None, ["changed"]).count() == lists.count()
+    assert store.rows_of(asked.where("id < 0"), ["path"]).count() == 0
