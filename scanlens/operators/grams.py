@@ -3,7 +3,7 @@
 Postings are ``(gram, id, tf)``, in a store with ``dl``, the row's length, and ``pos``, the gram's places in
 the text. With them phrases, proximity and ranking need neither texts nor rows: the places of a phrase are those of a few grams that
 cover it, shifted and intersected. A row's grams are all in one task, so the one shuffle carries
-postings, not grams. Files are dealt by a hash of the gram and sorted by (gram, id), so a lookup prunes
+postings, not grams, packed as one list per gram and block of texts; files hold them in that form. Files are dealt by a hash of the gram and sorted by (gram, id), so a lookup prunes
 directories by bucket and pages by gram.
 """
 
@@ -20,25 +20,27 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import bound, running_sums
 from ..functions.predicates import MIN_PHRASE
-from ..functions.text import fold, fold_text, gram_array, token_count
+from ..functions.text import fold, fold_text, token_count
 
 #: code points handled at once, grams behind one bucket of postings, rows of a list that one task sorts
-BLOCK_CHARS, FILE_GRAMS, LIST_ROWS = 2_000_000, 16_000_000, 16_000_000
+BLOCK_CHARS, FILE_GRAMS, LIST_ROWS = 1 << 20, 16_000_000, 16_000_000
+PACKED = ["gram", "first", "ids", "tfs", "dls", "pos"]
+PACKED_SCHEMA = "gram string, first long, ids binary, tfs binary, dls binary, pos binary"
 
 
-def _grams(index: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    folded = index.select(F.col(id_col).alias("id"), fold(content_col).alias("f"))
-    return folded.select("id", gram_array("f").alias("g"))
+def _folded(index: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    return index.select(F.col(id_col).alias("id"), fold(content_col).alias("f"))
 
 
 def postings(index: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
-    """``(gram, id, tf)`` for every row of the index.
+    """``(gram, id, tf)`` for every id of the index; the counts of rows that share an id (or have none) are added.
 
-    Every gram of a row is in the same task, so the partial aggregation already holds the final
-    count per (gram, id) and the shuffle carries only the postings, not the grams.
+    Texts are shuffled once, by id, and counted in tasks with numpy, an id's rows one after the other; grams and
+    postings are never shuffled.
     """
-    g = _grams(index, id_col, content_col).select("id", F.explode("g").alias("gram"))
-    return g.groupBy("gram", "id").agg(F.count("*").cast("int").alias("tf"))
+    folded = _folded(index, id_col, content_col)
+    kind = folded.schema["id"].dataType.simpleString()
+    return folded.repartition("id").sortWithinPartitions("id").mapInArrow(_counts, f"gram string, id {kind}, tf int")
 
 
 def doc_stats(index: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
@@ -73,8 +75,8 @@ def candidates(post: DataFrame, text: str, lead: int = 3) -> DataFrame:
     return hit.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("id")
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, folded text) -> (gram, id, tf, dl, pos): numpy over the code points of a block of rows."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(id, folded text) -> ids, sizes and code points of blocks of about ``BLOCK_CHARS``, whatever a batch holds."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy().astype(np.int64)
@@ -82,54 +84,178 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = 0
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK_CHARS, side="right")))
-            points = np.frombuffer("".join(t or "" for t in texts.slice(i, j - i).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
-            yield from _block_positions(ids.slice(i, j - i).to_numpy(), sizes[i:j], points)
+            points = np.frombuffer("".join(t or "" for t in texts.slice(i, j - i).to_pylist()).encode("utf-32-le"), np.uint32)
+            yield ids.slice(i, j - i), sizes[i:j], points
             i = j
 
 
-def _block_positions(ids: np.ndarray, sizes: np.ndarray, points: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One sort of integers that hold (row, gram, place) brings equal grams of a row together in order."""
-    if len(points) < 3:
-        return
-    row = np.repeat(np.arange(len(ids)), sizes)
-    at = np.nonzero(row[2:] == row[:-2])[0]  # grams do not cross rows
-    if not len(at):
-        return
+def _lists(row: np.ndarray, rows: int, place: np.ndarray, most: int, points: np.ndarray, at: np.ndarray):
+    """The grams that start at ``at``, by gram, row and place: names of the distinct grams, ends of their lists, and per list entry
+    its row and the start of its places, which come last. One sort of integers that hold (gram, row, place)."""
     # grams as numbers in the block's own alphabet
     alphabet = np.nonzero(np.bincount(points))[0]
     letter = np.zeros(int(alphabet[-1]) + 1, np.int64)
     letter[alphabet] = np.arange(len(alphabet))
     coded, base = letter[points], len(alphabet)
-    gram = (coded[at] * base + coded[at + 1]) * base + coded[at + 2]
-    grams = np.arange(base ** 3)
-    if base ** 3 > len(at):
-        grams, gram = np.unique(gram, return_inverse=True)
-    place_bits = int(sizes.max()).bit_length()
-    place = at - (np.cumsum(sizes) - sizes)[row[at]]
-    packed = ((row[at] * len(grams) + gram) << place_bits) | place  # at most 2 * 22 + 22 bits: a block has few rows or short ones
+    packed = (coded[at] * base + coded[at + 1]) * base + coded[at + 2]
+    del coded
+    place_bits = most.bit_length()
+    grams = None
+    if (base ** 3 * rows).bit_length() + place_bits > 62:
+        grams, packed = np.unique(packed, return_inverse=True)  # at most 2 * 20 + 22 bits: a block has few rows or short ones
+    packed = ((packed * rows + row) << place_bits) | place
     packed.sort()
-    place, key = packed & ((1 << place_bits) - 1), packed >> place_bits
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
+    place = packed & ((1 << place_bits) - 1)
+    packed >>= place_bits
+    first = np.ones(len(packed), bool)
+    first[1:] = packed[1:] != packed[:-1]
     starts = np.nonzero(first)[0]
-    steps = place.copy()
-    steps[1:] -= place[:-1]
-    steps[starts] = place[starts]
-    doc, which = np.divmod(key[starts], len(grams))
-    used, which = np.unique(which, return_inverse=True)
-    digits = [alphabet[grams[used] // base ** 2], alphabet[grams[used] // base % base], alphabet[grams[used] % base]]
+    which, entry_row = np.divmod(packed[starts], rows)
+    heads = np.nonzero(np.r_[True, which[1:] != which[:-1]])[0]
+    which = which[heads] if grams is None else grams[which[heads]]
+    digits = [alphabet[which // base ** 2], alphabet[which // base % base], alphabet[which % base]]
     names = pa.array([chr(x) + chr(y) + chr(z) for x, y, z in zip(*(d.tolist() for d in digits))], pa.string())
-    offsets = np.append(starts, len(key)).astype(np.int32)
-    table = pa.table([names.take(pa.array(which)), pa.array(ids[doc]), pa.array(np.diff(offsets)), pa.array((sizes[doc] - 2).astype(np.int32)),
-                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(steps.astype(np.int32)))], names=["gram", "id", "tf", "dl", "pos"])
-    yield from table.to_batches(max_chunksize=50_000)
+    return names, np.append(heads, len(starts)), entry_row, starts, place
+
+
+def _varints(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Numbers in seven bits a byte, the last byte of each below 128; one binary value per part between two ``cuts``."""
+    v = values.astype(np.uint64)
+    size = np.ones(len(v), np.int32)
+    for k in range(7, 64, 7):
+        more = v >= np.uint64(1 << k)
+        if not more.any():
+            break
+        size += more
+    ends = np.cumsum(size, dtype=np.int64)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(size.max(initial=0))):
+        some = np.nonzero(size > k)[0]
+        out[ends[some] - size[some] + k] = (v[some] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | ((size[some] > k + 1) * 128).astype(np.uint8)
+    offsets = np.append(0, ends)[cuts].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all binary values of a column as int64, and where each value's begin (one more than values)."""
+    parts = column.to_pylist()
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.nonzero(raw < 128)[0]
+    starts = np.append(0, ends[:-1] + 1) if len(ends) else ends
+    size = ends - starts + 1
+    out = np.zeros(len(ends), np.uint64)
+    for k in range(int(size.max(initial=0))):
+        some = np.nonzero(size > k)[0]
+        out[some] |= (raw[starts[some] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
+    return out.astype(np.int64), np.searchsorted(ends, np.cumsum([0, *map(len, parts)]))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, folded text) -> (gram, first, ids, tfs, dls, pos): per block of rows one list of each gram."""
+    for ids, sizes, points in _blocks(batches):
+        if ids.null_count:
+            raise ValueError("a row without an id cannot be indexed")
+        row = np.repeat(np.arange(len(ids)), sizes)
+        at = np.nonzero(row[2:] == row[:-2])[0]  # grams do not cross rows
+        if not len(at):
+            continue
+        place = at - (np.cumsum(sizes) - sizes)[row[at]]
+        names, heads, entry_row, starts, place = _lists(row[at], len(ids), place, int(sizes.max()), points, at)
+        steps = place.copy()
+        steps[1:] -= place[:-1]
+        steps[starts] = place[starts]
+        offsets = np.append(starts, len(place))
+        ident = ids.to_numpy()[entry_row]
+        gap = np.diff(ident, prepend=0)
+        gap[heads[:-1]] = 0
+        columns = [names, pa.array(ident[heads[:-1]]), _varints(gap << 1 ^ gap >> 63, heads), _varints(np.diff(offsets), heads),
+                   _varints(sizes[entry_row] - 2, heads), _varints(steps, offsets[heads])]
+        del row, at, place, steps, starts, offsets, entry_row, points, ident, gap
+        yield from pa.table(columns, names=PACKED).to_batches(max_chunksize=2_000)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed lists, with places or without, -> (gram, id, tf, dl[, pos])."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 500):
+            batch = whole.slice(i, 500)
+            gap, cuts = _numbers(batch.column("ids"))
+            many, gap = np.diff(cuts), gap >> 1 ^ -(gap & 1)  # the gap before the first id is 0
+            run = np.cumsum(gap)
+            ident = run + np.repeat(batch.column("first").to_numpy() - run[cuts[:-1]], many)
+            tf = _numbers(batch.column("tfs"))[0]
+            columns = [batch.column("gram").take(pa.array(np.repeat(np.arange(batch.num_rows), many))), pa.array(ident),
+                       pa.array(tf.astype(np.int32)), pa.array(_numbers(batch.column("dls"))[0].astype(np.int32))]
+            if "pos" in batch.schema.names:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf)).astype(np.int32)),
+                                                        pa.array(_numbers(batch.column("pos"))[0].astype(np.int32))))
+            yield from pa.table(columns, names=["gram", "id", "tf", "dl", "pos"][:len(columns)]).to_batches(max_chunksize=20_000)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, folded text) in order of id -> (gram, id, tf). The last id of a block is kept until another one comes."""
+    kept, kept_id = [], None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        t = pa.concat_tables(kept)
+        if len(kept) > 1:
+            t = t.group_by("gram").aggregate([("tf", "sum")]).select(["gram", "tf_sum"]).rename_columns(["gram", "tf"])
+        many = pa.array([kept_id] * t.num_rows, kind)
+        yield from pa.table([t["gram"], many, t["tf"].cast(pa.int32())], names=["gram", "id", "tf"]).combine_chunks().to_batches(max_chunksize=50_000)
+
+    for ids, sizes, points in _blocks(batches):
+        kind = ids.type
+        code = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        group = np.cumsum(np.r_[0, code[1:] != code[:-1]])
+        last = int(group[-1])
+        row = np.repeat(np.arange(len(ids)), sizes)
+        at = np.nonzero(row[2:] == row[:-2])[0]
+        if len(at):
+            names, heads, entry, starts, _ = _lists(group[row[at]], last + 1, np.zeros(len(at), np.int64), 0, points, at)
+            tf = np.diff(np.append(starts, len(at)))
+            which = np.repeat(np.arange(len(names)), np.diff(heads))
+        else:
+            names, entry, tf, which = pa.array([], pa.string()), *[np.zeros(0, np.int64)] * 3
+        part = lambda pick: pa.table([names.take(pa.array(which[pick])), pa.array(tf[pick], pa.int64())], names=["gram", "tf"])
+        if kept and ids[0].as_py() != kept_id:
+            yield from flush()
+            kept = []
+        if kept:  # the same id goes on
+            kept.append(part(entry == 0))
+            if len(kept) > 64:
+                kept = [pa.concat_tables(kept).group_by("gram").aggregate([("tf", "sum")]).select(["gram", "tf_sum"]).rename_columns(["gram", "tf"])]
+            if last:
+                yield from flush()
+                kept = []
+            done = (entry > 0) & (entry < last)
+        else:
+            done = entry < last
+        if last or not kept:
+            kept, kept_id = [part(entry == last)], ids[-1].as_py()
+        firsts = np.nonzero(np.r_[True, group[1:] != group[:-1]])[0]
+        table = pa.table([names.take(pa.array(which[done])), ids.take(pa.array(firsts[entry[done]])), pa.array(tf[done].astype(np.int32))], names=["gram", "id", "tf"])
+        yield from table.to_batches(max_chunksize=50_000)
+    if kept:
+        yield from flush()
+
+
+def packed_positional(index: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
+    """The postings of ``positional`` as one row per gram and block of texts: ``first`` id, and as packed numbers the gaps between
+    the ids, ``tfs`` and ``dls`` of each, and ``pos``, the places of all one after the other. No shuffle."""
+    folded = _folded(index.withColumn(id_col, F.col(id_col).cast("long")), id_col, content_col)
+    return folded.mapInArrow(_packed, PACKED_SCHEMA)
+
+
+def unpacked(packed: DataFrame, with_pos: bool = True) -> DataFrame:
+    """``(gram, id, tf, dl, pos)`` of packed postings, or ``(gram, id, tf, dl)`` (then no places are read). Filter by gram before."""
+    columns = PACKED if with_pos else PACKED[:-1]
+    return packed.select(*columns).mapInArrow(_entries, "gram string, id long, tf int, dl int" + ", pos array<int>" * with_pos)
 
 
 def positional(index: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
     """``(gram, id, tf, dl, pos)``: postings with the row's length in trigram tokens and the places of the gram
     in the text (0-based code points, each as the distance from the one before, the first from 0). No shuffle."""
-    folded = index.select(F.col(id_col).cast("long").alias("id"), fold(content_col).alias("f"))
-    return folded.mapInArrow(_positions, "gram string, id long, tf int, dl int, pos array<int>")
+    return unpacked(packed_positional(index, id_col, content_col))
 
 
 def cover(text: str) -> list[tuple[int, str]]:
@@ -178,16 +304,17 @@ def bucket_number(gram: str, buckets: int) -> int:
     return zlib.crc32(gram.encode()) % buckets
 
 
-def write_postings(post: DataFrame, path: str, length: int, rows: int) -> int:
-    """Files by ``bucket``, a hash of the gram, sorted by (gram, id); returns the number of buckets.
-    ``length`` is the number of grams in the texts. A bucket is split by id where the list of one
-    gram could get long, so a hot gram is the work of several tasks."""
-    most = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def write_postings(packed: DataFrame, path: str, length: int, rows: int) -> int:
+    """Files by ``bucket``, a hash of the gram, sorted by gram and first id of a list; returns the number of buckets.
+    ``length`` is the number of grams in the texts. Lists stay packed, so what is shuffled and sorted is a row per gram
+    and block of texts, not one per gram and text. A bucket is split by id where the list of one
+    gram could get long, so a hot gram is the work of several tasks; every bucket goes to tasks of its own."""
+    most = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, -(-length // FILE_GRAMS), min(most, -(-length // 1_000_000)))
-    slices = -(-rows // LIST_ROWS)
-    dealt = post.withColumn("bucket", bucket_of(F.col("gram"), buckets))
-    dealt = dealt.repartition(buckets, "bucket") if slices < 2 else dealt.repartition(buckets * slices, "bucket", F.pmod("id", F.lit(slices)))
-    dealt.sortWithinPartitions("bucket", "gram", "id").write.partitionBy("bucket").parquet(path)
+    slices = max(1, -(-rows // LIST_ROWS))
+    dealt = packed.withColumn("bucket", bucket_of(F.col("gram"), buckets))
+    dealt = dealt.repartitionById(buckets * slices, (F.col("bucket") * slices + F.pmod("first", F.lit(slices))).cast("int"))
+    dealt.sortWithinPartitions("bucket", "gram", "first").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     return buckets
 
 
@@ -195,6 +322,6 @@ def build_index_tables(index: DataFrame, base: str) -> tuple[str, str]:
     """Write ``postings`` and ``doc_stats`` of an index that is not in a store; returns both paths."""
     post_path, stats_path = f"{base.rstrip('/')}/postings", f"{base.rstrip('/')}/doc_stats"
     rows, length = index.agg(F.count("*"), F.coalesce(F.sum(token_count("content").cast("long")), F.lit(0))).first()
-    write_postings(positional(index), post_path, length, rows)
+    write_postings(packed_positional(index), post_path, length, rows)
     doc_stats(index).write.parquet(stats_path)
     return post_path, stats_path
