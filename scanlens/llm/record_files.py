@@ -192,14 +192,14 @@ class PieceEncoder:
             tail = p[-1:]
             (joined if "!" <= tail <= "~" or tail.isalnum() else alone).append(p)
         for i in range(0, len(joined), 64 * 64):
-            groups = [joined[j:j + 64] for j in range(i, min(i + 64 * 64, len(joined)), 64)]
-            for g, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-                ids = np.array(e.ids, self.dtype)
-                ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) + 1 for p in g])) + 1
-                raw, at = ids.tobytes(), 0
-                for p, end in zip(g, (ends * self.width).tolist()):
-                    self.known[p] = raw[at:end]
-                    at = end
+            some = joined[i:i + 64 * 64]
+            found = self.tok.encode_batch_fast([" " + " ".join(some[j:j + 64]) for j in range(0, len(some), 64)], add_special_tokens=False)
+            # the groups one after the other: a piece ends where the bytes of the tokens reach its own and its space's
+            ids = np.concatenate([np.array(e.ids, self.dtype) for e in found])
+            reach = np.cumsum(pc.binary_length(pa.array(some)).to_numpy().astype(np.int64) + 1)
+            cuts = ((np.searchsorted(np.cumsum(self.bytes[ids]), reach) + 1) * self.width).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
         self.known.update(zip(alone, self._alone([" " + p for p in alone])))
 
     def _find(self, pieces: list[str]) -> list[bytes]:
@@ -209,10 +209,12 @@ class PieceEncoder:
         found = list(map(self.known.get, pieces))
         absent = [k for k, v in enumerate(found) if v is None]
         if absent:
-            names = [pieces[k] for k in absent]
-            older = list(map(self.older.get, names))
-            self.known.update((p, v) for p, v in zip(names, older) if v is not None)
-            self._learn([p for p, v in zip(names, older) if v is None])
+            names = new = list(map(pieces.__getitem__, absent))
+            if self.older:
+                older = list(map(self.older.get, names))
+                self.known.update((p, v) for p, v in zip(names, older) if v is not None)
+                new = [p for p, v in zip(names, older) if v is None]
+            self._learn(new)
             for k, v in zip(absent, map(self.known.__getitem__, names)):
                 found[k] = v
         return found
