@@ -75,6 +75,8 @@ def ingest_files(spark: SparkSession, root: str, store: ST.IndexStore, make_engi
     files = spark.readStream.schema(SPOOL_SCHEMA).option("maxFilesPerTrigger", 1).parquet(spool)
 
     def run(batch: DataFrame, epoch_id: int) -> None:
+        if batch.isEmpty():  # a spool file of a task that had no paths
+            return
         # a batch that runs again after a crash leaves out what it has committed
         todo = LS.spread(ST.changed_files(batch, store.current()).select("path", "modtime"), files_per_task)
         checkpoint_dir(spark)
