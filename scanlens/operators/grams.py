@@ -2,8 +2,8 @@
 
 Postings are ``(gram, id, tf)``, in a store with ``dl``, the row's length, and ``pos``, the gram's places in
 the text. With them phrases, proximity and ranking need neither texts nor rows: the places of a phrase are those of a few grams that
-cover it, shifted and intersected. A row's grams are all in one task, so the one shuffle carries
-postings, not grams, packed as one list per gram and block of texts; files hold them in that form. Files are dealt by a hash of the gram and sorted by (gram, id), so a lookup prunes
+cover it, shifted and intersected. A row's grams are all in one task, which packs them as one list per gram and block of texts and writes
+them in that form, without a shuffle. A task's files are dealt by a hash of the gram and sorted by (gram, id), so a lookup prunes
 directories by bucket and pages by gram.
 """
 
@@ -22,8 +22,10 @@ from ..functions.arrays import bound, running_sums
 from ..functions.predicates import MIN_PHRASE
 from ..functions.text import fold, fold_text, token_count
 
-#: code points handled at once, grams behind one bucket of postings, rows of a list that one task sorts
-BLOCK_CHARS, FILE_GRAMS, LIST_ROWS = 1 << 20, 16_000_000, 16_000_000
+#: code points handled at once, bytes of packed lists unpacked at once, grams behind one file of postings
+BLOCK_CHARS, LIST_BYTES, FILE_GRAMS = 1 << 20, 1 << 19, 16_000_000
+#: most buckets of a table of postings
+BUCKETS = 8
 PACKED = ["gram", "first", "ids", "tfs", "dls", "pos"]
 PACKED_SCHEMA = "gram string, first long, ids binary, tfs binary, dls binary, pos binary"
 
@@ -177,8 +179,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed lists, with places or without, -> (gram, id, tf, dl[, pos])."""
     for whole in batches:
-        for i in range(0, whole.num_rows, 500):
-            batch = whole.slice(i, 500)
+        binaries = [c for c in PACKED[2:] if c in whole.schema.names]
+        ends = np.cumsum(sum(pc.binary_length(whole.column(c)).to_numpy().astype(np.int64) for c in binaries)) if whole.num_rows else []
+        i = 0
+        while i < whole.num_rows:
+            # lists of one gram can be long: as many as fit LIST_BYTES, at least one
+            n = max(1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + LIST_BYTES, side="right")) - i)
+            batch, i = whole.slice(i, n), i + n
             gap, cuts = _numbers(batch.column("ids"))
             many, gap = np.diff(cuts), gap >> 1 ^ -(gap & 1)  # the gap before the first id is 0
             run = np.cumsum(gap)
@@ -304,16 +311,13 @@ def bucket_number(gram: str, buckets: int) -> int:
     return zlib.crc32(gram.encode()) % buckets
 
 
-def write_postings(packed: DataFrame, path: str, length: int, rows: int) -> int:
+def write_postings(packed: DataFrame, path: str, length: int) -> int:
     """Files by ``bucket``, a hash of the gram, sorted by gram and first id of a list; returns the number of buckets.
-    ``length`` is the number of grams in the texts. Lists stay packed, so what is shuffled and sorted is a row per gram
-    and block of texts, not one per gram and text. A bucket is split by id where the list of one
-    gram could get long, so a hot gram is the work of several tasks; every bucket goes to tasks of its own."""
-    most = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, -(-length // FILE_GRAMS), min(most, -(-length // 1_000_000)))
-    slices = max(1, -(-rows // LIST_ROWS))
+    ``length`` is the number of grams in the texts. Lists are several times as large as their texts, so they are not
+    shuffled: a task writes the lists of its texts, one file per bucket, and a gram's lists lie in as many files as there
+    are tasks. A look-up reads the pages of its grams in the files of their buckets; a hot gram is the work of several tasks."""
+    buckets = min(max(1, -(-length // FILE_GRAMS)), BUCKETS)
     dealt = packed.withColumn("bucket", bucket_of(F.col("gram"), buckets))
-    dealt = dealt.repartitionById(buckets * slices, (F.col("bucket") * slices + F.pmod("first", F.lit(slices))).cast("int"))
     dealt.sortWithinPartitions("bucket", "gram", "first").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     return buckets
 
@@ -321,7 +325,7 @@ def write_postings(packed: DataFrame, path: str, length: int, rows: int) -> int:
 def build_index_tables(index: DataFrame, base: str) -> tuple[str, str]:
     """Write ``postings`` and ``doc_stats`` of an index that is not in a store; returns both paths."""
     post_path, stats_path = f"{base.rstrip('/')}/postings", f"{base.rstrip('/')}/doc_stats"
-    rows, length = index.agg(F.count("*"), F.coalesce(F.sum(token_count("content").cast("long")), F.lit(0))).first()
-    write_postings(packed_positional(index), post_path, length, rows)
+    length = index.agg(F.coalesce(F.sum(token_count("content").cast("long")), F.lit(0))).first()[0]
+    write_postings(packed_positional(index), post_path, length)
     doc_stats(index).write.parquet(stats_path)
     return post_path, stats_path

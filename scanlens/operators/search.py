@@ -376,7 +376,7 @@ def search_stored(store, query, kind: str = "simple", root: str | None = None, p
             rows = _best_first(store, hits.select("id", rank.alias("rank")), total, wanted, bool(root or exclude), limit, version)
     else:
         condition = _pattern_condition(term, kind)
-        ids = None if condition is None else _condition_ids(store.positions(version, _strings(condition)), condition)
+        ids = None if condition is None else _condition_ids(store.positions(version, _strings(condition), with_pos=False), condition)
         if ids is None:
             rows = store.current(version)
         else:

@@ -603,7 +603,7 @@ def postings_upkeep(spark, sf):
 def _hit_ids(spark, sf, a: str, b: str, op: str) -> DataFrame:
     """E1 on id sets: candidates from stored postings, verified on the text, then a set operation."""
     st = _stored(spark, sf)
-    im, post = st.current(), st.positions(None, [a, b]).select("gram", "id", "tf")
+    im, post = st.current(), st.positions(None, [a, b], with_pos=False).select("gram", "id", "tf")
     f = text.fold("content")
 
     def hits(p):
