@@ -4,9 +4,9 @@ Input: the words table ``(image_id, page, block, par, line, word, left, top, wid
 conf, text)``; reading order is page, block, par, line, word. Page sizes, where a form needs
 them, come from a ``pages`` table ``(image_id, page, page_width, page_height)``.
 
-Box containment joins never pair every box with every word of an image: boxes are exploded
-over the horizontal bands they span and words go to the band of their top edge, so the join is
-an equi-join on ``(image_id, page, band)`` plus the containment test.
+Box containment joins never pair every box with every word of an image: the boxes of a page are held by
+the horizontal bands they span and a word meets those in the band of its top edge, so the join is
+an equi-join on ``(image_id, page)``, a look-up of the band and the containment test.
 
 Forms per page (TSV, hOCR, ALTO) come from one tree per page (``page_trees``): words are read once and
 collected once by ``(image_id, page)`` (no shuffle where the table is dealt by image), then cut into lines,
@@ -109,18 +109,23 @@ def words_in_boxes(words: DataFrame, boxes: DataFrame, box_keys: list[str]) -> D
     """Words whose whole box lies inside a box of ``boxes`` (same image and page).
 
     ``boxes``: ``(image_id, page, <box_keys>, x, y, w, h)``. Result: the word columns plus the
-    box keys. Equi-join on ``(image_id, page, band)``: a box is repeated once per band it spans
-    (its height / BAND + 1 copies), a word sits in the band of its top edge.
+    box keys. The boxes of a page are held by band (a box is repeated once per band it spans: its
+    height / BAND + 1 copies), a word meets those in the band of its top edge. Words are joined by page
+    only, so they stay where they are if they are dealt by image.
     """
-    b = boxes.select(*PAGE, *box_keys, "x", "y", "w", "h",
+    b = boxes.select(*PAGE, F.struct(*box_keys, "x", "y", "w", "h").alias("box"),
                      F.explode(_bands(F.col("y"), F.col("y") + F.col("h"))).alias("band"))
-    w = words.withColumn("band", F.floor(F.col("top") / BAND))
-    on = [w[k] == b[k] for k in PAGE] + [w["band"] == b["band"]]
+    b = b.groupBy(*PAGE, "band").agg(F.collect_list("box").alias("in_band"))
+    b = b.groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct("band", "in_band"))).alias("_bands"))
+    # boxes are the narrow side
+    near = words.join(b.hint("shuffle_hash"), PAGE).select(
+        *words.columns, F.explode(F.element_at("_bands", F.floor(F.col("top") / BAND))).alias("_box"))
+    box = F.col("_box")
     inside = (
-        (w["left"] >= b["x"]) & (w["top"] >= b["y"])
-        & (w["left"] + w["width"] <= b["x"] + b["w"]) & (w["top"] + w["height"] <= b["y"] + b["h"])
+        (F.col("left") >= box["x"]) & (F.col("top") >= box["y"])
+        & (F.col("left") + F.col("width") <= box["x"] + box["w"]) & (F.col("top") + F.col("height") <= box["y"] + box["h"])
     )
-    return w.join(b, on + [inside], "inner").select(*[w[c] for c in words.columns], *[b[k] for k in box_keys])
+    return near.where(inside).select(*words.columns, *[box[k].alias(k) for k in box_keys])
 
 
 def text_in_boxes(words: DataFrame, boxes: DataFrame, box_keys: list[str]) -> DataFrame:
