@@ -8,7 +8,7 @@ Box containment joins never pair every box with every word of an image: the boxe
 the horizontal bands they span and a word meets those in the band of its top edge, so the join is
 an equi-join on ``(image_id, page)``, a look-up of the band and the containment test.
 
-Forms per page (TSV, hOCR, ALTO) come from one tree per page (``page_trees``): words are read once and
+TSV rows are printed from the words and from boxes summed up by level. Page documents (hOCR, ALTO) come from one tree per page (``page_trees``): words are read once and
 collected once by ``(image_id, page)`` (no shuffle where the table is dealt by image), then cut into lines,
 paragraphs, blocks and the page, boxes by min and max of the level below. One page is one value, so one page is one
 task; a page's words are bounded by what the page can hold. Pages without words keep their row.
@@ -189,18 +189,24 @@ def _rolled(items: Column, keys: list[str], fields: list[str], name: str) -> Col
     return F.transform(_runs(items, keys), parent)
 
 
-def page_trees(words: DataFrame, pages: DataFrame) -> DataFrame:
+def page_trees(words: DataFrame, pages: DataFrame, form: Column | None = None) -> DataFrame:
     """``pages`` with column ``blocks``: array of (block, l, t, r, b, paras: array of (par, l, t, r, b, lines:
     array of (line, l, t, r, b, words: array of (word, left, top, width, height, conf, text)))), every
-    array in reading order, empty for a page without words. The words of a page are collected once, in the
+    array in reading order, empty for a page without words. With ``form``, a value of each row of ``words``, the
+    words are these values, made before they are collected. The words of a page are collected once, in the
     place they are in if that is by image already; the levels are cut from that array."""
-    word = [*LEVEL_KEYS["word"], "left", "top", "width", "height", "conf", "text"]
-    found = words.groupBy(*PAGE).agg(F.collect_list(F.struct(*word)).alias("w"))
-    boxed = F.transform(F.sort_array("w"), lambda w: F.struct(
-        *[w[c].alias(c) for c in word], w["left"].alias("l"), w["top"].alias("t"),
-        (w["left"] + w["width"]).alias("r"), (w["top"] + w["height"]).alias("b")))
+    word, line = ["word", "left", "top", "width", "height", "conf", "text"], LEVEL_KEYS["textline"]
+    found = words.groupBy(*PAGE).agg(F.collect_list(F.struct(
+        F.struct(*line).alias("at"), *word, (F.col("left") + F.col("width")).alias("r"), (F.col("top") + F.col("height")).alias("b"),
+        *([] if form is None else [form.alias("form")]))).alias("w"))
+
+    def of_line(run: Column) -> Column:
+        kept = F.transform(run, lambda w: F.struct(*[w[c].alias(c) for c in word])) if form is None else run["form"]
+        return F.struct(*[F.get(run, F.lit(0))["at"][k].alias(k) for k in line], F.array_min(run["left"]).alias("l"), F.array_min(run["top"]).alias("t"),
+                        F.array_max(run["r"]).alias("r"), F.array_max(run["b"]).alias("b"), kept.alias("words"))
+
     box = ["l", "t", "r", "b"]
-    lines = _rolled(boxed, ["block", "par", "line"], word[3:], "words")
+    lines = F.transform(_runs(F.sort_array("w"), ["at"]), of_line)
     paras = _rolled(lines, ["block", "par"], ["line", *box, "words"], "lines")
     tree = found.select(*PAGE, _rolled(paras, ["block"], ["par", *box, "lines"], "paras").alias("blocks"))
     none = F.array().cast(tree.schema["blocks"].dataType)
@@ -212,43 +218,42 @@ def tsv_rows(words: DataFrame, pages: DataFrame) -> DataFrame:
     """TSV rows for every level (1 page .. 5 word), with their ordering keys:
     ``(image_id, level, page, block, par, line, word, tsv)``. Sort by the keys to print a page."""
     z, m1 = F.lit(0), F.lit(-1)
-    pg = F.col("page")
+    edges = [F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b")]
+    block, par, line, word = (F.col(k) for k in LEVEL_KEYS["word"])
 
-    def row(level: int, block, par, line, word, left, top, width, height, conf=m1, text=F.lit("")) -> Column:
-        return F.struct(F.lit(level).alias("level"), *[c.cast("int").alias(n) for n, c in (
+    def rows(df: DataFrame, level, block, par, line, word, left, top, width, height, conf=m1, text=F.lit("")) -> DataFrame:
+        return df.select("image_id", level.alias("level"), "page", *[c.cast("int").alias(n) for n, c in (
             ("block", block), ("par", par), ("line", line), ("word", word))],
-            _tsv(level, pg, block, par, line, word, left, top, width, height, conf, text).alias("tsv"))
+            _tsv(level, F.col("page"), block, par, line, word, left, top, width, height, conf, text).alias("tsv"))
 
-    def box(x: Column) -> list[Column]:
-        return [x["l"], x["t"], x["r"] - x["l"], x["b"] - x["t"]]
+    # the box of a line counts for its paragraph and its block too
+    zero = {k: z.cast(words.schema[k].dataType).alias(k) for k in ("par", "line")}
+    parents = F.array(*[F.struct(F.lit(n).alias("level"), block, par if n > 2 else zero["par"], line if n > 3 else zero["line"]) for n in (4, 3, 2)])
+    lines = words.select(*PAGE, block, par, line, F.col("left").alias("l"), F.col("top").alias("t"), (F.col("left") + F.col("width")).alias("r"),
+                         (F.col("top") + F.col("height")).alias("b")).groupBy(*PAGE, block, par, line).agg(*edges)
+    above = lines.select(*PAGE, "l", "t", "r", "b", F.inline(parents)).groupBy(*PAGE, "level", block, par, line).agg(*edges)
+    # pages are the narrow side
+    of_page = pages.select(*PAGE).hint("shuffle_hash")
+    out = rows(pages, F.lit(1), z, z, z, z, z, z, F.col("page_width"), F.col("page_height"))
+    out = out.union(rows(above.join(of_page, PAGE), F.col("level"), block, par, line, z,
+                         F.col("l"), F.col("t"), F.col("r") - F.col("l"), F.col("b") - F.col("t")))
+    return out.union(rows(words.join(of_page, PAGE), F.lit(5), block, par, line, word,
+                          F.col("left"), F.col("top"), F.col("width"), F.col("height"), F.col("conf"), F.col("text")))
 
-    def under(own: Column, children: Column, one) -> Column:
-        return F.concat(F.array(own), F.flatten(F.transform(children, one)))
-
-    def of_line(b, p):
-        return lambda ln: F.concat(F.array(row(4, b["block"], p["par"], ln["line"], z, *box(ln))), F.transform(ln["words"], lambda w: row(
-            5, b["block"], p["par"], ln["line"], w["word"], w["left"], w["top"], w["width"], w["height"], w["conf"], w["text"])))
-
-    def of_par(b):
-        return lambda p: under(row(3, b["block"], p["par"], z, z, *box(p)), p["lines"], of_line(b, p))
-
-    def of_block(b):
-        return under(row(2, b["block"], z, z, z, *box(b)), b["paras"], of_par(b))
 
-    page = row(1, z, z, z, z, z, z, F.col("page_width"), F.col("page_height"))
-    rows = page_trees(words, pages).select("image_id", "page", F.explode(under(page, F.col("blocks"), of_block)).alias("x"))
-    return rows.select("image_id", "x.level", "page", "x.block", "x.par", "x.line", "x.word", "x.tsv")
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns that later filters and columns read but do not compute again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def _tsv_lines(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
-    lines = df.select(*keys, F.explode(F.split(col, "\r?\n")).alias("tsv")).where(F.col("tsv") != "")
-    f = F.split("tsv", "\t", 12)
-    numbers = [F.get(f, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(TSV_COLUMNS[:11])]
-    rows = lines.select(*keys, "tsv", *numbers, F.get(f, F.lit(11)).alias("text"))
-    good = F.col("level").isNotNull()
-    for n in TSV_COLUMNS[1:11]:
+    lines = df.select(*keys, F.explode(F.split(F.replace(F.col(col), F.lit("\r\n"), F.lit("\n")), "\n")).alias("tsv")).where(F.col("tsv") != "")
+    rows = _once(lines, _f=F.split("tsv", "\t", 12))
+    rows = _once(rows, **{n: F.get("_f", F.lit(i)).try_cast("double") for i, n in enumerate(TSV_COLUMNS[:11])})
+    good = F.lit(True)
+    for n in TSV_COLUMNS[:11]:
         good = good & F.col(n).isNotNull()
-    return rows.withColumn("_good", good)
+    return rows.select(*keys, "tsv", *TSV_COLUMNS[:11], F.get("_f", F.lit(11)).alias("text"), good.alias("_good"))
 
 
 def tsv_parse(df: DataFrame, col: str = "tsv", keys: list[str] = ("image_id",)) -> DataFrame:
