@@ -8,9 +8,9 @@ Box containment joins never pair every box with every word of an image: the boxe
 the horizontal bands they span and a word meets those in the band of its top edge, so the join is
 an equi-join on ``(image_id, page)``, a look-up of the band and the containment test.
 
-TSV rows are printed from the words and from boxes summed up by level. Page documents (hOCR, ALTO) come from one tree per page (``page_trees``): words are read once and
-collected once by ``(image_id, page)`` (no shuffle where the table is dealt by image), then cut into lines,
-paragraphs, blocks and the page, boxes by min and max of the level below. One page is one value, so one page is one
+Forms per page (TSV, hOCR, ALTO) are read and formatted word by word and collected once by ``(image_id, page)`` (no
+shuffle where the table is dealt by image): page documents come from one tree per page (``page_trees``), TSV rows from
+the words' rows and their boxes; boxes go up by min and max of the level below. One page is one value, so one page is one
 task; a page's words are bounded by what the page can hold. Pages without words keep their row.
 """
 
@@ -184,12 +184,12 @@ def _runs(items: Column, keys: list[str]) -> Column:
     return bound(items, cut)
 
 
-def _rolled(items: Column, keys: list[str], fields: list[str], name: str) -> Column:
-    """Parents of ``items``: the keys, the edges around the children, and the children's ``fields`` as ``name``."""
+def _rolled(items: Column, keys: list[str], fields: list[str] = (), name: str | None = None) -> Column:
+    """Parents of ``items``: the keys, the edges around the children, and with a ``name`` the children's ``fields`` under it."""
     def parent(run: Column) -> Column:
         edges = [use(run[e]).alias(e) for e, use in (("l", F.array_min), ("t", F.array_min), ("r", F.array_max), ("b", F.array_max))]
-        children = F.transform(run, lambda x: F.struct(*[x[f].alias(f) for f in fields]))
-        return F.struct(*[F.get(run, F.lit(0))[k].alias(k) for k in keys], *edges, children.alias(name))
+        children = [F.transform(run, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name)] if name else []
+        return F.struct(*[F.get(run, F.lit(0))[k].alias(k) for k in keys], *edges, *children)
 
     return F.transform(_runs(items, keys), parent)
 
@@ -222,27 +222,35 @@ def tsv_rows(words: DataFrame, pages: DataFrame) -> DataFrame:
     """TSV rows for every level (1 page .. 5 word), with their ordering keys:
     ``(image_id, level, page, block, par, line, word, tsv)``. Sort by the keys to print a page."""
     z, m1 = F.lit(0), F.lit(-1)
-    edges = [F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b")]
-    block, par, line, word = (F.col(k) for k in LEVEL_KEYS["word"])
+    pg = F.col("page")
 
-    def rows(df: DataFrame, level, block, par, line, word, left, top, width, height, conf=m1, text=F.lit("")) -> DataFrame:
-        return df.select("image_id", level.alias("level"), "page", *[c.cast("int").alias(n) for n, c in (
+    def row(level: int, block, par, line, word, left, top, width, height, conf=m1, text=F.lit("")) -> Column:
+        return F.struct(F.lit(level).alias("level"), *[c.cast("int").alias(n) for n, c in (
             ("block", block), ("par", par), ("line", line), ("word", word))],
-            _tsv(level, F.col("page"), block, par, line, word, left, top, width, height, conf, text).alias("tsv"))
-
-    # the box of a line counts for its paragraph and its block too
-    zero = {k: z.cast(words.schema[k].dataType).alias(k) for k in ("par", "line")}
-    parents = F.array(*[F.struct(F.lit(n).alias("level"), block, par if n > 2 else zero["par"], line if n > 3 else zero["line"]) for n in (4, 3, 2)])
-    lines = words.select(*PAGE, block, par, line, F.col("left").alias("l"), F.col("top").alias("t"), (F.col("left") + F.col("width")).alias("r"),
-                         (F.col("top") + F.col("height")).alias("b")).groupBy(*PAGE, block, par, line).agg(*edges)
-    above = lines.select(*PAGE, "l", "t", "r", "b", F.inline(parents)).groupBy(*PAGE, "level", block, par, line).agg(*edges)
+            _tsv(level, pg, block, par, line, word, left, top, width, height, conf, text).alias("tsv"))
+
+    keys = LEVEL_KEYS["textline"]
+    edges = {"l": F.col("left"), "t": F.col("top"), "r": F.col("left") + F.col("width"), "b": F.col("top") + F.col("height")}
+    of_word = row(5, *[F.col(c) for c in (*LEVEL_KEYS["word"], "left", "top", "width", "height", "conf", "text")])
+    found = _once(words, **edges, form=of_word).groupBy(*PAGE).agg(
+        F.collect_list(F.struct(*keys, *edges)).alias("w"), F.collect_list("form").alias("rows"))
+
+    def above(level: int):
+        """The row of a box at ``level``."""
+        b, p, n = (lambda x: x["block"]), (lambda x: x["par"] if level > 2 else z), (lambda x: x["line"] if level > 3 else z)
+        return lambda x: row(level, b(x), p(x), n(x), z, x["l"], x["t"], x["r"] - x["l"], x["b"] - x["t"])
+
+    def up(boxes: Column, level: int) -> Column:
+        """The rows of the boxes around ``boxes`` at ``level`` and at the levels above it."""
+        parents = _rolled(boxes, keys[:level - 1])
+        return bound(parents, lambda x: F.concat(F.transform(x, above(level)), *([up(x, level - 1)] if level > 2 else [])))
+
+    rows = found.select(*PAGE, F.concat("rows", up(F.sort_array("w"), 4)).alias("rows"))
+    page = row(1, z, z, z, z, z, z, F.col("page_width"), F.col("page_height"))
     # pages are the narrow side
-    of_page = pages.select(*PAGE).hint("shuffle_hash")
-    out = rows(pages, F.lit(1), z, z, z, z, z, z, F.col("page_width"), F.col("page_height"))
-    out = out.union(rows(above.join(of_page, PAGE), F.col("level"), block, par, line, z,
-                         F.col("l"), F.col("t"), F.col("r") - F.col("l"), F.col("b") - F.col("t")))
-    return out.union(rows(words.join(of_page, PAGE), F.lit(5), block, par, line, word,
-                          F.col("left"), F.col("top"), F.col("width"), F.col("height"), F.col("conf"), F.col("text")))
+    rows = pages.hint("shuffle_hash").join(rows, PAGE, "left").withColumn("rows", F.concat(F.array(page), F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType))))
+    rows = rows.select("image_id", "page", F.explode("rows").alias("x"))
+    return rows.select("image_id", "x.level", "page", "x.block", "x.par", "x.line", "x.word", "x.tsv")
 
 
 def _tsv_lines(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
